@@ -25,8 +25,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 
 def _entries() -> dict[str, tuple[Callable, str | None]]:
-    from studyhall.oracle import sql_admin
-    from studyhall.plans import admin, wallet
+    from studyhall.oracle import sql_admin, sql_discovery
+    from studyhall.plans import admin, discovery, wallet
 
     A = sql_admin.SQL
     e = {
@@ -57,6 +57,29 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "wallet_history_count": (wallet.wallet_history_count, A["wallet_history_count"]),
         "wallet_by_month": (wallet.wallet_by_month, A["wallet_by_month"]),
     }
+    D = sql_discovery.SQL
+    plat, plng = sql_discovery.POINT
+    clat, clng = sql_discovery.CENTRE_POINT
+    e.update({
+        "nearby_centers": (lambda t: discovery.nearby_centers(t, lat=plat, lng=plng, km=250.0), D["nearby_centers"]),
+        "nearby_centers_count": (lambda t: discovery.nearby_centers_count(t, lat=plat, lng=plng, km=250.0),
+                                 D["nearby_centers_count"]),
+        "student_nearby_centers": (lambda t: discovery.student_nearby_centers(t, km=25.0),
+                                   D["student_nearby_centers"]),
+        "nearby_teachers": (lambda t: discovery.nearby_teachers(t, lat=plat, lng=plng, km=100.0),
+                            D["nearby_teachers"]),
+        "search_centers": (lambda t: discovery.search_centers(t, lat=clat, lng=clng, grade="Grade 1"),
+                           D["search_centers"]),
+        "search_teachers": (lambda t: discovery.search_teachers(t, grade="Grade 7"), D["search_teachers"]),
+        "center_details": (discovery.center_details, D["center_details"]),
+        "teacher_details": (discovery.teacher_details, D["teacher_details"]),
+        "all_subjects": (discovery.all_subjects, D["all_subjects"]),
+        "teacher_reviews_public": (discovery.teacher_reviews_public, D["teacher_reviews_public"]),
+        "center_upcoming_sessions": (discovery.center_upcoming_sessions, D["center_upcoming_sessions"]),
+        "teacher_discovery": (discovery.teacher_discovery, D["teacher_discovery"]),
+        "teacher_discovery_nearby": (lambda t: discovery.teacher_discovery_nearby(t, lat=clat, lng=clng, km=100.0),
+                                     D["teacher_discovery_nearby"]),
+    })
     return e
 
 
