@@ -109,25 +109,30 @@ def session_clock_status(as_of, status="status", start="scheduled_at", duration=
             .otherwise(F.lit("scheduled")))
 
 
-def session_status_label(clock_status: Column) -> Column:
-    """Human label of the board (PRJ-03)."""
-    return (F.when(clock_status == "cancelled", F.lit("Cancelled"))
-            .when(clock_status == "completed", F.lit("Completed"))
-            .when(clock_status == "ongoing", F.lit("Started now"))
-            .otherwise(F.lit("Upcoming")))
+def session_status_label(as_of, status="status", start="scheduled_at", duration="duration_min") -> Column:
+    """PRJ-03 label of the centre board: cancelled, ended, is started now, scheduled."""
+    return (F.when(as_col(status) == "cancelled", F.lit("cancelled"))
+            .when(ts_lit(as_of) >= session_end(start, duration), F.lit("ended"))
+            .when(ts_lit(as_of) >= as_col(start), F.lit("is started now"))
+            .otherwise(F.lit("scheduled")))
+
+
+def teacher_list_status(as_of, status="status", start="scheduled_at") -> Column:
+    """Teacher session list: a stored ``scheduled`` session that started before ``as_of`` shows ``ended``."""
+    return F.when((as_col(status) == "scheduled") & (as_col(start) < ts_lit(as_of)), F.lit("ended")).otherwise(
+        as_col(status))
 
 
-def virtual_status_filter(status: str | None, as_of, col_status="status", start="scheduled_at",
-                          duration="duration_min") -> Column | None:
-    """FLT-09: ``ended``/``scheduled`` are computed from the clock; other values are stored."""
+def virtual_status_filter(status: str | None, as_of, col_status="status", start="scheduled_at") -> Column | None:
+    """FLT-09: ``ended`` / ``scheduled`` are computed from the clock; other values are stored."""
     if status is None:
         return None
     now = ts_lit(as_of)
     st = as_col(col_status)
     if status == "ended":
-        return (~st.isin("cancelled", "completed")) & (session_end(start, duration) <= now)
+        return (st == "scheduled") & (as_col(start) < now)
     if status == "scheduled":
-        return (st == "scheduled") & (as_col(start) > now)
+        return (st == "scheduled") & (as_col(start) >= now)
     return st == status
 
 

@@ -25,8 +25,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 
 def _entries() -> dict[str, tuple[Callable, str | None]]:
-    from studyhall.oracle import sql_admin, sql_discovery
-    from studyhall.plans import admin, discovery, wallet
+    from studyhall.oracle import sql_admin, sql_dash, sql_discovery
+    from studyhall.plans import admin, center, discovery, rooms, teacher, wallet
 
     A = sql_admin.SQL
     e = {
@@ -80,6 +80,40 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "teacher_discovery_nearby": (lambda t: discovery.teacher_discovery_nearby(t, lat=clat, lng=clng, km=100.0),
                                      D["teacher_discovery_nearby"]),
     })
+    S = sql_dash.SQL
+    e.update({
+        "booking_history": (rooms.booking_history, S["booking_history"]),
+        "room_counters": (rooms.room_counters, S["room_counters"]),
+        "student_rooms": (rooms.student_rooms, S["student_rooms"]),
+        "room_content_gated": (rooms.room_content_gated, S["room_content_gated"]),
+        "room_info": (rooms.room_info, S["room_info"]),
+        "content_access_decision": (rooms.content_access_decision, S["content_access_decision"]),
+        "content_link_resolution": (rooms.content_link_resolution, S["content_link_resolution"]),
+        "teacher_profile": (teacher.teacher_profile, S["teacher_profile"]),
+        "teacher_stats": (teacher.teacher_stats, S["teacher_stats"]),
+        "teacher_centers": (teacher.teacher_centers, S["teacher_centers"]),
+        "teacher_sessions": (teacher.teacher_sessions, S["teacher_sessions"]),
+        "teacher_sessions_count": (teacher.teacher_sessions_count, S["teacher_sessions_count"]),
+        "teacher_sessions_ended": (lambda t: teacher.teacher_sessions_count(t, status="ended"),
+                                   S["teacher_sessions_ended"]),
+        "teacher_reviews": (teacher.teacher_reviews, S["teacher_reviews"]),
+        "teacher_reviews_count": (teacher.teacher_reviews_count, S["teacher_reviews_count"]),
+        "teacher_content_usage": (teacher.teacher_content_usage, S["teacher_content_usage"]),
+        "teacher_content_usage_count": (teacher.teacher_content_usage_count, S["teacher_content_usage_count"]),
+        "center_teacher_content": (teacher.center_teacher_content, S["center_teacher_content"]),
+        "room_content_admin": (center.room_content_admin, S["room_content_admin"]),
+        "center_rooms": (center.center_rooms, S["center_rooms"]),
+        "room_members_list": (center.room_members_list, S["room_members_list"]),
+        "center_teacher_roster": (center.center_teacher_roster, S["center_teacher_roster"]),
+        "center_session_board": (center.center_session_board, S["center_session_board"]),
+        "session_attendance": (center.session_attendance, S["session_attendance"]),
+        "session_attendance_summary": (center.session_attendance_summary, S["session_attendance_summary"]),
+        "center_analytics": (center.center_analytics, S["center_analytics"]),
+        "center_analytics_exact": (center.center_analytics_exact, S["center_analytics_exact"]),
+        "student_bookings_summary": (center.student_bookings_summary, S["student_bookings_summary"]),
+        "sessions_by_month": (center.sessions_by_month, S["sessions_by_month"]),
+        "bookings_by_month": (center.bookings_by_month, S["bookings_by_month"]),
+    })
     return e
 
 
