@@ -197,7 +197,87 @@ FIXTURE_CTES = {
 }
 
 
+
+
+# ---------------------------------------------------------------- request tables (FIXTURES.md, part C)
+_AT = AS_OF
+FIXTURE_CTES.update({
+    "booking_requests": f"""
+        SELECT o_orderkey * 4 AS request_id, o_orderkey AS session_id,
+               (o_custkey * 17 + o_orderkey) % (SELECT nc FROM _n) AS student_id,
+               {_AT} - to_minutes(CAST(o_orderkey % 50 AS INTEGER)) AS requested_at FROM orders
+        UNION ALL
+        SELECT o_orderkey * 4 + 1, o_orderkey, (o_custkey * 17 + o_orderkey) % (SELECT nc FROM _n),
+               {_AT} - to_minutes(CAST(o_orderkey % 50 AS INTEGER)) + INTERVAL 1 MINUTE FROM orders WHERE o_orderkey % 7 = 0
+        UNION ALL
+        SELECT o_orderkey * 4 + 2, o_orderkey + 1000000000000, (o_custkey * 17 + o_orderkey) % (SELECT nc FROM _n),
+               {_AT} - to_minutes(CAST(o_orderkey % 50 AS INTEGER)) FROM orders WHERE o_orderkey % 11 = 0
+        UNION ALL
+        SELECT o_orderkey * 4 + 3, o_orderkey, (o_custkey * 31 + 7) % (SELECT nc FROM _n),
+               {_AT} - to_minutes(CAST(o_orderkey % 50 AS INTEGER)) - INTERVAL 1 MINUTE FROM orders WHERE o_orderkey % 5 = 0""",
+    "cancel_requests": f"""
+        SELECT id * 4 AS request_id, id AS booking_id,
+               CASE WHEN id % 13 = 0 THEN (student_id + 1) % (SELECT nc FROM _n) ELSE student_id END AS student_id,
+               {_AT} - to_minutes(CAST(id % 30 AS INTEGER)) AS requested_at FROM bookings
+        UNION ALL
+        SELECT id * 4 + 1, id, student_id, {_AT} - to_minutes(CAST(id % 30 AS INTEGER)) + INTERVAL 1 MINUTE
+        FROM bookings WHERE id % 17 = 0
+        UNION ALL
+        SELECT id * 4 + 2, id + 1000000000000, student_id, {_AT} - to_minutes(CAST(id % 30 AS INTEGER))
+        FROM bookings WHERE id % 19 = 0""",
+    "session_cancel_requests": f"""
+        SELECT id * 4 AS request_id, id AS session_id,
+               CASE WHEN id % 9 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
+               {_AT} - to_minutes(CAST(id % 40 AS INTEGER)) AS requested_at FROM sessions
+        UNION ALL
+        SELECT id * 4 + 1, id, CASE WHEN id % 9 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END,
+               {_AT} - to_minutes(CAST(id % 40 AS INTEGER)) + INTERVAL 1 MINUTE FROM sessions WHERE id % 10 = 0
+        UNION ALL
+        SELECT id * 4 + 2, id + 1000000000000, center_id, {_AT} - to_minutes(CAST(id % 40 AS INTEGER))
+        FROM sessions WHERE id % 23 = 0""",
+    "_scan_base": """
+        SELECT b.id, CASE WHEN b.id % 9 = 0 THEN replace(b.qr_code, '_', '-') ELSE b.qr_code END AS qr_code,
+               CASE WHEN b.id % 23 = 0 THEN (s.center_id + 1) % (SELECT ns FROM _n) ELSE s.center_id END AS center_id,
+               CASE WHEN b.id % 7 = 0 THEN s.scheduled_at - INTERVAL 30 MINUTE
+                    WHEN b.id % 11 = 0 THEN s.scheduled_at + to_minutes(s.duration_min + 5)
+                    WHEN b.id % 29 = 0 THEN s.scheduled_at - INTERVAL 15 MINUTE
+                    WHEN b.id % 31 = 0 THEN s.scheduled_at + to_minutes(s.duration_min)
+                    ELSE s.scheduled_at + to_minutes(CAST(b.id % 20 - 10 AS INTEGER)) END AS scanned_at
+        FROM bookings b JOIN sessions s ON b.session_id = s.id""",
+    "scan_requests": """
+        SELECT id * 2 AS scan_id, qr_code, center_id, scanned_at FROM _scan_base
+        UNION ALL
+        SELECT id * 2 + 1, qr_code, center_id, scanned_at + INTERVAL 1 MINUTE FROM _scan_base WHERE id % 13 = 0""",
+    "walkin_requests": """
+        SELECT id * 2 AS request_id,
+               CASE WHEN id % 43 = 0 THEN (SELECT nc FROM _n) + id ELSE (teacher_id * 3 + id) % (SELECT nc FROM _n) END
+                   AS student_id,
+               CASE WHEN id % 37 = 0 THEN id + 1000000000000 ELSE id END AS session_id,
+               CASE WHEN id % 41 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
+               CAST(id % 4 * 25 AS DECIMAL(10,2)) AS amount_paid,
+               scheduled_at + to_minutes(CAST((id % 9 - 4) * 10 AS INTEGER)) AS requested_at
+        FROM sessions
+        UNION ALL
+        SELECT id * 2 + 1, (teacher_id * 3 + id) % (SELECT nc FROM _n), id, center_id,
+               CAST(id % 4 * 25 AS DECIMAL(10,2)), scheduled_at + to_minutes(CAST((id % 9 - 4) * 10 AS INTEGER))
+                   + INTERVAL 1 MINUTE
+        FROM sessions WHERE id % 6 = 0""",
+    "session_candidates": """
+        SELECT s.id AS candidate_id, CASE WHEN s.id % 2 = 0 THEN s.id END AS session_id, s.center_id, s.teacher_id,
+               CASE WHEN s.id % 3 = 0 THEN s.subject ELSE t.subjects[CAST(s.id % 2 + 1 AS INTEGER)] END AS subject,
+               s.grade_level,
+               CASE WHEN s.id % 10 = 5 THEN s.scheduled_at + to_minutes(s.duration_min)
+                    ELSE s.scheduled_at + to_minutes(CAST((s.id % 7 - 3) * 10 AS INTEGER)) END AS scheduled_at,
+               s.duration_min
+        FROM sessions s LEFT JOIN teachers t ON s.teacher_id = t.id""",
+})
+
+
 def with_fixtures(body: str) -> str:
-    """``WITH <all domain tables> <body>``; DuckDB only evaluates the CTEs the body uses."""
+    """``WITH <all domain tables>[, <body's own CTEs>] <body>``; DuckDB only evaluates the CTEs
+    the body uses. A body that starts with ``WITH`` has its CTEs appended after the fixtures."""
     ctes = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in FIXTURE_CTES.items())
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{b[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -25,7 +25,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 
 def _entries() -> dict[str, tuple[Callable, str | None]]:
-    from studyhall.oracle import sql_admin, sql_dash, sql_discovery
+    from studyhall.jobs import attendance as jatt
+    from studyhall.jobs import bookings as jbook
+    from studyhall.jobs import requests as jreq
+    from studyhall.jobs import schedule as jsched
+    from studyhall.oracle import sql_admin, sql_dash, sql_discovery, sql_jobs
     from studyhall.plans import admin, center, discovery, rooms, teacher, wallet
 
     A = sql_admin.SQL
@@ -114,6 +118,22 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "sessions_by_month": (center.sessions_by_month, S["sessions_by_month"]),
         "bookings_by_month": (center.bookings_by_month, S["bookings_by_month"]),
     })
+    J = sql_jobs.SQL
+    e.update({
+        "admit_bookings": (lambda t: jbook.admit_bookings(t, jreq.booking_requests(t)), J["admit_bookings"]),
+        "cancel_bookings": (lambda t: jbook.cancel_bookings(t, jreq.cancel_requests(t)), J["cancel_bookings"]),
+        "cancel_sessions": (lambda t: jbook.cancel_sessions(t, jreq.session_cancel_requests(t)),
+                            J["cancel_sessions"]),
+        "validate_scans": (lambda t: jatt.validate_scans(t, jreq.scan_requests(t)), J["validate_scans"]),
+        "walk_in_attendance": (lambda t: jatt.walk_in_attendance(t, jreq.walkin_requests(t)),
+                               J["walk_in_attendance"]),
+        "session_overlap_pairs": (lambda t: jsched.session_overlap_pairs(t, jreq.session_candidates(t)),
+                                  J["session_overlap_pairs"]),
+        "session_conflicts": (lambda t: jsched.session_conflicts(t, jreq.session_candidates(t)),
+                              J["session_conflicts"]),
+        "validate_sessions": (lambda t: jsched.validate_sessions(t, jreq.session_candidates(t)),
+                              J["validate_sessions"]),
+    })
     return e
 
 
