@@ -281,3 +281,40 @@ def with_fixtures(body: str) -> str:
     if b[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{b[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+FIXTURE_CTES.update({
+    "join_requests": f"""
+        SELECT rm.id * 4 AS request_id, rm.student_id, r.access_code,
+               {_AT} - to_minutes(CAST(rm.id % 30 AS INTEGER)) AS requested_at
+        FROM room_members rm JOIN rooms r ON rm.room_id = r.id
+        UNION ALL
+        SELECT id * 4 + 1, (id * 7 + 3) % (SELECT nc FROM _n), access_code,
+               {_AT} - to_minutes(CAST(id % 45 AS INTEGER)) FROM rooms
+        UNION ALL
+        SELECT id * 4 + 2, (id * 7 + 3) % (SELECT nc FROM _n), 'X' || access_code,
+               {_AT} - to_minutes(CAST(id % 45 AS INTEGER)) FROM rooms WHERE id % 11 = 0
+        UNION ALL
+        SELECT id * 4 + 3, (id * 7 + 3) % (SELECT nc FROM _n), access_code,
+               {_AT} - to_minutes(CAST(id % 45 AS INTEGER)) + INTERVAL 1 MINUTE FROM rooms WHERE id % 5 = 0""",
+    "upgrade_requests": f"""
+        SELECT id * 2 AS request_id, student_id, room_id,
+               {_AT} - to_minutes(CAST(id % 50 AS INTEGER)) AS requested_at FROM room_members WHERE id % 2 = 0
+        UNION ALL
+        SELECT id * 2 + 1, (id * 11 + 5) % (SELECT nc FROM _n), id,
+               {_AT} - to_minutes(CAST(id % 20 AS INTEGER)) FROM rooms""",
+    "review_requests": """
+        SELECT b.id AS request_id, b.student_id,
+               CASE WHEN b.id % 29 = 0 THEN s.teacher_id + 1000000000000 ELSE s.teacher_id END AS teacher_id,
+               CAST(b.id % 7 AS INTEGER) AS rating, s.scheduled_at + INTERVAL 2 DAY AS requested_at
+        FROM bookings b JOIN sessions s ON b.session_id = s.id""",
+    "deposit_requests": """
+        SELECT c_custkey * 2 AS request_id, c_custkey AS user_id, CAST(c_acctbal AS DECIMAL(10,2)) AS amount,
+               CASE WHEN c_custkey % 3 <> 0 THEN 'card' END AS payment_method,
+               TIMESTAMP '2024-01-31 00:00:00' - to_minutes(CAST(c_custkey % 60 AS INTEGER)) AS requested_at
+        FROM customer
+        UNION ALL
+        SELECT c_custkey * 2 + 1, c_custkey, CAST(10 AS DECIMAL(10,2)), CAST(NULL AS VARCHAR),
+               TIMESTAMP '2024-01-31 00:00:00' - to_minutes(CAST(c_custkey % 60 AS INTEGER)) + INTERVAL 1 MINUTE
+        FROM customer WHERE c_custkey % 4 = 0""",
+})

@@ -164,3 +164,170 @@ SQL = {
            CASE WHEN decision IN ('TEACHER_BUSY', 'GRADE_OVERLAP') THEN conflict_session_id END AS conflict_session_id
     FROM d""",
 }
+
+
+BALANCES = f"(SELECT user_id, SUM({signed_sql()}) AS balance FROM wallet_transactions GROUP BY user_id)"
+
+SQL.update({
+    "join_rooms": """WITH j AS (
+        SELECT q.request_id, q.student_id, q.requested_at, r.id AS room_id, m.room_id AS m_room, m.access_tier,
+               CASE WHEN q.access_code IS NULL OR q.access_code = '' THEN 'CODE_REQUIRED'
+                    WHEN r.id IS NULL THEN 'INVALID_CODE' WHEN NOT r.is_active THEN 'ROOM_INACTIVE'
+                    WHEN m.is_active THEN 'ALREADY_MEMBER' ELSE 'OK' END AS decision
+        FROM join_requests q LEFT JOIN rooms r ON r.access_code = q.access_code
+        LEFT JOIN room_members m ON m.room_id = r.id AND m.student_id = q.student_id),
+      d AS (SELECT request_id, student_id, room_id, m_room, access_tier, decision FROM j WHERE decision <> 'OK'
+            UNION ALL
+            SELECT request_id, student_id, room_id, m_room, access_tier,
+                   CASE WHEN row_number() OVER (PARTITION BY room_id, student_id ORDER BY requested_at, request_id) = 1
+                        THEN 'OK' ELSE 'ALREADY_MEMBER' END FROM j WHERE decision = 'OK')
+    SELECT request_id, student_id, room_id,
+           CASE WHEN decision = 'OK' AND m_room IS NOT NULL THEN 'REJOINED' WHEN decision = 'OK' THEN 'JOINED'
+                ELSE decision END AS decision,
+           CASE WHEN decision = 'OK' AND m_room IS NOT NULL THEN access_tier WHEN decision = 'OK' THEN 'free' END
+               AS access_tier
+    FROM d""",
+    "upgrade_room_access": f"""WITH j AS (
+        SELECT q.request_id, q.student_id, q.room_id, q.requested_at, r.paid_price, COALESCE(bal.balance, 0) AS balance,
+               CASE WHEN m.room_id IS NULL THEN 'NOT_A_MEMBER' WHEN m.access_tier = 'paid' THEN 'ALREADY_PAID'
+                    WHEN r.paid_price IS NULL OR r.paid_price <= 0 THEN 'INVALID_PRICE' ELSE 'OK' END AS decision
+        FROM upgrade_requests q
+        LEFT JOIN (SELECT * FROM room_members WHERE is_active) m ON m.room_id = q.room_id AND m.student_id = q.student_id
+        LEFT JOIN rooms r ON r.id = q.room_id
+        LEFT JOIN {BALANCES} bal ON bal.user_id = q.student_id),
+      live AS (SELECT *, row_number() OVER (PARTITION BY room_id, student_id ORDER BY requested_at, request_id) AS rn
+               FROM j WHERE decision = 'OK'),
+      comp AS (SELECT *, SUM(paid_price) OVER (PARTITION BY student_id ORDER BY requested_at, request_id
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent
+               FROM live WHERE rn = 1)
+    SELECT request_id, student_id, room_id, decision, CAST(NULL AS DECIMAL(18,2)) AS charged FROM j
+    WHERE decision <> 'OK'
+    UNION ALL SELECT request_id, student_id, room_id, 'ALREADY_PAID', CAST(NULL AS DECIMAL(18,2)) FROM live
+    WHERE rn > 1
+    UNION ALL SELECT request_id, student_id, room_id,
+        CASE WHEN spent > balance THEN 'INSUFFICIENT_BALANCE' ELSE 'OK' END,
+        CASE WHEN spent <= balance THEN CAST(paid_price AS DECIMAL(18,2)) END FROM comp""",
+    "review_eligibility": """WITH att AS (
+        SELECT b.id, b.student_id, s.teacher_id, b.booked_at FROM bookings b JOIN sessions s ON s.id = b.session_id
+        WHERE b.status = 'attended'),
+      pick AS (SELECT student_id, teacher_id, id AS booking_id FROM (
+               SELECT *, row_number() OVER (PARTITION BY student_id, teacher_id ORDER BY booked_at, id) AS rn
+               FROM att) WHERE rn = 1),
+      done AS (SELECT DISTINCT student_id, teacher_id FROM reviews),
+      j AS (SELECT q.request_id, q.student_id, q.teacher_id, q.rating, q.requested_at, p.booking_id,
+               CASE WHEN q.teacher_id IS NULL OR q.rating IS NULL OR q.rating = 0 THEN 'MISSING_FIELDS'
+                    WHEN q.rating < 1 OR q.rating > 5 THEN 'INVALID_RATING'
+                    WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND' WHEN p.booking_id IS NULL THEN 'NOT_ATTENDED'
+                    WHEN dn.student_id IS NOT NULL THEN 'ALREADY_REVIEWED' ELSE 'OK' END AS decision
+            FROM review_requests q LEFT JOIN teachers t ON t.id = q.teacher_id
+            LEFT JOIN pick p ON p.student_id = q.student_id AND p.teacher_id = q.teacher_id
+            LEFT JOIN done dn ON dn.student_id = q.student_id AND dn.teacher_id = q.teacher_id),
+      o AS (SELECT *, row_number() OVER (PARTITION BY student_id, teacher_id ORDER BY requested_at, request_id) AS rn
+            FROM j WHERE decision = 'OK')
+    SELECT request_id, student_id, teacher_id, rating, decision, CAST(NULL AS BIGINT) AS booking_id FROM j
+    WHERE decision <> 'OK'
+    UNION ALL SELECT request_id, student_id, teacher_id, rating,
+        CASE WHEN rn = 1 THEN 'OK' ELSE 'ALREADY_REVIEWED' END, CASE WHEN rn = 1 THEN booking_id END FROM o""",
+    "derived_teacher_ratings": """SELECT t.id AS teacher_id,
+            COALESCE(CASE WHEN r.n = 0 THEN NULL ELSE CAST(CAST((r.s * 20 + r.n) // (r.n * 2) AS DECIMAL(18,0)) * 0.1
+                     AS DECIMAL(10,1)) END, CAST(0 AS DECIMAL(10,1))) AS rating,
+            COALESCE(r.n, 0) AS total_reviews, COALESCE(s.n, 0) AS total_sessions
+        FROM teachers t
+        LEFT JOIN (SELECT teacher_id, SUM(rating) AS s, count(*) AS n FROM reviews WHERE is_visible
+                   GROUP BY teacher_id) r ON r.teacher_id = t.id
+        LEFT JOIN (SELECT teacher_id, count(*) AS n FROM sessions GROUP BY teacher_id) s ON s.teacher_id = t.id""",
+    "derived_session_seats": """SELECT s.id AS session_id, s.capacity, s.seats_booked AS stored_seats_booked,
+            COALESCE(b.n, 0) AS seats_booked
+        FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM bookings WHERE status <> 'cancelled'
+                                   GROUP BY session_id) b ON b.session_id = s.id""",
+    "derived_room_counts": """SELECT r.id AS room_id, COALESCE(m.n, 0) AS member_count, COALESCE(c.n, 0) AS content_count
+        FROM rooms r
+        LEFT JOIN (SELECT room_id, count(*) AS n FROM room_members GROUP BY room_id) m ON m.room_id = r.id
+        LEFT JOIN (SELECT room_id, count(*) AS n FROM content_items GROUP BY room_id) c ON c.room_id = r.id""",
+    "ledger_reconciliation": """SELECT COALESCE(b.id, l.ref) AS booking_id, CAST(b.amount_paid AS DECIMAL(18,2)) AS amount_paid,
+            b.status AS booking_status,
+            CAST(COALESCE(l.charged, 0) AS DECIMAL(18,2)) AS charged,
+            CAST(COALESCE(l.refunded, 0) AS DECIMAL(18,2)) AS refunded,
+            CAST(COALESCE(l.transferred, 0) AS DECIMAL(18,2)) AS transferred,
+            CAST(COALESCE(l.deposited, 0) AS DECIMAL(18,2)) AS deposited,
+            CAST(COALESCE(l.charged, 0) - COALESCE(l.refunded, 0) AS DECIMAL(18,2)) AS net_paid,
+            b.id IS NOT NULL AND COALESCE(l.charged, 0) <> COALESCE(b.amount_paid, 0) AS charge_mismatch,
+            COALESCE(l.refunded, 0) > 0 AND COALESCE(l.transferred, 0) > 0 AS transfer_not_reversed,
+            b.id IS NULL AS unknown_booking
+        FROM bookings b FULL OUTER JOIN (
+            SELECT reference_id AS ref,
+                   SUM(amount) FILTER (WHERE type = 'booking_charge') AS charged,
+                   SUM(amount) FILTER (WHERE type = 'refund') AS refunded,
+                   SUM(amount) FILTER (WHERE type = 'transfer') AS transferred,
+                   SUM(amount) FILTER (WHERE type = 'deposit') AS deposited
+            FROM wallet_transactions WHERE reference_type = 'booking' AND status = 'completed'
+            GROUP BY reference_id) l ON l.ref = b.id""",
+    "deposits_to_ledger": f"""WITH r AS (
+        SELECT q.*, COALESCE(bal.balance, 0) AS balance,
+               CASE WHEN q.amount IS NULL OR q.amount <= 0 THEN 'INVALID_AMOUNT' ELSE 'OK' END AS decision
+        FROM deposit_requests q LEFT JOIN {BALANCES} bal ON bal.user_id = q.user_id)
+    SELECT request_id, user_id, amount, decision,
+           CAST(balance + SUM(amount) OVER (PARTITION BY user_id ORDER BY requested_at, request_id
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2))
+               AS new_balance,
+           COALESCE(payment_method, 'manual') AS payment_method
+    FROM r WHERE decision = 'OK'
+    UNION ALL
+    SELECT request_id, user_id, amount, decision, CAST(NULL AS DECIMAL(18,2)), CAST(NULL AS VARCHAR)
+    FROM r WHERE decision <> 'OK'""",
+})
+
+
+def _check_constraints_sql() -> str:
+    from studyhall.constants import (
+        ACCESS_TIERS, BOOKING_STATUSES, CONTENT_TYPES, ROLES, SESSION_STATUSES, TX_STATUSES, TX_TYPES,
+    )
+
+    def q(vals):
+        return ", ".join(f"'{v}'" for v in vals)
+
+    def row(table, rule, key, detail, frm, where):
+        return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST({key} AS VARCHAR) AS row_key, "
+                f"CAST({detail} AS VARCHAR) AS detail FROM {frm} WHERE {where}")
+
+    p = [
+        row("sessions", "check(seats_booked<=capacity)", "id", "NULL", "sessions", "seats_booked > capacity"),
+        row("sessions", "check(capacity>0)", "id", "NULL", "sessions", "capacity <= 0"),
+        row("sessions", "check(duration_min>0)", "id", "NULL", "sessions", "duration_min <= 0"),
+        row("sessions", "check(price>=0)", "id", "NULL", "sessions", "price < 0"),
+        row("reviews", "check(rating between 1 and 5)", "id", "NULL", "reviews", "NOT (rating BETWEEN 1 AND 5)"),
+        row("wallet_transactions", "check(amount>0)", "id", "NULL", "wallet_transactions", "amount <= 0"),
+        row("teacher_content", "check(length(title)<=255)", "id", "NULL", "teacher_content", "length(title) > 255"),
+    ]
+    for table, col, vals in [("users", "role", ROLES), ("sessions", "status", SESSION_STATUSES),
+                             ("bookings", "status", BOOKING_STATUSES), ("wallet_transactions", "type", TX_TYPES),
+                             ("wallet_transactions", "status", TX_STATUSES), ("room_members", "access_tier", ACCESS_TIERS),
+                             ("content_items", "type", CONTENT_TYPES), ("teacher_content", "type", CONTENT_TYPES)]:
+        p.append(row(table, f"enum({col})", "id", col, table, f"{col} IS NOT NULL AND {col} NOT IN ({q(vals)})"))
+    for table, col in [("users", "name"), ("users", "email"), ("sessions", "scheduled_at"), ("bookings", "qr_code")]:
+        p.append(row(table, f"not_null({col})", "id", "NULL", table, f"{col} IS NULL"))
+    for table, cols in [("users", ["email"]), ("users", ["phone"]), ("teachers", ["user_id"]),
+                        ("center_teachers", ["center_id", "teacher_id"]), ("bookings", ["qr_code"]),
+                        ("bookings", ["session_id", "student_id"]), ("attendances", ["booking_id"]),
+                        ("rooms", ["access_code"]), ("room_members", ["room_id", "student_id"]),
+                        ("reviews", ["booking_id"])]:
+        cl = ", ".join(cols)
+        key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+        nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+        frm = f"(SELECT {cl}, count(*) AS n FROM {table} WHERE {nn} GROUP BY {cl} HAVING count(*) > 1) d"
+        p.append(row(table, f"unique({','.join(cols)})", key, "n", frm, "TRUE"))
+    for table, col, parent in [("centers", "owner_id", "users"), ("teachers", "user_id", "users"),
+                               ("sessions", "center_id", "centers"), ("sessions", "teacher_id", "teachers"),
+                               ("bookings", "session_id", "sessions"), ("bookings", "student_id", "users"),
+                               ("attendances", "booking_id", "bookings"), ("rooms", "center_id", "centers"),
+                               ("rooms", "teacher_id", "teachers"), ("room_members", "room_id", "rooms"),
+                               ("room_members", "student_id", "users"), ("content_items", "room_id", "rooms"),
+                               ("reviews", "booking_id", "bookings"), ("wallet_transactions", "user_id", "users")]:
+        p.append(row(table, f"fk({col}->{parent}.id)", "c.id", f"c.{col}", f"{table} c",
+                     f"c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} x WHERE x.id = c.{col})"))
+    return "\nUNION ALL\n".join(p)
+
+
+SQL["check_constraints"] = _check_constraints_sql()
+SQL["constraint_summary"] = (f"SELECT table_name, rule, count(*) AS violations FROM ({SQL['check_constraints']}) v "
+                             f"GROUP BY table_name, rule")

@@ -27,6 +27,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Fixtures:
 def _entries() -> dict[str, tuple[Callable, str | None]]:
     from studyhall.jobs import attendance as jatt
     from studyhall.jobs import bookings as jbook
+    from studyhall.jobs import ledger as jled
+    from studyhall.jobs import maintenance as jmaint
+    from studyhall.jobs import rooms as jrooms
     from studyhall.jobs import requests as jreq
     from studyhall.jobs import schedule as jsched
     from studyhall.oracle import sql_admin, sql_dash, sql_discovery, sql_jobs
@@ -134,6 +137,21 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "validate_sessions": (lambda t: jsched.validate_sessions(t, jreq.session_candidates(t)),
                               J["validate_sessions"]),
     })
+    e.update({
+        "join_rooms": (lambda t: jrooms.join_rooms(t, jrooms.join_requests(t)), J["join_rooms"]),
+        "upgrade_room_access": (lambda t: jrooms.upgrade_room_access(t, jrooms.upgrade_requests(t)),
+                                J["upgrade_room_access"]),
+        "review_eligibility": (lambda t: jrooms.review_eligibility(t, jrooms.review_requests(t)),
+                               J["review_eligibility"]),
+        "check_constraints": (jmaint.check_constraints, J["check_constraints"]),
+        "constraint_summary": (jmaint.constraint_summary, J["constraint_summary"]),
+        "derived_teacher_ratings": (jmaint.teacher_ratings, J["derived_teacher_ratings"]),
+        "derived_session_seats": (jmaint.session_seats, J["derived_session_seats"]),
+        "derived_room_counts": (jmaint.room_counts, J["derived_room_counts"]),
+        "ledger_reconciliation": (jled.ledger_reconciliation, J["ledger_reconciliation"]),
+        "deposits_to_ledger": (lambda t: jled.deposits_to_ledger(t, jled.deposit_requests(t)),
+                               J["deposits_to_ledger"]),
+    })
     return e
 
 
