@@ -331,3 +331,34 @@ def _check_constraints_sql() -> str:
 SQL["check_constraints"] = _check_constraints_sql()
 SQL["constraint_summary"] = (f"SELECT table_name, rule, count(*) AS violations FROM ({SQL['check_constraints']}) v "
                              f"GROUP BY table_name, rule")
+
+
+SQL.update({
+    "stream_running_balances": f"""SELECT user_id, CAST(SUM({signed_sql()}) AS DECIMAL(18,2)) AS balance
+        FROM wallet_transactions GROUP BY user_id""",
+    "stream_teacher_ratings": """SELECT teacher_id,
+            CAST(CAST((SUM(rating) * 20 + count(*)) // (count(*) * 2) AS DECIMAL(18,0)) * 0.1 AS DECIMAL(10,1)) AS rating,
+            count(*) AS total_reviews
+        FROM reviews WHERE is_visible GROUP BY teacher_id""",
+    "stream_seat_counter": """SELECT session_id,
+            GREATEST(count(*) - count(*) FILTER (WHERE status = 'cancelled'), 0) AS seats_booked
+        FROM bookings GROUP BY session_id""",
+    "stream_activity_daily": """SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS window_start,
+            CAST(date_trunc('day', created_at) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, type,
+            count(*) AS rows, CAST(SUM(amount) AS DECIMAL(18,2)) AS amount
+        FROM wallet_transactions GROUP BY 1, 2, 3""",
+    "stream_activity_30d": """SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) - to_days(CAST(r.k AS INTEGER))
+                AS window_start,
+            CAST(date_trunc('day', created_at) AS TIMESTAMP) - to_days(CAST(r.k AS INTEGER)) + INTERVAL 30 DAY
+                AS window_end,
+            type, count(*) AS rows, CAST(SUM(amount) AS DECIMAL(18,2)) AS amount
+        FROM wallet_transactions JOIN range(30) AS r(k) ON TRUE GROUP BY 1, 2, 3""",
+    "stream_no_show": """SELECT b.id AS booking_id, s.scheduled_at AS session_start
+        FROM bookings b JOIN sessions s ON s.id = b.session_id
+        WHERE b.status = 'confirmed' AND NOT EXISTS (
+            SELECT 1 FROM scan_requests sr JOIN bookings b2 ON b2.qr_code = sr.qr_code
+            WHERE b2.id = b.id AND sr.scanned_at >= s.scheduled_at - INTERVAL 15 MINUTE
+              AND sr.scanned_at <= s.scheduled_at + INTERVAL 1 DAY
+              AND sr.scanned_at <= s.scheduled_at + to_minutes(s.duration_min))""",
+})
+SQL["stream_scans"] = SQL["validate_scans"]

@@ -33,6 +33,7 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
     from studyhall.jobs import requests as jreq
     from studyhall.jobs import schedule as jsched
     from studyhall.oracle import sql_admin, sql_dash, sql_discovery, sql_jobs
+    from studyhall.streaming import streams
     from studyhall.plans import admin, center, discovery, rooms, teacher, wallet
 
     A = sql_admin.SQL
@@ -152,6 +153,18 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "deposits_to_ledger": (lambda t: jled.deposits_to_ledger(t, jled.deposit_requests(t)),
                                J["deposits_to_ledger"]),
     })
+    e.update({
+        "stream_running_balances": (lambda t: streams.stream_running_balances(t.spark, t.sf_dir, t.n_orders),
+                                    J["stream_running_balances"]),
+        "stream_teacher_ratings": (streams.stream_rating, J["stream_teacher_ratings"]),
+        "stream_seat_counter": (streams.stream_seat_counter, J["stream_seat_counter"]),
+        "stream_activity_daily": (lambda t: streams.stream_activity(t.spark, t.sf_dir, t.n_orders, "1 day", None),
+                                  J["stream_activity_daily"]),
+        "stream_activity_30d": (lambda t: streams.stream_activity(t.spark, t.sf_dir, t.n_orders, "30 days",
+                                                                  "1 day"), J["stream_activity_30d"]),
+        "stream_no_show": (streams.stream_no_show, J["stream_no_show"]),
+        "stream_scans": (streams.stream_scans, J["stream_scans"]),
+    })
     return e
 
 

@@ -376,28 +376,7 @@ class Fixtures:
     # ---------------------------------------------------- wallet_transactions
     @cached_property
     def wallet_transactions(self) -> DataFrame:
-        no = self.n_orders
-        k = F.col("event_id")
-        et = F.col("event_type")
-        tx_type = (F.when(et == "signup", "deposit").when(et == "click", "refund")
-                   .when(et == "purchase", "booking_charge").when(et == "error", "withdrawal")
-                   .when(et == "view", "transfer"))
-        status = F.when(k % 10 == 0, "pending").when(k % 10 == 1, "failed").otherwise("completed")
-        ref = F.when(tx_type.isin("booking_charge", "refund", "transfer"), (k * 7 % no) * 10 + 1)
-        return self.raw("events").select(
-            k.alias("id"),
-            F.col("user_id"),
-            F.col("value").cast("decimal(10,2)").alias("amount"),
-            tx_type.alias("type"),
-            status.alias("status"),
-            ref.alias("reference_id"),
-            F.when(ref.isNotNull(), F.lit("booking")).alias("reference_type"),
-            F.when(tx_type == "deposit", "manual").otherwise("wallet").alias("payment_method"),
-            F.concat(tx_type, F.lit(" "), key_text(k)).alias("description"),
-            F.col("props").alias("metadata"),
-            F.col("ts").alias("created_at"),
-            F.when(status == "completed", plus_minutes(F.col("ts"), 1)).alias("completed_at"),
-        )
+        return wallet_from_events(self.raw("events"), self.n_orders)
 
     # ------------------------------------------------------------- audit_logs
     @cached_property
@@ -430,6 +409,31 @@ class Fixtures:
                 "is_read boolean, created_at timestamp_ntz")
 
 
+def wallet_from_events(events: DataFrame, n_orders: int) -> DataFrame:
+    """Ledger rows from events, one per event (a pure projection, so it also runs on a stream)."""
+    k = F.col("event_id")
+    et = F.col("event_type")
+    tx_type = (F.when(et == "signup", "deposit").when(et == "click", "refund")
+               .when(et == "purchase", "booking_charge").when(et == "error", "withdrawal")
+               .when(et == "view", "transfer"))
+    status = F.when(k % 10 == 0, "pending").when(k % 10 == 1, "failed").otherwise("completed")
+    ref = F.when(tx_type.isin("booking_charge", "refund", "transfer"), (k * 7 % n_orders) * 10 + 1)
+    return events.select(
+        k.alias("id"),
+        F.col("user_id"),
+        F.col("value").cast("decimal(10,2)").alias("amount"),
+        tx_type.alias("type"),
+        status.alias("status"),
+        ref.alias("reference_id"),
+        F.when(ref.isNotNull(), F.lit("booking")).alias("reference_type"),
+        F.when(tx_type == "deposit", "manual").otherwise("wallet").alias("payment_method"),
+        F.concat(tx_type, F.lit(" "), key_text(k)).alias("description"),
+        F.col("props").alias("metadata"),
+        F.col("ts").alias("created_at"),
+        F.when(status == "completed", plus_minutes(F.col("ts"), 1)).alias("completed_at"),
+    )
+
+
 def load_fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
     return Fixtures(spark, sf_dir)
 
