@@ -3,8 +3,8 @@
 A distance predicate alone plans as a nested-loop join (every point against every place).
 Here both sides get a cell key ``(floor(lat/d), floor(lng/d))`` with ``d`` = radius in degrees
 of latitude. Each query point is expanded to the cells its radius can reach (3 latitude rows,
-and as many longitude columns as the radius spans at that latitude), the places keep one
-cell each, the two are hash-joined on the cell, and the exact haversine test removes the
+and as many longitude columns as the radius spans at that latitude, wrapping at +-180 and
+taking every column near a pole), the places keep one cell each, the two are hash-joined on the cell, and the exact haversine test removes the
 candidates outside the circle. No pair is missed: the expansion covers the full circle.
 """
 
@@ -36,16 +36,21 @@ def within_radius_join(points: DataFrame, places: DataFrame, km: float, *,
     plc = (places.filter(F.col(q_lat).isNotNull() & F.col(q_lng).isNotNull())
            .withColumnRenamed(q_lat, "_qlat").withColumnRenamed(q_lng, "_qlng"))
 
-    # Longitude span of the radius at the point's worst-case latitude, in cells.
-    worst_lat = F.least(F.abs(F.col("_plat")) + F.lit(d), F.lit(89.9))
-    span = F.least(F.ceil(F.lit(d) / F.cos(F.radians(worst_lat)) / F.lit(d)), F.lit(int(math.ceil(360 / d))))
+    # Longitude cells wrap around the antimeridian (cell index modulo the cells per circle).
+    # The span is the radius in longitude at the point's worst-case latitude; a circle that
+    # reaches a pole needs every longitude.
+    n = int(math.ceil(360.0 / d))
+    worst_lat = F.abs(F.col("_plat")) + F.lit(d)
+    span = F.when(worst_lat >= 89.999, F.lit(n)).otherwise(
+        F.least(F.ceil(F.lit(1.0) / F.cos(F.radians(worst_lat))), F.lit(n))).cast("long")
     base_i = F.floor(F.col("_plat") / d)
-    base_j = F.floor(F.col("_plng") / d)
+    base_j = F.floor((F.col("_plng") + 180.0) / d)
+    cells_j = F.array_distinct(F.transform(F.sequence(base_j - span, base_j + span), lambda x: F.pmod(x, F.lit(n))))
     pts = (pts
            .withColumn("_ci", F.explode(F.sequence(base_i - 1, base_i + 1)))
-           .withColumn("_cj", F.explode(F.sequence(base_j - span, base_j + span))))
+           .withColumn("_cj", F.explode(cells_j)))
     plc = (plc.withColumn("_ci", F.floor(F.col("_qlat") / d))
-           .withColumn("_cj", F.floor(F.col("_qlng") / d)))
+           .withColumn("_cj", F.pmod(F.floor((F.col("_qlng") + 180.0) / d), F.lit(n))))
 
     dist = haversine_km("_plat", "_plng", "_qlat", "_qlng")
     joined = pts.join(plc, ["_ci", "_cj"]).withColumn(distance_col, dist).filter(F.col(distance_col) <= km)
