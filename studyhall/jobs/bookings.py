@@ -66,19 +66,23 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
     r = r.select("request_id", "session_id", "student_id", "requested_at", "price", "capacity",
                  seats.alias("seats"), F.coalesce(F.col("balance"), F.lit(0)).alias("balance"),
                  static.alias("static"))
-    done = r.filter(F.col("static") != "OK").select("request_id", "session_id", "student_id", "price",
-                                                    F.col("static").alias("decision"))
-    live = _first_request(r.filter(F.col("static") == "OK"), ["session_id", "student_id"])
-    dup = live.filter(~F.col("_is_first")).select("request_id", "session_id", "student_id", "price",
-                                                  F.lit("ALREADY_BOOKED").alias("decision"))
-    comp = live.filter(F.col("_is_first")).drop("_is_first")
-    comp = running_count(comp, "session_id", ["requested_at", "request_id"], "seat_rank")
-    comp = running_sum(comp, "student_id", ["requested_at", "request_id"], "price", "spent")
-    judged = comp.select("request_id", "session_id", "student_id", "price", first_failure([
-        ("SESSION_FULL", F.col("seat_rank") > F.col("capacity") - F.col("seats")),
-        ("INSUFFICIENT_BALANCE", F.col("spent") > F.col("balance")),
-    ]).alias("decision"))
-    return done.unionByName(dup).unionByName(judged)
+    # One pipeline, no filter/union branches: the in-batch rules only look at eligible rows,
+    # so the eligibility flag is part of each window's key.
+    first = first_per_group(r.filter(F.col("static") == "OK"), ["session_id", "student_id"],
+                            ["requested_at", "request_id"], [], prefix="_f_")
+    r = (r.join(first, ["session_id", "student_id"], "left")
+         .withColumn("_live", (F.col("static") == "OK") & F.coalesce(F.col("_f_request_id") == F.col("request_id"),
+                                                                     F.lit(False)))
+         .drop("_f_requested_at", "_f_request_id"))
+    order = ["requested_at", "request_id"]
+    r = running_count(r, ["session_id", "_live"], order, "seat_rank", size_source=requests)
+    r = running_sum(r, ["student_id", "_live"], order, "price", "spent", size_source=requests)
+    decision = (F.when(F.col("static") != "OK", F.col("static"))
+                .when(~F.col("_live"), F.lit("ALREADY_BOOKED"))
+                .otherwise(first_failure([
+                    ("SESSION_FULL", F.col("seat_rank") > F.col("capacity") - F.col("seats")),
+                    ("INSUFFICIENT_BALANCE", F.col("spent") > F.col("balance"))])))
+    return r.select("request_id", "session_id", "student_id", "price", decision.alias("decision"))
 
 
 def admission_outputs(t, decisions: DataFrame, *, as_of=SESSION_AS_OF) -> dict[str, DataFrame]:

@@ -29,16 +29,40 @@ from studyhall.session import cut_lineage
 CHUNK = "_chunk"
 
 
+# Largest group a single task may window over; above it the chunked path is taken.
+MAX_GROUP_ROWS_CONF = "studyhall.prefix.maxGroupRows"
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the biggest key group (a partial aggregate; only one number reaches the driver)."""
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
+    return int(row.m or 0)
+
+
 def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], value: Column | str,
-                out: str, n_chunks: int | None = None, exclusive: bool = False) -> DataFrame:
+                out: str, n_chunks: int | None = None, exclusive: bool = False,
+                max_group_rows: int | None = None, size_source: DataFrame | None = None) -> DataFrame:
     """Add column ``out`` = running sum of ``value`` within ``key`` in ``order`` (ties: keep order unique).
 
     ``exclusive=True`` gives the sum of the rows strictly before (``rowsBetween(-inf, -1)``,
-    0 for the first row).
+    0 for the first row). When the largest group is at most ``max_group_rows`` (session conf
+    ``studyhall.prefix.maxGroupRows``, default 2M) one window per key is used; otherwise the
+    hot groups are split into range chunks as described above. ``size_source`` is a cheaper
+    frame whose groups bound these ones from above (e.g. the raw requests before their joins);
+    the size probe runs on it instead of recomputing ``df``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = list(order)
     val = F.col(value) if isinstance(value, str) else value
+    limit = max_group_rows if max_group_rows is not None else int(
+        df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    probe = size_source if size_source is not None else df
+    probe_keys = [k for k in keys if k in probe.columns]
+    if largest_group(probe, probe_keys) <= limit:
+        frame_end = -1 if exclusive else Window.currentRow
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
     n = n_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     # The chunk id depends on where the range exchange put a row, so it is materialised once
@@ -61,6 +85,8 @@ def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], v
 
 
 def running_count(df: DataFrame, key: str | Sequence[str], order: Sequence[str], out: str,
-                  n_chunks: int | None = None) -> DataFrame:
+                  n_chunks: int | None = None, max_group_rows: int | None = None,
+                  size_source: DataFrame | None = None) -> DataFrame:
     """``row_number()`` within ``key`` in ``order`` without funnelling a hot key into one task."""
-    return running_sum(df, key, order, F.lit(1).cast("bigint"), out, n_chunks)
+    return running_sum(df, key, order, F.lit(1).cast("bigint"), out, n_chunks, max_group_rows=max_group_rows,
+                       size_source=size_source)

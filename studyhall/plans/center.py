@@ -126,16 +126,20 @@ def _center_metrics(t) -> DataFrame:
     b = (t["bookings"].select("id", "session_id", "student_id", "status", "amount_paid")
          .join(s.select(F.col("id").alias("s_id"), F.col("center_id").alias("k")), F.col("session_id") == F.col("s_id"))
          .join(att, F.col("id") == F.col("a_bid"), "left"))
-    book = b.groupBy("k").agg(
-        F.count(F.lit(1)).alias("total_bookings"),
-        F.count(F.col("scan")).alias("total_attendances"),
-        F.count_if(F.col("status") != "cancelled").alias("_not_cancelled"),
-        F.sum(F.when(F.col("status").isin("confirmed", "attended"), F.col("amount_paid"))).alias("_revenue"))
-    # distinct students per centre: dedupe (centre, student) first (a small partial aggregate)
-    students = b.select("k", "student_id").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("unique_students"))
+    # one pass over the bookings: aggregate per (centre, student) first, then per centre;
+    # the number of (centre, student) groups is the distinct student count.
+    per_student = b.groupBy("k", "student_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count(F.col("scan")).alias("_scans"),
+        F.count_if(F.col("status") != "cancelled").alias("_nc"),
+        F.sum(F.when(F.col("status").isin("confirmed", "attended"), F.col("amount_paid"))).alias("_rev"))
+    book = per_student.groupBy("k").agg(
+        F.sum("_n").alias("total_bookings"), F.sum("_scans").alias("total_attendances"),
+        F.sum("_nc").alias("_not_cancelled"), F.sum("_rev").alias("_revenue"),
+        F.count(F.lit(1)).alias("unique_students"))
     c = t["centers"].select(F.col("id").alias("center_id"), F.col("name").alias("center_name"))
     j = c
-    for part in (teachers, sess, book, students):
+    for part in (teachers, sess, book):
         j = j.join(part, j.center_id == part.k, "left").drop("k")
     return j
 

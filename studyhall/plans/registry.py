@@ -10,17 +10,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import hashlib
+
 from studyhall.oracle.fixtures_sql import with_fixtures
-from studyhall.sources.fixtures import Fixtures
+from studyhall.session import ensure_checkpoint_dir
+from studyhall.sources.fixtures import StoredFixtures
 
 _FIXTURES: dict = {}
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Fixtures:
+def tables(spark: SparkSession, sf_dir: str) -> StoredFixtures:
+    """Domain tables for one driver directory, derived once per session and stored as parquet
+    below the shared checkpoint folder (read back by every query)."""
     key = (id(spark), sf_dir)
     fx = _FIXTURES.get(key)
     if fx is None or fx.spark is not spark:
-        fx = _FIXTURES[key] = Fixtures(spark, sf_dir)
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/domain-{tag}-{id(spark):x}"
+        fx = _FIXTURES[key] = StoredFixtures(spark, sf_dir, root)
     return fx
 
 

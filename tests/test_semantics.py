@@ -118,11 +118,13 @@ def test_running_sum_equals_single_window_with_a_hot_key(spark):
     rnd = random.Random(7)
     rows = [(0 if i % 3 == 0 else rnd.randint(1, 20), i, rnd.randint(-50, 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, o long, v long")
-    got = running_sum(df, "k", ["o"], "v", "run", n_chunks=7)
+    got = running_sum(df, "k", ["o"], "v", "run", n_chunks=7, max_group_rows=100)  # force the chunked path
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("run", F.sum("v").over(w))
     assert sorted(got.select("k", "o", "run").collect()) == sorted(want.select("k", "o", "run").collect())
-    cnt = running_count(df, "k", ["o"], "rn", n_chunks=5)
+    cnt = running_count(df, "k", ["o"], "rn", n_chunks=5, max_group_rows=100)
+    plain = running_sum(df, "k", ["o"], "v", "run")  # small groups: single window
+    assert sorted(plain.select("k", "o", "run").collect()) == sorted(want.select("k", "o", "run").collect())
     w2 = Window.partitionBy("k").orderBy("o")
     want2 = df.withColumn("rn", F.row_number().over(w2))
     assert sorted(cnt.select("k", "o", "rn").collect()) == sorted(want2.select("k", "o", "rn").collect())
