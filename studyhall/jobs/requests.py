@@ -130,3 +130,83 @@ def walkin_requests(t) -> DataFrame:
                                         k.alias("session_id"), F.col("center_id"), amt.alias("amount_paid"),
                                         plus_minutes(at, 1).alias("requested_at"))
     return base.unionByName(again)
+
+
+# ---------------------------------------------------------------- maintenance job inputs
+def retire_requests(t) -> DataFrame:
+    """request_id, content_id, teacher_id: every master content retired by its teacher; every
+    7th names an unknown item, every 5th comes from another teacher."""
+    tc = t["teacher_content"].select("id", "teacher_id")
+    k = F.col("id")
+    return tc.select(k.alias("request_id"), F.when(k % 7 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("content_id"),
+                     F.when(k % 5 == 0, F.col("teacher_id") + 1).otherwise(F.col("teacher_id")).alias("teacher_id"))
+
+
+def link_requests(t) -> DataFrame:
+    """request_id, center_id, teacher_id: each teacher asks to join centre id*3 % ns; every 13th
+    teacher is unknown."""
+    ns = t.n_supplier
+    k = F.col("id")
+    return t["teachers"].select(k.alias("request_id"), (k * 3 % ns).alias("center_id"),
+                                F.when(k % 13 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("teacher_id"))
+
+
+def unlink_requests(t) -> DataFrame:
+    """request_id, center_id, teacher_id: every link (active or not) asked to be removed."""
+    ct = t["center_teachers"]
+    return ct.select((ct.center_id * UNKNOWN_OFFSET + ct.teacher_id).alias("request_id"), "center_id", "teacher_id")
+
+
+def publish_requests(t) -> DataFrame:
+    """request_id, teacher_id, center_id, type, title, url: the master contents re-published;
+    wrong centre for every 6th, bad type every 11th, a 300-character title every 13th."""
+    ns = t.n_supplier
+    tc = t["teacher_content"]
+    k = F.col("id")
+    return tc.select(k.alias("request_id"), "teacher_id",
+                     F.when(k % 6 == 0, (F.col("center_id") + 1) % ns).otherwise(F.col("center_id")).alias("center_id"),
+                     F.when(k % 11 == 0, F.lit("audio")).otherwise(F.col("type")).alias("type"),
+                     F.when(k % 13 == 0, F.repeat(F.lit("t"), 300)).otherwise(F.col("title")).alias("title"), "url")
+
+
+def room_candidates(t) -> DataFrame:
+    """candidate_id, center_id, teacher_id, name, subject, grade_level: a second room per room;
+    every 4th reuses the existing name, every 3rd asks for a subject the teacher does not teach."""
+    r = t["rooms"]
+    k = F.col("id")
+    return r.select(k.alias("candidate_id"), "center_id", "teacher_id",
+                    F.when(k % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("New "), F.col("name"))).alias("name"),
+                    F.when(k % 3 == 0, F.lit("Art")).otherwise(F.col("subject")).alias("subject"), "grade_level")
+
+
+def attach_requests(t) -> DataFrame:
+    """request_id, center_id, room_id, content_id, title, is_free, sort_order: each master
+    content attached to its teacher's room (title override for even ids); every 9th from the
+    wrong centre."""
+    ns = t.n_supplier
+    tc = t["teacher_content"]
+    k = F.col("id")
+    return tc.select(k.alias("request_id"),
+                     F.when(k % 9 == 0, (F.col("center_id") + 1) % ns).otherwise(F.col("center_id")).alias("center_id"),
+                     F.col("teacher_id").alias("room_id"), k.alias("content_id"),
+                     F.when(k % 2 == 0, F.concat(F.lit("Copy "), F.col("title"))).alias("title"),
+                     F.lit(None).cast("boolean").alias("is_free"), F.lit(None).cast("int").alias("sort_order"))
+
+
+def reorder_requests(t) -> DataFrame:
+    """room_id, items: one request per content item moving it to rank 100 - rank, plus an id
+    that is not in the room (ignored)."""
+    ci = t["content_items"]
+    item = F.struct(F.col("id").alias("id"), (100 - F.col("sort_order")).alias("sort_order"))
+    stray = F.struct((F.col("id") + UNKNOWN_OFFSET).alias("id"), F.lit(1).alias("sort_order"))
+    return ci.select("room_id", F.array(item, stray).alias("items"))
+
+
+def status_change_requests(t) -> DataFrame:
+    """request_id, admin_id, user_id, is_active, reason: every user's activation flipped by an
+    admin, and every super admin targeted too (refused)."""
+    u = t["users"].select("id", "is_active", "role")
+    k = F.col("id")
+    return u.select(k.alias("request_id"), F.lit(3_000_000_000).alias("admin_id"), k.alias("user_id"),
+                    (~F.col("is_active")).alias("is_active"),
+                    F.when(F.col("is_active"), F.lit("policy")).alias("reason"))

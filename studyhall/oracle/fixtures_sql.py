@@ -318,3 +318,33 @@ FIXTURE_CTES.update({
                TIMESTAMP '2024-01-31 00:00:00' - to_minutes(CAST(c_custkey % 60 AS INTEGER)) + INTERVAL 1 MINUTE
         FROM customer WHERE c_custkey % 4 = 0""",
 })
+
+
+FIXTURE_CTES.update({
+    "room_patches": f"""
+        SELECT id, CASE WHEN id % 2 = 0 THEN 'Renamed ' || CAST(id AS VARCHAR) END AS name,
+               CASE WHEN id % 3 = 0 THEN FALSE END AS is_active, {_AT} AS patched_at FROM rooms
+        UNION ALL
+        SELECT id, CAST(NULL AS VARCHAR), TRUE, {_AT} + INTERVAL 5 MINUTE FROM rooms WHERE id % 5 = 0""",
+    "retire_requests": """SELECT id AS request_id,
+            CASE WHEN id % 7 = 0 THEN id + 1000000000000 ELSE id END AS content_id,
+            CASE WHEN id % 5 = 0 THEN teacher_id + 1 ELSE teacher_id END AS teacher_id FROM teacher_content""",
+    "link_requests": """SELECT id AS request_id, id * 3 % (SELECT ns FROM _n) AS center_id,
+            CASE WHEN id % 13 = 0 THEN id + 1000000000000 ELSE id END AS teacher_id FROM teachers""",
+    "unlink_requests": """SELECT center_id * 1000000000000 + teacher_id AS request_id, center_id, teacher_id
+        FROM center_teachers""",
+    "publish_requests": """SELECT id AS request_id, teacher_id,
+            CASE WHEN id % 6 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
+            CASE WHEN id % 11 = 0 THEN 'audio' ELSE type END AS type,
+            CASE WHEN id % 13 = 0 THEN repeat('t', 300) ELSE title END AS title, url FROM teacher_content""",
+    "room_candidates": """SELECT id AS candidate_id, center_id, teacher_id,
+            CASE WHEN id % 4 = 0 THEN name ELSE 'New ' || name END AS name,
+            CASE WHEN id % 3 = 0 THEN 'Art' ELSE subject END AS subject, grade_level FROM rooms""",
+    "attach_requests": """SELECT id AS request_id,
+            CASE WHEN id % 9 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
+            teacher_id AS room_id, id AS content_id,
+            CASE WHEN id % 2 = 0 THEN 'Copy ' || title END AS title, CAST(NULL AS BOOLEAN) AS is_free,
+            CAST(NULL AS INTEGER) AS sort_order FROM teacher_content""",
+    "status_change_requests": """SELECT id AS request_id, 3000000000 AS admin_id, id AS user_id,
+            NOT is_active AS is_active, CASE WHEN is_active THEN 'policy' END AS reason FROM users""",
+})

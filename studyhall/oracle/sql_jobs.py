@@ -362,3 +362,86 @@ SQL.update({
               AND sr.scanned_at <= s.scheduled_at + to_minutes(s.duration_min))""",
 })
 SQL["stream_scans"] = SQL["validate_scans"]
+
+
+SQL.update({
+    "apply_room_patches": """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
+                                                       ORDER BY patched_at DESC) AS rn FROM room_patches) WHERE rn = 1)
+        SELECT r.id, r.center_id, r.teacher_id, COALESCE(p.name, r.name) AS name, r.description, r.access_code,
+               r.subject, r.grade_level, r.paid_price, COALESCE(p.is_active, r.is_active) AS is_active,
+               r.member_count, r.content_count, r.created_at,
+               CASE WHEN p.id IS NOT NULL THEN p.patched_at ELSE r.updated_at END AS updated_at
+        FROM rooms r LEFT JOIN p ON p.id = r.id""",
+    "propagate_content_updates": """SELECT ci.id, ci.room_id, ci.teacher_content_id,
+            CASE WHEN tc.id IS NOT NULL THEN 'Updated ' || tc.title ELSE ci.title END AS title,
+            CASE WHEN tc.id IS NOT NULL THEN tc.description ELSE ci.description END AS description,
+            CASE WHEN tc.id IS NOT NULL THEN tc.url ELSE ci.url END AS url
+        FROM content_items ci LEFT JOIN (SELECT * FROM teacher_content WHERE id % 3 = 0) tc
+             ON tc.id = ci.teacher_content_id""",
+    "retire_content": """SELECT q.request_id, q.content_id, q.teacher_id,
+            CASE WHEN tc.id IS NULL OR tc.teacher_id <> q.teacher_id THEN 'NOT_FOUND'
+                 WHEN COALESCE(u.uses, 0) > 0 THEN 'DEACTIVATED' ELSE 'DELETED' END AS decision,
+            COALESCE(u.uses, 0) AS uses
+        FROM retire_requests q LEFT JOIN teacher_content tc ON tc.id = q.content_id
+        LEFT JOIN (SELECT teacher_content_id, count(*) AS uses FROM content_items
+                   WHERE teacher_content_id IS NOT NULL GROUP BY teacher_content_id) u
+             ON u.teacher_content_id = q.content_id""",
+    "link_teachers": """SELECT q.request_id, q.center_id, q.teacher_id,
+            CASE WHEN c.id IS NULL THEN 'CENTER_NOT_FOUND' WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
+                 WHEN ct.is_active THEN 'ALREADY_LINKED' WHEN ct.center_id IS NOT NULL THEN 'REACTIVATED'
+                 ELSE 'OK' END AS decision
+        FROM link_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id
+        LEFT JOIN center_teachers ct ON ct.center_id = q.center_id AND ct.teacher_id = q.teacher_id""",
+    "unlink_teachers": """SELECT q.request_id, q.center_id, q.teacher_id,
+            CASE WHEN ct.center_id IS NULL THEN 'NOT_LINKED' ELSE 'OK' END AS decision
+        FROM unlink_requests q LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) ct
+             ON ct.center_id = q.center_id AND ct.teacher_id = q.teacher_id""",
+    "publish_teacher_content": """SELECT q.request_id, q.teacher_id, q.center_id,
+            CASE WHEN q.center_id IS NULL THEN 'CENTER_REQUIRED'
+                 WHEN q.type IS NULL OR q.title IS NULL OR q.url IS NULL OR q.title = '' OR q.url = ''
+                     THEN 'MISSING_FIELDS'
+                 WHEN q.type NOT IN ('video', 'pdf', 'link') THEN 'INVALID_TYPE'
+                 WHEN length(q.title) > 255 THEN 'TITLE_TOO_LONG'
+                 WHEN NOT COALESCE(regexp_matches(q.url, '^[A-Za-z][A-Za-z0-9+.\\-]*:'), FALSE) THEN 'INVALID_URL'
+                 WHEN l.center_id IS NULL THEN 'NOT_YOUR_CENTER' ELSE 'OK' END AS decision
+        FROM publish_requests q LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
+             ON l.center_id = q.center_id AND l.teacher_id = q.teacher_id""",
+    "validate_rooms": """SELECT q.candidate_id, q.center_id, q.teacher_id, q.name, d.decision,
+            CASE WHEN d.decision = 'OK' THEN upper(substr(sha256(CAST(q.candidate_id AS VARCHAR)), 1, 8)) END
+                AS access_code
+        FROM room_candidates q JOIN (
+            SELECT q.candidate_id,
+                   CASE WHEN q.name IS NULL OR q.teacher_id IS NULL OR q.subject IS NULL OR q.grade_level IS NULL
+                            THEN 'MISSING_FIELDS'
+                        WHEN n.center_id IS NOT NULL THEN 'NAME_TAKEN' WHEN l.center_id IS NULL THEN 'NOT_LINKED'
+                        WHEN NOT list_contains(t.grade_levels, q.grade_level) THEN 'GRADE_NOT_TAUGHT'
+                        WHEN NOT list_contains(t.subjects, q.subject) THEN 'SUBJECT_NOT_TAUGHT' ELSE 'OK' END
+                       AS decision
+            FROM room_candidates q
+            LEFT JOIN (SELECT DISTINCT center_id, name FROM rooms) n ON n.center_id = q.center_id AND n.name = q.name
+            LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
+                 ON l.center_id = q.center_id AND l.teacher_id = q.teacher_id
+            LEFT JOIN teachers t ON t.id = q.teacher_id) d ON d.candidate_id = q.candidate_id""",
+    "attach_content": """SELECT q.request_id, q.room_id, q.content_id,
+            CASE WHEN r.id IS NULL THEN 'ROOM_NOT_FOUND' WHEN tc.id IS NULL THEN 'CONTENT_NOT_FOUND'
+                 WHEN l.center_id IS NULL THEN 'NOT_LINKED' WHEN h.room_id IS NOT NULL THEN 'ALREADY_ATTACHED'
+                 ELSE 'OK' END AS decision,
+            tc.type, COALESCE(q.title, tc.title) AS title, tc.url, COALESCE(q.is_free, tc.is_free) AS is_free,
+            COALESCE(q.sort_order, tc.sort_order) AS sort_order
+        FROM attach_requests q
+        LEFT JOIN rooms r ON r.id = q.room_id AND r.center_id = q.center_id
+        LEFT JOIN (SELECT * FROM teacher_content WHERE is_active) tc ON tc.id = q.content_id AND tc.center_id = q.center_id
+        LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
+             ON l.center_id = q.center_id AND l.teacher_id = tc.teacher_id
+        LEFT JOIN (SELECT DISTINCT room_id, teacher_content_id FROM content_items WHERE teacher_content_id IS NOT NULL) h
+             ON h.room_id = q.room_id AND h.teacher_content_id = q.content_id""",
+    "reorder_content": """SELECT ci.id, ci.room_id, COALESCE(CAST(r.rank AS INTEGER), ci.sort_order) AS sort_order
+        FROM content_items ci LEFT JOIN (SELECT room_id, id, 100 - sort_order AS rank FROM content_items) r
+             ON r.id = ci.id AND r.room_id = ci.room_id""",
+    "delete_cancelled_sessions": """SELECT b.id, b.session_id FROM bookings b
+        WHERE b.session_id NOT IN (SELECT id FROM sessions WHERE status = 'cancelled')""",
+    "user_status_changes": """SELECT q.request_id, q.admin_id, q.user_id, q.is_active, q.reason,
+            CASE WHEN u.id IS NULL THEN 'NOT_FOUND' WHEN u.role = 'super_admin' THEN 'FORBIDDEN' ELSE 'OK' END
+                AS decision
+        FROM status_change_requests q LEFT JOIN users u ON u.id = q.user_id""",
+})

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import hashlib
 
@@ -160,6 +161,29 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "deposits_to_ledger": (lambda t: jled.deposits_to_ledger(t, jled.deposit_requests(t)),
                                J["deposits_to_ledger"]),
     })
+    e.update({
+        "apply_room_patches": (lambda t: jmaint.apply_patches(t["rooms"], jmaint.room_patches(t)),
+                               J["apply_room_patches"]),
+        "propagate_content_updates": (lambda t: jmaint.propagate_content_updates(
+            t, t["teacher_content"].filter(F.col("id") % 3 == 0).withColumn(
+                "title", F.concat(F.lit("Updated "), F.col("title")))).select(
+            "id", "room_id", "teacher_content_id", "title", "description", "url"), J["propagate_content_updates"]),
+        "retire_content": (lambda t: jmaint.retire_content(t, jreq.retire_requests(t)), J["retire_content"]),
+        "link_teachers": (lambda t: jmaint.link_teachers(t, jreq.link_requests(t)), J["link_teachers"]),
+        "unlink_teachers": (lambda t: jmaint.unlink_teachers(t, jreq.unlink_requests(t)), J["unlink_teachers"]),
+        "publish_teacher_content": (lambda t: jrooms.publish_teacher_content(t, jreq.publish_requests(t)),
+                                    J["publish_teacher_content"]),
+        "validate_rooms": (lambda t: jrooms.validate_rooms(t, jreq.room_candidates(t)), J["validate_rooms"]),
+        "attach_content": (lambda t: jrooms.attach_content(t, jreq.attach_requests(t)), J["attach_content"]),
+        "reorder_content": (lambda t: jmaint.reorder_content(t, jreq.reorder_requests(t)).select(
+            "id", "room_id", "sort_order"), J["reorder_content"]),
+        "delete_cancelled_sessions": (lambda t: jmaint.delete_rows(
+            t, "sessions", t["sessions"].filter(F.col("status") == "cancelled").select(
+                "id", F.col("center_id").alias("owner")), owner_col="center_id")["bookings"].select("id", "session_id"),
+            J["delete_cancelled_sessions"]),
+        "user_status_changes": (lambda t: jled.user_status_changes(t, jreq.status_change_requests(t))["decisions"],
+                                J["user_status_changes"]),
+    })
     e.update({
         "stream_running_balances": (lambda t: streams.stream_running_balances(t.spark, t.sf_dir, t.n_orders),
                                     J["stream_running_balances"]),
