@@ -210,3 +210,23 @@ def status_change_requests(t) -> DataFrame:
     return u.select(k.alias("request_id"), F.lit(3_000_000_000).alias("admin_id"), k.alias("user_id"),
                     (~F.col("is_active")).alias("is_active"),
                     F.when(F.col("is_active"), F.lit("policy")).alias("reason"))
+
+
+def registration_candidates(t) -> DataFrame:
+    """candidate_id, name, email, phone, role, subjects, grade_levels, center_name,
+    center_address, lat, lng: one sign-up per customer; every 7th reuses the customer's
+    e-mail, every 11th its phone; centre owners without a centre address every other time."""
+    c = t.raw("customer").select("c_custkey", "c_name", "c_mktsegment")
+    k = F.col("c_custkey")
+    role = F.when(k % 3 == 0, "teacher").when(k % 3 == 1, "center_admin").otherwise("student")
+    return c.select(
+        (k + F.lit(5_000_000_000)).alias("candidate_id"), F.col("c_name").alias("name"),
+        F.when(k % 7 == 0, F.concat(F.lit("student."), k.cast("string"), F.lit("@mail.example")))
+        .otherwise(F.concat(F.lit("new."), k.cast("string"), F.lit("@mail.example"))).alias("email"),
+        F.when(k % 11 == 0, F.concat(F.lit("+20"), k.cast("string"))).alias("phone"),
+        role.alias("role"),
+        F.array(F.col("c_mktsegment"), F.lit("")).alias("subjects"),
+        F.array(F.lit("Grade 1"), F.lit(None).cast("string")).alias("grade_levels"),
+        F.when(k % 2 == 0, F.concat(F.lit("Centre of "), F.col("c_name"))).alias("center_name"),
+        F.when(k % 4 < 2, F.lit("Main street")).alias("center_address"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))

@@ -348,3 +348,16 @@ FIXTURE_CTES.update({
     "status_change_requests": """SELECT id AS request_id, 3000000000 AS admin_id, id AS user_id,
             NOT is_active AS is_active, CASE WHEN is_active THEN 'policy' END AS reason FROM users""",
 })
+
+
+FIXTURE_CTES.update({
+    "registration_candidates": """SELECT c_custkey + 5000000000 AS candidate_id, c_name AS name,
+            CASE WHEN c_custkey % 7 = 0 THEN 'student.' || CAST(c_custkey AS VARCHAR) || '@mail.example'
+                 ELSE 'new.' || CAST(c_custkey AS VARCHAR) || '@mail.example' END AS email,
+            CASE WHEN c_custkey % 11 = 0 THEN '+20' || CAST(c_custkey AS VARCHAR) END AS phone,
+            CASE WHEN c_custkey % 3 = 0 THEN 'teacher' WHEN c_custkey % 3 = 1 THEN 'center_admin' ELSE 'student' END
+                AS role,
+            CASE WHEN c_custkey % 2 = 0 THEN 'Centre of ' || c_name END AS center_name,
+            CASE WHEN c_custkey % 4 < 2 THEN 'Main street' END AS center_address
+        FROM customer""",
+})

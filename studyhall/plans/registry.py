@@ -101,7 +101,7 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "booking_history": (rooms.booking_history, S["booking_history"]),
         "room_counters": (rooms.room_counters, S["room_counters"]),
         "student_rooms": (rooms.student_rooms, S["student_rooms"]),
-        "room_content_gated": (rooms.room_content_gated, S["room_content_gated"]),
+        "room_content_by_tier": (rooms.room_content_by_tier, S["room_content_by_tier"]),
         "room_info": (rooms.room_info, S["room_info"]),
         "content_access_decision": (rooms.content_access_decision, S["content_access_decision"]),
         "content_link_resolution": (rooms.content_link_resolution, S["content_link_resolution"]),
@@ -181,6 +181,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
             t, "sessions", t["sessions"].filter(F.col("status") == "cancelled").select(
                 "id", F.col("center_id").alias("owner")), owner_col="center_id")["bookings"].select("id", "session_id"),
             J["delete_cancelled_sessions"]),
+        "validate_registrations": (lambda t: jrooms.validate_registrations(
+            t, jreq.registration_candidates(t))["decisions"], J["validate_registrations"]),
         "user_status_changes": (lambda t: jled.user_status_changes(t, jreq.status_change_requests(t))["decisions"],
                                 J["user_status_changes"]),
     })

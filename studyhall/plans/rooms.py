@@ -56,16 +56,39 @@ def student_rooms(t, *, student=None) -> DataFrame:
                     "teacher_avatar", F.coalesce(F.col("content_count"), F.lit(0)).alias("content_count"))
 
 
+def _gated_items(t) -> DataFrame:
+    active = t["rooms"].filter(F.col("is_active")).select(F.col("id").alias("a_room"))
+    return t["content_items"].join(active, F.col("room_id") == F.col("a_room"), "left_semi")
+
+
+def _gated_cols():
+    return ["room_id", F.col("id").alias("content_id"), "type", "title", "description", "is_free", "sort_order",
+            "duration_seconds", "view_count", "created_at", redact_by_tier("url").alias("url"),
+            redact_by_tier("thumbnail_url").alias("thumbnail_url")]
+
+
+def room_content_by_tier(t) -> DataFrame:
+    """Q-26, whole-table form: each item of an active room as seen by each access tier
+    (url / thumbnail hidden from the free tier unless the item is free), in rank order.
+
+    A member's view is the row of (room, member's tier): two rows per item, never one per
+    member and item.
+    """
+    items = _gated_items(t).withColumn("access_tier", F.explode(F.array(F.lit("free"), F.lit("paid"))))
+    return items.select("access_tier", *_gated_cols())
+
+
 def room_content_gated(t, *, room=None, student=None) -> DataFrame:
-    """Q-26: items of active rooms for each active member; url/thumbnail hidden unless free or paid tier."""
+    """Q-26 for one room and/or student: the items of active rooms the student is an active
+    member of, redacted by the member's tier. Needs ``room`` or ``student``: the whole-table
+    form is ``room_content_by_tier`` (members x items would grow with the square of a room)."""
+    if room is None and student is None:
+        raise ValueError("room_content_gated needs room or student; use room_content_by_tier for whole tables")
     rm = optional_filters(t["room_members"], {"room_id": room, "student_id": student}, [F.col("is_active")]).select(
         "student_id", F.col("room_id").alias("m_room"), "access_tier")
-    active = t["rooms"].filter(F.col("is_active")).select(F.col("id").alias("a_room"))
-    ci = t["content_items"].join(active, F.col("room_id") == F.col("a_room"), "left_semi")
+    ci = optional_filters(_gated_items(t), {"room_id": room})
     j = rm.join(ci, rm.m_room == ci.room_id)
-    return j.select("student_id", "room_id", F.col("id").alias("content_id"), "type", "title", "description",
-                    "is_free", "sort_order", "duration_seconds", "view_count", "created_at",
-                    redact_by_tier("url").alias("url"), redact_by_tier("thumbnail_url").alias("thumbnail_url"))
+    return j.select("student_id", *_gated_cols())
 
 
 def room_info(t, *, room=None) -> DataFrame:
@@ -76,11 +99,18 @@ def room_info(t, *, room=None) -> DataFrame:
 
 
 def content_access_requests(t) -> DataFrame:
-    """Requests (content_id, student_id) of the registered instance: every member of a room
-    (active or not) asking for each item of that room."""
-    rm = t["room_members"].select("room_id", "student_id")
-    ci = t["content_items"].select(F.col("id").alias("content_id"), F.col("room_id").alias("c_room"))
-    return rm.join(ci, rm.room_id == ci.c_room).select("content_id", "student_id")
+    """Requests (content_id, student_id) of the registered instance, one per item and asker:
+    the room's first member (any state), its first active paid member, and an outsider.
+    Askers per room come from min() aggregates, so requests grow with the items only."""
+    nc = t.n_customer
+    rm = t["room_members"]
+    first = rm.groupBy(F.col("room_id").alias("a_room")).agg(F.min("student_id").alias("student_id"))
+    paid = (rm.filter(F.col("is_active") & (F.col("access_tier") == "paid"))
+            .groupBy(F.col("room_id").alias("a_room")).agg(F.min("student_id").alias("student_id")))
+    ci = t["content_items"].select(F.col("id").alias("content_id"), "room_id")
+    ask = lambda who: ci.join(who, ci.room_id == who.a_room).select("content_id", "student_id")
+    outsider = ci.select("content_id", ((F.col("content_id") * 31 + 7) % nc).alias("student_id"))
+    return ask(first).unionByName(ask(paid)).unionByName(outsider)
 
 
 def content_access_decision(t, *, requests: DataFrame | None = None) -> DataFrame:

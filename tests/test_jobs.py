@@ -184,3 +184,16 @@ def test_deposits_report_running_balance(spark, frames):
            for r in ledger.deposits_to_ledger(t, req).collect()}
     assert got == {1: ("OK", Decimal("20.00"), "manual"), 2: ("INVALID_AMOUNT", None, None),
                    3: ("OK", Decimal("27.00"), "card")}
+
+
+def test_room_content_gated_for_one_student(spark, tables):
+    import pytest as _pytest
+    from studyhall.plans import rooms as R
+    with _pytest.raises(ValueError):
+        R.room_content_gated(tables)
+    member = tables["room_members"].filter("is_active").first()
+    got = R.room_content_gated(tables, room=member.room_id, student=member.student_id)
+    view = R.room_content_by_tier(tables).filter(f"room_id = {member.room_id} AND access_tier = '{member.access_tier}'")
+    room_active = tables["rooms"].filter(f"id = {member.room_id}").first().is_active
+    assert got.count() == (view.count() if room_active else 0)
+    assert sorted(r.url or "" for r in got.collect()) == sorted(r.url or "" for r in view.collect())
