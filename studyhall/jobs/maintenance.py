@@ -19,89 +19,96 @@ from studyhall.functions.exprs import avg_1dp, ts_lit
 VIOLATION_COLS = ["table_name", "rule", "row_key", "detail"]
 
 
-def _v(df: DataFrame, table: str, rule: str, key, detail=None) -> DataFrame:
-    k = key if not isinstance(key, str) else F.col(key)
-    d = F.lit(None).cast("string") if detail is None else (detail if not isinstance(detail, str) else F.col(detail))
-    return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), k.cast("string").alias("row_key"),
-                     d.cast("string").alias("detail"))
 
+def _out(df: DataFrame, table, rule, key, detail) -> DataFrame:
+    return df.select(F.lit(table).alias("table_name") if isinstance(table, str) else table.alias("table_name"),
+                     rule.alias("rule"), key.cast("string").alias("row_key"), detail.cast("string").alias("detail"))
+
+
+def _row_rules(t, table: str, rules: list[tuple[str, object, object]], key: str = "id") -> DataFrame:
+    """All row-level rules of one table in one scan: rows that break any rule are exploded into
+    one violation per broken rule (CHECK, enum, NOT NULL)."""
+    df = t[table]
+    conds = [F.coalesce(c, F.lit(False)) for _, c, _ in rules]
+    hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"),
+                                                  (F.lit(None) if d is None else F.col(d)).cast("string").alias("d")))
+                              for (r, _, d), c in zip(rules, conds)]), lambda x: x.isNotNull())
+    bad = df.filter(reduce(lambda a, b: a | b, conds)).select(F.col(key).alias("_k"), F.explode(hits).alias("_v"))
+    return _out(bad, table, F.col("_v.rule"), F.col("_k"), F.col("_v.d"))
+
+
+def _unique_rules(t, table: str, keys: list[list[str]]) -> DataFrame:
+    """All UNIQUE rules of one table in one aggregation keyed by (rule, value)."""
+    df = t[table]
+    parts = []
+    for cols in keys:
+        nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        parts.append(F.when(nn, F.struct(F.lit(f"unique({','.join(cols)})").alias("rule"),
+                                         F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))))
+    vals = df.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_u"))
+    dup = vals.groupBy(F.col("_u.rule").alias("rule"), F.col("_u.k").alias("k")).agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return _out(dup, table, F.col("rule"), F.col("k"), F.col("n"))
+
+
+def _foreign_keys(t, parent: str, children: list[tuple[str, str]], key: str = "id") -> DataFrame:
+    """All references to one parent table in one anti join: the references of every child are
+    unioned and checked against the parent's ids once."""
+    refs = reduce(lambda a, b: a.unionByName(b), [
+        t[child].filter(F.col(col).isNotNull()).select(
+            F.lit(child).alias("_table"), F.lit(f"fk({col}->{parent}.id)").alias("_rule"),
+            F.col(key).cast("string").alias("_k"), F.col(col).alias("_ref"))
+        for child, col in children])
+    pk = t[parent].select(F.col("id").alias("_pk"))
+    miss = refs.join(pk, refs._ref == pk._pk, "left_anti")
+    return _out(miss, F.col("_table"), F.col("_rule"), F.col("_k"), F.col("_ref"))
 
-def _unique(t, table: str, cols: list[str]) -> DataFrame:
-    """UNIQUE violation: one row per duplicated key value, with how often it occurs."""
-    df = t[table].filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
-    dup = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-    return _v(dup, table, f"unique({','.join(cols)})", key, "n")
 
+def check_constraints(t) -> DataFrame:
+    """JOB-17: one row per violated declared rule (CHECK, enum, NOT NULL, UNIQUE, FK).
 
-def _orphans(t, table: str, col: str, parent: str, parent_col: str = "id", key: str = "id") -> DataFrame:
-    """Foreign-key violation: non-NULL reference without a parent row (left anti join)."""
-    child = t[table].filter(F.col(col).isNotNull())
-    par = t[parent].select(F.col(parent_col).alias("_pk"))
-    miss = child.join(par, child[col] == par["_pk"], "left_anti")
-    return _v(miss, table, f"fk({col}->{parent}.{parent_col})", key, col)
-
-
-def _enum(t, table: str, col: str, allowed, key: str = "id") -> DataFrame:
-    df = t[table].filter(F.col(col).isNotNull() & ~F.col(col).isin(*allowed))
-    return _v(df, table, f"enum({col})", key, col)
-
-
-def _check(t, table: str, rule: str, violated, key: str = "id", detail=None) -> DataFrame:
-    return _v(t[table].filter(F.coalesce(violated, F.lit(False))), table, rule, key, detail)
-
+    Row rules: one scan per table; UNIQUE: one aggregation per table; FK: one anti join per
+    parent table.
+    """
+    c = F.col
 
-def _not_null(t, table: str, col: str, key: str = "id") -> DataFrame:
-    return _v(t[table].filter(F.col(col).isNull()), table, f"not_null({col})", key)
+    def enum(col, allowed):
+        return (f"enum({col})", c(col).isNotNull() & ~c(col).isin(*allowed), col)
 
+    def nn(col):
+        return (f"not_null({col})", c(col).isNull(), None)
 
-def check_constraints(t) -> DataFrame:
-    """JOB-17: one row per violated declared rule (CHECK, enum, NOT NULL, UNIQUE, FK)."""
-    c = F.col
     parts = [
-        _check(t, "sessions", "check(seats_booked<=capacity)", c("seats_booked") > c("capacity")),
-        _check(t, "sessions", "check(capacity>0)", c("capacity") <= 0),
-        _check(t, "sessions", "check(duration_min>0)", c("duration_min") <= 0),
-        _check(t, "sessions", "check(price>=0)", c("price") < 0),
-        _check(t, "reviews", "check(rating between 1 and 5)", ~c("rating").between(1, 5)),
-        _check(t, "wallet_transactions", "check(amount>0)", c("amount") <= 0),
-        _check(t, "teacher_content", "check(length(title)<=255)", F.length("title") > 255),
-        _enum(t, "users", "role", ROLES),
-        _enum(t, "sessions", "status", SESSION_STATUSES),
-        _enum(t, "bookings", "status", BOOKING_STATUSES),
-        _enum(t, "wallet_transactions", "type", TX_TYPES),
-        _enum(t, "wallet_transactions", "status", TX_STATUSES),
-        _enum(t, "room_members", "access_tier", ACCESS_TIERS),
-        _enum(t, "content_items", "type", CONTENT_TYPES),
-        _enum(t, "teacher_content", "type", CONTENT_TYPES),
-        _not_null(t, "users", "name"),
-        _not_null(t, "users", "email"),
-        _not_null(t, "sessions", "scheduled_at"),
-        _not_null(t, "bookings", "qr_code"),
-        _unique(t, "users", ["email"]),
-        _unique(t, "users", ["phone"]),
-        _unique(t, "teachers", ["user_id"]),
-        _unique(t, "center_teachers", ["center_id", "teacher_id"]),
-        _unique(t, "bookings", ["qr_code"]),
-        _unique(t, "bookings", ["session_id", "student_id"]),
-        _unique(t, "attendances", ["booking_id"]),
-        _unique(t, "rooms", ["access_code"]),
-        _unique(t, "room_members", ["room_id", "student_id"]),
-        _unique(t, "reviews", ["booking_id"]),
-        _orphans(t, "centers", "owner_id", "users"),
-        _orphans(t, "teachers", "user_id", "users"),
-        _orphans(t, "sessions", "center_id", "centers"),
-        _orphans(t, "sessions", "teacher_id", "teachers"),
-        _orphans(t, "bookings", "session_id", "sessions"),
-        _orphans(t, "bookings", "student_id", "users"),
-        _orphans(t, "attendances", "booking_id", "bookings"),
-        _orphans(t, "rooms", "center_id", "centers"),
-        _orphans(t, "rooms", "teacher_id", "teachers"),
-        _orphans(t, "room_members", "room_id", "rooms"),
-        _orphans(t, "room_members", "student_id", "users"),
-        _orphans(t, "content_items", "room_id", "rooms"),
-        _orphans(t, "reviews", "booking_id", "bookings"),
-        _orphans(t, "wallet_transactions", "user_id", "users"),
+        _row_rules(t, "sessions", [
+            ("check(seats_booked<=capacity)", c("seats_booked") > c("capacity"), None),
+            ("check(capacity>0)", c("capacity") <= 0, None),
+            ("check(duration_min>0)", c("duration_min") <= 0, None),
+            ("check(price>=0)", c("price") < 0, None),
+            enum("status", SESSION_STATUSES), nn("scheduled_at")]),
+        _row_rules(t, "reviews", [("check(rating between 1 and 5)", ~c("rating").between(1, 5), None)]),
+        _row_rules(t, "wallet_transactions", [("check(amount>0)", c("amount") <= 0, None), enum("type", TX_TYPES),
+                                              enum("status", TX_STATUSES)]),
+        _row_rules(t, "teacher_content", [("check(length(title)<=255)", F.length("title") > 255, None),
+                                          enum("type", CONTENT_TYPES)]),
+        _row_rules(t, "users", [enum("role", ROLES), nn("name"), nn("email")]),
+        _row_rules(t, "bookings", [enum("status", BOOKING_STATUSES), nn("qr_code")]),
+        _row_rules(t, "room_members", [enum("access_tier", ACCESS_TIERS)]),
+        _row_rules(t, "content_items", [enum("type", CONTENT_TYPES)]),
+        _unique_rules(t, "users", [["email"], ["phone"]]),
+        _unique_rules(t, "teachers", [["user_id"]]),
+        _unique_rules(t, "center_teachers", [["center_id", "teacher_id"]]),
+        _unique_rules(t, "bookings", [["qr_code"], ["session_id", "student_id"]]),
+        _unique_rules(t, "attendances", [["booking_id"]]),
+        _unique_rules(t, "rooms", [["access_code"]]),
+        _unique_rules(t, "room_members", [["room_id", "student_id"]]),
+        _unique_rules(t, "reviews", [["booking_id"]]),
+        _foreign_keys(t, "users", [("centers", "owner_id"), ("teachers", "user_id"), ("bookings", "student_id"),
+                                   ("room_members", "student_id"), ("wallet_transactions", "user_id")]),
+        _foreign_keys(t, "centers", [("sessions", "center_id"), ("rooms", "center_id")]),
+        _foreign_keys(t, "teachers", [("sessions", "teacher_id"), ("rooms", "teacher_id")]),
+        _foreign_keys(t, "sessions", [("bookings", "session_id")]),
+        _foreign_keys(t, "bookings", [("attendances", "booking_id"), ("reviews", "booking_id")]),
+        _foreign_keys(t, "rooms", [("room_members", "room_id"), ("content_items", "room_id")]),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -24,6 +24,10 @@ SQL_DEFAULTS = {
     # falls back to a shuffled hash / sort-merge join. No hard-coded broadcast hints.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
+    # Streaming state in RocksDB (off-heap, spills to local disk, checkpointed to the shared
+    # checkpoint folder) instead of the JVM-heap map of the default provider.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -197,3 +197,61 @@ def test_room_content_gated_for_one_student(spark, tables):
     room_active = tables["rooms"].filter(f"id = {member.room_id}").first().is_active
     assert got.count() == (view.count() if room_active else 0)
     assert sorted(r.url or "" for r in got.collect()) == sorted(r.url or "" for r in view.collect())
+
+
+def test_scan_stream_marks_repeats_in_later_batches(spark, frames, tmp_path):
+    from studyhall.streaming import streams as S
+    books = [(1, 1, 101, "confirmed", "101_1_k1", Decimal("10"), at(-900), None)]
+    t = base_tables(spark, frames, books=books)
+    t["users"] = spark.createDataFrame([(101,)], "id long")
+    schema = "scan_id long, qr_code string, center_id long, scanned_at timestamp_ntz"
+    folder = str(tmp_path / "scans")
+    spark.createDataFrame([(1, "101_1_k1", 1, at(0))], schema).write.parquet(folder)
+    spark.createDataFrame([(2, "101_1_k1", 1, at(5)), (1, "101_1_k1", 1, at(0))], schema).write.mode(
+        "append").parquet(folder)
+    stream = S.file_stream(spark, folder, spark.createDataFrame([], schema).schema, max_files=1)
+    got = {r.scan_id: r.decision for r in S.scan_stream_job(t, stream).collect()}
+    # second file: scan 2 repeats an accepted booking, scan 1 is a re-delivery and is dropped
+    assert got == {1: "OK", 2: "ALREADY_ATTENDED"}
+
+
+def test_activity_windows_drop_rows_behind_the_watermark(spark, tmp_path):
+    from studyhall.streaming import streams as S
+    schema = "id long, user_id long, amount decimal(10,2), type string, status string, created_at timestamp_ntz"
+    folder = str(tmp_path / "ledger")
+    day = dt.datetime(2024, 1, 10, 12)
+    late = day - dt.timedelta(days=9)      # older than the 2-day watermark once day 10 was seen
+    # Spark drops late input by the watermark of the previous micro-batch, so the late row
+    # comes two files after the one that moved the watermark.
+    for rows in ([(1, 1, Decimal("1"), "deposit", "completed", day)],
+                 [(3, 1, Decimal("1"), "deposit", "completed", day)],
+                 [(2, 1, Decimal("1"), "deposit", "completed", late)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = S.file_stream(spark, folder, spark.createDataFrame([], schema).schema, max_files=1)
+    got = {(r.window_start, r.type): r.rows for r in S.run_upsert(
+        S.activity_windows(stream, window="1 day", watermark="2 days"),
+        ["window_start", "window_end", "type"], "test-activity").collect()}
+    assert got == {(dt.datetime(2024, 1, 10), "deposit"): 2}
+
+
+def test_no_show_detector_emits_unmatched_bookings(spark, tmp_path):
+    from studyhall.streaming import streams as S
+    bschema = "booking_id long, session_start timestamp_ntz, session_end timestamp_ntz"
+    sschema = "scan_booking_id long, scanned_at timestamp_ntz"
+    bdir, sdir = str(tmp_path / "b"), str(tmp_path / "s")
+    far = dt.datetime(2100, 1, 1)
+    spark.createDataFrame([(1, at(0), at(60)), (2, at(0), at(60)), (3, at(0), at(60))], bschema).write.parquet(bdir)
+    spark.createDataFrame([(-1, far, far)], bschema).write.mode("append").parquet(bdir)
+    # booking 1 scanned in time, booking 2 scanned after the end (no-show), booking 3 never
+    spark.createDataFrame([(1, at(-10)), (2, at(61))], sschema).write.parquet(sdir)
+    spark.createDataFrame([(-1, far)], sschema).write.mode("append").parquet(sdir)
+    b = S.file_stream(spark, bdir, spark.createDataFrame([], bschema).schema, max_files=1)
+    s = S.file_stream(spark, sdir, spark.createDataFrame([], sschema).schema, max_files=1)
+    out = str(tmp_path / "out")
+    joined = S.no_show_detector(b, s)
+    q = (joined.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.read.schema(joined.schema).parquet(out).filter("booking_id >= 0").collect()
+    assert sorted(r.booking_id for r in rows if r.scanned_at is None) == [2, 3]
+    assert [r.booking_id for r in rows if r.scanned_at is not None] == [1]
