@@ -157,3 +157,44 @@ def cancel_sessions(t, requests: DataFrame) -> DataFrame:
         F.when(ok, F.coalesce(F.col("n_held"), F.lit(0))).alias("bookings_cancelled"),
         F.when(ok, F.coalesce(F.col("n_refund"), F.lit(0))).alias("refunds_processed"),
         F.when(ok, money(F.coalesce(F.col("refund_sum"), F.lit(0)))).alias("refund_total"))
+
+
+def cancellation_outputs(t, decisions: DataFrame, *, as_of=SESSION_AS_OF) -> dict[str, DataFrame]:
+    """JOB-02 rows: booking patches (cancelled, cancelled_at) and one refund per OK request,
+    posted even when the amount is 0 (C14); the owner's transfer is not reversed."""
+    ok = decisions.filter(F.col("decision") == "OK")
+    return {
+        "booking_patches": ok.select(F.col("booking_id").alias("id"), F.lit("cancelled").alias("status"),
+                                     ts_lit(as_of).alias("cancelled_at"), ts_lit(as_of).alias("patched_at")),
+        "wallet_transactions": ok.select(
+            F.col("student_id").alias("user_id"), F.col("refund").alias("amount"), F.lit("refund").alias("type"),
+            F.lit("completed").alias("status"), F.col("booking_id").alias("reference_id"),
+            F.lit("booking").alias("reference_type"), ts_lit(as_of).alias("created_at")),
+    }
+
+
+def session_cancellation_outputs(t, decisions: DataFrame, *, as_of=SESSION_AS_OF,
+                                 notify: bool = True) -> dict[str, DataFrame]:
+    """JOB-03 rows: the session patch, every pending/confirmed booking cancelled, a refund for
+    each with amount > 0 (reference type ``session_cancellation``), and (contract option) one
+    ``session_cancelled`` notification per affected student."""
+    ok = decisions.filter(F.col("decision") == "OK").select(F.col("session_id").alias("ok_sid"))
+    held = t["bookings"].filter(F.col("status").isin("pending", "confirmed")).join(
+        ok, F.col("session_id") == F.col("ok_sid"), "left_semi")
+    out = {
+        "session_patches": ok.select(F.col("ok_sid").alias("id"), F.lit("cancelled").alias("status"),
+                                     ts_lit(as_of).alias("patched_at")),
+        "booking_patches": held.select("id", F.lit("cancelled").alias("status"), ts_lit(as_of).alias("cancelled_at"),
+                                       ts_lit(as_of).alias("patched_at")),
+        "wallet_transactions": held.filter(F.col("amount_paid") > 0).select(
+            F.col("student_id").alias("user_id"), F.col("amount_paid").alias("amount"), F.lit("refund").alias("type"),
+            F.lit("completed").alias("status"), F.col("id").alias("reference_id"),
+            F.lit("session_cancellation").alias("reference_type"), ts_lit(as_of).alias("created_at")),
+    }
+    if notify:
+        out["notifications"] = held.select(F.col("student_id").alias("user_id"),
+                                           F.lit("session_cancelled").alias("type"),
+                                           F.lit("Session cancelled").alias("title"),
+                                           F.lit("Your session was cancelled and refunded.").alias("message"),
+                                           ts_lit(as_of).alias("created_at"))
+    return out

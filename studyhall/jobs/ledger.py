@@ -74,6 +74,14 @@ def deposits_to_ledger(t, requests: DataFrame) -> DataFrame:
             .unionByName(bad.select(*cols, F.lit(None).cast("string").alias("payment_method"))))
 
 
+def deposit_outputs(decisions: DataFrame, *, as_of=LEDGER_AS_OF) -> DataFrame:
+    """JOB-23 rows: one completed deposit per accepted request."""
+    ok = decisions.filter(F.col("decision") == "OK")
+    return ok.select(F.col("request_id").alias("id"), "user_id", "amount", F.lit("deposit").alias("type"),
+                     F.lit("completed").alias("status"), "payment_method", ts_lit(as_of).alias("created_at"),
+                     ts_lit(as_of).alias("completed_at"))
+
+
 def user_status_changes(t, requests: DataFrame, *, as_of=LEDGER_AS_OF) -> dict[str, DataFrame]:
     """JOB-24: requests (request_id, admin_id, user_id, is_active, reason): NOT_FOUND, FORBIDDEN
     (super_admin target), else OK; OK patches the user and writes an audit row

@@ -207,6 +207,20 @@ def room_patches(t) -> DataFrame:
     return first.unionByName(second)
 
 
+def apply_session_patches(t, patches: DataFrame, *, mode: str = "coalesce") -> dict[str, DataFrame]:
+    """JOB-10 on sessions with the contract's guard: a patch that would set ``capacity`` below
+    the seats already taken (non-cancelled bookings) is refused (CAPACITY_BELOW_BOOKED); the
+    others are merged. Returns the decisions and the new sessions snapshot."""
+    seats = (t["bookings"].filter(F.col("status") != "cancelled").groupBy(F.col("session_id").alias("g_sid"))
+             .agg(F.count(F.lit(1)).alias("_taken")))
+    p = patches.join(seats, patches.id == seats.g_sid, "left")
+    bad = F.col("capacity").isNotNull() & (F.col("capacity") < F.coalesce(F.col("_taken"), F.lit(0)))
+    d = p.withColumn("decision", F.when(bad, "CAPACITY_BELOW_BOOKED").otherwise("OK"))
+    ok = d.filter(F.col("decision") == "OK").select(*patches.columns)
+    snap = apply_patches(t["sessions"], ok, mode=mode)
+    return {"decisions": d.select("id", "patched_at", "decision"), "sessions": snap}
+
+
 # ------------------------------------------------------------------ JOB-11 / 12 / 14 / 15 / 22
 def propagate_content_updates(t, changed: DataFrame) -> DataFrame:
     """JOB-11: copy title/description/url of changed master content into every room item using it."""

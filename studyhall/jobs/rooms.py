@@ -280,3 +280,38 @@ def publish_teacher_content(t, requests: DataFrame) -> DataFrame:
         ("NOT_YOUR_CENTER", F.col("linked").isNull()),
     ])
     return j.select("request_id", "teacher_id", "center_id", decision.alias("decision"))
+
+
+# ------------------------------------------------------------------ write side
+def join_outputs(t, decisions: DataFrame, *, as_of=SESSION_AS_OF) -> dict[str, DataFrame]:
+    """JOB-08 rows: new free memberships (JOINED) and reactivations (REJOINED, joined_at reset)."""
+    joined = decisions.filter(F.col("decision") == "JOINED").select(
+        "room_id", "student_id", F.lit("free").alias("access_tier"), ts_lit(as_of).alias("joined_at"),
+        F.lit(True).alias("is_active"))
+    rejoined = decisions.filter(F.col("decision") == "REJOINED").select(
+        "room_id", "student_id", F.lit(True).alias("is_active"), ts_lit(as_of).alias("joined_at"))
+    return {"room_members_new": joined, "room_members_patches": rejoined}
+
+
+def upgrade_outputs(t, decisions: DataFrame, *, as_of=SESSION_AS_OF) -> dict[str, DataFrame]:
+    """JOB-09 rows: membership tier set to paid and one charge (reference type room_upgrade)."""
+    ok = decisions.filter(F.col("decision") == "OK")
+    return {
+        "room_members_patches": ok.select("room_id", "student_id", F.lit("paid").alias("access_tier")),
+        "wallet_transactions": ok.select(
+            F.col("student_id").alias("user_id"), F.col("charged").alias("amount"),
+            F.lit("booking_charge").alias("type"), F.lit("completed").alias("status"),
+            F.col("room_id").alias("reference_id"), F.lit("room_upgrade").alias("reference_type"),
+            ts_lit(as_of).alias("created_at")),
+    }
+
+
+def review_outputs(decisions: DataFrame, *, as_of=SESSION_AS_OF, comments: DataFrame | None = None) -> DataFrame:
+    """JOB-16 rows: one review per OK request, for the booking it was matched to."""
+    ok = decisions.filter(F.col("decision") == "OK")
+    if comments is not None:
+        ok = ok.join(comments, "request_id", "left")
+    else:
+        ok = ok.withColumn("comment", F.lit(None).cast("string"))
+    return ok.select(F.col("request_id").alias("id"), "teacher_id", "student_id", "booking_id", "rating", "comment",
+                     F.lit(True).alias("is_visible"), ts_lit(as_of).alias("created_at"))

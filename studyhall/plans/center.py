@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import (
-    money, optional_filters, pct, session_clock_status, session_status_label, text_bool, ts_lit,
+    between_times, money, optional_filters, pct, session_clock_status, session_status_label, text_bool, ts_lit,
 )
 
 
@@ -67,13 +67,17 @@ def center_teacher_roster(t, *, center=None, as_of=SESSION_AS_OF) -> DataFrame:
                     F.coalesce(F.col("up"), F.lit(0)).alias("upcoming_sessions"))
 
 
-def center_session_board(t, *, center=None, as_of=SESSION_AS_OF) -> DataFrame:
+def center_session_board(t, *, center=None, as_of=SESSION_AS_OF, status=None, teacher=None, frm=None,
+                         to=None) -> DataFrame:
     """Q-41: sessions with clock status and label, free slots (capacity - pending/confirmed), teacher block.
 
     The reference's correlated ``(SELECT COUNT(*) ... WHERE b.session_id = s.id)`` is a
-    pre-aggregate joined back with a 0 default (JOIN-09).
+    pre-aggregate joined back with a 0 default (JOIN-09). Contract options: ``status`` (the
+    clock status), ``teacher``, ``frm`` / ``to`` on the start time (inclusive).
     """
-    s = optional_filters(t["sessions"], {"center_id": center})
+    s = optional_filters(t["sessions"], {"center_id": center, "teacher_id": teacher},
+                         [between_times("scheduled_at", frm, to),
+                          None if status is None else session_clock_status(as_of) == status])
     held = (t["bookings"].filter(F.col("status").isin("pending", "confirmed"))
             .groupBy(F.col("session_id").alias("h_sid")).agg(F.count(F.lit(1)).alias("held")))
     j = s.join(_teacher_block(t), s.teacher_id == F.col("t_id")).join(held, s.id == held.h_sid, "left")

@@ -255,3 +255,22 @@ def test_no_show_detector_emits_unmatched_bookings(spark, tmp_path):
     rows = spark.read.schema(joined.schema).parquet(out).filter("booking_id >= 0").collect()
     assert sorted(r.booking_id for r in rows if r.scanned_at is None) == [2, 3]
     assert [r.booking_id for r in rows if r.scanned_at is not None] == [1]
+
+
+def test_write_side_of_cancellations_and_guarded_session_patch(spark, frames):
+    books = [(1, 1, 100, "confirmed", "a", Decimal("0.00"), at(-900), None),
+             (2, 1, 101, "pending", "b", Decimal("10.00"), at(-900), None),
+             (3, 1, 102, "cancelled", "c", Decimal("10.00"), at(-900), None)]
+    t = base_tables(spark, frames, books=books)
+    req = spark.createDataFrame([(1, 1, 1, at(-5))], "request_id long, session_id long, center_id long, "
+                                                       "requested_at timestamp_ntz")
+    d = bookings.cancel_sessions(t, req)
+    assert [(r.decision, r.bookings_cancelled, r.refunds_processed) for r in d.collect()] == [("OK", 2, 1)]
+    out = bookings.session_cancellation_outputs(t, d, as_of=AS_OF)
+    assert sorted(r.id for r in out["booking_patches"].collect()) == [1, 2]
+    assert [r.user_id for r in out["wallet_transactions"].collect()] == [101]
+    assert sorted(r.user_id for r in out["notifications"].collect()) == [100, 101]
+    patches = spark.createDataFrame([(1, 1, at(1)), (2, 1, at(1))], "id long, capacity int, patched_at timestamp_ntz")
+    res = maintenance.apply_session_patches(t, patches)
+    assert decide(res["decisions"], "id") == {1: "CAPACITY_BELOW_BOOKED", 2: "OK"}
+    assert {r.id: r.capacity for r in res["sessions"].collect()} == {1: 2, 2: 1}
