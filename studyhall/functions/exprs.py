@@ -200,6 +200,16 @@ def deterministic_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[as_col(p).cast("string") for p in parts]), 256)
 
 
+def new_key(df: DataFrame, source: str, offset: int, namespace: str) -> Column:
+    """Key of a row created from request ``source``: ``offset + request id`` when keys are
+    numbers, else a hash of (namespace, request id) — retry-safe either way (FN-34)."""
+    from pyspark.sql import types as T
+
+    if isinstance(df.schema[source].dataType, T.IntegralType):
+        return F.col(source) + F.lit(offset)
+    return deterministic_id(F.lit(namespace), F.col(source))
+
+
 def us_datetime(c: Column | str) -> Column:
     """FN-33: 'M/d/yyyy, h:mm:ss a' as in the check-in messages."""
     return F.date_format(as_col(c), "M/d/yyyy, h:mm:ss a")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyhall.constants import CHECKIN_EARLY_MIN
-from studyhall.functions.exprs import first_failure, minutes, session_end, us_datetime
+from studyhall.functions.exprs import first_failure, minutes, new_key, session_end, us_datetime
 from studyhall.functions.tokens import qr_code, qr_parts
 from studyhall.jobs.bookings import derived_seats
 from studyhall.operators.topn import first_per_group
@@ -46,8 +46,9 @@ def validate_scans(t, scans: DataFrame) -> DataFrame:
     INVALID_STATUS (not confirmed), TOO_EARLY, OUTSIDE_TIME_WINDOW, else OK. A second OK scan of
     the same booking in the batch is ALREADY_ATTENDED."""
     ok_fmt, _student_txt, session_txt = qr_parts("qr_code")
-    sc = scans.withColumn("_fmt", ok_fmt).withColumn("_sid", session_txt.try_cast("bigint"))
     sess = t["sessions"].select(F.col("id").alias("q_sid"), F.col("center_id").alias("q_cid"))
+    # the key type is whatever the sessions table uses (UUID text or numbers): no key parsing
+    sc = scans.withColumn("_fmt", ok_fmt).withColumn("_sid", session_txt.try_cast(sess.schema["q_sid"].dataType))
     bk = (t["bookings"].select(F.col("id").alias("booking_id"), F.col("qr_code").alias("b_qr"),
                                F.col("student_id"), F.col("status").alias("b_status"), F.col("session_id").alias("b_sid"))
           .join(t["users"].select(F.col("id").alias("u_id")), F.col("student_id") == F.col("u_id"), "left_semi")
@@ -136,7 +137,7 @@ def walk_in_outputs(t, decisions: DataFrame) -> dict[str, DataFrame]:
     """Rows of a walk-in batch: booking (attended) + attendance; cash > 0 posts a student deposit
     and an owner transfer (C15: no matching charge)."""
     ok = decisions.filter(F.col("decision") == "OK")
-    bid = F.col("request_id") + F.lit(WALKIN_BOOKING_OFFSET)
+    bid = new_key(ok, "request_id", WALKIN_BOOKING_OFFSET, "walk-in")
     owners = t["centers"].select(F.col("id").alias("c_id"), "owner_id")
     paid = ok.filter(F.col("amount_paid") > 0)
     ledger = (paid.select(F.col("student_id").alias("user_id"), F.col("amount_paid").alias("amount"),

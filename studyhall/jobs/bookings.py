@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
-from studyhall.functions.exprs import first_failure, money, ts_lit
+from studyhall.functions.exprs import first_failure, money, new_key, ts_lit
 from studyhall.functions.tokens import qr_code
 from studyhall.operators.prefix import running_count, running_sum
 from studyhall.operators.topn import first_per_group
@@ -90,7 +90,7 @@ def admission_outputs(t, decisions: DataFrame, *, as_of=SESSION_AS_OF) -> dict[s
     ok = decisions.filter(F.col("decision") == "OK")
     owners = t["sessions"].select(F.col("id").alias("s_id"), "center_id").join(
         t["centers"].select(F.col("id").alias("c_id"), "owner_id"), F.col("center_id") == F.col("c_id"))
-    bid = F.col("request_id") + F.lit(BOOKING_ID_OFFSET)
+    bid = new_key(ok, "request_id", BOOKING_ID_OFFSET, "booking")
     bookings = ok.select(bid.alias("id"), "session_id", "student_id", F.lit("confirmed").alias("status"),
                          qr_code("student_id", "session_id", bid).alias("qr_code"),
                          F.col("price").alias("amount_paid"), ts_lit(as_of).alias("booked_at"))

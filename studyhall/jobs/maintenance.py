@@ -37,38 +37,42 @@ def _row_rules(t, table: str, rules: list[tuple[str, object, object]], key: str
     return _out(bad, table, F.col("_v.rule"), F.col("_k"), F.col("_v.d"))
 
 
-def _unique_rules(t, table: str, keys: list[list[str]]) -> DataFrame:
-    """All UNIQUE rules of one table in one aggregation keyed by (rule, value)."""
-    df = t[table]
-    parts = []
-    for cols in keys:
-        nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-        parts.append(F.when(nn, F.struct(F.lit(f"unique({','.join(cols)})").alias("rule"),
-                                         F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))))
-    vals = df.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_u"))
-    dup = vals.groupBy(F.col("_u.rule").alias("rule"), F.col("_u.k").alias("k")).agg(
-        F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return _out(dup, table, F.col("rule"), F.col("k"), F.col("n"))
-
-
-def _foreign_keys(t, parent: str, children: list[tuple[str, str]], key: str = "id") -> DataFrame:
-    """All references to one parent table in one anti join: the references of every child are
-    unioned and checked against the parent's ids once."""
+def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
+    """All UNIQUE rules of all tables in one aggregation keyed by (table, rule, value)."""
+    vals = []
+    for table, keys in spec.items():
+        parts = []
+        for cols in keys:
+            nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+            parts.append(F.when(nn, F.struct(F.lit(f"unique({','.join(cols)})").alias("rule"),
+                                             F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))))
+        vals.append(t[table].select(F.lit(table).alias("_table"),
+                                    F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_u")))
+    dup = (reduce(lambda a, b: a.unionByName(b), vals)
+           .groupBy("_table", F.col("_u.rule").alias("rule"), F.col("_u.k").alias("k"))
+           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    return _out(dup, F.col("_table"), F.col("rule"), F.col("k"), F.col("n"))
+
+
+def _foreign_keys(t, spec: dict[str, list[tuple[str, str]]], key: str = "id") -> DataFrame:
+    """All foreign keys in one anti join: every reference (child table, rule, row key, parent
+    table, value) against the union of the parents' ids tagged with the parent's name."""
     refs = reduce(lambda a, b: a.unionByName(b), [
         t[child].filter(F.col(col).isNotNull()).select(
             F.lit(child).alias("_table"), F.lit(f"fk({col}->{parent}.id)").alias("_rule"),
-            F.col(key).cast("string").alias("_k"), F.col(col).alias("_ref"))
-        for child, col in children])
-    pk = t[parent].select(F.col("id").alias("_pk"))
-    miss = refs.join(pk, refs._ref == pk._pk, "left_anti")
+            F.col(key).cast("string").alias("_k"), F.lit(parent).alias("_parent"), F.col(col).alias("_ref"))
+        for parent, children in spec.items() for child, col in children])
+    ids = reduce(lambda a, b: a.unionByName(b), [
+        t[parent].select(F.lit(parent).alias("_p"), F.col("id").alias("_pk")) for parent in spec])
+    miss = refs.join(ids, (refs._parent == ids._p) & (refs._ref == ids._pk), "left_anti")
     return _out(miss, F.col("_table"), F.col("_rule"), F.col("_k"), F.col("_ref"))
 
 
 def check_constraints(t) -> DataFrame:
     """JOB-17: one row per violated declared rule (CHECK, enum, NOT NULL, UNIQUE, FK).
 
-    Row rules: one scan per table; UNIQUE: one aggregation per table; FK: one anti join per
-    parent table.
+    Row rules: one scan per table; all UNIQUE rules: one aggregation; all foreign keys: one
+    anti join. The shuffled volume is what separate checks would move, in two exchanges.
     """
     c = F.col
 
@@ -94,21 +98,19 @@ def check_constraints(t) -> DataFrame:
         _row_rules(t, "bookings", [enum("status", BOOKING_STATUSES), nn("qr_code")]),
         _row_rules(t, "room_members", [enum("access_tier", ACCESS_TIERS)]),
         _row_rules(t, "content_items", [enum("type", CONTENT_TYPES)]),
-        _unique_rules(t, "users", [["email"], ["phone"]]),
-        _unique_rules(t, "teachers", [["user_id"]]),
-        _unique_rules(t, "center_teachers", [["center_id", "teacher_id"]]),
-        _unique_rules(t, "bookings", [["qr_code"], ["session_id", "student_id"]]),
-        _unique_rules(t, "attendances", [["booking_id"]]),
-        _unique_rules(t, "rooms", [["access_code"]]),
-        _unique_rules(t, "room_members", [["room_id", "student_id"]]),
-        _unique_rules(t, "reviews", [["booking_id"]]),
-        _foreign_keys(t, "users", [("centers", "owner_id"), ("teachers", "user_id"), ("bookings", "student_id"),
-                                   ("room_members", "student_id"), ("wallet_transactions", "user_id")]),
-        _foreign_keys(t, "centers", [("sessions", "center_id"), ("rooms", "center_id")]),
-        _foreign_keys(t, "teachers", [("sessions", "teacher_id"), ("rooms", "teacher_id")]),
-        _foreign_keys(t, "sessions", [("bookings", "session_id")]),
-        _foreign_keys(t, "bookings", [("attendances", "booking_id"), ("reviews", "booking_id")]),
-        _foreign_keys(t, "rooms", [("room_members", "room_id"), ("content_items", "room_id")]),
+        _unique_rules(t, {
+            "users": [["email"], ["phone"]], "teachers": [["user_id"]],
+            "center_teachers": [["center_id", "teacher_id"]], "bookings": [["qr_code"], ["session_id", "student_id"]],
+            "attendances": [["booking_id"]], "rooms": [["access_code"]], "room_members": [["room_id", "student_id"]],
+            "reviews": [["booking_id"]]}),
+        _foreign_keys(t, {
+            "users": [("centers", "owner_id"), ("teachers", "user_id"), ("bookings", "student_id"),
+                      ("room_members", "student_id"), ("wallet_transactions", "user_id")],
+            "centers": [("sessions", "center_id"), ("rooms", "center_id")],
+            "teachers": [("sessions", "teacher_id"), ("rooms", "teacher_id")],
+            "sessions": [("bookings", "session_id")],
+            "bookings": [("attendances", "booking_id"), ("reviews", "booking_id")],
+            "rooms": [("room_members", "room_id"), ("content_items", "room_id")]}),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

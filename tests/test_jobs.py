@@ -274,3 +274,15 @@ def test_write_side_of_cancellations_and_guarded_session_patch(spark, frames):
     res = maintenance.apply_session_patches(t, patches)
     assert decide(res["decisions"], "id") == {1: "CAPACITY_BELOW_BOOKED", 2: "OK"}
     assert {r.id: r.capacity for r in res["sessions"].collect()} == {1: 2, 2: 1}
+
+
+def test_scan_validation_with_text_keys(spark, frames):
+    t = frames()
+    t["sessions"] = spark.createDataFrame([("s-1", "c-1", at(0), 60)],
+                                          "id string, center_id string, scheduled_at timestamp_ntz, duration_min int")
+    t["bookings"] = spark.createDataFrame([("b-1", "s-1", "u-1", "confirmed", "u-1_s-1_ab12cd34")],
+                                          "id string, session_id string, student_id string, status string, qr_code string")
+    t["users"] = spark.createDataFrame([("u-1",)], "id string")
+    scans = spark.createDataFrame([(1, "u-1_s-1_ab12cd34", "c-1", at(0)), (2, "u-1_s-9_ab12cd34", "c-1", at(0))],
+                                  "scan_id long, qr_code string, center_id string, scanned_at timestamp_ntz")
+    assert decide(attendance.validate_scans(t, scans), "scan_id") == {1: "OK", 2: "SESSION_NOT_FOUND"}
