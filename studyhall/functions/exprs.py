@@ -86,6 +86,24 @@ def between_times(c: Column | str, frm=None, to=None) -> Column | None:
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
+def prune_months(df: DataFrame, col: str, frm=None, to=None) -> DataFrame:
+    """Add the month-partition predicate that matches a time filter on ``col`` (inclusive
+    bounds), when ``df`` has the ``<col>_month`` partition column; otherwise return ``df``.
+
+    Spark prunes partition folders on it before reading; the exact time filter still applies.
+    """
+    mc = f"{col}_month"
+    if mc not in df.columns or (frm is None and to is None):
+        return df
+    cond = None
+    if frm is not None:
+        cond = F.col(mc) >= F.date_format(ts_lit(frm), "yyyy-MM")
+    if to is not None:
+        c2 = F.col(mc) <= F.date_format(ts_lit(to), "yyyy-MM")
+        cond = c2 if cond is None else cond & c2
+    return df.filter(cond)
+
+
 def since(c: Column | str, as_of, n_days: int) -> Column:
     """FLT-08: ``c >= as_of - n days``."""
     return as_col(c) >= ts_lit(as_of) - days(n_days)

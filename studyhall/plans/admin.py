@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyhall.constants import PAGE_ADMIN, ROLES, SESSION_AS_OF
 from studyhall.functions.exprs import (
-    between_times, ilike_any, money, optional_filters, pct, since, ts_lit,
+    between_times, ilike_any, money, optional_filters, pct, prune_months, since, ts_lit,
 )
 from studyhall.operators.pages import one_row, page, pg_desc
 from studyhall.plans.wallet import wallet_balance
@@ -76,8 +78,10 @@ def room_stats(t) -> DataFrame:
 
 def recent_activity(t, *, as_of=SESSION_AS_OF, n_days=30) -> DataFrame:
     """Q-08: new users / sessions / bookings in the last ``n_days`` (three scalar subqueries)."""
+    start = (dt.datetime.fromisoformat(str(as_of)) - dt.timedelta(days=n_days)).isoformat(sep=" ")
+
     def n_since(df, col):
-        return df.filter(since(col, as_of, n_days)).agg(F.count(F.lit(1)))
+        return prune_months(df, col, frm=start).filter(since(col, as_of, n_days)).agg(F.count(F.lit(1)))
     spark = t["users"].sparkSession
     return one_row(spark,
                    new_users=n_since(t["users"], "created_at"),
@@ -125,7 +129,8 @@ def platform_analytics_document(t, *, as_of=SESSION_AS_OF) -> DataFrame:
 def audit_log_search(t, *, admin=None, action=None, entity_type=None, frm=None, to=None,
                      limit=PAGE_ADMIN, offset=0) -> DataFrame:
     """Q-10: audit rows joined with the acting admin, newest first."""
-    logs = optional_filters(t["audit_logs"], {"admin_id": admin, "action": action, "entity_type": entity_type},
+    logs = optional_filters(prune_months(t["audit_logs"], "created_at", frm, to),
+                            {"admin_id": admin, "action": action, "entity_type": entity_type},
                             [between_times("created_at", frm, to)])
     admins = t["users"].select(F.col("id").alias("uid"), F.col("name").alias("admin_name"),
                                F.col("email").alias("admin_email"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import (
-    between_times, money, optional_filters, pct, session_clock_status, session_status_label, text_bool, ts_lit,
+    between_times, money, optional_filters, pct, prune_months, session_clock_status, session_status_label, text_bool,
+    ts_lit,
 )
 
 
@@ -75,7 +76,8 @@ def center_session_board(t, *, center=None, as_of=SESSION_AS_OF, status=None, te
     pre-aggregate joined back with a 0 default (JOIN-09). Contract options: ``status`` (the
     clock status), ``teacher``, ``frm`` / ``to`` on the start time (inclusive).
     """
-    s = optional_filters(t["sessions"], {"center_id": center, "teacher_id": teacher},
+    s = optional_filters(prune_months(t["sessions"], "scheduled_at", frm, to),
+                         {"center_id": center, "teacher_id": teacher},
                          [between_times("scheduled_at", frm, to),
                           None if status is None else session_clock_status(as_of) == status])
     held = (t["bookings"].filter(F.col("status").isin("pending", "confirmed"))

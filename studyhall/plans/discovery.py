@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import NEARBY_KM, PAGE_DISCOVERY, SEARCH_CAP, SEARCH_KM, SESSION_AS_OF
 from studyhall.functions.exprs import (
-    array_text_ilike, has_value, ilike_any, optional_filters, ts_lit,
+    array_text_ilike, has_value, ilike_any, optional_filters, prune_months, ts_lit,
 )
 from studyhall.functions.geo import haversine_km, valid_coordinates, within_km
 from studyhall.operators.geojoin import within_radius_join
@@ -202,7 +202,7 @@ def teacher_reviews_public(t, *, teacher=None) -> DataFrame:
 
 def center_upcoming_sessions(t, *, center=None, as_of=SESSION_AS_OF) -> DataFrame:
     """Q-21: future, not completed sessions of active centres (cancelled ones stay)."""
-    s = optional_filters(t["sessions"], {"center_id": center},
+    s = optional_filters(prune_months(t["sessions"], "scheduled_at", frm=as_of), {"center_id": center},
                          [F.col("status") != "completed", F.col("scheduled_at") > ts_lit(as_of)])
     active = t["centers"].filter(F.col("is_active")).select(F.col("id").alias("center_id"))
     s = s.join(active, "center_id", "left_semi")
@@ -221,7 +221,8 @@ def teacher_discovery(t, *, as_of=SESSION_AS_OF) -> DataFrame:
     (teacher, centre) over the bookable sessions (id breaks ties), then a left join.
     """
     rows = _teacher_center_rows(t).filter(F.col("u_active"))
-    bookable = t["sessions"].filter((F.col("status") == "scheduled") & (F.col("scheduled_at") > ts_lit(as_of))
+    bookable = prune_months(t["sessions"], "scheduled_at", frm=as_of).filter(
+        (F.col("status") == "scheduled") & (F.col("scheduled_at") > ts_lit(as_of))
                                     & (F.col("seats_booked") < F.col("capacity")))
     nxt = first_per_group(bookable, ["teacher_id", "center_id"], ["scheduled_at", "id"],
                           ["price", "subject", "grade_level", "title", "duration_min", "capacity", "seats_booked"],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import PAGE_ADMIN, PAGE_DISCOVERY, SESSION_AS_OF, SESSION_STATUSES
 from studyhall.functions.exprs import (
-    between_times, optional_filters, teacher_list_status, ts_lit, virtual_status_filter,
+    between_times, optional_filters, prune_months, teacher_list_status, ts_lit, virtual_status_filter,
 )
 from studyhall.operators.topn import top_k_per_group
 
@@ -79,7 +79,8 @@ def _session_booking_counts(t) -> DataFrame:
 
 
 def _teacher_session_rows(t, teacher, status, center, frm, to, as_of) -> DataFrame:
-    return optional_filters(t["sessions"], {"teacher_id": teacher, "center_id": center},
+    return optional_filters(prune_months(t["sessions"], "scheduled_at", frm, to),
+                            {"teacher_id": teacher, "center_id": center},
                             [virtual_status_filter(status, as_of), between_times("scheduled_at", frm, to)])
 
 

@@ -67,12 +67,18 @@ SCHEMAS: dict[str, T.StructType] = {
                              ("is_read", _B), ("created_at", _TS)),
 }
 
-# Fact tables written partitioned by calendar month of their time column (partition pruning
-# for the month rollups and time-range filters).
+# Fact tables written partitioned by calendar month of their time column. The partition
+# column is named ``<time column>_month`` (yyyy-MM, UTC), so an operator that filters the time
+# column can add the matching month predicate (``functions.exprs.prune_months``).
 MONTH_PARTITIONED = {"sessions": "scheduled_at", "bookings": "booked_at", "wallet_transactions": "created_at",
                      "audit_logs": "created_at", "notifications": "created_at"}
 
 
+def month_column(table: str) -> str | None:
+    col = MONTH_PARTITIONED.get(table)
+    return f"{col}_month" if col else None
+
+
 class Tables(dict):
     """Mapping table name -> DataFrame (the ``t`` every operator takes)."""
 
@@ -81,13 +87,13 @@ class Tables(dict):
 def load_tables(spark: SparkSession, path: str, names=None) -> Tables:
     """Read stored domain tables with their fixed schemas (no inference, no footer merging).
 
-    Month-partitioned tables carry an extra ``month`` column the reader exposes for pruning.
+    Month-partitioned tables carry an extra ``<time column>_month`` column used for pruning.
     """
     t = Tables()
     for name in names or SCHEMAS:
         schema = SCHEMAS[name]
         if name in MONTH_PARTITIONED:
-            schema = T.StructType(schema.fields + [T.StructField("month", T.StringType(), True)])
+            schema = T.StructType(schema.fields + [T.StructField(month_column(name), T.StringType(), True)])
         t[name] = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}")
     return t
 
@@ -101,12 +107,11 @@ def month_of(c: Column | str) -> Column:
 def append(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     """SNK-01: append rows (``INSERT ... RETURNING``): month-partitioned when the table is a fact
     table; returns the appended rows as written."""
-    w = df
     if table in MONTH_PARTITIONED:
-        w = df.withColumn("month", month_of(MONTH_PARTITIONED[table]))
-        w.write.mode("append").partitionBy("month").parquet(path)
+        mc = month_column(table)
+        df.withColumn(mc, month_of(MONTH_PARTITIONED[table])).write.mode("append").partitionBy(mc).parquet(path)
     else:
-        w.write.mode("append").parquet(path)
+        df.write.mode("append").parquet(path)
     return df
 
 
@@ -117,8 +122,8 @@ def write_snapshot(df: DataFrame, path: str, table: str | None = None) -> str:
     until then, so a failed job never leaves a half-updated table.
     """
     if table in MONTH_PARTITIONED:
-        df.withColumn("month", month_of(MONTH_PARTITIONED[table])).write.mode("overwrite") \
-            .partitionBy("month").parquet(path)
+        mc = month_column(table)
+        df.withColumn(mc, month_of(MONTH_PARTITIONED[table])).write.mode("overwrite").partitionBy(mc).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path
