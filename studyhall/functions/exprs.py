@@ -228,6 +228,14 @@ def new_key(df: DataFrame, source: str, offset: int, namespace: str) -> Column:
     return deterministic_id(F.lit(namespace), F.col(source))
 
 
+UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def is_uuid(c: Column | str) -> Column:
+    """FN-31: text is a UUID (8-4-4-4-12 hex digits)."""
+    return F.coalesce(as_col(c).rlike(UUID_PATTERN), F.lit(False))
+
+
 def us_datetime(c: Column | str) -> Column:
     """FN-33: 'M/d/yyyy, h:mm:ss a' as in the check-in messages."""
     return F.date_format(as_col(c), "M/d/yyyy, h:mm:ss a")

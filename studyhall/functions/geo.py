@@ -33,8 +33,41 @@ def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(a))
 
 
+# WGS84 ellipsoid (fixed values of the geodesy the reference relies on)
+WGS84_A_KM = 6378.137
+WGS84_F = 1 / 298.257223563
+
+
+def lambert_km(lat1, lng1, lat2, lng2) -> Column:
+    """Lambert's formula: spherical angle on reduced latitudes with the flattening correction
+    (within a few metres of the spheroid distance for city-scale ranges). Plain columns."""
+    f = WGS84_F
+    b1 = F.atan(F.lit(1 - f) * F.tan(F.radians(_c(lat1))))
+    b2 = F.atan(F.lit(1 - f) * F.tan(F.radians(_c(lat2))))
+    dl = F.radians(_c(lng2)) - F.radians(_c(lng1))
+    a = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(dl / 2), 2)
+    sigma = F.lit(2.0) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (sigma - F.sin(sigma)) * F.pow(F.sin(p), 2) * F.pow(F.cos(q), 2) / F.pow(F.cos(sigma / 2), 2)
+    y = (sigma + F.sin(sigma)) * F.pow(F.cos(p), 2) * F.pow(F.sin(q), 2) / F.pow(F.sin(sigma / 2), 2)
+    return F.when(sigma == 0, F.lit(0.0)).otherwise(F.lit(WGS84_A_KM) * (sigma - F.lit(f / 2) * (x + y)))
+
+
+def distance_km(lat1, lng1, lat2, lng2, method: str = "haversine") -> Column:
+    """FN-16: ``haversine`` (sphere, R = 6371.0088 km) or ``lambert`` (ellipsoid correction)."""
+    if method == "haversine":
+        return haversine_km(lat1, lng1, lat2, lng2)
+    if method == "lambert":
+        return lambert_km(lat1, lng1, lat2, lng2)
+    raise ValueError(f"unknown distance method {method!r}")
+
+
 def bounding_box(lat_col, lng_col, lat: float, lng: float, km: float) -> Column:
-    """Cheap pre-filter that never drops a point within ``km`` (pushed to parquet when stored)."""
+    """Cheap pre-filter that never drops a point within ``km`` (pushed to parquet when stored).
+
+    1 % wider than the sphere needs, so it also holds for the ellipsoid (a degree of latitude
+    is 110.57 km at the equator)."""
+    km = km * 1.01
     dlat = km / KM_PER_DEG_LAT
     cos_max = math.cos(math.radians(min(89.9, abs(lat) + dlat)))
     dlng = 180.0 if cos_max <= 0 else min(180.0, km / (KM_PER_DEG_LAT * cos_max))
@@ -44,9 +77,9 @@ def bounding_box(lat_col, lng_col, lat: float, lng: float, km: float) -> Column:
     return box
 
 
-def within_km(lat_col, lng_col, lat: float, lng: float, km: float) -> Column:
+def within_km(lat_col, lng_col, lat: float, lng: float, km: float, method: str = "haversine") -> Column:
     """FLT-10: ``ST_DWithin`` analogue: box pre-filter AND exact distance test."""
-    return bounding_box(lat_col, lng_col, lat, lng, km) & (haversine_km(lat_col, lng_col, lat, lng) <= km)
+    return bounding_box(lat_col, lng_col, lat, lng, km) & (distance_km(lat_col, lng_col, lat, lng, method) <= km)
 
 
 def valid_coordinates(lat, lng) -> Column:

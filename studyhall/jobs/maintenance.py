@@ -68,6 +68,19 @@ def _foreign_keys(t, spec: dict[str, list[tuple[str, str]]], key: str = "id") ->
     return _out(miss, F.col("_table"), F.col("_rule"), F.col("_k"), F.col("_ref"))
 
 
+def _uuid_rules(t) -> list[DataFrame]:
+    """FN-31: where keys are text (UUIDs, as in the reference schema), every id must be one.
+    Numeric keys need no such rule."""
+    from pyspark.sql import types as T
+
+    from studyhall.functions.exprs import is_uuid
+    out = []
+    for table in ("users", "centers", "teachers", "sessions", "bookings", "rooms", "wallet_transactions"):
+        if isinstance(t[table].schema["id"].dataType, T.StringType):
+            out.append(_row_rules(t, table, [("uuid(id)", F.col("id").isNotNull() & ~is_uuid("id"), "id")]))
+    return out
+
+
 def check_constraints(t) -> DataFrame:
     """JOB-17: one row per violated declared rule (CHECK, enum, NOT NULL, UNIQUE, FK).
 
@@ -83,6 +96,7 @@ def check_constraints(t) -> DataFrame:
         return (f"not_null({col})", c(col).isNull(), None)
 
     parts = [
+        *_uuid_rules(t),
         _row_rules(t, "sessions", [
             ("check(seats_booked<=capacity)", c("seats_booked") > c("capacity"), None),
             ("check(capacity>0)", c("capacity") <= 0, None),

@@ -160,3 +160,20 @@ def test_collect_list_of_unmatched_left_row_is_one_null_struct(spark):
     flat = spark.createDataFrame([(1, None, None)], "center_id long, teacher_id long, teacher_name string")
     doc = as_document(flat, ["center_id"], ["teacher_id", "teacher_name"], "teachers").first()
     assert len(doc.teachers) == 1 and doc.teachers[0].teacher_id is None
+
+
+def test_lambert_distance_close_to_spheroid_and_haversine(spark):
+    from studyhall.functions.geo import distance_km
+    # Cairo -> Alexandria: ellipsoidal distance about 178.6 km
+    df = spark.createDataFrame([(30.0444, 31.2357, 31.2001, 29.9187), (10.0, 10.0, 10.0, 10.0)],
+                               "a double, b double, c double, d double")
+    rows = df.select(distance_km("a", "b", "c", "d", "lambert").alias("l"),
+                     distance_km("a", "b", "c", "d").alias("h")).collect()
+    assert abs(rows[0].l - 178.6) < 1.5 and abs(rows[0].l - rows[0].h) / rows[0].h < 0.006
+    assert rows[1].l == 0.0 and rows[1].h == 0.0
+
+
+def test_uuid_rule_only_for_text_keys(spark, frames):
+    from studyhall.functions.exprs import is_uuid
+    df = spark.createDataFrame([("123e4567-e89b-12d3-a456-426614174000",), ("nope",), (None,)], "x string")
+    assert [r.u for r in df.select(is_uuid("x").alias("u")).collect()] == [True, False, False]
