@@ -9,7 +9,7 @@ from studyhall.constants import NEARBY_KM, PAGE_DISCOVERY, SEARCH_CAP, SEARCH_KM
 from studyhall.functions.exprs import (
     array_text_ilike, has_value, ilike_any, optional_filters, prune_months, ts_lit,
 )
-from studyhall.functions.geo import haversine_km, valid_coordinates, within_km
+from studyhall.functions.geo import haversine_km, within_km
 from studyhall.operators.geojoin import within_radius_join
 from studyhall.operators.pages import page, page_of, pg_asc
 from studyhall.operators.topn import first_per_group
@@ -23,15 +23,11 @@ def _dist(lat, lng) -> F.Column:
 
 
 def _check_point(lat: float, lng: float) -> None:
-    if lat is None or lng is None or math_isnan(lat) or math_isnan(lng) or not (-90 <= lat <= 90) \
-            or not (-180 <= lng <= 180):
+    """FN-17 for the query point (a parameter): finite, latitude in [-90, 90], longitude in [-180, 180]."""
+    if lat is None or lng is None or lat != lat or lng != lng or not (-90 <= lat <= 90) or not (-180 <= lng <= 180):
         raise ValueError("valid latitude and longitude are required")
 
 
-def math_isnan(x) -> bool:
-    return x != x
-
-
 def _nearby(t, lat, lng, km) -> DataFrame:
     _check_point(lat, lng)
     c = t["centers"].filter(F.col("is_active") & within_km("lat", "lng", lat, lng, km))
@@ -252,5 +248,3 @@ def teacher_discovery_nearby(t, *, lat: float, lng: float, km: float = NEARBY_KM
         d = d.filter(F.array_contains(F.split("grade_levels", ", "), grade))
     return d.withColumn("distance_km", F.round(haversine_km("center_lat", "center_lng", lat, lng), 6))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["valid_coordinates"]
