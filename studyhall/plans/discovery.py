@@ -210,21 +210,20 @@ def center_upcoming_sessions(t, *, center=None, as_of=SESSION_AS_OF) -> DataFram
                     "duration_min", "status", "capacity", "teacher_id", "teacher_name", "teacher_avatar"))
 
 
-def teacher_discovery(t, *, as_of=SESSION_AS_OF) -> DataFrame:
-    """Q-46 (view): active teacher x active link x active centre, with the next bookable session.
-
-    The lateral ``ORDER BY scheduled_at LIMIT 1`` is a ``min(struct)`` aggregate per
-    (teacher, centre) over the bookable sessions (id breaks ties), then a left join.
-    """
+def _discovery_rows(t, as_of) -> DataFrame:
+    """Q-46 rows with array columns (formatted as text by the public functions)."""
     rows = _teacher_center_rows(t).filter(F.col("u_active"))
     bookable = prune_months(t["sessions"], "scheduled_at", frm=as_of).filter(
         (F.col("status") == "scheduled") & (F.col("scheduled_at") > ts_lit(as_of))
-                                    & (F.col("seats_booked") < F.col("capacity")))
+        & (F.col("seats_booked") < F.col("capacity")))
     nxt = first_per_group(bookable, ["teacher_id", "center_id"], ["scheduled_at", "id"],
                           ["price", "subject", "grade_level", "title", "duration_min", "capacity", "seats_booked"],
                           prefix="s_")
     nxt = nxt.withColumnRenamed("teacher_id", "n_tid").withColumnRenamed("center_id", "n_cid")
-    j = rows.join(nxt, (rows.id == nxt.n_tid) & (rows.center_id == nxt.n_cid), "left")
+    return rows.join(nxt, (rows.id == nxt.n_tid) & (rows.center_id == nxt.n_cid), "left")
+
+
+def _discovery_select(j: DataFrame) -> DataFrame:
     return j.select(
         F.col("id").alias("teacher_id"), F.col("user_id"), "teacher_name", "avatar_url", "bio",
         F.array_join("subjects", ", ").alias("subjects"), F.array_join("grade_levels", ", ").alias("grade_levels"),
@@ -237,14 +236,20 @@ def teacher_discovery(t, *, as_of=SESSION_AS_OF) -> DataFrame:
         (F.col("s_capacity") - F.col("s_seats_booked")).alias("available_seats"))
 
 
+def teacher_discovery(t, *, as_of=SESSION_AS_OF) -> DataFrame:
+    """Q-46 (view): active teacher x active link x active centre, with the next bookable session.
+
+    The lateral ``ORDER BY scheduled_at LIMIT 1`` is a ``min(struct)`` aggregate per
+    (teacher, centre) over the bookable sessions (id breaks ties), then a left join.
+    """
+    return _discovery_select(_discovery_rows(t, as_of))
+
+
 def teacher_discovery_nearby(t, *, lat: float, lng: float, km: float = NEARBY_KM, subject=None, grade=None,
                              as_of=SESSION_AS_OF) -> DataFrame:
     """Q-52 (contract): Q-46 within the radius, with distance (exact subject/grade match on the arrays)."""
     _check_point(lat, lng)
-    d = teacher_discovery(t, as_of=as_of).filter(within_km("center_lat", "center_lng", lat, lng, km))
-    if subject is not None:
-        d = d.filter(F.array_contains(F.split("subjects", ", "), subject))
-    if grade is not None:
-        d = d.filter(F.array_contains(F.split("grade_levels", ", "), grade))
-    return d.withColumn("distance_km", F.round(haversine_km("center_lat", "center_lng", lat, lng), 6))
-
+    rows = _discovery_rows(t, as_of).filter(within_km("center_lat", "center_lng", lat, lng, km))
+    rows = optional_filters(rows, extra=[has_value("subjects", subject), has_value("grade_levels", grade)])
+    return _discovery_select(rows).withColumn(
+        "distance_km", F.round(haversine_km("center_lat", "center_lng", lat, lng), 6))
