@@ -34,10 +34,16 @@ MAX_GROUP_ROWS_CONF = "studyhall.prefix.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the biggest key group, total rows): a partial aggregate, two numbers to the driver."""
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.max("_n").alias("m"), F.sum("_n").alias("s")).first()
+    return int(row.m or 0), int(row.s or 0)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest key group (a partial aggregate; only one number reaches the driver)."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
-    return int(row.m or 0)
+    """Row count of the biggest key group."""
+    return group_sizes(df, keys)[0]
 
 
 def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], value: Column | str,
@@ -59,11 +65,13 @@ def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], v
         df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
     probe = size_source if size_source is not None else df
     probe_keys = [k for k in keys if k in probe.columns]
-    if largest_group(probe, probe_keys) <= limit:
+    biggest, total = group_sizes(probe, probe_keys)
+    if biggest <= limit:
         frame_end = -1 if exclusive else Window.currentRow
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
         return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
-    n = n_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # enough range chunks that one chunk holds at most ``limit`` rows, whatever a hot key's size
+    n = n_chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // max(limit, 1)))
 
     # The chunk id depends on where the range exchange put a row, so it is materialised once
     # (reliable checkpoint in the shared checkpoint folder) and both branches read that copy.
