@@ -455,3 +455,47 @@ SQL["validate_registrations"] = """SELECT q.candidate_id, q.email,
                  THEN 'MISSING_CENTER_FIELDS'
              ELSE 'OK' END AS decision
     FROM registration_candidates q"""
+
+
+SQL.update({
+    "validate_sessions_strict": f"""WITH {CONFLICT_CTES}, k AS ({CONFLICT_SELECT}),
+      d AS (SELECT c.candidate_id,
+               CASE WHEN c.subject IS NULL OR c.grade_level IS NULL OR c.scheduled_at IS NULL
+                         OR c.duration_min IS NULL OR c.duration_min <= 0 THEN 'MISSING_FIELDS'
+                    WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
+                    WHEN NOT list_contains(t.grade_levels, c.grade_level) THEN 'GRADE_NOT_TAUGHT'
+                    WHEN NOT list_contains(t.subjects, c.subject) THEN 'SUBJECT_NOT_TAUGHT'
+                    WHEN l.center_id IS NULL THEN 'NOT_LINKED'
+                    WHEN c.scheduled_at <= {AS_OF} THEN 'IN_THE_PAST'
+                    WHEN k.decision = 'TEACHER_BUSY' THEN 'TEACHER_BUSY'
+                    WHEN k.decision = 'GRADE_OVERLAP' THEN 'GRADE_OVERLAP' ELSE 'OK' END AS decision,
+               k.conflict_session_id
+            FROM session_candidates c LEFT JOIN teachers t ON t.id = c.teacher_id
+            LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
+                 ON l.center_id = c.center_id AND l.teacher_id = c.teacher_id
+            LEFT JOIN k ON k.candidate_id = c.candidate_id)
+    SELECT candidate_id, decision,
+           CASE WHEN decision IN ('TEACHER_BUSY', 'GRADE_OVERLAP') THEN conflict_session_id END AS conflict_session_id
+    FROM d""",
+    "review_eligibility_per_booking": """WITH att AS (
+        SELECT b.id, b.student_id, s.teacher_id, b.booked_at FROM bookings b JOIN sessions s ON s.id = b.session_id
+        WHERE b.status = 'attended'),
+      any_att AS (SELECT DISTINCT student_id, teacher_id FROM att),
+      pick AS (SELECT student_id, teacher_id, id AS booking_id FROM (
+               SELECT *, row_number() OVER (PARTITION BY student_id, teacher_id ORDER BY booked_at, id) AS rn
+               FROM att WHERE id NOT IN (SELECT booking_id FROM reviews WHERE booking_id IS NOT NULL)) WHERE rn = 1),
+      j AS (SELECT q.request_id, q.student_id, q.teacher_id, q.rating, q.requested_at, p.booking_id,
+               CASE WHEN q.teacher_id IS NULL OR q.rating IS NULL OR q.rating = 0 THEN 'MISSING_FIELDS'
+                    WHEN q.rating < 1 OR q.rating > 5 THEN 'INVALID_RATING'
+                    WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND' WHEN a.student_id IS NULL THEN 'NOT_ATTENDED'
+                    WHEN p.booking_id IS NULL THEN 'ALREADY_REVIEWED' ELSE 'OK' END AS decision
+            FROM review_requests q LEFT JOIN teachers t ON t.id = q.teacher_id
+            LEFT JOIN any_att a ON a.student_id = q.student_id AND a.teacher_id = q.teacher_id
+            LEFT JOIN pick p ON p.student_id = q.student_id AND p.teacher_id = q.teacher_id),
+      o AS (SELECT *, row_number() OVER (PARTITION BY student_id, teacher_id ORDER BY requested_at, request_id) AS rn
+            FROM j WHERE decision = 'OK')
+    SELECT request_id, student_id, teacher_id, rating, decision, CAST(NULL AS BIGINT) AS booking_id FROM j
+    WHERE decision <> 'OK'
+    UNION ALL SELECT request_id, student_id, teacher_id, rating,
+        CASE WHEN rn = 1 THEN 'OK' ELSE 'ALREADY_REVIEWED' END, CASE WHEN rn = 1 THEN booking_id END FROM o""",
+})

@@ -122,6 +122,9 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "room_members_list": (center.room_members_list, S["room_members_list"]),
         "center_teacher_roster": (center.center_teacher_roster, S["center_teacher_roster"]),
         "center_session_board": (center.center_session_board, S["center_session_board"]),
+        "center_session_board_filtered": (lambda t: center.center_session_board(
+            t, status="scheduled", frm="1998-01-01 00:00:00", to="1998-12-31 23:59:59"),
+            S["center_session_board_filtered"]),
         "session_attendance": (center.session_attendance, S["session_attendance"]),
         "session_attendance_summary": (center.session_attendance_summary, S["session_attendance_summary"]),
         "center_analytics": (center.center_analytics, S["center_analytics"]),
@@ -145,6 +148,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
                               J["session_conflicts"]),
         "validate_sessions": (lambda t: jsched.validate_sessions(t, jreq.session_candidates(t)),
                               J["validate_sessions"]),
+        "validate_sessions_strict": (lambda t: jsched.validate_sessions(
+            t, jreq.session_candidates(t), require_link=True, require_future=True), J["validate_sessions_strict"]),
     })
     e.update({
         "join_rooms": (lambda t: jrooms.join_rooms(t, jrooms.join_requests(t)), J["join_rooms"]),
@@ -152,6 +157,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
                                 J["upgrade_room_access"]),
         "review_eligibility": (lambda t: jrooms.review_eligibility(t, jrooms.review_requests(t)),
                                J["review_eligibility"]),
+        "review_eligibility_per_booking": (lambda t: jrooms.review_eligibility(
+            t, jrooms.review_requests(t), per="booking"), J["review_eligibility_per_booking"]),
         "check_constraints": (jmaint.check_constraints, J["check_constraints"]),
         "constraint_summary": (jmaint.constraint_summary, J["constraint_summary"]),
         "derived_teacher_ratings": (jmaint.teacher_ratings, J["derived_teacher_ratings"]),
