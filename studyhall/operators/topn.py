@@ -25,4 +25,5 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], ke
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: list, k: int, rank_col: str = "position") -> DataFrame:
     """``row_number() <= k``: planned as WindowGroupLimit (partial top-k before the shuffle)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k) \
+        .withColumn(rank_col, F.col(rank_col).cast("bigint"))

@@ -51,7 +51,8 @@ def wallet_history(t, *, user=None, tx_type=None, limit=PAGE_ADMIN, offset=0) ->
     ledger = optional_filters(t["wallet_transactions"], {"user_id": user, "type": tx_type}).select(*HISTORY_COLS)
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id").asc())
     ranked = ledger.withColumn("position", F.row_number().over(w))
-    return ranked.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
+    return ranked.filter((F.col("position") > offset) & (F.col("position") <= offset + limit)) \
+        .withColumn("position", F.col("position").cast("bigint"))
 
 
 def wallet_history_count(t, *, user=None, tx_type=None) -> DataFrame:

@@ -14,6 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 KEYS = sorted(E.queries())
 SQL = E.oracle_sql()
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
 def _norm(v):
@@ -56,6 +58,10 @@ def test_matches_oracle(spark, duck, key):
     dcols = [d[0] for d in cur.description]
     want = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
+    for f in df.schema.fields:
+        s = f.dataType.simpleString()
+        assert dtypes[f.name] == TYPE_NAMES.get(s, s.upper()), (f.name, s, dtypes[f.name])
     assert len(got) == len(want)
     assert _rows(df.columns, got) == _rows(dcols, want)
 
