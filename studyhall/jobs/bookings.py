@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, money, new_key, ts_lit
 from studyhall.functions.tokens import qr_code
-from studyhall.operators.prefix import running_count, running_sum
+from studyhall.operators.prefix import group_sizes_many, running_count, running_sum
 from studyhall.operators.topn import first_per_group
 from studyhall.plans.wallet import balances_by_user
 
@@ -75,8 +75,10 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
                                                                      F.lit(False)))
          .drop("_f_requested_at", "_f_request_id"))
     order = ["requested_at", "request_id"]
-    r = running_count(r, ["session_id", "_live"], order, "seat_rank", size_source=requests)
-    r = running_sum(r, ["student_id", "_live"], order, "price", "spent", size_source=requests)
+    # group sizes of the raw requests bound the live groups; one probe job for both windows
+    per_session, per_student = group_sizes_many(requests, [["session_id"], ["student_id"]])
+    r = running_count(r, ["session_id", "_live"], order, "seat_rank", sizes=per_session)
+    r = running_sum(r, ["student_id", "_live"], order, "price", "spent", sizes=per_student)
     decision = (F.when(F.col("static") != "OK", F.col("static"))
                 .when(~F.col("_live"), F.lit("ALREADY_BOOKED"))
                 .otherwise(first_failure([

@@ -41,6 +41,18 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(row.m or 0), int(row.s or 0)
 
 
+def group_sizes_many(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> list[tuple[int, int]]:
+    """``group_sizes`` for several key sets in one job: each row is listed once per key set
+    (tagged with the set's index), one aggregation counts the groups, one row per set returns."""
+    tagged = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.concat_ws("|", *[F.col(k).cast("string") for k in ks]).alias("k"))
+        for i, ks in enumerate(key_sets)]))
+    rows = (df.select(tagged.alias("_g")).groupBy("_g.i", "_g.k").agg(F.count(F.lit(1)).alias("_n"))
+            .groupBy("i").agg(F.max("_n").alias("m"), F.sum("_n").alias("s")).collect())
+    got = {r.i: (int(r.m or 0), int(r.s or 0)) for r in rows}
+    return [got.get(i, (0, 0)) for i in range(len(key_sets))]
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the biggest key group."""
     return group_sizes(df, keys)[0]
@@ -48,7 +60,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], value: Column | str,
                 out: str, n_chunks: int | None = None, exclusive: bool = False,
-                max_group_rows: int | None = None, size_source: DataFrame | None = None) -> DataFrame:
+                max_group_rows: int | None = None, size_source: DataFrame | None = None,
+                sizes: tuple[int, int] | None = None) -> DataFrame:
     """Add column ``out`` = running sum of ``value`` within ``key`` in ``order`` (ties: keep order unique).
 
     ``exclusive=True`` gives the sum of the rows strictly before (``rowsBetween(-inf, -1)``,
@@ -56,16 +69,18 @@ def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], v
     ``studyhall.prefix.maxGroupRows``, default 2M) one window per key is used; otherwise the
     hot groups are split into range chunks as described above. ``size_source`` is a cheaper
     frame whose groups bound these ones from above (e.g. the raw requests before their joins);
-    the size probe runs on it instead of recomputing ``df``.
+    the size probe runs on it instead of recomputing ``df``; ``sizes`` = (largest group, total
+    rows) when the caller already measured them.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = list(order)
     val = F.col(value) if isinstance(value, str) else value
     limit = max_group_rows if max_group_rows is not None else int(
         df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    probe = size_source if size_source is not None else df
-    probe_keys = [k for k in keys if k in probe.columns]
-    biggest, total = group_sizes(probe, probe_keys)
+    if sizes is None:
+        probe = size_source if size_source is not None else df
+        sizes = group_sizes(probe, [k for k in keys if k in probe.columns])
+    biggest, total = sizes
     if biggest <= limit:
         frame_end = -1 if exclusive else Window.currentRow
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
@@ -94,7 +109,7 @@ def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], v
 
 def running_count(df: DataFrame, key: str | Sequence[str], order: Sequence[str], out: str,
                   n_chunks: int | None = None, max_group_rows: int | None = None,
-                  size_source: DataFrame | None = None) -> DataFrame:
+                  size_source: DataFrame | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``row_number()`` within ``key`` in ``order`` without funnelling a hot key into one task."""
     return running_sum(df, key, order, F.lit(1).cast("bigint"), out, n_chunks, max_group_rows=max_group_rows,
-                       size_source=size_source)
+                       size_source=size_source, sizes=sizes)

@@ -177,3 +177,10 @@ def test_uuid_rule_only_for_text_keys(spark, frames):
     from studyhall.functions.exprs import is_uuid
     df = spark.createDataFrame([("123e4567-e89b-12d3-a456-426614174000",), ("nope",), (None,)], "x string")
     assert [r.u for r in df.select(is_uuid("x").alias("u")).collect()] == [True, False, False]
+
+
+def test_group_sizes_many_in_one_job(spark):
+    from studyhall.operators.prefix import group_sizes, group_sizes_many
+    df = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 3)], "a long, b long")
+    assert group_sizes_many(df, [["a"], ["b"], ["a", "b"]]) == [group_sizes(df, ["a"]), group_sizes(df, ["b"]),
+                                                              group_sizes(df, ["a", "b"])] == [(3, 4), (2, 4), (2, 4)]
