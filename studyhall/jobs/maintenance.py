@@ -303,39 +303,96 @@ def unlink_teachers(t, requests: DataFrame) -> DataFrame:
                     F.when(F.col("l_cid").isNull(), "NOT_LINKED").otherwise("OK").alias("decision"))
 
 
-# FK effects of deleting a parent row (schema: CASCADE removes, RESTRICT blocks, SET NULL clears).
-FK_EFFECTS = {
-    "sessions": [("bookings", "session_id", "cascade")],
-    "bookings": [("attendances", "booking_id", "cascade"), ("reviews", "booking_id", "cascade")],
+# The delete rule of every foreign key of the reference schema (parent table ->
+# child table, column, rule). NO ACTION is enforced like RESTRICT. content_items.teacher_content_id
+# is not declared there (C8); the code only deletes unused master content, so it restricts.
+FK_RULES: dict[str, list[tuple[str, str, str]]] = {
+    "users": [("centers", "owner_id", "restrict"), ("teachers", "user_id", "cascade"),
+              ("bookings", "student_id", "restrict"), ("attendances", "scanned_by", "restrict"),
+              ("room_members", "student_id", "cascade"), ("wallet_transactions", "user_id", "restrict"),
+              ("reviews", "student_id", "cascade"), ("notifications", "user_id", "cascade"),
+              ("audit_logs", "admin_id", "set_null")],
+    "centers": [("center_teachers", "center_id", "cascade"), ("sessions", "center_id", "cascade"),
+                ("rooms", "center_id", "cascade")],
+    "teachers": [("center_teachers", "teacher_id", "cascade"), ("sessions", "teacher_id", "restrict"),
+                 ("rooms", "teacher_id", "cascade"), ("reviews", "teacher_id", "cascade")],
+    "sessions": [("bookings", "session_id", "restrict")],
+    "bookings": [("attendances", "booking_id", "restrict"), ("reviews", "booking_id", "restrict")],
     "rooms": [("room_members", "room_id", "cascade"), ("content_items", "room_id", "cascade")],
-    "reviews": [],
-    "content_items": [],
-    "teacher_content": [("content_items", "teacher_content_id", "set_null")],
+    "teacher_content": [("content_items", "teacher_content_id", "restrict")],
 }
 
 
-def delete_rows(t, table: str, keys: DataFrame, *, owner_col: str | None = None) -> dict[str, DataFrame]:
-    """JOB-22: owner-scoped delete of ``keys`` (id[, owner]) with the FK effect on dependants,
-    all as anti/left joins producing new snapshots (children first, then the table itself)."""
-    k = keys
-    if owner_col is not None:
-        owned = t[table].select(F.col("id").alias("_id"), F.col(owner_col).alias("_owner"))
-        k = keys.join(owned, (keys.id == owned._id) & (keys.owner == owned._owner), "left_semi")
-    gone = {table: k.select("id").distinct()}
-    out = {table: t[table].join(gone[table], "id", "left_anti")}
-    frontier = [table]
-    while frontier:
-        parent = frontier.pop()
-        for child, col, effect in FK_EFFECTS.get(parent, []):
-            base = out.get(child, t[child])
-            pk = gone[parent].select(F.col("id").alias("_pk"))
-            if effect == "cascade":
-                removed = base.join(pk, base[col] == pk._pk, "left_semi").select("id")
-                gone[child] = removed if child not in gone else gone[child].unionByName(removed)
-                out[child] = base.join(pk, base[col] == pk._pk, "left_anti")
-                frontier.append(child)
+def delete_rows(t, table: str, requests: DataFrame, *, owner_col: str | None = None) -> dict[str, DataFrame]:
+    """JOB-22: owner-scoped deletes decided per request, with the schema's FK rules.
+
+    ``requests``: request_id, id[, owner]. NOT_FOUND when the row does not exist (or belongs to
+    another owner); BLOCKED when any row in the request's cascade tree still has a RESTRICT
+    dependant (the database would reject the whole statement); otherwise OK, and the row, its
+    CASCADE dependants (transitively) are removed and SET NULL references cleared. Returns the
+    decisions and a new snapshot of every table the accepted deletes touch. The cascade runs
+    level by level as joins of (request, key) sets; the FK graph is acyclic.
+    """
+    base = t[table].select(F.col("id").alias("_id"), *([F.col(owner_col).alias("_owner")] if owner_col else []))
+    cond = requests.id == base._id
+    if owner_col:
+        cond = cond & (requests.owner == base._owner)
+    found = requests.join(base, cond, "left").select(
+        "request_id", "id", F.col("_id").isNotNull().alias("_found"))
+
+    roots = found.filter("_found").select(F.col("request_id").alias("_root"), F.col("id").alias("_key"))
+    closure: dict[str, list[DataFrame]] = {table: [roots]}
+    nulls: dict[str, list[tuple[str, DataFrame]]] = {}
+    blocked: list[DataFrame] = []
+    level = [(table, roots)]
+    while level:
+        nxt = []
+        for parent, keys in level:
+            for child, col, rule in FK_RULES.get(parent, []):
+                child_key = "id" if "id" in t[child].columns else col
+                refs = t[child].select(F.col(child_key).alias("_ck"), F.col(col).alias("_ref"))
+                hits = refs.join(keys, refs._ref == keys._key).select("_root", F.col("_ck").alias("_key"))
+                if rule == "restrict":
+                    blocked.append(hits.select("_root"))
+                elif rule == "cascade":
+                    if child_key == "id":
+                        closure.setdefault(child, []).append(hits)
+                        nxt.append((child, hits))
+                    else:  # leaf without an id: delete by the reference itself
+                        nulls.setdefault(child, []).append(("_delete_by:" + col, hits.select(
+                            "_root", F.col("_key").alias("_key"))))
+                else:
+                    nulls.setdefault(child, []).append((col, hits))
+        level = nxt
+
+    spark = requests.sparkSession
+    blocked_roots = (reduce(lambda a, b: a.unionByName(b), blocked).distinct() if blocked
+                     else spark.createDataFrame([], roots.select("_root").schema))
+    decisions = (found.join(blocked_roots.withColumn("_blocked", F.lit(True)),
+                            found.request_id == blocked_roots._root, "left")
+                 .select("request_id", "id", F.when(~F.col("_found"), "NOT_FOUND")
+                         .when(F.col("_blocked"), "BLOCKED").otherwise("OK").alias("decision")))
+    ok_roots = decisions.filter(F.col("decision") == "OK").select(F.col("request_id").alias("_ok"))
+
+    def accepted(frames: list[DataFrame]) -> DataFrame:
+        u = reduce(lambda a, b: a.unionByName(b), frames)
+        return u.join(ok_roots, u._root == ok_roots._ok, "left_semi").select("_key").distinct()
+
+    out = {"decisions": decisions}
+    for name, frames in closure.items():
+        gone = accepted(frames)
+        out[name] = t[name].join(gone, t[name].id == gone._key, "left_anti")
+    for name, items in nulls.items():
+        snap = out.get(name, t[name])
+        for col, frames in items:
+            gone = accepted([frames])
+            if col.startswith("_delete_by:"):
+                ref = col.split(":", 1)[1]
+                snap = snap.join(gone, snap[ref] == gone._key, "left_anti")
             else:
-                j = base.join(pk.withColumn("_hit", F.lit(True)), base[col] == pk._pk, "left")
-                out[child] = j.select(*[F.when(F.col("_hit"), F.lit(None)).otherwise(F.col(c)).cast(
-                    base.schema[c].dataType).alias(c) if c == col else F.col(c) for c in base.columns])
+                hit = gone.withColumn("_hit", F.lit(True))
+                j = snap.join(hit, snap["id"] == hit._key, "left")
+                snap = j.select(*[F.when(F.col("_hit"), F.lit(None)).otherwise(F.col(c)).cast(
+                    snap.schema[c].dataType).alias(c) if c == col else F.col(c) for c in snap.columns])
+        out[name] = snap
     return out

@@ -230,3 +230,19 @@ def registration_candidates(t) -> DataFrame:
         F.when(k % 2 == 0, F.concat(F.lit("Centre of "), F.col("c_name"))).alias("center_name"),
         F.when(k % 4 < 2, F.lit("Main street")).alias("center_address"),
         F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+
+
+def session_delete_requests(t) -> DataFrame:
+    """request_id, id, owner: every cancelled session deleted by its centre (every 7th asked by
+    another centre)."""
+    ns = t.n_supplier
+    s = t["sessions"].filter(F.col("status") == "cancelled").select("id", "center_id")
+    k = F.col("id")
+    return s.select(k.alias("request_id"), k.alias("id"),
+                    F.when(k % 7 == 0, (F.col("center_id") + 1) % ns).otherwise(F.col("center_id")).alias("owner"))
+
+
+def room_delete_requests(t) -> DataFrame:
+    """request_id, id, owner: every inactive room deleted by its centre."""
+    r = t["rooms"].filter(~F.col("is_active")).select("id", "center_id")
+    return r.select(F.col("id").alias("request_id"), "id", F.col("center_id").alias("owner"))

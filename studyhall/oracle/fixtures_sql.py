@@ -361,3 +361,11 @@ FIXTURE_CTES.update({
             CASE WHEN c_custkey % 4 < 2 THEN 'Main street' END AS center_address
         FROM customer""",
 })
+
+
+FIXTURE_CTES.update({
+    "session_delete_requests": """SELECT id AS request_id, id,
+            CASE WHEN id % 7 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS owner
+        FROM sessions WHERE status = 'cancelled'""",
+    "room_delete_requests": "SELECT id AS request_id, id, center_id AS owner FROM rooms WHERE NOT is_active",
+})

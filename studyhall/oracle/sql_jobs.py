@@ -438,8 +438,15 @@ SQL.update({
     "reorder_content": """SELECT ci.id, ci.room_id, COALESCE(CAST(r.rank AS INTEGER), ci.sort_order) AS sort_order
         FROM content_items ci LEFT JOIN (SELECT room_id, id, 100 - sort_order AS rank FROM content_items) r
              ON r.id = ci.id AND r.room_id = ci.room_id""",
-    "delete_cancelled_sessions": """SELECT b.id, b.session_id FROM bookings b
-        WHERE b.session_id NOT IN (SELECT id FROM sessions WHERE status = 'cancelled')""",
+    "delete_cancelled_sessions": """SELECT q.request_id, q.id,
+            CASE WHEN s.id IS NULL THEN 'NOT_FOUND'
+                 WHEN EXISTS (SELECT 1 FROM bookings b WHERE b.session_id = q.id) THEN 'BLOCKED' ELSE 'OK' END
+                AS decision
+        FROM session_delete_requests q LEFT JOIN sessions s ON s.id = q.id AND s.center_id = q.owner""",
+    "delete_inactive_rooms": """SELECT q.request_id, q.id, CASE WHEN r.id IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS decision
+        FROM room_delete_requests q LEFT JOIN rooms r ON r.id = q.id AND r.center_id = q.owner""",
+    "delete_inactive_rooms_content": """SELECT id, room_id FROM content_items
+        WHERE room_id NOT IN (SELECT id FROM rooms WHERE NOT is_active)""",
     "user_status_changes": """SELECT q.request_id, q.admin_id, q.user_id, q.is_active, q.reason,
             CASE WHEN u.id IS NULL THEN 'NOT_FOUND' WHEN u.role = 'super_admin' THEN 'FORBIDDEN' ELSE 'OK' END
                 AS decision

@@ -185,9 +185,14 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "reorder_content": (lambda t: jmaint.reorder_content(t, jreq.reorder_requests(t)).select(
             "id", "room_id", "sort_order"), J["reorder_content"]),
         "delete_cancelled_sessions": (lambda t: jmaint.delete_rows(
-            t, "sessions", t["sessions"].filter(F.col("status") == "cancelled").select(
-                "id", F.col("center_id").alias("owner")), owner_col="center_id")["bookings"].select("id", "session_id"),
+            t, "sessions", jreq.session_delete_requests(t), owner_col="center_id")["decisions"],
             J["delete_cancelled_sessions"]),
+        "delete_inactive_rooms": (lambda t: jmaint.delete_rows(
+            t, "rooms", jreq.room_delete_requests(t), owner_col="center_id")["decisions"],
+            J["delete_inactive_rooms"]),
+        "delete_inactive_rooms_content": (lambda t: jmaint.delete_rows(
+            t, "rooms", jreq.room_delete_requests(t), owner_col="center_id")["content_items"].select("id", "room_id"),
+            J["delete_inactive_rooms_content"]),
         "validate_registrations": (lambda t: jrooms.validate_registrations(
             t, jreq.registration_candidates(t))["decisions"], J["validate_registrations"]),
         "user_status_changes": (lambda t: jled.user_status_changes(t, jreq.status_change_requests(t))["decisions"],

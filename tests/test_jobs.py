@@ -131,18 +131,28 @@ def test_apply_patches_latest_wins_and_null_keeps(spark):
     assert over == {1: None, 2: "b"}
 
 
-def test_delete_cascades(spark, frames):
+def test_delete_restrict_cascade_and_set_null(spark, frames):
     t = frames()
-    t["sessions"] = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "id long, center_id long")
-    t["bookings"] = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, session_id long")
-    t["attendances"] = spark.createDataFrame([(1, 1), (3, 3)], "id long, booking_id long")
-    t["reviews"] = spark.createDataFrame([(7, 2)], "id long, booking_id long")
-    keys = spark.createDataFrame([(1, 10), (3, 10)], "id long, owner long")  # 3 belongs to centre 11
-    out = maintenance.delete_rows(t, "sessions", keys, owner_col="center_id")
-    assert sorted(r.id for r in out["sessions"].collect()) == [2, 3]
-    assert sorted(r.id for r in out["bookings"].collect()) == [2, 3]
-    assert sorted(r.id for r in out["attendances"].collect()) == [3]
-    assert sorted(r.id for r in out["reviews"].collect()) == [7]
+    t["centers"] = spark.createDataFrame([(1, 9001), (2, 9002)], "id long, owner_id long")
+    t["sessions"] = spark.createDataFrame([(1, 1, 7), (2, 2, 7), (3, 2, 7)], "id long, center_id long, teacher_id long")
+    t["bookings"] = spark.createDataFrame([(10, 1, 100)], "id long, session_id long, student_id long")
+    t["center_teachers"] = spark.createDataFrame([(1, 7), (2, 7)], "center_id long, teacher_id long")
+    t["rooms"] = spark.createDataFrame([(5, 2, 7)], "id long, center_id long, teacher_id long")
+    t["room_members"] = spark.createDataFrame([(50, 5, 100)], "id long, room_id long, student_id long")
+    t["content_items"] = spark.createDataFrame([(60, 5, None)], "id long, room_id long, teacher_content_id long")
+    # sessions: 1 has a booking (RESTRICT), 2 is free, 3 belongs to centre 2 but is asked by centre 1
+    req = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 1)], "request_id long, id long, owner long")
+    out = maintenance.delete_rows(t, "sessions", req, owner_col="center_id")
+    assert decide(out["decisions"]) == {1: "BLOCKED", 2: "OK", 3: "NOT_FOUND"}
+    assert sorted(r.id for r in out["sessions"].collect()) == [1, 3]
+    # centres: 1 blocked through session 1's booking; 2 cascades to sessions, rooms, members, content, links
+    creq = spark.createDataFrame([(7, 1), (8, 2)], "request_id long, id long")
+    out = maintenance.delete_rows(t, "centers", creq)
+    assert decide(out["decisions"]) == {7: "BLOCKED", 8: "OK"}
+    assert sorted(r.id for r in out["centers"].collect()) == [1]
+    assert sorted(r.id for r in out["sessions"].collect()) == [1]
+    assert out["rooms"].count() == 0 and out["room_members"].count() == 0 and out["content_items"].count() == 0
+    assert [(r.center_id, r.teacher_id) for r in out["center_teachers"].collect()] == [(1, 7)]
 
 
 def test_review_per_booking_option(spark, frames):
