@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from studyhall.constants import (
     ACCESS_TIERS, BOOKING_STATUSES, CONTENT_TYPES, ROLES, SESSION_AS_OF, SESSION_STATUSES, TX_STATUSES, TX_TYPES,
 )
-from studyhall.functions.exprs import avg_1dp, ts_lit
+from studyhall.functions.exprs import avg_1dp, first_failure, ts_lit
 
 VIOLATION_COLS = ["table_name", "rule", "row_key", "detail"]
 
@@ -278,29 +278,32 @@ def reorder_content(t, requests: DataFrame) -> DataFrame:
                       for c in ci.columns])
 
 
-def link_teachers(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
-    """JOB-15 link: CENTER_NOT_FOUND, TEACHER_NOT_FOUND, ALREADY_LINKED (active link), else OK
-    (a new link, or reactivation of an inactive one: REACTIVATED)."""
+def _link_facts(t, requests: DataFrame) -> DataFrame:
     ctr = t["centers"].select(F.col("id").alias("c_id"))
     tch = t["teachers"].select(F.col("id").alias("t_id"))
-    ct = t["center_teachers"].select(F.col("center_id").alias("l_cid"), F.col("teacher_id").alias("l_tid"),
-                                     F.col("is_active").alias("l_active"))
-    j = (requests.join(ctr, requests.center_id == ctr.c_id, "left").join(tch, F.col("teacher_id") == F.col("t_id"),
-                                                                         "left")
-         .join(ct, (F.col("center_id") == F.col("l_cid")) & (F.col("teacher_id") == F.col("l_tid")), "left"))
-    return j.select("request_id", "center_id", "teacher_id",
-                    F.when(F.col("c_id").isNull(), "CENTER_NOT_FOUND").when(F.col("t_id").isNull(), "TEACHER_NOT_FOUND")
-                    .when(F.col("l_active"), "ALREADY_LINKED").when(F.col("l_cid").isNotNull(), "REACTIVATED")
-                    .otherwise("OK").alias("decision"))
+    ct = t["center_teachers"].select(F.col("center_id").alias("l_cid"), F.col("teacher_id").alias("l_tid")) \
+        .distinct()
+    return (requests.join(ctr, requests.center_id == ctr.c_id, "left")
+            .join(tch, F.col("teacher_id") == F.col("t_id"), "left")
+            .join(ct, (F.col("center_id") == F.col("l_cid")) & (F.col("teacher_id") == F.col("l_tid")), "left"))
+
+
+def link_teachers(t, requests: DataFrame) -> DataFrame:
+    """JOB-15 link: CENTER_NOT_FOUND, TEACHER_NOT_FOUND, ALREADY_LINKED (any association row,
+    active or not), else OK (a new active link)."""
+    j = _link_facts(t, requests)
+    return j.select("request_id", "center_id", "teacher_id", first_failure([
+        ("CENTER_NOT_FOUND", F.col("c_id").isNull()), ("TEACHER_NOT_FOUND", F.col("t_id").isNull()),
+        ("ALREADY_LINKED", F.col("l_cid").isNotNull())]).alias("decision"))
 
 
 def unlink_teachers(t, requests: DataFrame) -> DataFrame:
-    """JOB-15 unlink: NOT_LINKED when no active link exists, else OK."""
-    ct = t["center_teachers"].filter(F.col("is_active")).select(F.col("center_id").alias("l_cid"),
-                                                                F.col("teacher_id").alias("l_tid"))
-    j = requests.join(ct, (requests.center_id == ct.l_cid) & (requests.teacher_id == ct.l_tid), "left")
-    return j.select("request_id", "center_id", "teacher_id",
-                    F.when(F.col("l_cid").isNull(), "NOT_LINKED").otherwise("OK").alias("decision"))
+    """JOB-15 unlink: CENTER_NOT_FOUND, TEACHER_NOT_FOUND, NOT_LINKED (no association row), else
+    OK (the association row is deleted)."""
+    j = _link_facts(t, requests)
+    return j.select("request_id", "center_id", "teacher_id", first_failure([
+        ("CENTER_NOT_FOUND", F.col("c_id").isNull()), ("TEACHER_NOT_FOUND", F.col("t_id").isNull()),
+        ("NOT_LINKED", F.col("l_cid").isNull())]).alias("decision"))
 
 
 # The delete rule of every foreign key of the reference schema (parent table ->

@@ -152,9 +152,10 @@ def link_requests(t) -> DataFrame:
 
 
 def unlink_requests(t) -> DataFrame:
-    """request_id, center_id, teacher_id: every link (active or not) asked to be removed."""
-    ct = t["center_teachers"]
-    return ct.select((ct.center_id * UNKNOWN_OFFSET + ct.teacher_id).alias("request_id"), "center_id", "teacher_id")
+    """request_id, center_id, teacher_id: every teacher asked off centre id*5 % ns (linked or not)."""
+    ns = t.n_supplier
+    k = F.col("id")
+    return t["teachers"].select(k.alias("request_id"), (k * 5 % ns).alias("center_id"), k.alias("teacher_id"))
 
 
 def publish_requests(t) -> DataFrame:

@@ -331,8 +331,8 @@ FIXTURE_CTES.update({
             CASE WHEN id % 5 = 0 THEN teacher_id + 1 ELSE teacher_id END AS teacher_id FROM teacher_content""",
     "link_requests": """SELECT id AS request_id, id * 3 % (SELECT ns FROM _n) AS center_id,
             CASE WHEN id % 13 = 0 THEN id + 1000000000000 ELSE id END AS teacher_id FROM teachers""",
-    "unlink_requests": """SELECT center_id * 1000000000000 + teacher_id AS request_id, center_id, teacher_id
-        FROM center_teachers""",
+    "unlink_requests": """SELECT id AS request_id, id * 5 % (SELECT ns FROM _n) AS center_id, id AS teacher_id
+        FROM teachers""",
     "publish_requests": """SELECT id AS request_id, teacher_id,
             CASE WHEN id % 6 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
             CASE WHEN id % 11 = 0 THEN 'audio' ELSE type END AS type,

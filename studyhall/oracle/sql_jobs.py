@@ -388,14 +388,14 @@ SQL.update({
              ON u.teacher_content_id = q.content_id""",
     "link_teachers": """SELECT q.request_id, q.center_id, q.teacher_id,
             CASE WHEN c.id IS NULL THEN 'CENTER_NOT_FOUND' WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
-                 WHEN ct.is_active THEN 'ALREADY_LINKED' WHEN ct.center_id IS NOT NULL THEN 'REACTIVATED'
-                 ELSE 'OK' END AS decision
-        FROM link_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id
-        LEFT JOIN center_teachers ct ON ct.center_id = q.center_id AND ct.teacher_id = q.teacher_id""",
+                 WHEN EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.center_id = q.center_id
+                              AND ct.teacher_id = q.teacher_id) THEN 'ALREADY_LINKED' ELSE 'OK' END AS decision
+        FROM link_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id""",
     "unlink_teachers": """SELECT q.request_id, q.center_id, q.teacher_id,
-            CASE WHEN ct.center_id IS NULL THEN 'NOT_LINKED' ELSE 'OK' END AS decision
-        FROM unlink_requests q LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) ct
-             ON ct.center_id = q.center_id AND ct.teacher_id = q.teacher_id""",
+            CASE WHEN c.id IS NULL THEN 'CENTER_NOT_FOUND' WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
+                 WHEN NOT EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.center_id = q.center_id
+                                  AND ct.teacher_id = q.teacher_id) THEN 'NOT_LINKED' ELSE 'OK' END AS decision
+        FROM unlink_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id""",
     "publish_teacher_content": """SELECT q.request_id, q.teacher_id, q.center_id,
             CASE WHEN q.center_id IS NULL THEN 'CENTER_REQUIRED'
                  WHEN q.type IS NULL OR q.title IS NULL OR q.url IS NULL OR q.title = '' OR q.url = ''
