@@ -181,17 +181,17 @@ def room_candidates(t) -> DataFrame:
 
 
 def attach_requests(t) -> DataFrame:
-    """request_id, center_id, room_id, content_id, title, is_free, sort_order: each master
-    content attached to its teacher's room (title override for even ids); every 9th from the
-    wrong centre."""
+    """request_id, center_id, room_id, content_id, is_free, sort_order: each master content
+    attached to its teacher's room (free for even ids, rank id % 10 for every 3rd); every 9th
+    from the wrong centre."""
     ns = t.n_supplier
     tc = t["teacher_content"]
     k = F.col("id")
     return tc.select(k.alias("request_id"),
                      F.when(k % 9 == 0, (F.col("center_id") + 1) % ns).otherwise(F.col("center_id")).alias("center_id"),
                      F.col("teacher_id").alias("room_id"), k.alias("content_id"),
-                     F.when(k % 2 == 0, F.concat(F.lit("Copy "), F.col("title"))).alias("title"),
-                     F.lit(None).cast("boolean").alias("is_free"), F.lit(None).cast("int").alias("sort_order"))
+                     F.when(k % 2 == 0, F.lit(True)).alias("is_free"),
+                     F.when(k % 3 == 0, (k % 10).cast("int")).alias("sort_order"))
 
 
 def reorder_requests(t) -> DataFrame:

@@ -178,32 +178,32 @@ def review_eligibility(t, requests: DataFrame, *, per: str = "teacher") -> DataF
 
 # ------------------------------------------------------------------ JOB-13
 def attach_content(t, requests: DataFrame) -> DataFrame:
-    """JOB-13: requests (request_id, center_id, room_id, content_id, title?, is_free?, sort_order?):
-    ROOM_NOT_FOUND (not in this centre), CONTENT_NOT_FOUND (inactive or other centre),
-    NOT_LINKED (teacher of the content not actively linked), ALREADY_ATTACHED, else OK with the
-    copy's values (overrides over the master's)."""
+    """JOB-13: requests (request_id, center_id, room_id, content_id, is_free?, sort_order?):
+    CONTENT_REQUIRED, ROOM_NOT_FOUND (not a room of this centre), CONTENT_NOT_AVAILABLE (not an
+    active master content of this centre whose teacher is actively linked to it), ALREADY_IN_ROOM,
+    else OK with the copy: the master's type, title, description and url; ``is_free`` from the
+    request or the master; ``sort_order`` from the request or 0."""
     rooms = t["rooms"].select(F.col("id").alias("r_id"), F.col("center_id").alias("r_cid"))
-    tc = t["teacher_content"].filter(F.col("is_active")).select(
-        F.col("id").alias("tc_id"), F.col("center_id").alias("tc_cid"), F.col("teacher_id").alias("tc_tid"),
-        "type", F.col("title").alias("tc_title"), "url", F.col("is_free").alias("tc_free"),
-        F.col("sort_order").alias("tc_sort"))
     links = t["center_teachers"].filter(F.col("is_active")).select(F.col("center_id").alias("l_cid"),
-                                                                   F.col("teacher_id").alias("l_tid"),
-                                                                   F.lit(True).alias("linked"))
+                                                                   F.col("teacher_id").alias("l_tid")).distinct()
+    tc = (t["teacher_content"].filter(F.col("is_active"))
+          .join(links, (F.col("center_id") == F.col("l_cid")) & (F.col("teacher_id") == F.col("l_tid")), "left_semi")
+          .select(F.col("id").alias("tc_id"), F.col("center_id").alias("tc_cid"), "type",
+                  F.col("title").alias("tc_title"), F.col("description").alias("tc_description"), "url",
+                  F.col("is_free").alias("tc_free")))
     have = t["content_items"].filter(F.col("teacher_content_id").isNotNull()).select(
         F.col("room_id").alias("h_room"), F.col("teacher_content_id").alias("h_tc")).distinct() \
         .withColumn("attached", F.lit(True))
     j = (requests.join(rooms, (requests.room_id == rooms.r_id) & (requests.center_id == rooms.r_cid), "left")
          .join(tc, (F.col("content_id") == F.col("tc_id")) & (F.col("center_id") == F.col("tc_cid")), "left")
-         .join(links, (F.col("center_id") == F.col("l_cid")) & (F.col("tc_tid") == F.col("l_tid")), "left")
          .join(have, (F.col("room_id") == F.col("h_room")) & (F.col("content_id") == F.col("h_tc")), "left"))
     decision = first_failure([
-        ("ROOM_NOT_FOUND", F.col("r_id").isNull()), ("CONTENT_NOT_FOUND", F.col("tc_id").isNull()),
-        ("NOT_LINKED", F.col("linked").isNull()), ("ALREADY_ATTACHED", F.col("attached"))])
+        ("CONTENT_REQUIRED", F.col("content_id").isNull()), ("ROOM_NOT_FOUND", F.col("r_id").isNull()),
+        ("CONTENT_NOT_AVAILABLE", F.col("tc_id").isNull()), ("ALREADY_IN_ROOM", F.col("attached"))])
     return j.select("request_id", "room_id", "content_id", decision.alias("decision"), "type",
-                    F.coalesce(F.col("title"), F.col("tc_title")).alias("title"), "url",
+                    F.col("tc_title").alias("title"), F.col("tc_description").alias("description"), "url",
                     F.coalesce(F.col("is_free"), F.col("tc_free")).alias("is_free"),
-                    F.coalesce(F.col("sort_order"), F.col("tc_sort")).alias("sort_order"))
+                    F.coalesce(F.col("sort_order"), F.lit(0)).alias("sort_order"))
 
 
 # ------------------------------------------------------------------ JOB-20

@@ -343,8 +343,8 @@ FIXTURE_CTES.update({
     "attach_requests": """SELECT id AS request_id,
             CASE WHEN id % 9 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
             teacher_id AS room_id, id AS content_id,
-            CASE WHEN id % 2 = 0 THEN 'Copy ' || title END AS title, CAST(NULL AS BOOLEAN) AS is_free,
-            CAST(NULL AS INTEGER) AS sort_order FROM teacher_content""",
+            CASE WHEN id % 2 = 0 THEN TRUE END AS is_free,
+            CASE WHEN id % 3 = 0 THEN CAST(id % 10 AS INTEGER) END AS sort_order FROM teacher_content""",
     "status_change_requests": """SELECT id AS request_id, 3000000000 AS admin_id, id AS user_id,
             NOT is_active AS is_active, CASE WHEN is_active THEN 'policy' END AS reason FROM users""",
 })

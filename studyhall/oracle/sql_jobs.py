@@ -423,16 +423,17 @@ SQL.update({
                  ON l.center_id = q.center_id AND l.teacher_id = q.teacher_id
             LEFT JOIN teachers t ON t.id = q.teacher_id) d ON d.candidate_id = q.candidate_id""",
     "attach_content": """SELECT q.request_id, q.room_id, q.content_id,
-            CASE WHEN r.id IS NULL THEN 'ROOM_NOT_FOUND' WHEN tc.id IS NULL THEN 'CONTENT_NOT_FOUND'
-                 WHEN l.center_id IS NULL THEN 'NOT_LINKED' WHEN h.room_id IS NOT NULL THEN 'ALREADY_ATTACHED'
+            CASE WHEN q.content_id IS NULL THEN 'CONTENT_REQUIRED' WHEN r.id IS NULL THEN 'ROOM_NOT_FOUND'
+                 WHEN tc.id IS NULL THEN 'CONTENT_NOT_AVAILABLE' WHEN h.room_id IS NOT NULL THEN 'ALREADY_IN_ROOM'
                  ELSE 'OK' END AS decision,
-            tc.type, COALESCE(q.title, tc.title) AS title, tc.url, COALESCE(q.is_free, tc.is_free) AS is_free,
-            COALESCE(q.sort_order, tc.sort_order) AS sort_order
+            tc.type, tc.title, tc.description, tc.url, COALESCE(q.is_free, tc.is_free) AS is_free,
+            COALESCE(q.sort_order, 0) AS sort_order
         FROM attach_requests q
         LEFT JOIN rooms r ON r.id = q.room_id AND r.center_id = q.center_id
-        LEFT JOIN (SELECT * FROM teacher_content WHERE is_active) tc ON tc.id = q.content_id AND tc.center_id = q.center_id
-        LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
-             ON l.center_id = q.center_id AND l.teacher_id = tc.teacher_id
+        LEFT JOIN (SELECT tc.* FROM teacher_content tc
+                   WHERE tc.is_active AND EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.is_active
+                                                  AND ct.teacher_id = tc.teacher_id AND ct.center_id = tc.center_id)) tc
+             ON tc.id = q.content_id AND tc.center_id = q.center_id
         LEFT JOIN (SELECT DISTINCT room_id, teacher_content_id FROM content_items WHERE teacher_content_id IS NOT NULL) h
              ON h.room_id = q.room_id AND h.teacher_content_id = q.content_id""",
     "reorder_content": """SELECT ci.id, ci.room_id, COALESCE(CAST(r.rank AS INTEGER), ci.sort_order) AS sort_order
