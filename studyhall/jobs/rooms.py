@@ -209,13 +209,16 @@ def attach_content(t, requests: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ JOB-20
 def validate_rooms(t, candidates: DataFrame) -> DataFrame:
     """JOB-20: candidates (candidate_id, center_id, teacher_id, name, subject, grade_level):
-    MISSING_FIELDS, NAME_TAKEN (same name in the centre), NOT_LINKED, GRADE_NOT_TAUGHT,
-    SUBJECT_NOT_TAUGHT, else OK with an access code (FN-20)."""
+    MISSING_FIELDS, NAME_TAKEN (same name in the centre), NOT_LINKED (no association row with the
+    centre), NOT_TAUGHT (grade or subject not among the teacher's), else OK with an access code.
+
+    The code is FN-20 of the candidate id; when it equals an existing room's code or another
+    accepted candidate's, the salted code is used instead (deterministic, unlike a random retry).
+    """
     taken = t["rooms"].select(F.col("center_id").alias("n_cid"), F.col("name").alias("n_name")).distinct() \
         .withColumn("taken", F.lit(True))
-    links = t["center_teachers"].filter(F.col("is_active")).select(F.col("center_id").alias("l_cid"),
-                                                                   F.col("teacher_id").alias("l_tid"),
-                                                                   F.lit(True).alias("linked"))
+    links = t["center_teachers"].select(F.col("center_id").alias("l_cid"), F.col("teacher_id").alias("l_tid")) \
+        .distinct().withColumn("linked", F.lit(True))
     tch = t["teachers"].select(F.col("id").alias("t_id"), "subjects", "grade_levels")
     j = (candidates.join(taken, (candidates.center_id == taken.n_cid) & (candidates.name == taken.n_name), "left")
          .join(links, (F.col("center_id") == F.col("l_cid")) & (F.col("teacher_id") == F.col("l_tid")), "left")
@@ -224,10 +227,18 @@ def validate_rooms(t, candidates: DataFrame) -> DataFrame:
         ("MISSING_FIELDS", F.col("name").isNull() | F.col("teacher_id").isNull() | F.col("subject").isNull()
          | F.col("grade_level").isNull()),
         ("NAME_TAKEN", F.col("taken")), ("NOT_LINKED", F.col("linked").isNull()),
-        ("GRADE_NOT_TAUGHT", ~F.array_contains("grade_levels", F.col("grade_level"))),
-        ("SUBJECT_NOT_TAUGHT", ~F.array_contains("subjects", F.col("subject")))])
-    return j.select("candidate_id", "center_id", "teacher_id", "name", decision.alias("decision"),
-                    F.when(decision == "OK", access_code("candidate_id")).alias("access_code"))
+        ("NOT_TAUGHT", ~F.array_contains("grade_levels", F.col("grade_level"))
+         | ~F.array_contains("subjects", F.col("subject")))])
+    d = j.select("candidate_id", "center_id", "teacher_id", "name", decision.alias("decision"),
+                 access_code("candidate_id").alias("_code0"))
+    existing = t["rooms"].select(F.col("access_code").alias("_code0")).distinct().withColumn("_in_use", F.lit(True))
+    twins = (d.filter(F.col("decision") == "OK").groupBy("_code0").agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > 1).select("_code0", F.lit(True).alias("_twin")))
+    d = d.join(existing, "_code0", "left").join(twins, "_code0", "left")
+    clash = F.coalesce(F.col("_in_use"), F.lit(False)) | F.coalesce(F.col("_twin"), F.lit(False))
+    return d.select("candidate_id", "center_id", "teacher_id", "name", "decision",
+                    F.when(F.col("decision") == "OK", F.when(clash, access_code("candidate_id", 1))
+                           .otherwise(F.col("_code0"))).alias("access_code"))
 
 
 # ------------------------------------------------------------------ JOB-21

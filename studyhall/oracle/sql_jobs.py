@@ -406,22 +406,27 @@ SQL.update({
                  WHEN l.center_id IS NULL THEN 'NOT_YOUR_CENTER' ELSE 'OK' END AS decision
         FROM publish_requests q LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
              ON l.center_id = q.center_id AND l.teacher_id = q.teacher_id""",
-    "validate_rooms": """SELECT q.candidate_id, q.center_id, q.teacher_id, q.name, d.decision,
-            CASE WHEN d.decision = 'OK' THEN upper(substr(sha256(CAST(q.candidate_id AS VARCHAR)), 1, 8)) END
-                AS access_code
-        FROM room_candidates q JOIN (
-            SELECT q.candidate_id,
-                   CASE WHEN q.name IS NULL OR q.teacher_id IS NULL OR q.subject IS NULL OR q.grade_level IS NULL
-                            THEN 'MISSING_FIELDS'
-                        WHEN n.center_id IS NOT NULL THEN 'NAME_TAKEN' WHEN l.center_id IS NULL THEN 'NOT_LINKED'
-                        WHEN NOT list_contains(t.grade_levels, q.grade_level) THEN 'GRADE_NOT_TAUGHT'
-                        WHEN NOT list_contains(t.subjects, q.subject) THEN 'SUBJECT_NOT_TAUGHT' ELSE 'OK' END
-                       AS decision
-            FROM room_candidates q
-            LEFT JOIN (SELECT DISTINCT center_id, name FROM rooms) n ON n.center_id = q.center_id AND n.name = q.name
-            LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
-                 ON l.center_id = q.center_id AND l.teacher_id = q.teacher_id
-            LEFT JOIN teachers t ON t.id = q.teacher_id) d ON d.candidate_id = q.candidate_id""",
+    "validate_rooms": """WITH d AS (
+        SELECT q.candidate_id, q.center_id, q.teacher_id, q.name,
+               CASE WHEN q.name IS NULL OR q.teacher_id IS NULL OR q.subject IS NULL OR q.grade_level IS NULL
+                        THEN 'MISSING_FIELDS'
+                    WHEN EXISTS (SELECT 1 FROM rooms r WHERE r.center_id = q.center_id AND r.name = q.name)
+                        THEN 'NAME_TAKEN'
+                    WHEN NOT EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.center_id = q.center_id
+                                     AND ct.teacher_id = q.teacher_id) THEN 'NOT_LINKED'
+                    WHEN NOT list_contains(t.grade_levels, q.grade_level) OR NOT list_contains(t.subjects, q.subject)
+                        THEN 'NOT_TAUGHT'
+                    ELSE 'OK' END AS decision,
+               upper(substr(sha256(CAST(q.candidate_id AS VARCHAR)), 1, 8)) AS code0,
+               upper(substr(sha256(CAST(q.candidate_id AS VARCHAR) || '#1'), 1, 8)) AS code1
+        FROM room_candidates q LEFT JOIN teachers t ON t.id = q.teacher_id),
+      o AS (SELECT *, count(*) OVER (PARTITION BY code0) AS twins FROM d WHERE decision = 'OK')
+    SELECT candidate_id, center_id, teacher_id, name, decision, CAST(NULL AS VARCHAR) AS access_code
+    FROM d WHERE decision <> 'OK'
+    UNION ALL
+    SELECT candidate_id, center_id, teacher_id, name, decision,
+           CASE WHEN twins > 1 OR code0 IN (SELECT access_code FROM rooms) THEN code1 ELSE code0 END
+    FROM o""",
     "attach_content": """SELECT q.request_id, q.room_id, q.content_id,
             CASE WHEN q.content_id IS NULL THEN 'CONTENT_REQUIRED' WHEN r.id IS NULL THEN 'ROOM_NOT_FOUND'
                  WHEN tc.id IS NULL THEN 'CONTENT_NOT_AVAILABLE' WHEN h.room_id IS NOT NULL THEN 'ALREADY_IN_ROOM'
