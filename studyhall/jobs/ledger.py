@@ -83,19 +83,20 @@ def deposit_outputs(decisions: DataFrame, *, as_of=LEDGER_AS_OF) -> DataFrame:
 
 
 def user_status_changes(t, requests: DataFrame, *, as_of=LEDGER_AS_OF) -> dict[str, DataFrame]:
-    """JOB-24: requests (request_id, admin_id, user_id, is_active, reason): NOT_FOUND, FORBIDDEN
-    (super_admin target), else OK; OK patches the user and writes an audit row
-    (activate_user / deactivate_user with the reason)."""
+    """JOB-24: requests (request_id, admin_id, user_id, is_active, reason): FIELD_REQUIRED (no
+    is_active), NOT_FOUND, FORBIDDEN (super_admin target), else OK; OK patches the user and writes
+    an audit row (activate_user / deactivate_user, details ``{"reason": ...}``)."""
     u = t["users"].select(F.col("id").alias("u_id"), "role")
     j = requests.join(u, requests.user_id == u.u_id, "left")
     d = j.select("request_id", "admin_id", "user_id", "is_active", "reason", first_failure([
-        ("NOT_FOUND", F.col("u_id").isNull()), ("FORBIDDEN", F.col("role") == "super_admin")]).alias("decision"))
+        ("FIELD_REQUIRED", F.col("is_active").isNull()), ("NOT_FOUND", F.col("u_id").isNull()),
+        ("FORBIDDEN", F.col("role") == "super_admin")]).alias("decision"))
     ok = d.filter(F.col("decision") == "OK")
     patches = ok.select(F.col("user_id").alias("id"), "is_active", ts_lit(as_of).alias("patched_at"))
     audit = ok.select(
         F.col("request_id").alias("id"), "admin_id",
         F.when(F.col("is_active"), "activate_user").otherwise("deactivate_user").alias("action"),
         F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_id"),
-        F.to_json(F.struct(F.col("reason"), F.col("is_active")), {"ignoreNullFields": "false"}).alias("details"),
+        F.to_json(F.struct(F.col("reason")), {"ignoreNullFields": "false"}).alias("details"),
         ts_lit(as_of).alias("created_at"))
     return {"decisions": d, "users": apply_patches(t["users"], patches, mode="overwrite"), "audit_logs": audit}

@@ -264,8 +264,12 @@ def retire_content(t, requests: DataFrame) -> DataFrame:
 
 
 def reorder_content(t, requests: DataFrame) -> DataFrame:
-    """JOB-14: requests (room_id, items: array<struct<id, sort_order>>) set new ranks; ids
-    outside the room are ignored. Returns the new content_items snapshot."""
+    """JOB-14: requests (room_id[, center_id], items: array<struct<id, sort_order>>) set new
+    ranks; ids outside the room are ignored, and with ``center_id`` a request for a room of
+    another centre is ignored (NOT_FOUND). Returns the new content_items snapshot."""
+    if "center_id" in requests.columns:
+        own = t["rooms"].select(F.col("id").alias("_rid"), F.col("center_id").alias("_rc"))
+        requests = requests.join(own, (requests.room_id == own._rid) & (requests.center_id == own._rc), "left_semi")
     ranks = (requests.select("room_id", F.posexplode("items").alias("_pos", "_item"))
              .select(F.col("room_id").alias("r_room"), F.col("_item.id").alias("r_id"),
                      F.col("_item.sort_order").alias("r_rank"), "_pos"))

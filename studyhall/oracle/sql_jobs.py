@@ -454,8 +454,8 @@ SQL.update({
     "delete_inactive_rooms_content": """SELECT id, room_id FROM content_items
         WHERE room_id NOT IN (SELECT id FROM rooms WHERE NOT is_active)""",
     "user_status_changes": """SELECT q.request_id, q.admin_id, q.user_id, q.is_active, q.reason,
-            CASE WHEN u.id IS NULL THEN 'NOT_FOUND' WHEN u.role = 'super_admin' THEN 'FORBIDDEN' ELSE 'OK' END
-                AS decision
+            CASE WHEN q.is_active IS NULL THEN 'FIELD_REQUIRED' WHEN u.id IS NULL THEN 'NOT_FOUND'
+                 WHEN u.role = 'super_admin' THEN 'FORBIDDEN' ELSE 'OK' END AS decision
         FROM status_change_requests q LEFT JOIN users u ON u.id = q.user_id""",
 })
 
