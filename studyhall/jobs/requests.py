@@ -215,8 +215,8 @@ def status_change_requests(t) -> DataFrame:
 
 def registration_candidates(t) -> DataFrame:
     """candidate_id, name, email, phone, role, subjects, grade_levels, center_name,
-    center_address, lat, lng: one sign-up per customer; every 7th reuses the customer's
-    e-mail, every 11th its phone; centre owners without a centre address every other time."""
+    center_address, lat, lng, center_lat, center_lng: one sign-up per customer; every 7th reuses
+    the customer's e-mail, every 11th its phone; some centre owners lack address or coordinates."""
     c = t.raw("customer").select("c_custkey", "c_name", "c_mktsegment")
     k = F.col("c_custkey")
     role = F.when(k % 3 == 0, "teacher").when(k % 3 == 1, "center_admin").otherwise("student")
@@ -230,7 +230,9 @@ def registration_candidates(t) -> DataFrame:
         F.array(F.lit("Grade 1"), F.lit(None).cast("string")).alias("grade_levels"),
         F.when(k % 2 == 0, F.concat(F.lit("Centre of "), F.col("c_name"))).alias("center_name"),
         F.when(k % 4 < 2, F.lit("Main street")).alias("center_address"),
-        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
+        F.when(k % 8 < 6, F.lit(22.0) + (k * 37 % 1000) / 100.0).alias("center_lat"),
+        F.when(k % 8 < 6, F.lit(25.0) + (k * 91 % 1000) / 100.0).alias("center_lng"))
 
 
 def session_delete_requests(t) -> DataFrame:

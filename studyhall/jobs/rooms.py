@@ -242,11 +242,22 @@ def validate_rooms(t, candidates: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ JOB-21
+def _array_input(df: DataFrame, col: str):
+    """FN-26: an array input is kept as given; a scalar one becomes a one-element array, or an
+    empty one when the value is NULL or ''."""
+    from pyspark.sql import types as T
+
+    if isinstance(df.schema[col].dataType, T.ArrayType):
+        return F.col(col)
+    return non_empty_array(F.array(F.col(col)))
+
+
 def validate_registrations(t, candidates: DataFrame) -> dict[str, DataFrame]:
-    """JOB-21: candidates (candidate_id, name, email, phone, role, subjects, grade_levels,
-    center_name, center_address, lat, lng): DUPLICATE_EMAIL_OR_PHONE (against users: two
-    equi-joins unioned, not an OR join), MISSING_CENTER_FIELDS for centre owners, else OK; OK
-    rows split into users / teachers / centers (arrays cleaned of NULL and '')."""
+    """JOB-21: candidates (candidate_id, name, email, phone, role, subjects, grade_levels, lat,
+    lng, center_name, center_address, center_lat, center_lng): USER_EXISTS (e-mail or phone
+    already used: two equi-joins unioned, not an OR join), MISSING_FIELDS (NOT NULL columns),
+    MISSING_CENTER_FIELDS (centre owners need centre name, address and coordinates), else OK;
+    OK rows split into users / teachers / centers."""
     u = t["users"]
     by_email = candidates.join(u.select(F.col("email").alias("_e")), candidates.email == F.col("_e"), "left_semi")
     by_phone = candidates.join(u.select(F.col("phone").alias("_p")), candidates.phone == F.col("_p"), "left_semi")
@@ -254,22 +265,26 @@ def validate_registrations(t, candidates: DataFrame) -> dict[str, DataFrame]:
         .withColumn("dup", F.lit(True))
     j = candidates.join(dup, "candidate_id", "left")
     decision = first_failure([
+        ("USER_EXISTS", F.col("dup")),
         ("MISSING_FIELDS", F.col("name").isNull() | F.col("email").isNull() | F.col("role").isNull()),
-        ("DUPLICATE_EMAIL_OR_PHONE", F.col("dup")),
         ("MISSING_CENTER_FIELDS", (F.col("role") == "center_admin")
-         & (F.col("center_name").isNull() | F.col("center_address").isNull())),
+         & (F.col("center_name").isNull() | F.col("center_address").isNull() | F.col("center_lat").isNull()
+            | F.col("center_lng").isNull())),
     ])
     d = j.withColumn("decision", decision)
     ok = d.filter(F.col("decision") == "OK")
     return {
         "decisions": d.select("candidate_id", "email", "decision"),
-        "users": ok.select(F.col("candidate_id").alias("id"), "name", "email", "phone", "role"),
+        "users": ok.select(F.col("candidate_id").alias("id"), "name", "email", "phone", "role",
+                           F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("lat")).alias("lat"),
+                           F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("lng")).alias("lng")),
         "teachers": ok.filter(F.col("role") == "teacher").select(
-            F.col("candidate_id").alias("user_id"), non_empty_array("subjects").alias("subjects"),
-            non_empty_array("grade_levels").alias("grade_levels")),
+            F.col("candidate_id").alias("user_id"), _array_input(ok, "subjects").alias("subjects"),
+            _array_input(ok, "grade_levels").alias("grade_levels")),
         "centers": ok.filter(F.col("role") == "center_admin").select(
             F.col("candidate_id").alias("owner_id"), F.col("center_name").alias("name"),
-            F.col("center_address").alias("address"), "lat", "lng"),
+            F.col("center_address").alias("address"), F.col("center_lat").alias("lat"),
+            F.col("center_lng").alias("lng")),
     }
 
 

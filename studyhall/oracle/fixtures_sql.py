@@ -358,7 +358,9 @@ FIXTURE_CTES.update({
             CASE WHEN c_custkey % 3 = 0 THEN 'teacher' WHEN c_custkey % 3 = 1 THEN 'center_admin' ELSE 'student' END
                 AS role,
             CASE WHEN c_custkey % 2 = 0 THEN 'Centre of ' || c_name END AS center_name,
-            CASE WHEN c_custkey % 4 < 2 THEN 'Main street' END AS center_address
+            CASE WHEN c_custkey % 4 < 2 THEN 'Main street' END AS center_address,
+            CASE WHEN c_custkey % 8 < 6 THEN 22.0 + (c_custkey * 37 % 1000) / 100.0 END AS center_lat,
+            CASE WHEN c_custkey % 8 < 6 THEN 25.0 + (c_custkey * 91 % 1000) / 100.0 END AS center_lng
         FROM customer""",
 })
 

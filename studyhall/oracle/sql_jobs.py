@@ -461,11 +461,11 @@ SQL.update({
 
 
 SQL["validate_registrations"] = """SELECT q.candidate_id, q.email,
-        CASE WHEN q.name IS NULL OR q.email IS NULL OR q.role IS NULL THEN 'MISSING_FIELDS'
-             WHEN q.email IN (SELECT email FROM users WHERE email IS NOT NULL)
-                  OR q.phone IN (SELECT phone FROM users WHERE phone IS NOT NULL) THEN 'DUPLICATE_EMAIL_OR_PHONE'
-             WHEN q.role = 'center_admin' AND (q.center_name IS NULL OR q.center_address IS NULL)
-                 THEN 'MISSING_CENTER_FIELDS'
+        CASE WHEN q.email IN (SELECT email FROM users WHERE email IS NOT NULL)
+                  OR q.phone IN (SELECT phone FROM users WHERE phone IS NOT NULL) THEN 'USER_EXISTS'
+             WHEN q.name IS NULL OR q.email IS NULL OR q.role IS NULL THEN 'MISSING_FIELDS'
+             WHEN q.role = 'center_admin' AND (q.center_name IS NULL OR q.center_address IS NULL
+                  OR q.center_lat IS NULL OR q.center_lng IS NULL) THEN 'MISSING_CENTER_FIELDS'
              ELSE 'OK' END AS decision
     FROM registration_candidates q"""
 

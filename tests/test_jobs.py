@@ -172,16 +172,20 @@ def test_registrations_duplicate_by_email_or_phone(spark, frames):
     t = frames()
     t["users"] = spark.createDataFrame([(1, "a@x", "111")], "id long, email string, phone string")
     cands = spark.createDataFrame([
-        (10, "n", "a@x", "999", "student", None, None, None, None, None, None),
-        (11, "n", "b@x", "111", "student", None, None, None, None, None, None),
-        (12, "n", "c@x", "222", "teacher", ["m", "", None], ["g1"], None, None, None, None),
-        (13, "n", "d@x", "333", "center_admin", None, None, None, "addr", None, None),
-    ], "candidate_id long, name string, email string, phone string, role string, subjects array<string>, "
-       "grade_levels array<string>, center_name string, center_address string, lat double, lng double")
+        (10, "n", "a@x", "999", "student", None, None, None, None, None, None, None, None),
+        (11, "n", "b@x", "111", "student", None, None, None, None, None, None, None, None),
+        (12, "n", "c@x", "222", "teacher", "", "g1", None, None, None, None, None, None),
+        (13, "n", "d@x", "333", "center_admin", None, None, "c", "addr", None, None, None, 30.0),
+        (14, "n", "e@x", "444", "center_admin", None, None, "c", "addr", None, None, 29.0, 30.0),
+    ], "candidate_id long, name string, email string, phone string, role string, subjects string, "
+       "grade_levels string, center_name string, center_address string, lat double, lng double, "
+       "center_lat double, center_lng double")
     out = rooms.validate_registrations(t, cands)
-    assert decide(out["decisions"], "candidate_id") == {10: "DUPLICATE_EMAIL_OR_PHONE", 11: "DUPLICATE_EMAIL_OR_PHONE",
-                                                        12: "OK", 13: "MISSING_CENTER_FIELDS"}
-    assert out["teachers"].first().subjects == ["m"]
+    assert decide(out["decisions"], "candidate_id") == {10: "USER_EXISTS", 11: "USER_EXISTS", 12: "OK",
+                                                        13: "MISSING_CENTER_FIELDS", 14: "OK"}
+    teacher = out["teachers"].first()
+    assert (teacher.subjects, teacher.grade_levels) == ([], ["g1"])   # scalar inputs: '' dropped, value kept
+    assert [(r.lat, r.lng) for r in out["centers"].collect()] == [(29.0, 30.0)]
 
 
 def test_deposits_report_running_balance(spark, frames):
