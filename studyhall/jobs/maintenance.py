@@ -249,6 +249,30 @@ def propagate_content_updates(t, changed: DataFrame) -> DataFrame:
                       .alias(c) if c in ("title", "description", "url") else F.col(c) for c in ci.columns])
 
 
+def update_teacher_content(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> dict[str, DataFrame]:
+    """JOB-10 + JOB-11 for master content: requests (request_id, content_id, teacher_id, title,
+    description, url, is_free, is_active, sort_order, requested_at): NOT_FOUND, NOT_YOUR_CONTENT,
+    TITLE_TOO_LONG, INVALID_URL, else OK. Accepted patches are merged with COALESCE (latest per
+    item wins) and every room copy takes the master's new title, description and url."""
+    from studyhall.functions.links import is_valid_url
+
+    tc = t["teacher_content"].select(F.col("id").alias("_tc"), F.col("teacher_id").alias("_owner"))
+    j = requests.join(tc, requests.content_id == tc._tc, "left")
+    d = j.withColumn("decision", first_failure([
+        ("NOT_FOUND", F.col("_tc").isNull()), ("NOT_YOUR_CONTENT", F.col("_owner") != F.col("teacher_id")),
+        ("TITLE_TOO_LONG", F.col("title").isNotNull() & (F.length("title") > 255)),
+        ("INVALID_URL", F.col("url").isNotNull() & ~is_valid_url("url"))])).drop("_tc", "_owner")
+    cols = ["title", "description", "url", "is_free", "is_active", "sort_order"]
+    ok = d.filter(F.col("decision") == "OK").select(
+        F.col("content_id").alias("id"), *cols,
+        F.coalesce(F.col("requested_at"), ts_lit(as_of)).alias("patched_at"))
+    masters = apply_patches(t["teacher_content"], ok)
+    changed = masters.join(ok.select(F.col("id").alias("_chg")).distinct(), F.col("id") == F.col("_chg"),
+                           "left_semi")
+    return {"decisions": d.select("request_id", "content_id", "teacher_id", "decision"),
+            "teacher_content": masters, "content_items": propagate_content_updates(t, changed)}
+
+
 def retire_content(t, requests: DataFrame) -> DataFrame:
     """JOB-12: per requested master content: DEACTIVATED when room items use it, DELETED when not,
     NOT_FOUND when it does not exist (or belongs to another teacher)."""

@@ -249,3 +249,20 @@ def room_delete_requests(t) -> DataFrame:
     """request_id, id, owner: every inactive room deleted by its centre."""
     r = t["rooms"].filter(~F.col("is_active")).select("id", "center_id")
     return r.select(F.col("id").alias("request_id"), "id", F.col("center_id").alias("owner"))
+
+
+def content_update_requests(t) -> DataFrame:
+    """Edits of master content by its teacher: new title for id % 3 = 0, a 300-character title
+    for id % 3 = 2, a malformed url for id % 4 = 0; every 7th by another teacher, every 11th for
+    an unknown item."""
+    tc = t["teacher_content"].select("id", "teacher_id", "title")
+    k = F.col("id")
+    return tc.select(
+        k.alias("request_id"), F.when(k % 11 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("content_id"),
+        F.when(k % 7 == 0, F.col("teacher_id") + 1).otherwise(F.col("teacher_id")).alias("teacher_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("Updated "), F.col("title"))).when(k % 3 == 2, F.repeat(F.lit("x"), 300))
+        .alias("title"),
+        F.lit(None).cast("string").alias("description"),
+        F.when(k % 4 == 0, F.lit("bad url")).alias("url"),
+        F.lit(None).cast("boolean").alias("is_free"), F.lit(None).cast("boolean").alias("is_active"),
+        F.lit(None).cast("int").alias("sort_order"), ts_lit(SESSION_AS_OF).alias("requested_at"))

@@ -371,3 +371,15 @@ FIXTURE_CTES.update({
         FROM sessions WHERE status = 'cancelled'""",
     "room_delete_requests": "SELECT id AS request_id, id, center_id AS owner FROM rooms WHERE NOT is_active",
 })
+
+
+FIXTURE_CTES.update({
+    "content_update_requests": f"""SELECT id AS request_id,
+            CASE WHEN id % 11 = 0 THEN id + 1000000000000 ELSE id END AS content_id,
+            CASE WHEN id % 7 = 0 THEN teacher_id + 1 ELSE teacher_id END AS teacher_id,
+            CASE WHEN id % 3 = 0 THEN 'Updated ' || title WHEN id % 3 = 2 THEN repeat('x', 300) END AS title,
+            CAST(NULL AS VARCHAR) AS description,
+            CASE WHEN id % 4 = 0 THEN 'bad url' END AS url,
+            {AS_OF} AS requested_at
+        FROM teacher_content""",
+})

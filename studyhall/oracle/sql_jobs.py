@@ -512,3 +512,25 @@ SQL.update({
     UNION ALL SELECT request_id, student_id, teacher_id, rating,
         CASE WHEN rn = 1 THEN 'OK' ELSE 'ALREADY_REVIEWED' END, CASE WHEN rn = 1 THEN booking_id END FROM o""",
 })
+
+
+CONTENT_UPDATE = """WITH d AS (
+        SELECT q.request_id, q.content_id, q.teacher_id, q.title, q.description, q.url,
+               CASE WHEN tc.id IS NULL THEN 'NOT_FOUND' WHEN tc.teacher_id <> q.teacher_id THEN 'NOT_YOUR_CONTENT'
+                    WHEN q.title IS NOT NULL AND length(q.title) > 255 THEN 'TITLE_TOO_LONG'
+                    WHEN q.url IS NOT NULL AND NOT COALESCE(regexp_matches(q.url, '^[A-Za-z][A-Za-z0-9+.\\-]*:'), FALSE)
+                        THEN 'INVALID_URL'
+                    ELSE 'OK' END AS decision
+        FROM content_update_requests q LEFT JOIN teacher_content tc ON tc.id = q.content_id),
+      m AS (SELECT tc.id, COALESCE(d.title, tc.title) AS title, COALESCE(d.description, tc.description) AS description,
+                   COALESCE(d.url, tc.url) AS url
+            FROM teacher_content tc JOIN d ON d.content_id = tc.id AND d.decision = 'OK')"""
+
+SQL["update_teacher_content"] = CONTENT_UPDATE + """
+    SELECT request_id, content_id, teacher_id, decision FROM d"""
+SQL["update_teacher_content_items"] = CONTENT_UPDATE + """
+    SELECT ci.id, ci.room_id, ci.teacher_content_id,
+           CASE WHEN m.id IS NOT NULL THEN m.title ELSE ci.title END AS title,
+           CASE WHEN m.id IS NOT NULL THEN m.description ELSE ci.description END AS description,
+           CASE WHEN m.id IS NOT NULL THEN m.url ELSE ci.url END AS url
+    FROM content_items ci LEFT JOIN m ON m.id = ci.teacher_content_id"""

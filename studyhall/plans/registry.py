@@ -175,6 +175,11 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
             t, t["teacher_content"].filter(F.col("id") % 3 == 0).withColumn(
                 "title", F.concat(F.lit("Updated "), F.col("title")))).select(
             "id", "room_id", "teacher_content_id", "title", "description", "url"), J["propagate_content_updates"]),
+        "update_teacher_content": (lambda t: jmaint.update_teacher_content(
+            t, jreq.content_update_requests(t))["decisions"], J["update_teacher_content"]),
+        "update_teacher_content_items": (lambda t: jmaint.update_teacher_content(
+            t, jreq.content_update_requests(t))["content_items"].select(
+            "id", "room_id", "teacher_content_id", "title", "description", "url"), J["update_teacher_content_items"]),
         "retire_content": (lambda t: jmaint.retire_content(t, jreq.retire_requests(t)), J["retire_content"]),
         "link_teachers": (lambda t: jmaint.link_teachers(t, jreq.link_requests(t)), J["link_teachers"]),
         "unlink_teachers": (lambda t: jmaint.unlink_teachers(t, jreq.unlink_requests(t)), J["unlink_teachers"]),
