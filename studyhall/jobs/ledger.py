@@ -77,8 +77,10 @@ def deposits_to_ledger(t, requests: DataFrame) -> DataFrame:
 def deposit_outputs(decisions: DataFrame, *, as_of=LEDGER_AS_OF) -> DataFrame:
     """JOB-23 rows: one completed deposit per accepted request."""
     ok = decisions.filter(F.col("decision") == "OK")
+    ref = F.col("payment_reference") if "payment_reference" in ok.columns else F.lit(None).cast("string")
     return ok.select(F.col("request_id").alias("id"), "user_id", "amount", F.lit("deposit").alias("type"),
-                     F.lit("completed").alias("status"), "payment_method", ts_lit(as_of).alias("created_at"),
+                     F.lit("completed").alias("status"), F.lit("Wallet deposit").alias("description"),
+                     "payment_method", ref.alias("external_ref"), ts_lit(as_of).alias("created_at"),
                      ts_lit(as_of).alias("completed_at"))
 
 

@@ -250,8 +250,8 @@ class Fixtures:
     # ------------------------------------------------------------ attendances
     @cached_property
     def attendances(self) -> DataFrame:
-        b = self.bookings.filter(F.col("status") == "attended").select("id", "session_id")
-        s = self.sessions.select(F.col("id").alias("sid"), "scheduled_at", "center_id")
+        b = self["bookings"].filter(F.col("status") == "attended").select("id", "session_id")
+        s = self["sessions"].select(F.col("id").alias("sid"), "scheduled_at", "center_id")
         return b.join(s, b.session_id == s.sid).select(
             F.col("id"),
             F.col("id").alias("booking_id"),
@@ -262,7 +262,7 @@ class Fixtures:
     # -------------------------------------------------------- center_teachers
     @cached_property
     def center_teachers(self) -> DataFrame:
-        g = self.sessions.groupBy("center_id", "teacher_id").agg(F.min("scheduled_at").alias("joined_at"))
+        g = self["sessions"].groupBy("center_id", "teacher_id").agg(F.min("scheduled_at").alias("joined_at"))
         active = F.col("teacher_id") % 7 != 0
         return g.select(
             "center_id", "teacher_id",
@@ -274,9 +274,9 @@ class Fixtures:
     # ---------------------------------------------------------------- reviews
     @cached_property
     def reviews(self) -> DataFrame:
-        b = (self.bookings.filter((F.col("status") == "attended") & (F.col("id") % 3 == 0))
+        b = (self["bookings"].filter((F.col("status") == "attended") & (F.col("id") % 3 == 0))
              .select("id", "session_id", "student_id"))
-        s = self.sessions.select(F.col("id").alias("sid"), "teacher_id", "scheduled_at")
+        s = self["sessions"].select(F.col("id").alias("sid"), "teacher_id", "scheduled_at")
         bid = F.col("id")
         return b.join(s, b.session_id == s.sid).select(
             bid.alias("id"),
@@ -314,8 +314,8 @@ class Fixtures:
     # ----------------------------------------------------------- room_members
     @cached_property
     def room_members(self) -> DataFrame:
-        b = self.bookings.select("id", "session_id", "student_id", "booked_at")
-        s = self.sessions.select(F.col("id").alias("sid"), "teacher_id")
+        b = self["bookings"].select("id", "session_id", "student_id", "booked_at")
+        s = self["sessions"].select(F.col("id").alias("sid"), "teacher_id")
         g = (b.join(s, b.session_id == s.sid).groupBy("teacher_id", "student_id")
              .agg(F.min("id").alias("first_booking"), F.min("booked_at").alias("joined_at")))
         fb = F.col("first_booking")
