@@ -12,7 +12,7 @@ from studyhall.constants import CHECKIN_EARLY_MIN
 from studyhall.functions.exprs import first_failure, minutes, new_key, session_end, us_datetime
 from studyhall.functions.tokens import qr_code, qr_parts
 from studyhall.jobs.bookings import derived_seats
-from studyhall.operators.topn import first_per_group
+from studyhall.operators.topn import first_per_group, is_first_in_group
 
 WALKIN_BOOKING_OFFSET = 3_000_000_000_000
 
@@ -68,10 +68,13 @@ def validate_scans(t, scans: DataFrame) -> DataFrame:
         *_window_checks("scanned_at"),
     ])
     d = j.select("scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
-                 decision.alias("decision"))
-    d = _first_ok(d, "booking_id", ["scanned_at", "scan_id"], "scan_id")
+                 decision.alias("decision"), (decision == "OK").alias("_ok"))
+    # a second accepted scan of one booking in the batch: the group key includes the OK flag, and
+    # scans per QR code (one code per booking) bound the group sizes for the skew probe
+    d = is_first_in_group(d, ["booking_id", "_ok"], ["scanned_at", "scan_id"], size_source=scans,
+                          size_keys=["qr_code"])
     return d.select("scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
-                    F.when((F.col("decision") == "OK") & ~F.col("_is_first"), "ALREADY_ATTENDED")
+                    F.when(F.col("_ok") & ~F.col("_is_first"), "ALREADY_ATTENDED")
                     .otherwise(F.col("decision")).alias("decision"))
 
 

@@ -27,3 +27,30 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: list, k: int, ran
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k) \
         .withColumn(rank_col, F.col(rank_col).cast("bigint"))
+
+
+def is_first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_is_first",
+                      size_source: DataFrame | None = None, size_keys: Sequence[str] | None = None,
+                      max_group_rows: int | None = None) -> DataFrame:
+    """Flag the first row (by ``order``) of each ``keys`` group.
+
+    Small groups (checked on ``size_source`` grouped by ``size_keys``, a cheap frame whose groups
+    bound these from above): one ``row_number()`` window in the same pipeline. A hot group:
+    ``min(struct)`` aggregate (combined map-side) joined back, so no task holds the group.
+    """
+    from studyhall.operators.prefix import DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS_CONF, group_sizes
+
+    limit = max_group_rows if max_group_rows is not None else int(
+        df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    probe = size_source if size_source is not None else df
+    biggest, _ = group_sizes(probe, list(size_keys or keys))
+    if biggest <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w) == 1)
+    first = first_per_group(df, keys, order, [], prefix="_f_")
+    same = None
+    for c in order:
+        cond = F.col(c) == F.col(f"_f_{c}")
+        same = cond if same is None else same & cond
+    return (df.join(first, list(keys), "left").withColumn(out, F.coalesce(same, F.lit(False)))
+            .drop(*[f"_f_{c}" for c in order]))

@@ -184,3 +184,12 @@ def test_group_sizes_many_in_one_job(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 3)], "a long, b long")
     assert group_sizes_many(df, [["a"], ["b"], ["a", "b"]]) == [group_sizes(df, ["a"]), group_sizes(df, ["b"]),
                                                               group_sizes(df, ["a", "b"])] == [(3, 4), (2, 4), (2, 4)]
+
+
+def test_is_first_in_group_both_paths(spark):
+    from studyhall.operators.topn import is_first_in_group
+    df = spark.createDataFrame([(1, 3, 30), (1, 1, 10), (1, 1, 5), (2, 7, 1)], "k long, o1 long, o2 long")
+    for limit in (1, 10**6):   # hot-group path and window path
+        got = sorted((r.k, r.o1, r.o2) for r in is_first_in_group(df, ["k"], ["o1", "o2"], max_group_rows=limit)
+                     .filter("_is_first").collect())
+        assert got == [(1, 1, 5), (2, 7, 1)]
