@@ -38,19 +38,31 @@ def _row_rules(t, table: str, rules: list[tuple[str, object, object]], key: str
 
 
 def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
-    """All UNIQUE rules of all tables in one aggregation keyed by (table, rule, value)."""
-    vals = []
-    for table, keys in spec.items():
-        parts = []
-        for cols in keys:
-            nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-            parts.append(F.when(nn, F.struct(F.lit(f"unique({','.join(cols)})").alias("rule"),
-                                             F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))))
-        vals.append(t[table].select(F.lit(table).alias("_table"),
-                                    F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("_u")))
-    dup = (reduce(lambda a, b: a.unionByName(b), vals)
-           .groupBy("_table", F.col("_u.rule").alias("rule"), F.col("_u.k").alias("k"))
-           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    """All UNIQUE rules of all tables in two steps.
+
+    1. one aggregation over (rule number, 64-bit hash of the typed key columns) finds the
+       candidate groups (no key text is built for the vast majority of rows);
+    2. only rows of candidate groups get their exact key text and are counted again, so a hash
+       collision between different keys never reports a duplicate.
+    """
+    rules = [(table, cols) for table, keys in spec.items() for cols in keys]
+    hashed, exact = [], []
+    for i, (table, cols) in enumerate(rules):
+        nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        rows = t[table].filter(nn)
+        hashed.append(rows.select(F.lit(i).alias("_r"), F.xxhash64(*[F.col(c) for c in cols]).alias("_h")))
+        exact.append((i, table, cols, rows))
+    cand = (reduce(lambda a, b: a.unionByName(b), hashed).groupBy("_r", "_h").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > 1).select("_r", "_h"))
+    confirmed = []
+    for i, table, cols, rows in exact:
+        keyed = rows.select(F.xxhash64(*[F.col(c) for c in cols]).alias("_h"),
+                            F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))
+        mine = cand.filter(F.col("_r") == i).select("_h")
+        hits = keyed.join(mine, "_h", "left_semi")
+        confirmed.append(hits.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
+            F.lit(table).alias("_table"), F.lit(f"unique({','.join(cols)})").alias("rule"), "k", "n"))
+    dup = reduce(lambda a, b: a.unionByName(b), confirmed)
     return _out(dup, F.col("_table"), F.col("rule"), F.col("k"), F.col("n"))
 
 

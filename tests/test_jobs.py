@@ -300,3 +300,46 @@ def test_scan_validation_with_text_keys(spark, frames):
     scans = spark.createDataFrame([(1, "u-1_s-1_ab12cd34", "c-1", at(0)), (2, "u-1_s-9_ab12cd34", "c-1", at(0))],
                                   "scan_id long, qr_code string, center_id string, scanned_at timestamp_ntz")
     assert decide(attendance.validate_scans(t, scans), "scan_id") == {1: "OK", 2: "SESSION_NOT_FOUND"}
+
+
+def test_check_constraints_finds_every_kind(spark, frames):
+    t = frames()
+    mk = spark.createDataFrame
+    t["users"] = mk([(1, "a", "x@y", "1", "student"), (2, "b", "x@y", "2", "wizard"), (3, None, "z@y", "1", "teacher")],
+                    "id long, name string, email string, phone string, role string")
+    t["teachers"] = mk([(10, 3), (11, 99)], "id long, user_id long")
+    t["centers"] = mk([(20, 1)], "id long, owner_id long")
+    t["center_teachers"] = mk([(20, 10), (20, 10)], "center_id long, teacher_id long")
+    t["sessions"] = mk([(30, 20, 10, 1, 2, 60, Decimal("1"), "scheduled", at(0)),
+                        (31, 21, 10, 0, 0, 0, Decimal("-1"), "paused", None)],
+                       "id long, center_id long, teacher_id long, capacity int, seats_booked int, duration_min int, "
+                       "price decimal(10,2), status string, scheduled_at timestamp_ntz")
+    t["bookings"] = mk([(40, 30, 1, "confirmed", "q"), (41, 30, 1, "lost", "q"), (42, 39, 1, "pending", None)],
+                       "id long, session_id long, student_id long, status string, qr_code string")
+    t["attendances"] = mk([(50, 40), (51, 40)], "id long, booking_id long")
+    t["rooms"] = mk([(60, 20, 10, "AAAA"), (61, 20, 10, "AAAA")], "id long, center_id long, teacher_id long, access_code string")
+    t["room_members"] = mk([(70, 60, 1, "gold")], "id long, room_id long, student_id long, access_tier string")
+    t["content_items"] = mk([(80, 62, "video")], "id long, room_id long, type string")
+    t["teacher_content"] = mk([(90, "x" * 300, "pdf")], "id long, title string, type string")
+    t["reviews"] = mk([(100, 9, 40), (101, 3, 40)], "id long, rating int, booking_id long")
+    t["wallet_transactions"] = mk([(110, 1, Decimal("0"), "deposit", "completed"), (111, 5, Decimal("3"), "gift", "done")],
+                                  "id long, user_id long, amount decimal(10,2), type string, status string")
+    got = {(r.table_name, r.rule, r.row_key) for r in maintenance.check_constraints(t).collect()}
+    want = {
+        ("sessions", "check(seats_booked<=capacity)", "30"), ("sessions", "check(capacity>0)", "31"),
+        ("sessions", "check(duration_min>0)", "31"), ("sessions", "check(price>=0)", "31"),
+        ("sessions", "enum(status)", "31"), ("sessions", "not_null(scheduled_at)", "31"),
+        ("reviews", "check(rating between 1 and 5)", "100"), ("wallet_transactions", "check(amount>0)", "110"),
+        ("wallet_transactions", "enum(type)", "111"), ("wallet_transactions", "enum(status)", "111"),
+        ("teacher_content", "check(length(title)<=255)", "90"), ("users", "enum(role)", "2"),
+        ("users", "not_null(name)", "3"), ("bookings", "enum(status)", "41"), ("bookings", "not_null(qr_code)", "42"),
+        ("room_members", "enum(access_tier)", "70"),
+        ("users", "unique(email)", "x@y"), ("users", "unique(phone)", "1"),
+        ("center_teachers", "unique(center_id,teacher_id)", "20|10"), ("bookings", "unique(qr_code)", "q"),
+        ("bookings", "unique(session_id,student_id)", "30|1"), ("attendances", "unique(booking_id)", "40"),
+        ("rooms", "unique(access_code)", "AAAA"), ("reviews", "unique(booking_id)", "40"),
+        ("teachers", "fk(user_id->users.id)", "11"), ("sessions", "fk(center_id->centers.id)", "31"),
+        ("bookings", "fk(session_id->sessions.id)", "42"), ("content_items", "fk(room_id->rooms.id)", "80"),
+        ("wallet_transactions", "fk(user_id->users.id)", "111"),
+    }
+    assert got == want
