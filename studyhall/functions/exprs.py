@@ -2,6 +2,12 @@
 
 Everything here returns a ``Column`` made of built-in Spark expressions, so it stays inside
 whole-stage codegen and can be pushed into scans where Spark allows it.
+
+The plainest items of the inventory need no helper and are written inline in the plans:
+PRJ-01 (projection with aliases: ``select(col.alias(...))``), PRJ-02 (differences, casts,
+division: column arithmetic and ``cast``), FLT-01 (equality / boolean filters, also through
+``optional_filters``), FLT-06 (IN-lists: ``isin`` / ``~isin``), FLT-11 (NULL tests: ``isNull`` /
+``isNotNull``, NULL-safe branches with ``coalesce``).
 """
 
 from __future__ import annotations
