@@ -12,7 +12,7 @@ from studyhall.constants import CHECKIN_EARLY_MIN
 from studyhall.functions.exprs import first_failure, minutes, new_key, session_end, us_datetime
 from studyhall.functions.tokens import qr_code, qr_parts
 from studyhall.jobs.bookings import derived_seats
-from studyhall.operators.topn import first_per_group, is_first_in_group
+from studyhall.operators.topn import is_first_in_group
 
 WALKIN_BOOKING_OFFSET = 3_000_000_000_000
 
@@ -29,17 +29,6 @@ def _window_checks(at: str) -> list:
     ]
 
 
-def _first_ok(df: DataFrame, key: str, order: list[str], id_col: str) -> DataFrame:
-    """Mark the earliest OK row per key (min(struct) aggregate, skew-safe) as ``_is_first``."""
-    ok = df.filter(F.col("decision") == "OK")
-    first = first_per_group(ok, [key], order, [], prefix="_f_")
-    j = df.join(first, key, "left")
-    same = F.lit(True)
-    for c in order:
-        same = same & (F.col(c) == F.col(f"_f_{c}"))
-    return j.withColumn("_is_first", F.coalesce(same, F.lit(False))).drop(*[f"_f_{c}" for c in order])
-
-
 def validate_scans(t, scans: DataFrame) -> DataFrame:
     """JOB-04: per scan: QR_REQUIRED, BAD_FORMAT, SESSION_NOT_FOUND, FORBIDDEN (session of another
     centre), BOOKING_NOT_FOUND, FORBIDDEN (booking of another centre), ALREADY_ATTENDED,
@@ -124,10 +113,11 @@ def walk_in_attendance(t, requests: DataFrame) -> DataFrame:
     d = j.select("request_id", "student_id", "session_id", "center_id", "amount_paid", "requested_at",
                  "capacity", seats.alias("seats"), decision.alias("decision"))
     # in-batch: first request per (session, student); then seats in request order
-    d = d.withColumn("_pair", F.concat_ws("|", F.col("session_id").cast("string"), F.col("student_id").cast("string")))
-    d = _first_ok(d, "_pair", ["requested_at", "request_id"], "request_id")
-    d = d.withColumn("decision", F.when((F.col("decision") == "OK") & ~F.col("_is_first"), "ALREADY_BOOKED")
-                     .otherwise(F.col("decision"))).drop("_is_first", "_pair")
+    d = d.withColumn("_okf", F.col("decision") == "OK")
+    d = is_first_in_group(d, ["session_id", "student_id", "_okf"], ["requested_at", "request_id"],
+                          size_source=requests, size_keys=["session_id", "student_id"])
+    d = d.withColumn("decision", F.when(F.col("_okf") & ~F.col("_is_first"), "ALREADY_BOOKED")
+                     .otherwise(F.col("decision"))).drop("_is_first", "_okf")
     from studyhall.operators.prefix import running_count
     ok = running_count(d.filter(F.col("decision") == "OK"), "session_id", ["requested_at", "request_id"], "seat_rank")
     ok = ok.withColumn("decision", F.when(F.col("seat_rank") > F.col("capacity") - F.col("seats"),

@@ -16,7 +16,7 @@ from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, money, new_key, ts_lit
 from studyhall.functions.tokens import qr_code
 from studyhall.operators.prefix import group_sizes_many, running_count, running_sum
-from studyhall.operators.topn import first_per_group
+from studyhall.operators.topn import is_first_in_group
 from studyhall.plans.wallet import balances_by_user
 
 BOOKING_ID_OFFSET = 2_000_000_000_000
@@ -28,14 +28,6 @@ def derived_seats(t) -> DataFrame:
             .groupBy(F.col("session_id").alias("seat_sid")).agg(F.count(F.lit(1)).alias("seats_taken")))
 
 
-def _first_request(df: DataFrame, keys: list[str]) -> DataFrame:
-    """True for the earliest request per key, as a min(struct) aggregate joined back."""
-    first = first_per_group(df, keys, ["requested_at", "request_id"], [], prefix="_first_")
-    return (df.join(first, keys, "left")
-            .withColumn("_is_first", F.col("request_id") == F.col("_first_request_id"))
-            .drop("_first_requested_at", "_first_request_id"))
-
-
 def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
     """JOB-01 decisions: request_id, session_id, student_id, price, decision.
 
@@ -68,15 +60,13 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
                  static.alias("static"))
     # One pipeline, no filter/union branches: the in-batch rules only look at eligible rows,
     # so the eligibility flag is part of each window's key.
-    first = first_per_group(r.filter(F.col("static") == "OK"), ["session_id", "student_id"],
-                            ["requested_at", "request_id"], [], prefix="_f_")
-    r = (r.join(first, ["session_id", "student_id"], "left")
-         .withColumn("_live", (F.col("static") == "OK") & F.coalesce(F.col("_f_request_id") == F.col("request_id"),
-                                                                     F.lit(False)))
-         .drop("_f_requested_at", "_f_request_id"))
     order = ["requested_at", "request_id"]
-    # group sizes of the raw requests bound the live groups; one probe job for both windows
-    per_session, per_student = group_sizes_many(requests, [["session_id"], ["student_id"]])
+    # group sizes of the raw requests bound the live groups; one probe job for all three windows
+    per_pair, per_session, per_student = group_sizes_many(
+        requests, [["session_id", "student_id"], ["session_id"], ["student_id"]])
+    r = r.withColumn("_okf", F.col("static") == "OK")
+    r = is_first_in_group(r, ["session_id", "student_id", "_okf"], order, sizes=per_pair)
+    r = r.withColumn("_live", F.col("_okf") & F.col("_is_first")).drop("_okf", "_is_first")
     r = running_count(r, ["session_id", "_live"], order, "seat_rank", sizes=per_session)
     r = running_sum(r, ["student_id", "_live"], order, "price", "spent", sizes=per_student)
     decision = (F.when(F.col("static") != "OK", F.col("static"))
@@ -122,17 +112,15 @@ def cancel_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame
         ("NOT_CANCELLABLE", ~F.col("status").isin("pending", "confirmed")),
         ("ALREADY_STARTED", F.col("scheduled_at") <= ts_lit(as_of)),
     ])
-    r = r.select("request_id", "booking_id", "student_id", "requested_at", "amount_paid", static.alias("static"))
-    done = r.filter(F.col("static") != "OK").select("request_id", "booking_id", "student_id",
-                                                    F.col("static").alias("decision"))
-    live = _first_request(r.filter(F.col("static") == "OK"), ["booking_id"])
-    judged = live.select("request_id", "booking_id", "student_id",
-                         F.when(F.col("_is_first"), "OK").otherwise("NOT_CANCELLABLE").alias("decision"))
-    out = done.unionByName(judged)
-    amounts = t["bookings"].select(F.col("id").alias("a_bid"), "amount_paid")
-    return out.join(amounts, out.booking_id == amounts.a_bid, "left").select(
-        "request_id", "booking_id", "student_id", "decision",
-        F.when(F.col("decision") == "OK", money(F.col("amount_paid"))).alias("refund"))
+    r = r.select("request_id", "booking_id", "student_id", "requested_at", "amount_paid", static.alias("static"),
+                 (static == "OK").alias("_okf"))
+    # a second cancellation of one booking in the batch finds it cancelled already
+    r = is_first_in_group(r, ["booking_id", "_okf"], ["requested_at", "request_id"], size_source=requests,
+                          size_keys=["booking_id"])
+    decision = F.when(~F.col("_okf"), F.col("static")).when(F.col("_is_first"), "OK").otherwise("NOT_CANCELLABLE")
+    out = r.select("request_id", "booking_id", "student_id", "amount_paid", decision.alias("decision"))
+    return out.select("request_id", "booking_id", "student_id", "decision",
+                      F.when(F.col("decision") == "OK", money(F.col("amount_paid"))).alias("refund"))
 
 
 def cancel_sessions(t, requests: DataFrame) -> DataFrame:
@@ -142,17 +130,16 @@ def cancel_sessions(t, requests: DataFrame) -> DataFrame:
     s = t["sessions"].select(F.col("id").alias("s_id"), F.col("center_id").alias("s_cid"), "status")
     r = requests.join(s, (requests.session_id == s.s_id) & (requests.center_id == s.s_cid), "left")
     static = first_failure([("NOT_FOUND", F.col("s_id").isNull()), ("NOT_SCHEDULED", F.col("status") != "scheduled")])
-    r = r.select("request_id", "session_id", "center_id", "requested_at", static.alias("static"))
-    done = r.filter(F.col("static") != "OK").select("request_id", "session_id", "center_id",
-                                                    F.col("static").alias("decision"))
-    live = _first_request(r.filter(F.col("static") == "OK"), ["session_id"])
-    judged = live.select("request_id", "session_id", "center_id",
-                         F.when(F.col("_is_first"), "OK").otherwise("NOT_SCHEDULED").alias("decision"))
+    r = r.select("request_id", "session_id", "center_id", "requested_at", static.alias("static"),
+                 (static == "OK").alias("_okf"))
+    r = is_first_in_group(r, ["session_id", "_okf"], ["requested_at", "request_id"], size_source=requests,
+                          size_keys=["session_id"])
+    out = r.select("request_id", "session_id", "center_id", F.when(~F.col("_okf"), F.col("static"))
+                   .when(F.col("_is_first"), "OK").otherwise("NOT_SCHEDULED").alias("decision"))
     held = (t["bookings"].filter(F.col("status").isin("pending", "confirmed"))
             .groupBy(F.col("session_id").alias("h_sid")).agg(
                 F.count(F.lit(1)).alias("n_held"), F.count_if(F.col("amount_paid") > 0).alias("n_refund"),
                 F.sum(F.when(F.col("amount_paid") > 0, F.col("amount_paid"))).alias("refund_sum")))
-    out = done.unionByName(judged)
     ok = F.col("decision") == "OK"
     return out.join(held, out.session_id == held.h_sid, "left").select(
         "request_id", "session_id", "center_id", "decision",

@@ -11,21 +11,23 @@ from studyhall.functions.exprs import first_failure, money, non_empty_array, ts_
 from studyhall.functions.links import is_valid_url
 from studyhall.functions.tokens import access_code
 from studyhall.operators.prefix import running_sum
-from studyhall.operators.topn import first_per_group
+from studyhall.operators.topn import first_per_group, is_first_in_group
 from studyhall.plans.wallet import balances_by_user
 
 UNKNOWN_OFFSET = 1_000_000_000_000
 
 
-def _earliest_ok(d: DataFrame, keys: list[str], dup_code: str) -> DataFrame:
-    """Among OK rows, only the earliest request per key stays OK; later ones get ``dup_code``."""
-    ok = d.filter(F.col("decision") == "OK")
-    first = first_per_group(ok, keys, ["requested_at", "request_id"], [], prefix="_f_")
-    j = d.join(first, keys, "left")
-    is_first = (F.col("requested_at") == F.col("_f_requested_at")) & (F.col("request_id") == F.col("_f_request_id"))
-    return j.withColumn("decision", F.when((F.col("decision") == "OK") & ~F.coalesce(is_first, F.lit(False)),
-                                           F.lit(dup_code)).otherwise(F.col("decision"))) \
-        .drop("_f_requested_at", "_f_request_id")
+def _earliest_ok(d: DataFrame, keys: list[str], dup_code: str, requests: DataFrame | None = None) -> DataFrame:
+    """Among OK rows, only the earliest request per key stays OK; later ones get ``dup_code``.
+
+    One pipeline: the OK flag is part of the group key (``is_first_in_group``); the raw
+    ``requests`` bound the group sizes for the skew probe."""
+    d = d.withColumn("_okf", F.col("decision") == "OK")
+    src_keys = [k for k in keys if requests is not None and k in requests.columns]
+    d = is_first_in_group(d, keys + ["_okf"], ["requested_at", "request_id"],
+                          size_source=requests if src_keys == keys else None, size_keys=keys if src_keys == keys else None)
+    return d.withColumn("decision", F.when(F.col("_okf") & ~F.col("_is_first"), F.lit(dup_code))
+                        .otherwise(F.col("decision"))).drop("_okf", "_is_first")
 
 
 # ------------------------------------------------------------------ JOB-08
@@ -69,7 +71,7 @@ def join_rooms(t, requests: DataFrame) -> DataFrame:
     ])
     d = j.select("request_id", "student_id", "access_code", "requested_at", "room_id", "m_room", "access_tier",
                  decision.alias("decision"))
-    d = _earliest_ok(d, ["room_id", "student_id"], "ALREADY_MEMBER")
+    d = _earliest_ok(d, ["room_id", "student_id"], "ALREADY_MEMBER")  # room known only after the code lookup
     ok = F.col("decision") == "OK"
     rejoin = ok & F.col("m_room").isNotNull()
     return d.select("request_id", "student_id", "room_id",
@@ -111,7 +113,7 @@ def upgrade_room_access(t, requests: DataFrame) -> DataFrame:
     ])
     d = j.select("request_id", "student_id", "room_id", "requested_at", "paid_price",
                  F.coalesce(F.col("balance"), F.lit(0)).alias("balance"), static.alias("decision"))
-    d = _earliest_ok(d, ["room_id", "student_id"], "ALREADY_PAID")
+    d = _earliest_ok(d, ["room_id", "student_id"], "ALREADY_PAID", requests)
     done = d.filter(F.col("decision") != "OK")
     live = running_sum(d.filter(F.col("decision") == "OK"), "student_id", ["requested_at", "request_id"],
                        "paid_price", "_spent")
@@ -171,7 +173,7 @@ def review_eligibility(t, requests: DataFrame, *, per: str = "teacher") -> DataF
     ])
     d = j.select("request_id", "student_id", "teacher_id", "rating", "requested_at", "booking_id",
                  decision.alias("decision"))
-    d = _earliest_ok(d, ["student_id", "teacher_id"], "ALREADY_REVIEWED")
+    d = _earliest_ok(d, ["student_id", "teacher_id"], "ALREADY_REVIEWED", requests)
     return d.select("request_id", "student_id", "teacher_id", "rating", "decision",
                     F.when(F.col("decision") == "OK", F.col("booking_id")).alias("booking_id"))
 

@@ -31,7 +31,7 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: list, k: int, ran
 
 def is_first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_is_first",
                       size_source: DataFrame | None = None, size_keys: Sequence[str] | None = None,
-                      max_group_rows: int | None = None) -> DataFrame:
+                      max_group_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Flag the first row (by ``order``) of each ``keys`` group.
 
     Small groups (checked on ``size_source`` grouped by ``size_keys``, a cheap frame whose groups
@@ -42,8 +42,10 @@ def is_first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     limit = max_group_rows if max_group_rows is not None else int(
         df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    probe = size_source if size_source is not None else df
-    biggest, _ = group_sizes(probe, list(size_keys or keys))
+    if sizes is None:
+        probe = size_source if size_source is not None else df
+        sizes = group_sizes(probe, list(size_keys or keys))
+    biggest = sizes[0]
     if biggest <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w) == 1)
