@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, session_end, ts_lit
 from studyhall.operators.overlap import overlap_join
-from studyhall.operators.topn import first_per_group
 
 
 def _existing(t) -> DataFrame:
@@ -43,20 +42,16 @@ def session_overlap_pairs(t, candidates: DataFrame, bucket_minutes: int = 60) ->
 
 def session_conflicts(t, candidates: DataFrame, bucket_minutes: int = 60) -> DataFrame:
     """JOB-06 decisions: per candidate TEACHER_BUSY, else GRADE_OVERLAP, else OK, with the earliest
-    clashing session of the reported kind."""
+    clashing session of the reported kind (one aggregation over the pairs, one join back)."""
     pairs = session_overlap_pairs(t, candidates, bucket_minutes)
-    first = first_per_group(pairs, ["candidate_id", "kind"], ["session_start", "session_id"], [])
-    busy = first.filter(F.col("kind") == "TEACHER_BUSY").select(
-        F.col("candidate_id").alias("b_cid"), F.col("session_id").alias("busy_with"))
-    grade = first.filter(F.col("kind") == "GRADE_OVERLAP").select(
-        F.col("candidate_id").alias("g_cid"), F.col("session_id").alias("grade_clash_with"))
-    c = candidates.select("candidate_id").join(busy, F.col("candidate_id") == F.col("b_cid"), "left") \
-        .join(grade, F.col("candidate_id") == F.col("g_cid"), "left")
-    decision = first_failure([("TEACHER_BUSY", F.col("busy_with").isNotNull()),
-                              ("GRADE_OVERLAP", F.col("grade_clash_with").isNotNull())])
+    first = pairs.groupBy(F.col("candidate_id").alias("k_cid")).agg(*[
+        F.min(F.when(F.col("kind") == kind, F.struct("session_start", "session_id"))).alias(alias)
+        for kind, alias in (("TEACHER_BUSY", "_busy"), ("GRADE_OVERLAP", "_grade"))])
+    c = candidates.select("candidate_id").join(first, F.col("candidate_id") == F.col("k_cid"), "left")
+    decision = first_failure([("TEACHER_BUSY", F.col("_busy").isNotNull()),
+                              ("GRADE_OVERLAP", F.col("_grade").isNotNull())])
     return c.select("candidate_id", decision.alias("decision"),
-                    F.when(F.col("busy_with").isNotNull(), F.col("busy_with"))
-                    .otherwise(F.col("grade_clash_with")).alias("conflict_session_id"))
+                    F.coalesce(F.col("_busy.session_id"), F.col("_grade.session_id")).alias("conflict_session_id"))
 
 
 def validate_sessions(t, candidates: DataFrame, *, require_link: bool = False, require_future: bool = False,
