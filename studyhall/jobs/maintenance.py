@@ -42,8 +42,9 @@ def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
 
     1. one aggregation over (rule number, 64-bit hash of the typed key columns) finds the
        candidate groups (no key text is built for the vast majority of rows);
-    2. only rows of candidate groups get their exact key text and are counted again, so a hash
-       collision between different keys never reports a duplicate.
+    2. only tables with candidates are read again, and only rows of candidate groups get their
+       exact key text and are counted again, so a hash collision between different keys never
+       reports a duplicate.
     """
     rules = [(table, cols) for table, keys in spec.items() for cols in keys]
     hashed, exact = [], []
@@ -53,9 +54,15 @@ def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
         hashed.append(rows.select(F.lit(i).alias("_r"), F.xxhash64(*[F.col(c) for c in cols]).alias("_h")))
         exact.append((i, table, cols, rows))
     cand = (reduce(lambda a, b: a.unionByName(b), hashed).groupBy("_r", "_h").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1).select("_r", "_h"))
-    confirmed = []
+            .filter(F.col("_n") > 1).select("_r", "_h")).cache()
+    # which rules have candidates at all (at most one small int per rule reaches the driver):
+    # tables without any are not read a second time
+    with_cand = {r._r for r in cand.select("_r").distinct().collect()}
+    confirmed = [t["users"].sparkSession.createDataFrame(
+        [], "_table string, rule string, k string, n bigint")]
     for i, table, cols, rows in exact:
+        if i not in with_cand:
+            continue
         keyed = rows.select(F.xxhash64(*[F.col(c) for c in cols]).alias("_h"),
                             F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))
         mine = cand.filter(F.col("_r") == i).select("_h")
