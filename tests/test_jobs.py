@@ -343,3 +343,20 @@ def test_check_constraints_finds_every_kind(spark, frames):
         ("wallet_transactions", "fk(user_id->users.id)", "111"),
     }
     assert got == want
+
+
+def test_running_balances_stream_over_several_batches_equals_batch(spark, tmp_path):
+    from studyhall.plans.wallet import balances_by_user
+    from studyhall.streaming import streams as S
+    schema = "id long, user_id long, amount decimal(10,2), type string, status string, created_at timestamp_ntz"
+    folder = str(tmp_path / "ledger")
+    parts = [[(1, 1, Decimal("10"), "deposit", "completed", at(0)), (2, 2, Decimal("5"), "deposit", "completed", at(0))],
+             [(3, 1, Decimal("4"), "booking_charge", "completed", at(1)), (4, 1, Decimal("7"), "transfer", "completed", at(1))],
+             [(5, 2, Decimal("1"), "withdrawal", "pending", at(2)), (6, 3, Decimal("2"), "refund", "completed", at(2))]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = S.file_stream(spark, folder, spark.createDataFrame([], schema).schema, max_files=1)
+    got = {r.user_id: r.balance for r in S.run_upsert(S.running_balances(stream), ["user_id"], "t-bal").collect()}
+    batch = spark.read.parquet(folder)
+    want = {r.user_id: r.balance for r in balances_by_user(batch).collect()}
+    assert got == want == {1: Decimal("6.00"), 2: Decimal("5.00"), 3: Decimal("2.00")}
