@@ -147,3 +147,18 @@ SQL = {
             CAST(SUM(amount) AS DECIMAL(18,2)) AS amount
         FROM wallet_transactions GROUP BY 1, 2""",
 }
+
+
+SQL["platform_analytics_json"] = f"""SELECT to_json({{
+        'users': {{'by_role': {{'student': users_student, 'teacher': users_teacher,
+                               'center_admin': users_center_admin, 'super_admin': users_super_admin}},
+                   'total': users_total}},
+        'centers': {{'total': total_centers, 'active': active_centers}},
+        'sessions': {{'total': total_sessions, 'scheduled': sessions_scheduled, 'completed': sessions_completed,
+                      'cancelled': sessions_cancelled}},
+        'bookings': {{'total': total_bookings, 'confirmed': bookings_confirmed, 'attended': bookings_attended,
+                      'cancelled': bookings_cancelled, 'total_revenue': total_revenue}},
+        'rooms': {{'total': total_rooms, 'total_memberships': total_memberships, 'total_content': total_content}},
+        'recent_30_days': {{'new_users': new_users, 'new_sessions': new_sessions, 'new_bookings': new_bookings}}
+    }}) AS document
+    FROM ({SQL["platform_analytics"]}) flat"""

@@ -16,6 +16,7 @@ import hashlib
 from studyhall.oracle.fixtures_sql import with_fixtures
 from studyhall.session import ensure_checkpoint_dir
 from studyhall.sources.fixtures import StoredFixtures
+from studyhall.sources.tables import to_json_documents
 
 _FIXTURES: dict = {}
 
@@ -57,6 +58,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "room_stats": (admin.room_stats, A["room_stats"]),
         "recent_activity": (admin.recent_activity, A["recent_activity"]),
         "platform_analytics": (admin.platform_analytics, A["platform_analytics"]),
+        "platform_analytics_json": (lambda t: to_json_documents(admin.platform_analytics_document(t)),
+                                    A["platform_analytics_json"]),
         "audit_log_search": (lambda t: admin.audit_log_search(t, action="deactivate_user"), A["audit_log_search"]),
         "user_details": (admin.user_details, A["user_details"]),
         "student_attendance_stats": (admin.student_attendance_stats, A["student_attendance_stats"]),
