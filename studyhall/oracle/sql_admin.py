@@ -149,7 +149,7 @@ SQL = {
 }
 
 
-SQL["platform_analytics_json"] = f"""SELECT to_json({{
+SQL["platform_analytics_json"] = f"""SELECT CAST(to_json({{
         'users': {{'by_role': {{'student': users_student, 'teacher': users_teacher,
                                'center_admin': users_center_admin, 'super_admin': users_super_admin}},
                    'total': users_total}},
@@ -160,5 +160,5 @@ SQL["platform_analytics_json"] = f"""SELECT to_json({{
                       'cancelled': bookings_cancelled, 'total_revenue': total_revenue}},
         'rooms': {{'total': total_rooms, 'total_memberships': total_memberships, 'total_content': total_content}},
         'recent_30_days': {{'new_users': new_users, 'new_sessions': new_sessions, 'new_bookings': new_bookings}}
-    }}) AS document
+    }}) AS VARCHAR) AS document
     FROM ({SQL["platform_analytics"]}) flat"""
