@@ -16,6 +16,7 @@ from studyhall.constants import (
 )
 from studyhall.functions.exprs import avg_1dp, first_failure, ts_lit
 
+# Output of the constraint job: one row per violation.
 VIOLATION_COLS = ["table_name", "rule", "row_key", "detail"]
 
 
