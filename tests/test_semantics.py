@@ -193,3 +193,29 @@ def test_is_first_in_group_both_paths(spark):
         got = sorted((r.k, r.o1, r.o2) for r in is_first_in_group(df, ["k"], ["o1", "o2"], max_group_rows=limit)
                      .filter("_is_first").collect())
         assert got == [(1, 1, 5), (2, 7, 1)]
+
+
+def test_dashboards_on_empty_tables_give_one_row_of_zeros(spark, frames):
+    from studyhall.plans import admin
+    from studyhall.sources.tables import SCHEMAS
+    t = frames()
+    for name in ("users", "centers", "sessions", "bookings", "rooms", "teachers", "wallet_transactions"):
+        t[name] = spark.createDataFrame([], SCHEMAS[name])
+    row = admin.platform_analytics(t).collect()
+    assert len(row) == 1 and all(v == 0 for v in row[0].asDict().values())
+    assert admin.platform_summary(t).first().total_revenue == 0
+    assert admin.user_search_count(t, role="student").first().total == 0
+
+
+def test_null_booleans_count_as_not_true(spark, frames):
+    from studyhall.plans import admin, discovery
+    from studyhall.sources.tables import SCHEMAS
+    t = frames()
+    cols = [f.name for f in SCHEMAS["centers"].fields]
+    base = dict.fromkeys(cols)
+    rows = [dict(base, id=1, owner_id=9, name="a", lat=30.0, lng=31.0, is_active=True),
+            dict(base, id=2, owner_id=9, name="b", lat=30.0, lng=31.0, is_active=None)]
+    t["centers"] = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], SCHEMAS["centers"])
+    assert admin.center_counts(t).first().asDict() == {"total_centers": 2, "active_centers": 1}
+    got = discovery.nearby_centers(t, lat=30.0, lng=31.0, km=5).collect()
+    assert [r.id for r in got] == [1]
