@@ -3,9 +3,11 @@
 A distance predicate alone plans as a nested-loop join (every point against every place).
 Here both sides get a cell key ``(floor(lat/d), floor(lng/d))`` with ``d`` = radius in degrees
 of latitude. Each query point is expanded to the cells its radius can reach (3 latitude rows,
-and as many longitude columns as the radius spans at that latitude, wrapping at +-180 and
-taking every column near a pole), the places keep one cell each, the two are hash-joined on the cell, and the exact haversine test removes the
-candidates outside the circle. No pair is missed: the expansion covers the full circle.
+and as many longitude columns as the radius spans at that latitude, wrapping at +-180), the
+places keep one cell each, the two are hash-joined on the cell, and the exact haversine test
+removes the candidates outside the circle. Near a pole the span is capped: such points join the
+pole's cap key, carried by every place of the polar band. No pair is missed and none is found
+twice. Meant for city-scale radii (up to about a thousand km).
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 from studyhall.functions.geo import KM_PER_DEG_LAT, haversine_km
 
 
+MAX_SPAN = 64          # longitude cells a point may expand into before it uses a polar cap key
+CAP = 10 ** 9          # latitude index of the cap keys (never a real cell)
+
+
 def _cell_deg(km: float) -> float:
     return km / KM_PER_DEG_LAT
 
@@ -37,20 +43,30 @@ def within_radius_join(points: DataFrame, places: DataFrame, km: float, *,
            .withColumnRenamed(q_lat, "_qlat").withColumnRenamed(q_lng, "_qlng"))
 
     # Longitude cells wrap around the antimeridian (cell index modulo the cells per circle).
-    # The span is the radius in longitude at the point's worst-case latitude; a circle that
-    # reaches a pole needs every longitude.
+    # A point needs the longitude span of its radius at its worst-case latitude; where that would
+    # exceed MAX_SPAN cells (close to a pole) the point instead uses the pole's cap key, which
+    # every place in the polar band also carries: those few places are all compared with it.
     n = int(math.ceil(360.0 / d))
-    worst_lat = F.abs(F.col("_plat")) + F.lit(d)
-    span = F.when(worst_lat >= 89.999, F.lit(n)).otherwise(
-        F.least(F.ceil(F.lit(1.0) / F.cos(F.radians(worst_lat))), F.lit(n))).cast("long")
-    base_i = F.floor(F.col("_plat") / d)
+    cap_lat = math.degrees(math.acos(1.0 / MAX_SPAN))
+    plat, qlat = F.col("_plat"), F.col("_qlat")
+    worst_lat = F.abs(plat) + F.lit(d)
+    in_cap = worst_lat > cap_lat
+    span = F.least(F.ceil(F.lit(1.0) / F.cos(F.radians(F.least(worst_lat, F.lit(cap_lat))))), F.lit(n)).cast("long")
+    base_i = F.floor(plat / d)
     base_j = F.floor((F.col("_plng") + 180.0) / d)
-    cells_j = F.array_distinct(F.transform(F.sequence(base_j - span, base_j + span), lambda x: F.pmod(x, F.lit(n))))
-    pts = (pts
-           .withColumn("_ci", F.explode(F.sequence(base_i - 1, base_i + 1)))
-           .withColumn("_cj", F.explode(cells_j)))
-    plc = (plc.withColumn("_ci", F.floor(F.col("_qlat") / d))
-           .withColumn("_cj", F.pmod(F.floor((F.col("_qlng") + 180.0) / d), F.lit(n))))
+    normal = F.flatten(F.transform(
+        F.sequence(base_i - 1, base_i + 1),
+        lambda i: F.transform(F.array_distinct(F.transform(F.sequence(base_j - span, base_j + span),
+                                                           lambda x: F.pmod(x, F.lit(n)))),
+                              lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    cap_key = F.array(F.struct((F.signum(plat).cast("long") * CAP).alias("i"), F.lit(-1).cast("long").alias("j")))
+    pts = pts.withColumn("_cell", F.explode(F.when(in_cap, cap_key).otherwise(normal)))
+    q_cell = F.struct(F.floor(qlat / d).alias("i"), F.pmod(F.floor((F.col("_qlng") + 180.0) / d), F.lit(n)).alias("j"))
+    q_cap = F.struct((F.signum(qlat).cast("long") * CAP).alias("i"), F.lit(-1).cast("long").alias("j"))
+    plc = plc.withColumn("_cell", F.explode(F.when(F.abs(qlat) > cap_lat - 2 * d, F.array(q_cell, q_cap))
+                                            .otherwise(F.array(q_cell))))
+    pts = pts.withColumn("_ci", F.col("_cell.i")).withColumn("_cj", F.col("_cell.j")).drop("_cell")
+    plc = plc.withColumn("_ci", F.col("_cell.i")).withColumn("_cj", F.col("_cell.j")).drop("_cell")
 
     dist = haversine_km("_plat", "_plng", "_qlat", "_qlng")
     joined = pts.join(plc, ["_ci", "_cj"]).withColumn(distance_col, dist).filter(F.col(distance_col) <= km)

@@ -146,6 +146,13 @@ def test_radius_join_equals_brute_force(spark):
     assert (995, 997) in got            # across the antimeridian (~2.2 km)
     assert (994, 996) in got            # across the pole (~2.2 km)
     assert (998, 999) not in got        # ~16.7 km apart
+    # a tiny radius close to the pole: cap keys instead of a huge longitude expansion
+    near = spark.createDataFrame([(1, 89.9995, 0.0), (2, 89.9995, 170.0), (3, 89.99, 0.0)], "qid long, lat double, lng double")
+    me = spark.createDataFrame([(7, 89.9996, 90.0)], "pid long, lat double, lng double")
+    got_cap = {(r.pid, r.qid) for r in within_radius_join(me, near, 0.1).collect()}
+    brute_cap = {(r.pid, r.qid) for r in me.withColumnRenamed("lat", "a").withColumnRenamed("lng", "b").crossJoin(near)
+                 .filter(haversine_km("a", "b", "lat", "lng") <= 0.1).collect()}
+    assert got_cap == brute_cap == {(7, 1), (7, 2)}
 
 
 def test_first_per_group_picks_min_order(spark):
