@@ -6,13 +6,12 @@ reads whole tables (no id subsets, no row caps beyond a page or top-k that is th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import hashlib
-
 from studyhall.oracle.fixtures_sql import with_fixtures
 from studyhall.session import ensure_checkpoint_dir
 from studyhall.sources.fixtures import StoredFixtures
