@@ -162,3 +162,6 @@ SQL["platform_analytics_json"] = f"""SELECT CAST(to_json({{
         'recent_30_days': {{'new_users': new_users, 'new_sessions': new_sessions, 'new_bookings': new_bookings}}
     }}) AS VARCHAR) AS document
     FROM ({SQL["platform_analytics"]}) flat"""
+
+SQL["wallet_balance_function"] = f"""SELECT user_id, CAST(COALESCE(SUM({signed_sql()}), 0) AS DECIMAL(20,2)) AS balance
+    FROM wallet_transactions GROUP BY user_id"""

@@ -42,7 +42,7 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
     from studyhall.jobs import schedule as jsched
     from studyhall.oracle import sql_admin, sql_dash, sql_discovery, sql_jobs
     from studyhall.streaming import streams
-    from studyhall.plans import admin, center, discovery, rooms, teacher, wallet
+    from studyhall.plans import admin, center, discovery, rooms, teacher, views, wallet
 
     A = sql_admin.SQL
     e = {
@@ -131,6 +131,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "session_attendance_summary": (center.session_attendance_summary, S["session_attendance_summary"]),
         "center_analytics": (center.center_analytics, S["center_analytics"]),
         "center_analytics_exact": (center.center_analytics_exact, S["center_analytics_exact"]),
+        "center_analytics_view": (views.center_analytics_view, S["center_analytics"]),
+        "wallet_balance_function": (views.wallet_balance_function, A["wallet_balance_function"]),
         "student_bookings_summary": (center.student_bookings_summary, S["student_bookings_summary"]),
         "sessions_by_month": (center.sessions_by_month, S["sessions_by_month"]),
         "bookings_by_month": (center.bookings_by_month, S["bookings_by_month"]),
