@@ -5,11 +5,13 @@ with every other one; a teacher with a third of all sessions would make that qua
 Instead both sides are cut into fixed time buckets: each interval is listed once per bucket
 it touches, the join key is (key, bucket), and the range test runs as the join residual.
 Only intervals sharing a bucket are ever compared. A pair that shares several buckets is kept
-once: in the bucket holding ``max(a_start, b_start)``, the start of their intersection.
+once: in the bucket holding ``max(a_start, b_start)``, the start of their intersection. Rare
+long intervals are not cut into many buckets; they are compared by key alone (see below).
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,23 +32,43 @@ def _with_buckets(df: DataFrame, start: str, end: str, bucket_s: int) -> DataFra
     return df.withColumn(BUCKET, F.explode(F.sequence(first, last)))
 
 
+MAX_BUCKETS = 48   # an interval touching more buckets than this takes the key-only path
+
+
+def _n_buckets(start: str, end: str, bucket_s: int) -> Column:
+    s_ = _epoch_s(F.col(start))
+    e_ = _epoch_s(F.col(end))
+    return F.floor((F.greatest(e_, s_ + 1) - 1) / bucket_s) - F.floor(s_ / bucket_s) + 1
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], *,
                  left_start: str, left_end: str, right_start: str, right_end: str,
                  bucket_minutes: int = 60, how: str = "inner") -> DataFrame:
     """Pairs whose intervals overlap (half-open: touching intervals do not), equal on ``keys``.
 
     ``keys`` are (left column, right column) pairs; column names of the two sides must differ.
-    Zero-length intervals overlap nothing here when ``start == end`` on either side.
+    Zero-length intervals overlap nothing. Pairs of short intervals (at most ``MAX_BUCKETS``
+    buckets) meet in the bucket join; any pair with a long interval on either side is found by a
+    join on the keys alone with the range test as residual, so no interval is ever expanded into
+    more than ``MAX_BUCKETS`` rows and every overlapping pair is found exactly once.
     """
     b = bucket_minutes * 60
-    lb = _with_buckets(left, left_start, left_end, b)
-    rb = _with_buckets(right, right_start, right_end, b).withColumnRenamed(BUCKET, "_rbucket")
-    cond = [lb[BUCKET] == rb["_rbucket"]] + [lb[lk] == rb[rk] for lk, rk in keys]
     overlap = (F.col(left_start) < F.col(right_end)) & (F.col(right_start) < F.col(left_end)) \
         & (F.col(left_start) < F.col(left_end)) & (F.col(right_start) < F.col(right_end))
+    lshort = _n_buckets(left_start, left_end, b) <= MAX_BUCKETS
+    rshort = _n_buckets(right_start, right_end, b) <= MAX_BUCKETS
+    l_s, l_l = left.filter(lshort), left.filter(~lshort)
+    r_s, r_l = right.filter(rshort), right.filter(~rshort)
+
+    lb = _with_buckets(l_s, left_start, left_end, b)
+    rb = _with_buckets(r_s, right_start, right_end, b).withColumnRenamed(BUCKET, "_rbucket")
+    cond = reduce(lambda x, y: x & y, [lb[BUCKET] == rb["_rbucket"]] + [lb[lk] == rb[rk] for lk, rk in keys])
     owner = F.floor(_epoch_s(F.greatest(F.col(left_start), F.col(right_start))) / b) == F.col(BUCKET)
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    joined = lb.join(rb, cond_all & overlap & owner, how)
-    return joined.drop(BUCKET, "_rbucket")
+    short_pairs = lb.join(rb, cond & overlap & owner, how).drop(BUCKET, "_rbucket")
+
+    def by_keys(lf: DataFrame, rf: DataFrame) -> DataFrame:
+        c = reduce(lambda x, y: x & y, [lf[lk] == rf[rk] for lk, rk in keys])
+        return lf.join(rf, c & overlap, how)
+
+    # long on the left with anything on the right, short on the left with long on the right
+    return short_pairs.unionByName(by_keys(l_l, right)).unionByName(by_keys(l_s, r_l))

@@ -226,3 +226,18 @@ def test_null_booleans_count_as_not_true(spark, frames):
     assert admin.center_counts(t).first().asDict() == {"total_centers": 2, "active_centers": 1}
     got = discovery.nearby_centers(t, lat=30.0, lng=31.0, km=5).collect()
     assert [r.id for r in got] == [1]
+
+
+def test_overlap_join_with_long_intervals(spark):
+    from studyhall.operators import overlap as O
+    day = 24 * 60
+    left = spark.createDataFrame([(1, 7, ts(0), ts(60)), (2, 7, ts(-10 * day), ts(10 * day)), (3, 7, ts(5000), ts(5030))],
+                                 "lid long, lk long, ls timestamp_ntz, le timestamp_ntz")
+    right = spark.createDataFrame([(10, 7, ts(30), ts(90)), (11, 7, ts(-3 * day), ts(3 * day)), (12, 7, ts(5010), ts(5020)),
+                                   (13, 8, ts(0), ts(60))],
+                                  "rid long, rk long, rs timestamp_ntz, re timestamp_ntz")
+    got = sorted((r.lid, r.rid) for r in O.overlap_join(left, right, [("lk", "rk")], left_start="ls", left_end="le",
+                                                         right_start="rs", right_end="re").collect())
+    brute = sorted((r.lid, r.rid) for r in left.crossJoin(right).filter(
+        "lk = rk AND ls < re AND rs < le").collect())
+    assert got == brute == [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 12)]
