@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, session_end, ts_lit
-from studyhall.operators.overlap import overlap_join
+from studyhall.operators.overlap import has_long_intervals, overlap_join
 
 
 def _existing(t) -> DataFrame:
@@ -29,10 +29,13 @@ def session_overlap_pairs(t, candidates: DataFrame, bucket_minutes: int = 60) ->
                              session_end("scheduled_at", "duration_min").alias("c_end"))
     x = _existing(t)
     not_self = F.col("c_self").isNull() | (F.col("c_self") != F.col("x_id"))
+    longs = (has_long_intervals(cand, "c_start", "c_end", bucket_minutes),
+             has_long_intervals(x, "x_start", "x_end", bucket_minutes))
     busy = overlap_join(cand, x, [("teacher_id", "x_tid")], left_start="c_start", left_end="c_end",
-                        right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes)
+                        right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes, long_sides=longs)
     grade = overlap_join(cand, x, [("center_id", "x_cid"), ("grade_level", "x_grade")], left_start="c_start",
-                         left_end="c_end", right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes)
+                         left_end="c_end", right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes,
+                         long_sides=longs)
     return (busy.filter(not_self).select("candidate_id", F.col("x_id").alias("session_id"),
                                          F.col("x_start").alias("session_start"), F.lit("TEACHER_BUSY").alias("kind"))
             .unionByName(grade.filter(not_self).select("candidate_id", F.col("x_id").alias("session_id"),

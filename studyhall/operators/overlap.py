@@ -43,7 +43,8 @@ def _n_buckets(start: str, end: str, bucket_s: int) -> Column:
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], *,
                  left_start: str, left_end: str, right_start: str, right_end: str,
-                 bucket_minutes: int = 60, how: str = "inner") -> DataFrame:
+                 bucket_minutes: int = 60, how: str = "inner",
+                 long_sides: tuple[bool, bool] | None = None) -> DataFrame:
     """Pairs whose intervals overlap (half-open: touching intervals do not), equal on ``keys``.
 
     ``keys`` are (left column, right column) pairs; column names of the two sides must differ.
@@ -51,6 +52,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     buckets) meet in the bucket join; any pair with a long interval on either side is found by a
     join on the keys alone with the range test as residual, so no interval is ever expanded into
     more than ``MAX_BUCKETS`` rows and every overlapping pair is found exactly once.
+    ``long_sides`` = (left has long intervals, right has long intervals) when the caller already
+    probed (``has_long_intervals``); otherwise both sides are probed here.
     """
     b = bucket_minutes * 60
     overlap = (F.col(left_start) < F.col(right_end)) & (F.col(right_start) < F.col(left_end)) \
@@ -70,5 +73,19 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
         c = reduce(lambda x, y: x & y, [lf[lk] == rf[rk] for lk, rk in keys])
         return lf.join(rf, c & overlap, how)
 
-    # long on the left with anything on the right, short on the left with long on the right
-    return short_pairs.unionByName(by_keys(l_l, right)).unionByName(by_keys(l_s, r_l))
+    # Long intervals are rare: a limit-1 probe per side decides whether their joins run at all
+    # (a join against an empty side would still shuffle the other side).
+    if long_sides is None:
+        long_sides = (has_long_intervals(left, left_start, left_end, bucket_minutes),
+                      has_long_intervals(right, right_start, right_end, bucket_minutes))
+    out = short_pairs
+    if long_sides[0]:
+        out = out.unionByName(by_keys(l_l, right))       # long on the left, anything on the right
+    if long_sides[1]:
+        out = out.unionByName(by_keys(l_s, r_l))         # short on the left, long on the right
+    return out
+
+
+def has_long_intervals(df: DataFrame, start: str, end: str, bucket_minutes: int = 60) -> bool:
+    """Whether any interval spans more than ``MAX_BUCKETS`` buckets (a limit-1 probe)."""
+    return df.filter(_n_buckets(start, end, bucket_minutes * 60) > MAX_BUCKETS).limit(1).count() > 0
