@@ -46,7 +46,7 @@ FROM f GROUP BY conv_id
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(table(spark, sf_dir, "documents"))
-    weights = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    weights = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, weights).select(
         F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))

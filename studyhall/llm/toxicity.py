@@ -2,14 +2,14 @@
 
 Features of a text: its distinct words, word pairs and pairs with one word left out, hashed to
 2**bits coordinates (words are lower-cased in A-Z and stripped of ASCII punctuation at both ends;
-a word's first ``stem`` characters count as one more feature, for inflected abuse). Every coordinate has its own learning rate; the
+the first 4 and 5 bytes of a word are features too, for inflected and compounded abuse). Every coordinate has its own learning rate; the
 L1 term keeps most weights at exactly zero, so the model is a short list of (coordinate, weight),
 never more than 2**bits of them: the proven bound of what is broadcast.
 
-Training covers all labelled rows: they are dealt over ``shards`` tasks by a hash of the id, each
-task runs FTRL over its rows as a stream (bounded memory) and the shards' weights are averaged by
-a grouped aggregate; a second epoch starts from the averaged weights. Each label's rows are
-weighted so that both labels carry the same total.
+Training reads at most ``Params.rows`` labelled rows, the ones with the smallest hash of their id: a
+bounded sample, the documented limit of this operator. One task runs FTRL over it for a few
+epochs; features are kept as 32-bit coordinates, so its memory is bounded by the sample. The
+rarer label weighs up to the square root of balance. Scores cover every row of the table.
 
 Defined results: empty text or one without words scores the bias alone; null text is empty;
 repeated rows count each time; labels other than 0 and 1 and texts without label are not learned
@@ -34,14 +34,14 @@ _PUNCT_TO_SPACE = bytes(32 if b in _STRIP else b for b in range(256))
 
 @dataclass(frozen=True)
 class Params:
-    bits: int = 18
-    alpha: float = 0.25     # learning rate
+    bits: int = 21
+    alpha: float = 1.0      # learning rate
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    epochs: int = 2
-    shards: int = 8
-    stem: int = 5
+    l1: float = 8.0
+    l2: float = 0.1
+    epochs: int = 4
+    rows: int = 8000        # bound of the labelled sample that is fitted
+    stems: tuple[int, ...] = (4, 5)
 
 
 def features(texts: Iterable[bytes], p: Params) -> Iterator[np.ndarray]:
@@ -49,7 +49,7 @@ def features(texts: Iterable[bytes], p: Params) -> Iterator[np.ndarray]:
     for run in batches(texts):
         clean = [t.translate(_PUNCT_TO_SPACE) for t in run]
         words, at = word_hashes(clean)
-        stems, stem_at = word_hashes([_stems(t, p.stem) for t in clean])
+        stems, stem_at = word_hashes([_stems(t, p.stems) for t in clean])
         pairs = combine([words[:-1], words[1:]]) if len(words) > 1 else words[:0]
         skips = combine([words[:-2], words[2:], words[2:] * U64(0) + U64(7)]) if len(words) > 2 else words[:0]
         shift = U64(64 - p.bits)
@@ -61,20 +61,18 @@ def features(texts: Iterable[bytes], p: Params) -> Iterator[np.ndarray]:
                                             stems[stem_at[i]:stem_at[i + 1]]])).astype(np.int64)
 
 
-def _stems(text: bytes, n: int) -> bytes:
-    return b" ".join({w[:n] for w in text.lower().split() if len(w) > n})
+def _stems(text: bytes, sizes: tuple[int, ...]) -> bytes:
+    words = set(text.lower().split())
+    return b" ".join({w[:n] for n in sizes for w in words if len(w) >= n})
 
 
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; coordinate ``size`` is the bias (no L1)."""
 
-    def __init__(self, p: Params, start: np.ndarray | None = None):
+    def __init__(self, p: Params):
         self.p = p
-        n = (1 << p.bits) + 1
-        self.n = np.zeros(n)
-        self.z = np.zeros(n)
-        if start is not None:  # z that yields the given weights at n = 0
-            self.z = -start * (p.beta / p.alpha + p.l2) - np.sign(start) * self._l1(np.arange(n))
+        self.n = np.zeros((1 << p.bits) + 1)
+        self.z = np.zeros((1 << p.bits) + 1)
 
     def _l1(self, idx: np.ndarray) -> np.ndarray:
         return np.where(idx == 1 << self.p.bits, 0.0, self.p.l1)
@@ -97,42 +95,38 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def train(labelled: DataFrame, p: Params = Params()) -> np.ndarray:
-    """Weights (2**bits + 1 doubles) from rows (id, text, label 0/1)."""
-    spark = labelled.sparkSession
-    rows = labelled.filter(F.col("label").isin(0, 1)).select("id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    size = 1 << p.bits
-    if not count:
-        return np.zeros(size + 1)
-    # The rarer label is weighted up to the square root of balance: recall without a flood of false alarms.
-    total = sum(count.values())
-    scale = {k: float(np.sqrt(total / (2.0 * n))) for k, n in count.items()}
-    dealt = (rows.withColumn("h", F.xxhash64("id")).repartition(p.shards, "h")
-             .sortWithinPartitions("h", "id", "label", "text").drop("h"))
-    current = None
+def fit(texts: Iterable[bytes], labels: Iterable[int], p: Params = Params()) -> np.ndarray:
+    """Weights (2**bits + 1 doubles, the bias last) from labelled texts."""
+    model = Ftrl(p)
+    seen = [(idx.astype(np.int32), int(y)) for idx, y in zip(features(texts, p), labels)]
+    if not seen:
+        return model.n
+    count = {y: sum(1 for _, z in seen if z == y) for y in (0, 1)}
+    scale = {y: float(np.sqrt(len(seen) / (2.0 * n))) for y, n in count.items() if n}
     for _ in range(p.epochs):
-        sent = spark.sparkContext.broadcast(current)
-
-        def fit(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            model, seen = Ftrl(p, sent.value), 0
-            for f in frames:
-                seen += len(f)
-                for idx, y in zip(features((t.encode() for t in f["text"]), p), f["label"]):
-                    model.learn(idx, int(y), scale[int(y)])
-            if seen:
-                w = model.weights(np.arange(size + 1))
-                at = np.flatnonzero(w)
-                yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at] * seen, float(seen))})
-
-        # Averaged by rows seen; row -1 carries the number of rows.
-        sums = dealt.mapInPandas(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas()
-        seen = float(sums.loc[sums["at"] == -1, "w"].sum())
-        sums = sums[sums["at"] >= 0]
-        current = np.zeros(size + 1)
-        current[sums["at"].to_numpy()] = sums["w"].to_numpy() / seen
-        sent.unpersist()
-    return current
+        for idx, y in seen:
+            model.learn(idx, y, scale[y])
+    return model.weights(np.arange((1 << p.bits) + 1))
+
+
+def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> np.ndarray:
+    """Weights from ``docs`` (id, text) and ``labels`` (id, label 0/1), both whole tables."""
+    known = labels.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(p.rows)  # ids only; at most p.rows rows
+    rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = [(t, y) for f in frames for t, y in zip(f["text"], f["label"])]
+        w = fit((t.encode() for t, _ in sample), (y for _, y in sample), p)
+        at = np.flatnonzero(w)
+        yield pd.DataFrame({"at": at, "w": w[at]})
+
+    one = (rows.withColumn("h", F.xxhash64("id")).repartition(1).sortWithinPartitions("h", "id", "label", "text")
+           .select("text", "label"))
+    learned = one.mapInPandas(run, "at long, w double").toPandas()
+    weights = np.zeros((1 << p.bits) + 1)
+    weights[learned["at"].to_numpy(dtype=np.int64)] = learned["w"].to_numpy(dtype=float)
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> DataFrame:
@@ -154,8 +148,7 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, text, label) of the training rows: a row of ``docs`` and its ``toxic`` label."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").alias("label")).filter(
-        F.col("label").isin(0, 1) & ~held_out(F.col("id")))
-    return docs.select("id", "text").join(known, "id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(id, label) of the ``toxic`` labels that may be learned from."""
+    return labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).filter(
+        ~held_out(F.col("id")))
