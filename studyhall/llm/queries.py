@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, neardup, toxicity
+from studyhall.llm import chat, neardup, packing, toxicity
 from studyhall.llm.common import id_text, table
 
 
@@ -52,6 +52,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file, installed with the library on every machine."""
+    import public_tokenizers
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(id_text(table(spark, sf_dir, "documents")), tokenizer_path())
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(id_text(table(spark, sf_dir, "documents")), width=4, similarity=0.8)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -62,6 +73,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
+    "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
 }
 
