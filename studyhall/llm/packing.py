@@ -82,7 +82,8 @@ class WordEncoder:
             if _PLAIN(w) and "<|" not in w:
                 cut[w] = self.pieces_of(w.lower())
             else:
-                self.words[w] = b"".join([self.raw[i] for i in self.whole.encode(w, add_special_tokens=False).ids])
+                ids = self.whole.encode(w, add_special_tokens=False).ids
+                self.words[w] = b"".join([i.to_bytes(4, "little") for i in ids])
         unknown = list({p for parts in cut.values() for p in parts if p not in self.pieces})
         if unknown:
             ids = self.merges.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
