@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, neardup, packing, toxicity
+from studyhall.llm import chat, neardup, packing, toxicity, vectors
 from studyhall.llm.common import id_text, table
 
 
@@ -70,11 +70,20 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"),
+                                                     F.col("embedding").alias("vec"))
+    return vectors.near_vectors(rows, cosine=0.95).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
+    "op7_embedding_near_dedup": (op7_embedding_near_dedup, None),
 }
 
 
