@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, neardup, packing, toxicity, vectors
+from studyhall.llm import chat, fingerprint, neardup, packing, toxicity, vectors
 from studyhall.llm.common import id_text, table
 
 
@@ -78,12 +78,22 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(id_text(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+                        fingerprint.as_string(F.col("sketch")).alias("fingerprint"),
+                        fingerprint.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+                        F.col("near_edited").cast("double").alias("near_edited"),
+                        F.col("near_next").cast("double").alias("near_next"))
+
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
     "op7_embedding_near_dedup": (op7_embedding_near_dedup, None),
+    "op9_document_fingerprints": (op9_document_fingerprints, None),
 }
 
 
