@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, fingerprint, neardup, packing, toxicity, vectors
+from studyhall.llm import chat, fingerprint, mixing, neardup, packing, toxicity, vectors
 from studyhall.llm.common import id_text, table
 
 
@@ -63,6 +63,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
+MIX_POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+MIX_KEEP = 0.6
+
+
+def op5_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", mixing.text_topic(F.col("text")).alias("topic"),
+        mixing.n_tokens(F.col("text")).alias("n_tokens"))
+    out = mixing.mix(docs, dims=["source", "lang", "topic"], powers=MIX_POWERS, keep=MIX_KEEP)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"),
+                      F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(id_text(table(spark, sf_dir, "documents")), width=4, similarity=0.8)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -91,6 +104,7 @@ QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op5_mix_to_targets": (op5_mix_to_targets, mixing.oracle_sql(MIX_POWERS, MIX_KEEP)),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
     "op7_embedding_near_dedup": (op7_embedding_near_dedup, None),
     "op9_document_fingerprints": (op9_document_fingerprints, None),
