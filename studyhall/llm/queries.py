@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, fingerprint, mixing, neardup, packing, toxicity, vectors
+from studyhall.llm import chat, fingerprint, lm, mixing, neardup, packing, toxicity, vectors
 from studyhall.llm.common import id_text, table
 
 
@@ -63,6 +63,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(id_text(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 MIX_POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 MIX_KEEP = 0.6
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op4_lm_scoring": (op4_lm_scoring, None),
     "op5_mix_to_targets": (op5_mix_to_targets, mixing.oracle_sql(MIX_POWERS, MIX_KEEP)),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
     "op7_embedding_near_dedup": (op7_embedding_near_dedup, None),
