@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, fingerprint, lm, mixing, neardup, packing, toxicity, vectors
+from studyhall.llm import chat, fingerprint, langid, lm, mixing, neardup, packing, toxicity, vectors
 from studyhall.llm.common import id_text, table
 
 
@@ -104,6 +104,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("near_next").cast("double").alias("near_next"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), "url", "html")
+    found = langid.identify(pages, table(spark, sf_dir, "documents").select("text", "lang"))
+    return found.withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -113,6 +119,7 @@ QUERIES = {
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
     "op7_embedding_near_dedup": (op7_embedding_near_dedup, None),
     "op9_document_fingerprints": (op9_document_fingerprints, None),
+    "op10_language_id": (op10_language_id, None),
 }
 
 
