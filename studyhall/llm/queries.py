@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, fingerprint, langid, lm, mixing, neardup, packing, toxicity, vectors
+from studyhall.llm import chat, fingerprint, langid, lm, mixing, neardup, packing, pii, toxicity, vectors
 from studyhall.llm.common import id_text, table
 
 
@@ -95,6 +95,18 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_text(table(spark, sf_dir, "documents"))
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(told(base), 256).alias("base_sha256"),
+                        told(F.col("spans")).alias("spans"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.fingerprints(id_text(table(spark, sf_dir, "documents")))
     return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
@@ -118,6 +130,7 @@ QUERIES = {
     "op5_mix_to_targets": (op5_mix_to_targets, mixing.oracle_sql(MIX_POWERS, MIX_KEEP)),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
     "op7_embedding_near_dedup": (op7_embedding_near_dedup, None),
+    "op8_pii": (op8_pii, None),
     "op9_document_fingerprints": (op9_document_fingerprints, None),
     "op10_language_id": (op10_language_id, None),
 }
