@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -389,5 +390,26 @@ def redacted(text: str, model: SemiCrf) -> str:
     return "".join(out) + text[at:]
 
 
+def redact_column(docs: DataFrame, text_col: str, chars_col: str | None, model: SemiCrf) -> DataFrame:
+    """``docs`` with ``text_col`` redacted and, if there is such a column, ``chars_col`` set to its new
+    length; a null text stays null."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.w)
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = SemiCrf(sent.value)
+        for b in tables:
+            texts = [t and redacted(t, own) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, type=b.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    if chars_col in names:
+        kind = docs.schema[chars_col].dataType
+        out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col))
+                             .otherwise(F.length(text_col)).cast(kind))
+    return out
+
+
 def train(docs: DataFrame) -> SemiCrf:
     return fit(examples() + labelled_regions(docs))

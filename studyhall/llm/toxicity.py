@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,21 @@ def score(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> DataFra
     return docs.select("id", "text").mapInPandas(run, "id long, score double")
 
 
+def clean_rows(docs: DataFrame, text_col: str, weights: np.ndarray, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` whose text scores at most 0.5 (exactly 0.5: nothing was learned)."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index(text_col)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for b in tables:
+            texts = (t.encode() if t else b"" for t in b.column(at).to_pylist())
+            s = np.array([w[idx].sum() for idx in features(texts, p)], dtype=float) + w[-1]
+            yield b.filter(pa.array(s <= 0.0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> "F.Column":
     """Rows whose crc32 of the id as text is divisible by 5 are kept from training."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
