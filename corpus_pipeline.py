@@ -30,11 +30,20 @@ from studyhall.session import ensure_checkpoint_dir
 MIX_KEEP = 0.9  # expected share of the tokens that the sampled mixture has
 
 
+def _boxed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct column ``row``, so that no column of ``docs`` can clash with another."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def _unboxed(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``ids`` (id, unique), and rows without id."""
-    ids = ids.select(F.col("id").alias("__id"), F.lit(True).alias("__kept"))
-    return (docs.join(ids, docs["doc_id"].cast("long") == F.col("__id"), "left")
-            .filter("__kept or doc_id is null").select(*[docs[c] for c in docs.columns]))
+    ids = ids.select("id", F.lit(True).alias("kept"))
+    rows = _boxed(docs).join(ids, F.col("row.doc_id").cast("long") == F.col("id"), "left")
+    return _unboxed(rows.filter("kept or row.doc_id is null"), docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +69,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents sampled by their calibrated probabilities."""
-    names = docs.columns
-    wide = docs.select(F.struct(*[docs[c] for c in names]).alias("row")).select(
+    wide = _boxed(docs).select(
         "row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.lang").alias("lang"),
         mixing.text_topic(F.col("row.text")).alias("topic"), mixing.n_tokens(F.col("row.text")).alias("n_tokens"))
     out = mixing.mix(wide, dims=["source", "lang", "topic"], powers=MIX_POWERS, keep=MIX_KEEP)
-    return out.filter("sampled").select(*[F.col("row").getField(c).alias(c) for c in names])
+    return _unboxed(out.filter("sampled"), docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
