@@ -12,6 +12,7 @@ from studyhall.constants import CHECKIN_EARLY_MIN
 from studyhall.functions.exprs import first_failure, minutes, new_key, session_end, us_datetime
 from studyhall.functions.tokens import qr_code, qr_parts
 from studyhall.jobs.bookings import derived_seats
+from studyhall.operators.prefix import running_count
 from studyhall.operators.topn import is_first_in_group
 
 WALKIN_BOOKING_OFFSET = 3_000_000_000_000
@@ -58,10 +59,9 @@ def validate_scans(t, scans: DataFrame) -> DataFrame:
     ])
     d = j.select("scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
                  decision.alias("decision"), (decision == "OK").alias("_ok"))
-    # a second accepted scan of one booking in the batch: the group key includes the OK flag, and
-    # scans per QR code (one code per booking) bound the group sizes for the skew probe
-    d = is_first_in_group(d, ["booking_id", "_ok"], ["scanned_at", "scan_id"], size_source=scans,
-                          size_keys=["qr_code"])
+    # a second accepted scan of one booking in the batch; refused scans (often without a booking)
+    # take no part
+    d = is_first_in_group(d, ["booking_id"], ["scanned_at", "scan_id"], where=F.col("_ok"))
     return d.select("scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
                     F.when(F.col("_ok") & ~F.col("_is_first"), "ALREADY_ATTENDED")
                     .otherwise(F.col("decision")).alias("decision"))
@@ -113,16 +113,13 @@ def walk_in_attendance(t, requests: DataFrame) -> DataFrame:
     d = j.select("request_id", "student_id", "session_id", "center_id", "amount_paid", "requested_at",
                  "capacity", seats.alias("seats"), decision.alias("decision"))
     # in-batch: first request per (session, student); then seats in request order
-    d = d.withColumn("_okf", F.col("decision") == "OK")
-    d = is_first_in_group(d, ["session_id", "student_id", "_okf"], ["requested_at", "request_id"],
-                          size_source=requests, size_keys=["session_id", "student_id"])
-    d = d.withColumn("decision", F.when(F.col("_okf") & ~F.col("_is_first"), "ALREADY_BOOKED")
-                     .otherwise(F.col("decision"))).drop("_is_first", "_okf")
-    from studyhall.operators.prefix import running_count
-    ok = running_count(d.filter(F.col("decision") == "OK"), "session_id", ["requested_at", "request_id"], "seat_rank")
-    ok = ok.withColumn("decision", F.when(F.col("seat_rank") > F.col("capacity") - F.col("seats"),
-                                          "FULL_OR_UNAVAILABLE").otherwise("OK")).drop("seat_rank")
-    return d.filter(F.col("decision") != "OK").unionByName(ok).select(
+    d = is_first_in_group(d, ["session_id", "student_id"], ["requested_at", "request_id"], "_live",
+                          where=F.col("decision") == "OK")
+    d = running_count(d, ["session_id", "_live"], ["requested_at", "request_id"], "seat_rank")
+    d = d.withColumn("decision", F.when(F.col("decision") != "OK", F.col("decision")).when(~F.col("_live"), "ALREADY_BOOKED")
+                     .when(F.col("seat_rank") > F.col("capacity") - F.col("seats"), "FULL_OR_UNAVAILABLE")
+                     .otherwise("OK"))
+    return d.select(
         "request_id", "student_id", "session_id", "center_id", "amount_paid", "requested_at", "decision")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, money, new_key, ts_lit
 from studyhall.functions.tokens import qr_code
-from studyhall.operators.prefix import group_sizes_many, running_count, running_sum
+from studyhall.operators.prefix import running_count, running_sum
 from studyhall.operators.topn import is_first_in_group
 from studyhall.plans.wallet import balances_by_user
 
@@ -61,14 +61,9 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
     # One pipeline, no filter/union branches: the in-batch rules only look at eligible rows,
     # so the eligibility flag is part of each window's key.
     order = ["requested_at", "request_id"]
-    # group sizes of the raw requests bound the live groups; one probe job for all three windows
-    per_pair, per_session, per_student = group_sizes_many(
-        requests, [["session_id", "student_id"], ["session_id"], ["student_id"]])
-    r = r.withColumn("_okf", F.col("static") == "OK")
-    r = is_first_in_group(r, ["session_id", "student_id", "_okf"], order, sizes=per_pair)
-    r = r.withColumn("_live", F.col("_okf") & F.col("_is_first")).drop("_okf", "_is_first")
-    r = running_count(r, ["session_id", "_live"], order, "seat_rank", sizes=per_session)
-    r = running_sum(r, ["student_id", "_live"], order, "price", "spent", sizes=per_student)
+    r = is_first_in_group(r, ["session_id", "student_id"], order, "_live", where=F.col("static") == "OK")
+    r = running_count(r, ["session_id", "_live"], order, "seat_rank")
+    r = running_sum(r, ["student_id", "_live"], order, "price", "spent")
     decision = (F.when(F.col("static") != "OK", F.col("static"))
                 .when(~F.col("_live"), F.lit("ALREADY_BOOKED"))
                 .otherwise(first_failure([
@@ -112,12 +107,11 @@ def cancel_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame
         ("NOT_CANCELLABLE", ~F.col("status").isin("pending", "confirmed")),
         ("ALREADY_STARTED", F.col("scheduled_at") <= ts_lit(as_of)),
     ])
-    r = r.select("request_id", "booking_id", "student_id", "requested_at", "amount_paid", static.alias("static"),
-                 (static == "OK").alias("_okf"))
+    r = r.select("request_id", "booking_id", "student_id", "requested_at", "amount_paid", static.alias("static"))
     # a second cancellation of one booking in the batch finds it cancelled already
-    r = is_first_in_group(r, ["booking_id", "_okf"], ["requested_at", "request_id"], size_source=requests,
-                          size_keys=["booking_id"])
-    decision = F.when(~F.col("_okf"), F.col("static")).when(F.col("_is_first"), "OK").otherwise("NOT_CANCELLABLE")
+    live = F.col("static") == "OK"
+    r = is_first_in_group(r, ["booking_id"], ["requested_at", "request_id"], where=live)
+    decision = F.when(~live, F.col("static")).when(F.col("_is_first"), "OK").otherwise("NOT_CANCELLABLE")
     out = r.select("request_id", "booking_id", "student_id", "amount_paid", decision.alias("decision"))
     return out.select("request_id", "booking_id", "student_id", "decision",
                       F.when(F.col("decision") == "OK", money(F.col("amount_paid"))).alias("refund"))
@@ -130,11 +124,10 @@ def cancel_sessions(t, requests: DataFrame) -> DataFrame:
     s = t["sessions"].select(F.col("id").alias("s_id"), F.col("center_id").alias("s_cid"), "status")
     r = requests.join(s, (requests.session_id == s.s_id) & (requests.center_id == s.s_cid), "left")
     static = first_failure([("NOT_FOUND", F.col("s_id").isNull()), ("NOT_SCHEDULED", F.col("status") != "scheduled")])
-    r = r.select("request_id", "session_id", "center_id", "requested_at", static.alias("static"),
-                 (static == "OK").alias("_okf"))
-    r = is_first_in_group(r, ["session_id", "_okf"], ["requested_at", "request_id"], size_source=requests,
-                          size_keys=["session_id"])
-    out = r.select("request_id", "session_id", "center_id", F.when(~F.col("_okf"), F.col("static"))
+    r = r.select("request_id", "session_id", "center_id", "requested_at", static.alias("static"))
+    live = F.col("static") == "OK"
+    r = is_first_in_group(r, ["session_id"], ["requested_at", "request_id"], where=live)
+    out = r.select("request_id", "session_id", "center_id", F.when(~live, F.col("static"))
                    .when(F.col("_is_first"), "OK").otherwise("NOT_SCHEDULED").alias("decision"))
     held = (t["bookings"].filter(F.col("status").isin("pending", "confirmed"))
             .groupBy(F.col("session_id").alias("h_sid")).agg(

@@ -65,13 +65,11 @@ def deposits_to_ledger(t, requests: DataFrame) -> DataFrame:
     bal = balances_by_user(t["wallet_transactions"], "spendable").withColumnRenamed("user_id", "b_uid")
     r = requests.join(bal, requests.user_id == bal.b_uid, "left")
     r = r.withColumn("decision", first_failure([("INVALID_AMOUNT", F.col("amount").isNull() | (F.col("amount") <= 0))]))
-    ok = r.filter(F.col("decision") == "OK")
-    ok = running_sum(ok, "user_id", ["requested_at", "request_id"], "amount", "_deposited")
-    ok = ok.withColumn("new_balance", money(F.coalesce(F.col("balance"), F.lit(0)) + F.col("_deposited")))
-    bad = r.filter(F.col("decision") != "OK").withColumn("new_balance", F.lit(None).cast("decimal(18,2)"))
-    cols = ["request_id", "user_id", "amount", "decision", "new_balance"]
-    return (ok.select(*cols, F.coalesce(F.col("payment_method"), F.lit("manual")).alias("payment_method"))
-            .unionByName(bad.select(*cols, F.lit(None).cast("string").alias("payment_method"))))
+    r = r.withColumn("_ok", F.col("decision") == "OK")
+    r = running_sum(r, ["user_id", "_ok"], ["requested_at", "request_id"], "amount", "_deposited")
+    balance = money(F.coalesce(F.col("balance"), F.lit(0)) + F.col("_deposited"))
+    return r.select("request_id", "user_id", "amount", "decision", F.when(F.col("_ok"), balance).alias("new_balance"),
+                    F.when(F.col("_ok"), F.coalesce(F.col("payment_method"), F.lit("manual"))).alias("payment_method"))
 
 
 def deposit_outputs(decisions: DataFrame, *, as_of=LEDGER_AS_OF) -> DataFrame:
@@ -85,20 +83,23 @@ def deposit_outputs(decisions: DataFrame, *, as_of=LEDGER_AS_OF) -> DataFrame:
 
 
 def user_status_changes(t, requests: DataFrame, *, as_of=LEDGER_AS_OF) -> dict[str, DataFrame]:
-    """JOB-24: requests (request_id, admin_id, user_id, is_active, reason): FIELD_REQUIRED (no
-    is_active), NOT_FOUND, FORBIDDEN (super_admin target), else OK; OK patches the user and writes
-    an audit row (activate_user / deactivate_user, details ``{"reason": ...}``)."""
+    """JOB-24: requests (request_id, admin_id, user_id, is_active, reason[, requested_at]):
+    FIELD_REQUIRED (no is_active), NOT_FOUND, FORBIDDEN (super_admin target), else OK; OK patches the
+    user (of several changes the latest by time, then request id, holds) and writes an audit row
+    (activate_user / deactivate_user, details ``{"reason": ...}``)."""
     u = t["users"].select(F.col("id").alias("u_id"), "role")
     j = requests.join(u, requests.user_id == u.u_id, "left")
-    d = j.select("request_id", "admin_id", "user_id", "is_active", "reason", first_failure([
+    d = j.select(*requests.columns, first_failure([
         ("FIELD_REQUIRED", F.col("is_active").isNull()), ("NOT_FOUND", F.col("u_id").isNull()),
         ("FORBIDDEN", F.col("role") == "super_admin")]).alias("decision"))
     ok = d.filter(F.col("decision") == "OK")
-    patches = ok.select(F.col("user_id").alias("id"), "is_active", ts_lit(as_of).alias("patched_at"))
+    at = F.coalesce(F.col("requested_at"), ts_lit(as_of)) if "requested_at" in requests.columns else ts_lit(as_of)
+    patches = ok.select(F.col("user_id").alias("id"), "is_active", at.alias("patched_at"), "request_id")
     audit = ok.select(
         F.col("request_id").alias("id"), "admin_id",
         F.when(F.col("is_active"), "activate_user").otherwise("deactivate_user").alias("action"),
         F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_id"),
         F.to_json(F.struct(F.col("reason")), {"ignoreNullFields": "false"}).alias("details"),
         ts_lit(as_of).alias("created_at"))
+    d = d.select("request_id", "admin_id", "user_id", "is_active", "reason", "decision")
     return {"decisions": d, "users": apply_patches(t["users"], patches, mode="overwrite"), "audit_logs": audit}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from studyhall.constants import (
     ACCESS_TIERS, BOOKING_STATUSES, CONTENT_TYPES, ROLES, SESSION_AS_OF, SESSION_STATUSES, TX_STATUSES, TX_TYPES,
 )
+from studyhall.operators.topn import earliest_ok
 from studyhall.functions.exprs import avg_1dp, first_failure, ts_lit
 
 # Output of the constraint job: one row per violation.
@@ -202,45 +203,55 @@ def rebuild_derived_columns(t) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------------ JOB-10
 def apply_patches(table: DataFrame, patches: DataFrame, *, key: str = "id", stamp_col: str | None = "updated_at",
-                  patched_at: str = "patched_at", mode: str = "coalesce") -> DataFrame:
+                  patched_at: str = "patched_at", order_id: str = "request_id", mode: str = "coalesce") -> DataFrame:
     """JOB-10: merge a batch of patches into a snapshot by join (no in-place UPDATE).
 
-    Latest patch per key wins (ties on ``patched_at`` go to the larger patched values, so the
-    result never depends on row order). ``coalesce``: a NULL in the patch keeps the old value
-    (``COALESCE($n, col)``); ``overwrite``: patched columns replace the old ones. The stamp
-    column takes ``patched_at`` of the applied patch.
+    The result is that of applying the patches one by one, ordered by (``patched_at``, ``order_id`` if
+    the patches have it). ``coalesce``: a NULL in a patch keeps the value before it
+    (``COALESCE($n, col)``), so each column takes its own latest non-NULL value; ``overwrite``: the last
+    patch replaces all patched columns. The stamp column takes the last ``patched_at``.
     """
-    cols = [c for c in patches.columns if c not in (key, patched_at) and c in table.columns]
-    # latest patch per key as a max(struct) aggregate: combined map-side, safe for a hot key
-    best = patches.groupBy(key).agg(F.max(F.struct(patched_at, *cols)).alias("_p"))
-    latest = best.select(key, F.col(f"_p.{patched_at}").alias(patched_at),
-                         *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in cols])
-    j = table.join(latest, key, "left")
-    hit = F.col(patched_at).isNotNull()
+    by = [c for c in (patched_at, order_id) if c in patches.columns]
+    cols = [c for c in patches.columns if c not in (key, *by) and c in table.columns]
+    # max_by aggregates: combined map-side, safe for a key with very many patches
+    order = F.struct(*by)
+    if mode == "coalesce":
+        aggs = [F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v")))).alias(f"_p_{c}")
+                for c in cols]
+    else:
+        aggs = [F.max(F.struct(order.alias("o"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])).alias("_p")]
+    latest = patches.groupBy(F.col(key).alias("_pk")).agg(F.max(patched_at).alias("_at"), *aggs)
+    j = table.join(latest, F.col(key) == F.col("_pk"), "left")
+    hit = F.col("_at").isNotNull()
     out = []
     for c in table.columns:
         if c in cols:
-            new = F.coalesce(F.col(f"_p_{c}"), F.col(c)) if mode == "coalesce" else \
-                F.when(hit, F.col(f"_p_{c}")).otherwise(F.col(c))
+            new = F.coalesce(F.col(f"_p_{c}.v"), F.col(c)) if mode == "coalesce" else \
+                F.when(hit, F.col(f"_p.v{cols.index(c)}")).otherwise(F.col(c))
             out.append(new.alias(c))
         elif stamp_col is not None and c == stamp_col:
-            out.append(F.when(hit, F.col(patched_at)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(hit, F.col("_at")).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return j.select(*out)
 
 
 def room_patches(t) -> DataFrame:
-    """Patches for rooms: one per room, two for every 5th (the later one wins), NULLs kept."""
-    r = t["rooms"].select("id", "updated_at")
+    """Patches for rooms: one per room (name, is_active or neither), a later one of ``is_active`` alone
+    for every 5th, and two at one time that differ for every 15th."""
+    r = t["rooms"].select("id")
     k = F.col("id")
+    none = F.lit(None).cast("string")
+    at = ts_lit(SESSION_AS_OF)
     first = r.select(k.alias("id"), F.when(k % 2 == 0, F.concat(F.lit("Renamed "), k.cast("string"))).alias("name"),
-                     F.when(k % 3 == 0, F.lit(False)).alias("is_active"),
-                     ts_lit(SESSION_AS_OF).alias("patched_at"))
-    second = r.filter(k % 5 == 0).select(k.alias("id"), F.lit(None).cast("string").alias("name"),
-                                         F.lit(True).alias("is_active"),
-                                         F.timestamp_add("MINUTE", F.lit(5), ts_lit(SESSION_AS_OF)).alias("patched_at"))
-    return first.unionByName(second)
+                     F.when(k % 3 == 0, F.lit(False)).alias("is_active"), at.alias("patched_at"), k.alias("request_id"))
+    second = r.filter(k % 5 == 0).select(
+        k.alias("id"), none.alias("name"), F.lit(True).alias("is_active"),
+        F.timestamp_add("MINUTE", F.lit(5), at).alias("patched_at"), (k + 1_000_000_000).alias("request_id"))
+    third = r.filter(k % 15 == 0).select(
+        k.alias("id"), F.concat(F.lit("Again "), k.cast("string")).alias("name"), F.lit(False).alias("is_active"),
+        F.timestamp_add("MINUTE", F.lit(5), at).alias("patched_at"), (k + 2_000_000_000).alias("request_id"))
+    return first.unionByName(second).unionByName(third)
 
 
 def apply_session_patches(t, patches: DataFrame, *, mode: str = "coalesce") -> dict[str, DataFrame]:
@@ -285,7 +296,7 @@ def update_teacher_content(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> di
     cols = ["title", "description", "url", "is_free", "is_active", "sort_order"]
     ok = d.filter(F.col("decision") == "OK").select(
         F.col("content_id").alias("id"), *cols,
-        F.coalesce(F.col("requested_at"), ts_lit(as_of)).alias("patched_at"))
+        F.coalesce(F.col("requested_at"), ts_lit(as_of)).alias("patched_at"), "request_id")
     masters = apply_patches(t["teacher_content"], ok)
     changed = masters.join(ok.select(F.col("id").alias("_chg")).distinct(), F.col("id") == F.col("_chg"),
                            "left_semi")
@@ -308,17 +319,18 @@ def retire_content(t, requests: DataFrame) -> DataFrame:
 
 
 def reorder_content(t, requests: DataFrame) -> DataFrame:
-    """JOB-14: requests (room_id[, center_id], items: array<struct<id, sort_order>>) set new
+    """JOB-14: requests ([requested_at, request_id,] room_id[, center_id], items: array<struct<id, sort_order>>) set new
     ranks; ids outside the room are ignored, and with ``center_id`` a request for a room of
     another centre is ignored (NOT_FOUND). Returns the new content_items snapshot."""
     if "center_id" in requests.columns:
         own = t["rooms"].select(F.col("id").alias("_rid"), F.col("center_id").alias("_rc"))
         requests = requests.join(own, (requests.room_id == own._rid) & (requests.center_id == own._rc), "left_semi")
-    ranks = (requests.select("room_id", F.posexplode("items").alias("_pos", "_item"))
+    order = [c for c in ("requested_at", "request_id") if c in requests.columns]
+    ranks = (requests.select("room_id", *order, F.posexplode("items").alias("_pos", "_item"))
              .select(F.col("room_id").alias("r_room"), F.col("_item.id").alias("r_id"),
-                     F.col("_item.sort_order").alias("r_rank"), "_pos"))
-    # the last mention of an id in the request array wins
-    ranks = ranks.groupBy("r_room", "r_id").agg(F.max(F.struct("_pos", "r_rank")).alias("_b")).select(
+                     F.col("_item.sort_order").alias("r_rank"), *order, "_pos"))
+    # requests in order of (time, id); in one request the last mention of an id wins
+    ranks = ranks.groupBy("r_room", "r_id").agg(F.max(F.struct(*order, "_pos", "r_rank")).alias("_b")).select(
         "r_room", "r_id", F.col("_b.r_rank").alias("r_rank"))
     ci = t["content_items"]
     j = ci.join(ranks, (ci.id == ranks.r_id) & (ci.room_id == ranks.r_room), "left")
@@ -338,20 +350,22 @@ def _link_facts(t, requests: DataFrame) -> DataFrame:
 
 def link_teachers(t, requests: DataFrame) -> DataFrame:
     """JOB-15 link: CENTER_NOT_FOUND, TEACHER_NOT_FOUND, ALREADY_LINKED (any association row,
-    active or not), else OK (a new active link)."""
+    active or not, or an earlier request of the batch), else OK (a new active link)."""
     j = _link_facts(t, requests)
-    return j.select("request_id", "center_id", "teacher_id", first_failure([
+    d = j.select("request_id", "center_id", "teacher_id", first_failure([
         ("CENTER_NOT_FOUND", F.col("c_id").isNull()), ("TEACHER_NOT_FOUND", F.col("t_id").isNull()),
         ("ALREADY_LINKED", F.col("l_cid").isNotNull())]).alias("decision"))
+    return earliest_ok(d, ["center_id", "teacher_id"], "ALREADY_LINKED", order=["request_id"])
 
 
 def unlink_teachers(t, requests: DataFrame) -> DataFrame:
-    """JOB-15 unlink: CENTER_NOT_FOUND, TEACHER_NOT_FOUND, NOT_LINKED (no association row), else
-    OK (the association row is deleted)."""
+    """JOB-15 unlink: CENTER_NOT_FOUND, TEACHER_NOT_FOUND, NOT_LINKED (no association row, or
+    an earlier request of the batch removed it), else OK (the association row is deleted)."""
     j = _link_facts(t, requests)
-    return j.select("request_id", "center_id", "teacher_id", first_failure([
+    d = j.select("request_id", "center_id", "teacher_id", first_failure([
         ("CENTER_NOT_FOUND", F.col("c_id").isNull()), ("TEACHER_NOT_FOUND", F.col("t_id").isNull()),
         ("NOT_LINKED", F.col("l_cid").isNull())]).alias("decision"))
+    return earliest_ok(d, ["center_id", "teacher_id"], "NOT_LINKED", order=["request_id"])
 
 
 # The delete rule of every foreign key of the reference schema (parent table ->

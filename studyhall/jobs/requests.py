@@ -15,6 +15,7 @@ from studyhall.functions.exprs import ts_lit
 from studyhall.sources.fixtures import plus_minutes
 
 UNKNOWN_OFFSET = 1_000_000_000_000
+REPEAT_OFFSET = 100_000_000_000_000  # added to a request id for its repeat in the batch
 
 
 def booking_requests(t) -> DataFrame:
@@ -142,20 +143,32 @@ def retire_requests(t) -> DataFrame:
                      F.when(k % 5 == 0, F.col("teacher_id") + 1).otherwise(F.col("teacher_id")).alias("teacher_id"))
 
 
+def _again(requests: DataFrame, every: int, key: str = "request_id") -> DataFrame:
+    """Plus a repeat of every n-th request under a later id, in the same batch."""
+    repeat = requests.filter(F.col(key) % every == 0).withColumn(key, F.col(key) + F.lit(REPEAT_OFFSET))
+    return requests.unionByName(repeat)
+
+
 def link_requests(t) -> DataFrame:
-    """request_id, center_id, teacher_id: each teacher asks to join centre id*3 % ns; every 13th
-    teacher is unknown."""
+    """request_id, center_id, teacher_id: each teacher asks to join centre id*3 % ns (every 17th an
+    unknown centre), every 4th twice; every 13th teacher is unknown."""
     ns = t.n_supplier
     k = F.col("id")
-    return t["teachers"].select(k.alias("request_id"), (k * 3 % ns).alias("center_id"),
-                                F.when(k % 13 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("teacher_id"))
+    once = t["teachers"].select(
+        k.alias("request_id"), F.when(k % 17 == 0, k + UNKNOWN_OFFSET).otherwise(k * 3 % ns).alias("center_id"),
+        F.when(k % 13 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("teacher_id"))
+    return _again(once, 4)
 
 
 def unlink_requests(t) -> DataFrame:
-    """request_id, center_id, teacher_id: every teacher asked off centre id*5 % ns (linked or not)."""
+    """request_id, center_id, teacher_id: every teacher asked off centre id*5 % ns or, for even ids, off
+    one of theirs (id % ns), every 4th twice; unknown centres and teachers as in ``link_requests``."""
     ns = t.n_supplier
     k = F.col("id")
-    return t["teachers"].select(k.alias("request_id"), (k * 5 % ns).alias("center_id"), k.alias("teacher_id"))
+    once = t["teachers"].select(
+        k.alias("request_id"), F.when(k % 17 == 0, k + UNKNOWN_OFFSET).when(k % 2 == 0, k % ns).otherwise(k * 5 % ns)
+        .alias("center_id"), F.when(k % 13 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("teacher_id"))
+    return _again(once, 4)
 
 
 def publish_requests(t) -> DataFrame:
@@ -172,26 +185,35 @@ def publish_requests(t) -> DataFrame:
 
 def room_candidates(t) -> DataFrame:
     """candidate_id, center_id, teacher_id, name, subject, grade_level: a second room per room;
-    every 4th reuses the existing name, every 3rd asks for a subject the teacher does not teach."""
+    every 4th reuses the existing name, every 3rd asks for a subject the teacher does not teach, every
+    19th has an empty name, every 23rd a teacher without link; every 5th is asked twice."""
     r = t["rooms"]
     k = F.col("id")
-    return r.select(k.alias("candidate_id"), "center_id", "teacher_id",
-                    F.when(k % 4 == 0, F.col("name")).otherwise(F.concat(F.lit("New "), F.col("name"))).alias("name"),
+    once = r.select(k.alias("candidate_id"), "center_id",
+                    F.when(k % 23 == 0, k + UNKNOWN_OFFSET).otherwise(F.col("teacher_id")).alias("teacher_id"),
+                    F.when(k % 19 == 0, F.lit("")).when(k % 4 == 0, F.col("name"))
+                    .otherwise(F.concat(F.lit("New "), F.col("name"))).alias("name"),
                     F.when(k % 3 == 0, F.lit("Art")).otherwise(F.col("subject")).alias("subject"), "grade_level")
+    return _again(once, 5, "candidate_id")
 
 
 def attach_requests(t) -> DataFrame:
     """request_id, center_id, room_id, content_id, is_free, sort_order: each master content
-    attached to its teacher's room (free for even ids, rank id % 10 for every 3rd); every 9th
-    from the wrong centre."""
+    attached to its teacher's room, for odd ids to another room of the centre (free for even ids, rank
+    id % 10 for every 3rd); every 9th from the wrong centre, every 31st without content; every 3rd is
+    asked twice."""
     ns = t.n_supplier
     tc = t["teacher_content"]
     k = F.col("id")
-    return tc.select(k.alias("request_id"),
+    own = F.col("teacher_id")
+    other = F.when(own >= ns, own - ns).otherwise(own + ns)
+    once = tc.select(k.alias("request_id"),
                      F.when(k % 9 == 0, (F.col("center_id") + 1) % ns).otherwise(F.col("center_id")).alias("center_id"),
-                     F.col("teacher_id").alias("room_id"), k.alias("content_id"),
+                     F.when(k % 2 == 1, other).otherwise(own).alias("room_id"),
+                     F.when(k % 31 != 0, k).alias("content_id"),
                      F.when(k % 2 == 0, F.lit(True)).alias("is_free"),
                      F.when(k % 3 == 0, (k % 10).cast("int")).alias("sort_order"))
+    return _again(once, 3)
 
 
 def reorder_requests(t) -> DataFrame:
@@ -205,26 +227,32 @@ def reorder_requests(t) -> DataFrame:
 
 def status_change_requests(t) -> DataFrame:
     """request_id, admin_id, user_id, is_active, reason: every user's activation flipped by an
-    admin, and every super admin targeted too (refused)."""
+    admin, and every super admin targeted too (refused); some name no user or no value."""
     u = t["users"].select("id", "is_active", "role")
     k = F.col("id")
-    return u.select(k.alias("request_id"), F.lit(3_000_000_000).alias("admin_id"), k.alias("user_id"),
-                    (~F.col("is_active")).alias("is_active"),
+    once = u.select(k.alias("request_id"), F.lit(3_000_000_000).alias("admin_id"),
+                    F.when(k % 29 == 0, k + UNKNOWN_OFFSET).otherwise(k).alias("user_id"),
+                    F.when(k % 37 != 0, ~F.col("is_active")).alias("is_active"),
                     F.when(F.col("is_active"), F.lit("policy")).alias("reason"))
+    # every 8th is changed back by a later request of the batch
+    return _again(once, 8).withColumn("is_active", F.when(F.col("request_id") % 8 != 0, F.col("is_active"))
+                                      .otherwise(F.col("is_active") == (F.col("request_id") < REPEAT_OFFSET)))
 
 
 def registration_candidates(t) -> DataFrame:
     """candidate_id, name, email, phone, role, subjects, grade_levels, center_name,
     center_address, lat, lng, center_lat, center_lng: one sign-up per customer; every 7th reuses
-    the customer's e-mail, every 11th its phone; some centre owners lack address or coordinates."""
+    the customer's e-mail, every 11th its phone, every 13th has none; some centre owners lack address or
+    coordinates; every 6th signs up twice."""
     c = t.raw("customer").select("c_custkey", "c_name", "c_mktsegment")
     k = F.col("c_custkey")
     role = F.when(k % 3 == 0, "teacher").when(k % 3 == 1, "center_admin").otherwise("student")
-    return c.select(
+    once = c.select(
         (k + F.lit(5_000_000_000)).alias("candidate_id"), F.col("c_name").alias("name"),
         F.when(k % 7 == 0, F.concat(F.lit("student."), k.cast("string"), F.lit("@mail.example")))
         .otherwise(F.concat(F.lit("new."), k.cast("string"), F.lit("@mail.example"))).alias("email"),
-        F.when(k % 11 == 0, F.concat(F.lit("+20"), k.cast("string"))).alias("phone"),
+        F.when(k % 11 == 0, F.concat(F.lit("+20"), k.cast("string"))).when(k % 13 == 0, F.lit(""))
+        .otherwise(F.concat(F.lit("+49"), k.cast("string"))).alias("phone"),
         role.alias("role"),
         F.array(F.col("c_mktsegment"), F.lit("")).alias("subjects"),
         F.array(F.lit("Grade 1"), F.lit(None).cast("string")).alias("grade_levels"),
@@ -233,6 +261,7 @@ def registration_candidates(t) -> DataFrame:
         F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"),
         F.when(k % 8 < 6, F.lit(22.0) + (k * 37 % 1000) / 100.0).alias("center_lat"),
         F.when(k % 8 < 6, F.lit(25.0) + (k * 91 % 1000) / 100.0).alias("center_lng"))
+    return _again(once, 6, "candidate_id")
 
 
 def session_delete_requests(t) -> DataFrame:

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,25 +13,13 @@ from studyhall.functions.exprs import first_failure, money, non_empty_array, ts_
 from studyhall.functions.links import is_valid_url
 from studyhall.functions.tokens import access_code
 from studyhall.operators.prefix import running_sum
-from studyhall.operators.topn import first_per_group, is_first_in_group
+from studyhall.operators.topn import earliest_ok, first_per_group
 from studyhall.plans.wallet import balances_by_user
+from studyhall.session import cut_lineage
 
 UNKNOWN_OFFSET = 1_000_000_000_000
 
 
-def _earliest_ok(d: DataFrame, keys: list[str], dup_code: str, requests: DataFrame | None = None) -> DataFrame:
-    """Among OK rows, only the earliest request per key stays OK; later ones get ``dup_code``.
-
-    One pipeline: the OK flag is part of the group key (``is_first_in_group``); the raw
-    ``requests`` bound the group sizes for the skew probe."""
-    d = d.withColumn("_okf", F.col("decision") == "OK")
-    src_keys = [k for k in keys if requests is not None and k in requests.columns]
-    d = is_first_in_group(d, keys + ["_okf"], ["requested_at", "request_id"],
-                          size_source=requests if src_keys == keys else None, size_keys=keys if src_keys == keys else None)
-    return d.withColumn("decision", F.when(F.col("_okf") & ~F.col("_is_first"), F.lit(dup_code))
-                        .otherwise(F.col("decision"))).drop("_okf", "_is_first")
-
-
 # ------------------------------------------------------------------ JOB-08
 def join_requests(t) -> DataFrame:
     """request_id, student_id, access_code, requested_at: every membership asks again (members /
@@ -71,7 +61,7 @@ def join_rooms(t, requests: DataFrame) -> DataFrame:
     ])
     d = j.select("request_id", "student_id", "access_code", "requested_at", "room_id", "m_room", "access_tier",
                  decision.alias("decision"))
-    d = _earliest_ok(d, ["room_id", "student_id"], "ALREADY_MEMBER")  # room known only after the code lookup
+    d = earliest_ok(d, ["room_id", "student_id"], "ALREADY_MEMBER")  # room known only after the code lookup
     ok = F.col("decision") == "OK"
     rejoin = ok & F.col("m_room").isNotNull()
     return d.select("request_id", "student_id", "room_id",
@@ -113,13 +103,11 @@ def upgrade_room_access(t, requests: DataFrame) -> DataFrame:
     ])
     d = j.select("request_id", "student_id", "room_id", "requested_at", "paid_price",
                  F.coalesce(F.col("balance"), F.lit(0)).alias("balance"), static.alias("decision"))
-    d = _earliest_ok(d, ["room_id", "student_id"], "ALREADY_PAID", requests)
-    done = d.filter(F.col("decision") != "OK")
-    live = running_sum(d.filter(F.col("decision") == "OK"), "student_id", ["requested_at", "request_id"],
-                       "paid_price", "_spent")
-    live = live.withColumn("decision", F.when(F.col("_spent") > F.col("balance"), "INSUFFICIENT_BALANCE")
-                           .otherwise("OK")).drop("_spent")
-    out = done.unionByName(live)
+    d = earliest_ok(d, ["room_id", "student_id"], "ALREADY_PAID")
+    d = d.withColumn("_live", F.col("decision") == "OK")
+    d = running_sum(d, ["student_id", "_live"], ["requested_at", "request_id"], "paid_price", "_spent")
+    out = d.withColumn("decision", F.when(F.col("_live") & (F.col("_spent") > F.col("balance")), "INSUFFICIENT_BALANCE")
+                       .otherwise(F.col("decision")))
     return out.select("request_id", "student_id", "room_id", "decision",
                       F.when(F.col("decision") == "OK", money(F.col("paid_price"))).alias("charged"))
 
@@ -173,7 +161,7 @@ def review_eligibility(t, requests: DataFrame, *, per: str = "teacher") -> DataF
     ])
     d = j.select("request_id", "student_id", "teacher_id", "rating", "requested_at", "booking_id",
                  decision.alias("decision"))
-    d = _earliest_ok(d, ["student_id", "teacher_id"], "ALREADY_REVIEWED", requests)
+    d = earliest_ok(d, ["student_id", "teacher_id"], "ALREADY_REVIEWED")
     return d.select("request_id", "student_id", "teacher_id", "rating", "decision",
                     F.when(F.col("decision") == "OK", F.col("booking_id")).alias("booking_id"))
 
@@ -182,8 +170,8 @@ def review_eligibility(t, requests: DataFrame, *, per: str = "teacher") -> DataF
 def attach_content(t, requests: DataFrame) -> DataFrame:
     """JOB-13: requests (request_id, center_id, room_id, content_id, is_free?, sort_order?):
     CONTENT_REQUIRED, ROOM_NOT_FOUND (not a room of this centre), CONTENT_NOT_AVAILABLE (not an
-    active master content of this centre whose teacher is actively linked to it), ALREADY_IN_ROOM,
-    else OK with the copy: the master's type, title, description and url; ``is_free`` from the
+    active master content of this centre whose teacher is actively linked to it), ALREADY_IN_ROOM (or
+    attached by an earlier request of the batch), else OK with the copy: the master's type, title, description and url; ``is_free`` from the
     request or the master; ``sort_order`` from the request or 0."""
     rooms = t["rooms"].select(F.col("id").alias("r_id"), F.col("center_id").alias("r_cid"))
     links = t["center_teachers"].filter(F.col("is_active")).select(F.col("center_id").alias("l_cid"),
@@ -202,20 +190,22 @@ def attach_content(t, requests: DataFrame) -> DataFrame:
     decision = first_failure([
         ("CONTENT_REQUIRED", F.col("content_id").isNull()), ("ROOM_NOT_FOUND", F.col("r_id").isNull()),
         ("CONTENT_NOT_AVAILABLE", F.col("tc_id").isNull()), ("ALREADY_IN_ROOM", F.col("attached"))])
-    return j.select("request_id", "room_id", "content_id", decision.alias("decision"), "type",
-                    F.col("tc_title").alias("title"), F.col("tc_description").alias("description"), "url",
-                    F.coalesce(F.col("is_free"), F.col("tc_free")).alias("is_free"),
-                    F.coalesce(F.col("sort_order"), F.lit(0)).alias("sort_order"))
+    d = j.select("request_id", "room_id", "content_id", decision.alias("decision"), "type",
+                 F.col("tc_title").alias("title"), F.col("tc_description").alias("description"), "url",
+                 F.coalesce(F.col("is_free"), F.col("tc_free")).alias("is_free"),
+                 F.coalesce(F.col("sort_order"), F.lit(0)).alias("sort_order"))
+    return earliest_ok(d, ["room_id", "content_id"], "ALREADY_IN_ROOM", order=["request_id"])
 
 
 # ------------------------------------------------------------------ JOB-20
 def validate_rooms(t, candidates: DataFrame) -> DataFrame:
     """JOB-20: candidates (candidate_id, center_id, teacher_id, name, subject, grade_level):
-    MISSING_FIELDS, NAME_TAKEN (same name in the centre), NOT_LINKED (no association row with the
+    MISSING_FIELDS (NULL or empty), NAME_TAKEN (same name in the centre, or in an earlier OK
+    candidate), NOT_LINKED (no association row with the
     centre), NOT_TAUGHT (grade or subject not among the teacher's), else OK with an access code.
 
-    The code is FN-20 of the candidate id; when it equals an existing room's code or another
-    accepted candidate's, the salted code is used instead (deterministic, unlike a random retry).
+    The code is FN-20 of the candidate id, salted further until no room and no other accepted
+    candidate has it (deterministic, unlike a random retry).
     """
     taken = t["rooms"].select(F.col("center_id").alias("n_cid"), F.col("name").alias("n_name")).distinct() \
         .withColumn("taken", F.lit(True))
@@ -226,21 +216,38 @@ def validate_rooms(t, candidates: DataFrame) -> DataFrame:
          .join(links, (F.col("center_id") == F.col("l_cid")) & (F.col("teacher_id") == F.col("l_tid")), "left")
          .join(tch, F.col("teacher_id") == F.col("t_id"), "left"))
     decision = first_failure([
-        ("MISSING_FIELDS", F.col("name").isNull() | F.col("teacher_id").isNull() | F.col("subject").isNull()
-         | F.col("grade_level").isNull()),
+        ("MISSING_FIELDS", F.col("teacher_id").isNull()
+         | reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")) == "" for c in ("name", "subject", "grade_level")])),
         ("NAME_TAKEN", F.col("taken")), ("NOT_LINKED", F.col("linked").isNull()),
         ("NOT_TAUGHT", ~F.array_contains("grade_levels", F.col("grade_level"))
          | ~F.array_contains("subjects", F.col("subject")))])
-    d = j.select("candidate_id", "center_id", "teacher_id", "name", decision.alias("decision"),
-                 access_code("candidate_id").alias("_code0"))
-    existing = t["rooms"].select(F.col("access_code").alias("_code0")).distinct().withColumn("_in_use", F.lit(True))
-    twins = (d.filter(F.col("decision") == "OK").groupBy("_code0").agg(F.count(F.lit(1)).alias("_n"))
-             .filter(F.col("_n") > 1).select("_code0", F.lit(True).alias("_twin")))
-    d = d.join(existing, "_code0", "left").join(twins, "_code0", "left")
-    clash = F.coalesce(F.col("_in_use"), F.lit(False)) | F.coalesce(F.col("_twin"), F.lit(False))
-    return d.select("candidate_id", "center_id", "teacher_id", "name", "decision",
-                    F.when(F.col("decision") == "OK", F.when(clash, access_code("candidate_id", 1))
-                           .otherwise(F.col("_code0"))).alias("access_code"))
+    d = j.select("candidate_id", "center_id", "teacher_id", "name", decision.alias("decision"))
+    # The first OK candidate takes the name; later complete ones of that name find it taken.
+    first = (d.filter(F.col("decision") == "OK").groupBy(F.col("center_id").alias("f_cid"), F.col("name").alias("f_name"))
+             .agg(F.min("candidate_id").alias("f_id")))
+    d = d.join(first, (F.col("center_id") == F.col("f_cid")) & (F.col("name") == F.col("f_name")), "left")
+    late = F.coalesce((F.col("decision") != "MISSING_FIELDS") & (F.col("candidate_id") > F.col("f_id")), F.lit(False))
+    d = d.withColumn("decision", F.when(late, "NAME_TAKEN").otherwise(F.col("decision"))).drop("f_cid", "f_name", "f_id")
+    codes = _free_codes(d.filter(F.col("decision") == "OK").select(F.col("candidate_id").alias("k_id")),
+                        t["rooms"].select("access_code"))
+    return d.join(codes, F.col("candidate_id") == F.col("k_id"), "left").select(
+        "candidate_id", "center_id", "teacher_id", "name", "decision", "access_code")
+
+
+def _free_codes(ids: DataFrame, used: DataFrame) -> DataFrame:
+    """(k_id, access_code): FN-20 of each id with the smallest salt whose code no room and no other id
+    has: a code goes to its smallest taker, the others try the next salt until none is left."""
+    left, out, salt = cut_lineage(ids), None, 0
+    while True:
+        tried = left.withColumn("access_code", access_code("k_id", salt)).join(
+            used.filter(F.col("access_code").isNotNull()).select("access_code").distinct(), "access_code", "left_anti")
+        won = cut_lineage(tried.groupBy("access_code").agg(F.min("k_id").alias("k_id")).select("k_id", "access_code"))
+        out = won if out is None else out.unionByName(won)
+        used = used.unionByName(won.select("access_code"))
+        left = cut_lineage(left.join(won.select("k_id"), "k_id", "left_anti"))
+        if left.isEmpty():
+            return out
+        salt += 1
 
 
 # ------------------------------------------------------------------ JOB-21
@@ -254,10 +261,30 @@ def _array_input(df: DataFrame, col: str):
     return non_empty_array(F.array(F.col(col)))
 
 
+def _first_accepted(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates a one-by-one run accepts, as (a_email, m_id) and (a_phone, p_id).
+
+    Each round accepts those who are the first left with their e-mail and with their phone, and refuses
+    those who share either with them; a round settles every chain by two, so few rounds are needed.
+    """
+    live, accepted = cut_lineage(live), None
+    while True:
+        mail = live.groupBy(F.col("email").alias("a_email")).agg(F.min("candidate_id").alias("m_id"))
+        tel = live.groupBy(F.col("phone").alias("a_phone")).agg(F.min("candidate_id").alias("p_id"))
+        won = cut_lineage(live.join(mail, F.col("email") == F.col("a_email")).join(tel, F.col("phone") == F.col("a_phone"))
+                          .filter("candidate_id = m_id and candidate_id = p_id").select("candidate_id", "email", "phone"))
+        accepted = won if accepted is None else accepted.unionByName(won)
+        live = cut_lineage(live.join(won.select("email"), "email", "left_anti").join(won.select("phone"), "phone", "left_anti"))
+        if live.isEmpty():
+            return (accepted.select(F.col("email").alias("a_email"), F.col("candidate_id").alias("m_id")),
+                    accepted.select(F.col("phone").alias("a_phone"), F.col("candidate_id").alias("p_id")))
+
+
 def validate_registrations(t, candidates: DataFrame) -> dict[str, DataFrame]:
     """JOB-21: candidates (candidate_id, name, email, phone, role, subjects, grade_levels, lat,
     lng, center_name, center_address, center_lat, center_lng): USER_EXISTS (e-mail or phone
-    already used: two equi-joins unioned, not an OR join), MISSING_FIELDS (NOT NULL columns),
+    already used, or by an earlier accepted candidate: equi-joins, not an OR join), MISSING_FIELDS
+    (NOT NULL columns; empty text counts as missing),
     MISSING_CENTER_FIELDS (centre owners need centre name, address and coordinates), else OK;
     OK rows split into users / teachers / centers."""
     u = t["users"]
@@ -266,14 +293,19 @@ def validate_registrations(t, candidates: DataFrame) -> dict[str, DataFrame]:
     dup = by_email.select("candidate_id").unionByName(by_phone.select("candidate_id")).distinct() \
         .withColumn("dup", F.lit(True))
     j = candidates.join(dup, "candidate_id", "left")
+    blank = lambda *cols: reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")) == "" for c in cols])
     decision = first_failure([
         ("USER_EXISTS", F.col("dup")),
-        ("MISSING_FIELDS", F.col("name").isNull() | F.col("email").isNull() | F.col("role").isNull()),
+        ("MISSING_FIELDS", blank("name", "email", "phone", "role")),
         ("MISSING_CENTER_FIELDS", (F.col("role") == "center_admin")
-         & (F.col("center_name").isNull() | F.col("center_address").isNull() | F.col("center_lat").isNull()
-            | F.col("center_lng").isNull())),
+         & (blank("center_name", "center_address") | F.col("center_lat").isNull() | F.col("center_lng").isNull())),
     ])
-    d = j.withColumn("decision", decision)
+    d = cut_lineage(j.withColumn("decision", decision))
+    mail, phone = _first_accepted(d.filter(F.col("decision") == "OK").select("candidate_id", "email", "phone"))
+    d = d.join(mail, F.col("email") == F.col("a_email"), "left").join(phone, F.col("phone") == F.col("a_phone"), "left")
+    late = F.coalesce(F.col("candidate_id") > F.col("m_id"), F.lit(False)) \
+        | F.coalesce(F.col("candidate_id") > F.col("p_id"), F.lit(False))
+    d = d.withColumn("decision", F.when(late, "USER_EXISTS").otherwise(F.col("decision")))
     ok = d.filter(F.col("decision") == "OK")
     return {
         "decisions": d.select("candidate_id", "email", "decision"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, session_end, ts_lit
-from studyhall.operators.overlap import has_long_intervals, overlap_join
+from studyhall.operators.overlap import overlap_join
 
 
 def _existing(t) -> DataFrame:
@@ -22,28 +22,33 @@ def _existing(t) -> DataFrame:
         session_end().alias("x_end"))
 
 
-def session_overlap_pairs(t, candidates: DataFrame, bucket_minutes: int = 60) -> DataFrame:
-    """JOB-06 pairs: candidate_id, session_id of the clash, kind (TEACHER_BUSY / GRADE_OVERLAP)."""
+def _by_resource(df: DataFrame, teacher: str, center: str, grade: str, prefix: str) -> DataFrame:
+    """Each row under its two keys: the teacher (TEACHER_BUSY) and the centre's grade (GRADE_OVERLAP)."""
+    keys = F.array(
+        F.struct(F.lit("TEACHER_BUSY").alias("kind"), F.col(teacher).cast("string").alias("a"), F.lit("").alias("b")),
+        F.struct(F.lit("GRADE_OVERLAP").alias("kind"), F.col(center).cast("string").alias("a"),
+                 F.col(grade).cast("string").alias("b")))
+    keep = [c for c in df.columns if c not in (teacher, center, grade)]
+    out = df.select(*keep, F.explode(keys).alias("_key")).filter("_key.a is not null and _key.b is not null")
+    return out.select(*keep, *[F.col(f"_key.{c}").alias(f"{prefix}{c}") for c in ("kind", "a", "b")])
+
+
+def session_overlap_pairs(t, candidates: DataFrame, bucket_minutes: int = 240) -> DataFrame:
+    """JOB-06 pairs: candidate_id, session_id of the clash, kind (TEACHER_BUSY / GRADE_OVERLAP), found
+    by one overlap join over rows listed under both keys."""
     cand = candidates.select("candidate_id", F.col("session_id").alias("c_self"), "teacher_id", "center_id",
                              "grade_level", F.col("scheduled_at").alias("c_start"),
                              session_end("scheduled_at", "duration_min").alias("c_end"))
-    x = _existing(t)
-    not_self = F.col("c_self").isNull() | (F.col("c_self") != F.col("x_id"))
-    longs = (has_long_intervals(cand, "c_start", "c_end", bucket_minutes),
-             has_long_intervals(x, "x_start", "x_end", bucket_minutes))
-    busy = overlap_join(cand, x, [("teacher_id", "x_tid")], left_start="c_start", left_end="c_end",
-                        right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes, long_sides=longs)
-    grade = overlap_join(cand, x, [("center_id", "x_cid"), ("grade_level", "x_grade")], left_start="c_start",
-                         left_end="c_end", right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes,
-                         long_sides=longs)
-    return (busy.filter(not_self).select("candidate_id", F.col("x_id").alias("session_id"),
-                                         F.col("x_start").alias("session_start"), F.lit("TEACHER_BUSY").alias("kind"))
-            .unionByName(grade.filter(not_self).select("candidate_id", F.col("x_id").alias("session_id"),
-                                                       F.col("x_start").alias("session_start"),
-                                                       F.lit("GRADE_OVERLAP").alias("kind"))))
+    pairs = overlap_join(_by_resource(cand, "teacher_id", "center_id", "grade_level", "c_"),
+                         _by_resource(_existing(t), "x_tid", "x_cid", "x_grade", "x_"),
+                         [("c_kind", "x_kind"), ("c_a", "x_a"), ("c_b", "x_b")], left_start="c_start",
+                         left_end="c_end", right_start="x_start", right_end="x_end", bucket_minutes=bucket_minutes)
+    pairs = pairs.filter(F.col("c_self").isNull() | (F.col("c_self") != F.col("x_id")))
+    return pairs.select("candidate_id", F.col("x_id").alias("session_id"), F.col("x_start").alias("session_start"),
+                        F.col("c_kind").alias("kind"))
 
 
-def session_conflicts(t, candidates: DataFrame, bucket_minutes: int = 60) -> DataFrame:
+def session_conflicts(t, candidates: DataFrame, bucket_minutes: int = 240) -> DataFrame:
     """JOB-06 decisions: per candidate TEACHER_BUSY, else GRADE_OVERLAP, else OK, with the earliest
     clashing session of the reported kind (one aggregation over the pairs, one join back)."""
     pairs = session_overlap_pairs(t, candidates, bucket_minutes)

@@ -1,13 +1,12 @@
 """JOIN-08: all (point, place) pairs within a radius, as an equi-join on grid cells.
 
 A distance predicate alone plans as a nested-loop join (every point against every place).
-Here both sides get a cell key ``(floor(lat/d), floor(lng/d))`` with ``d`` = radius in degrees
-of latitude. Each query point is expanded to the cells its radius can reach (3 latitude rows,
-and as many longitude columns as the radius spans at that latitude, wrapping at +-180), the
-places keep one cell each, the two are hash-joined on the cell, and the exact haversine test
-removes the candidates outside the circle. Near a pole the span is capped: such points join the
-pole's cap key, carried by every place of the polar band. No pair is missed and none is found
-twice. Meant for city-scale radii (up to about a thousand km).
+Here latitude is cut into bands as high as the radius and each band into equal longitude cells, as
+many as keep a cell at least as wide as the radius reaches anywhere in the band and its neighbours
+(fewer and wider cells towards the poles). A point is listed in the 3 bands and, in each, the 3 cells
+around it (wrapping at +-180), a place in its own cell; the two are hash-joined on the cell, and the
+exact haversine test removes the candidates outside the circle. No pair is missed, none found
+twice, and there is no special case near the poles or the antimeridian.
 """
 
 from __future__ import annotations
@@ -20,12 +19,8 @@ from pyspark.sql import functions as F
 from studyhall.functions.geo import KM_PER_DEG_LAT, haversine_km
 
 
-MAX_SPAN = 64          # longitude cells a point may expand into before it uses a polar cap key
-CAP = 10 ** 9          # latitude index of the cap keys (never a real cell)
-
-
 def _cell_deg(km: float) -> float:
-    return km / KM_PER_DEG_LAT
+    return km / KM_PER_DEG_LAT * (1 + 1e-9)
 
 
 def within_radius_join(points: DataFrame, places: DataFrame, km: float, *,
@@ -42,31 +37,27 @@ def within_radius_join(points: DataFrame, places: DataFrame, km: float, *,
     plc = (places.filter(F.col(q_lat).isNotNull() & F.col(q_lng).isNotNull())
            .withColumnRenamed(q_lat, "_qlat").withColumnRenamed(q_lng, "_qlng"))
 
-    # Longitude cells wrap around the antimeridian (cell index modulo the cells per circle).
-    # A point needs the longitude span of its radius at its worst-case latitude; where that would
-    # exceed MAX_SPAN cells (close to a pole) the point instead uses the pole's cap key, which
-    # every place in the polar band also carries: those few places are all compared with it.
-    n = int(math.ceil(360.0 / d))
-    cap_lat = math.degrees(math.acos(1.0 / MAX_SPAN))
+    half = math.sin(math.radians(d) / 2)
+
+    def cells(band):
+        """Cells of a band: the widest longitude reach of the radius within one band of it, at most."""
+        worst = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(d), F.lit(90.0))
+        reach = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(half) / F.greatest(F.cos(F.radians(worst)), F.lit(1e-9))))) * 2
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0) / (reach * (1 + 1e-9)))).cast("long")
+
+    def column(lng, n):
+        return F.pmod(F.floor((lng + 180.0) / 360.0 * n), n)
+
     plat, qlat = F.col("_plat"), F.col("_qlat")
-    worst_lat = F.abs(plat) + F.lit(d)
-    in_cap = worst_lat > cap_lat
-    span = F.least(F.ceil(F.lit(1.0) / F.cos(F.radians(F.least(worst_lat, F.lit(cap_lat))))), F.lit(n)).cast("long")
-    base_i = F.floor(plat / d)
-    base_j = F.floor((F.col("_plng") + 180.0) / d)
-    normal = F.flatten(F.transform(
-        F.sequence(base_i - 1, base_i + 1),
-        lambda i: F.transform(F.array_distinct(F.transform(F.sequence(base_j - span, base_j + span),
-                                                           lambda x: F.pmod(x, F.lit(n)))),
-                              lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    cap_key = F.array(F.struct((F.signum(plat).cast("long") * CAP).alias("i"), F.lit(-1).cast("long").alias("j")))
-    pts = pts.withColumn("_cell", F.explode(F.when(in_cap, cap_key).otherwise(normal)))
-    q_cell = F.struct(F.floor(qlat / d).alias("i"), F.pmod(F.floor((F.col("_qlng") + 180.0) / d), F.lit(n)).alias("j"))
-    q_cap = F.struct((F.signum(qlat).cast("long") * CAP).alias("i"), F.lit(-1).cast("long").alias("j"))
-    plc = plc.withColumn("_cell", F.explode(F.when(F.abs(qlat) > cap_lat - 2 * d, F.array(q_cell, q_cap))
-                                            .otherwise(F.array(q_cell))))
+    band = F.floor(plat / d)
+    around = F.flatten(F.transform(F.sequence(band - 1, band + 1), lambda i: F.transform(
+        F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)),
+                                     lambda k: F.pmod(column(F.col("_plng"), cells(i)) + k, cells(i)))),
+        lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    pts = pts.withColumn("_cell", F.explode(around))
     pts = pts.withColumn("_ci", F.col("_cell.i")).withColumn("_cj", F.col("_cell.j")).drop("_cell")
-    plc = plc.withColumn("_ci", F.col("_cell.i")).withColumn("_cj", F.col("_cell.j")).drop("_cell")
+    own = F.floor(qlat / d)
+    plc = plc.withColumn("_ci", own).withColumn("_cj", column(F.col("_qlng"), cells(own)))
 
     dist = haversine_km("_plat", "_plng", "_qlat", "_qlng")
     joined = pts.join(plc, ["_ci", "_cj"]).withColumn(distance_col, dist).filter(F.col(distance_col) <= km)

@@ -2,11 +2,13 @@
 
 Joining on the key alone and testing the ranges afterwards compares every interval of a key
 with every other one; a teacher with a third of all sessions would make that quadratic.
-Instead both sides are cut into fixed time buckets: each interval is listed once per bucket
-it touches, the join key is (key, bucket), and the range test runs as the join residual.
-Only intervals sharing a bucket are ever compared. A pair that shares several buckets is kept
-once: in the bucket holding ``max(a_start, b_start)``, the start of their intersection. Rare
-long intervals are not cut into many buckets; they are compared by key alone (see below).
+Instead intervals are listed in time buckets of a ladder of lengths: an interval belongs to the
+lowest level whose bucket is at least as long as itself, so it touches at most two buckets there. Of a
+pair, the one of the lower level is also listed at the other's level: the left side lists itself at
+its own level and all above it, the right side at its own (and the mirror image, for pairs whose right
+interval is the shorter one). The join key is (key, level, bucket) and the range test its residual. No
+interval is cut into many buckets, none is compared by key alone, and there is no switch by size.
+A pair that shares two buckets is kept once: in the bucket of ``max(a_start, b_start)``.
 """
 
 from __future__ import annotations
@@ -17,75 +19,55 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKET = "_bucket"
+LEVELS = 4      # 4 h, 10 days, 2 years, 120 years with the default first bucket
+STEP = 64       # each level's buckets are this much longer than the ones below
 
 
 def _epoch_s(c: Column) -> Column:
     return F.unix_seconds(c.cast("timestamp"))
 
 
-def _with_buckets(df: DataFrame, start: str, end: str, bucket_s: int) -> DataFrame:
-    s = _epoch_s(F.col(start))
-    e = _epoch_s(F.col(end))
-    first = F.floor(s / bucket_s)
-    last = F.floor((F.greatest(e, s + 1) - 1) / bucket_s)
-    return df.withColumn(BUCKET, F.explode(F.sequence(first, last)))
-
-
-MAX_BUCKETS = 48   # an interval touching more buckets than this takes the key-only path
-
-
-def _n_buckets(start: str, end: str, bucket_s: int) -> Column:
-    s_ = _epoch_s(F.col(start))
-    e_ = _epoch_s(F.col(end))
-    return F.floor((F.greatest(e_, s_ + 1) - 1) / bucket_s) - F.floor(s_ / bucket_s) + 1
+def _lists(start: str, end: str, bucket_s: int, *, own: str, above: str) -> Column:
+    """Array of (role, level, bucket): role ``own`` at the interval's level, ``above`` at higher ones
+    (both at the own level if the roles are the same)."""
+    s, e = _epoch_s(F.col(start)), _epoch_s(F.col(end))
+    last = F.greatest(e, s + 1) - 1
+    entries = []
+    for level in range(LEVELS):
+        size = bucket_s * STEP ** level
+        fits = (e - s <= size) if level < LEVELS - 1 else F.lit(True)
+        lower = (e - s <= size // STEP) if level else F.lit(False)
+        buckets = F.sequence(F.floor(s / size), F.floor(last / size))
+        def at(role: str, when: Column, level=level, buckets=buckets) -> Column:
+            return F.when(when, F.transform(buckets, lambda b: F.struct(
+                F.lit(role).alias("role"), F.lit(level).alias("level"), b.alias("bucket"))))
+        entries += [at(own, fits & ~lower), at(above, lower)]
+    return F.flatten(F.filter(F.array(*entries), lambda x: x.isNotNull()))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], *,
                  left_start: str, left_end: str, right_start: str, right_end: str,
-                 bucket_minutes: int = 60, how: str = "inner",
-                 long_sides: tuple[bool, bool] | None = None) -> DataFrame:
+                 bucket_minutes: int = 240) -> DataFrame:
     """Pairs whose intervals overlap (half-open: touching intervals do not), equal on ``keys``.
 
     ``keys`` are (left column, right column) pairs; column names of the two sides must differ.
-    Zero-length intervals overlap nothing. Pairs of short intervals (at most ``MAX_BUCKETS``
-    buckets) meet in the bucket join; any pair with a long interval on either side is found by a
-    join on the keys alone with the range test as residual, so no interval is ever expanded into
-    more than ``MAX_BUCKETS`` rows and every overlapping pair is found exactly once.
-    ``long_sides`` = (left has long intervals, right has long intervals) when the caller already
-    probed (``has_long_intervals``); otherwise both sides are probed here.
+    Empty intervals and those with a NULL end overlap nothing. ``bucket_minutes``, the first level's
+    length, should be near the longest common interval.
     """
     b = bucket_minutes * 60
-    overlap = (F.col(left_start) < F.col(right_end)) & (F.col(right_start) < F.col(left_end)) \
-        & (F.col(left_start) < F.col(left_end)) & (F.col(right_start) < F.col(right_end))
-    lshort = _n_buckets(left_start, left_end, b) <= MAX_BUCKETS
-    rshort = _n_buckets(right_start, right_end, b) <= MAX_BUCKETS
-    l_s, l_l = left.filter(lshort), left.filter(~lshort)
-    r_s, r_l = right.filter(rshort), right.filter(~rshort)
-
-    lb = _with_buckets(l_s, left_start, left_end, b)
-    rb = _with_buckets(r_s, right_start, right_end, b).withColumnRenamed(BUCKET, "_rbucket")
-    cond = reduce(lambda x, y: x & y, [lb[BUCKET] == rb["_rbucket"]] + [lb[lk] == rb[rk] for lk, rk in keys])
-    owner = F.floor(_epoch_s(F.greatest(F.col(left_start), F.col(right_start))) / b) == F.col(BUCKET)
-    short_pairs = lb.join(rb, cond & overlap & owner, how).drop(BUCKET, "_rbucket")
-
-    def by_keys(lf: DataFrame, rf: DataFrame) -> DataFrame:
-        c = reduce(lambda x, y: x & y, [lf[lk] == rf[rk] for lk, rk in keys])
-        return lf.join(rf, c & overlap, how)
-
-    # Long intervals are rare: a limit-1 probe per side decides whether their joins run at all
-    # (a join against an empty side would still shuffle the other side).
-    if long_sides is None:
-        long_sides = (has_long_intervals(left, left_start, left_end, bucket_minutes),
-                      has_long_intervals(right, right_start, right_end, bucket_minutes))
-    out = short_pairs
-    if long_sides[0]:
-        out = out.unionByName(by_keys(l_l, right))       # long on the left, anything on the right
-    if long_sides[1]:
-        out = out.unionByName(by_keys(l_s, r_l))         # short on the left, long on the right
-    return out
-
-
-def has_long_intervals(df: DataFrame, start: str, end: str, bucket_minutes: int = 60) -> bool:
-    """Whether any interval spans more than ``MAX_BUCKETS`` buckets (a limit-1 probe)."""
-    return df.filter(_n_buckets(start, end, bucket_minutes * 60) > MAX_BUCKETS).limit(1).count() > 0
+    left = left.filter(F.col(left_start) < F.col(left_end))
+    right = right.filter(F.col(right_start) < F.col(right_end))
+    # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower.
+    ls = F.concat(_lists(left_start, left_end, b, own="l", above="l"),
+                  F.filter(_lists(left_start, left_end, b, own="r", above="-"), lambda x: x["role"] == "r"))
+    rs = _lists(right_start, right_end, b, own="l", above="r")
+    lb = left.withColumn("_l", F.explode(ls)).select(*left.columns, F.col("_l.role").alias("_lrole"),
+                                                     F.col("_l.level").alias("_llevel"), F.col("_l.bucket").alias("_lb"))
+    rb = right.withColumn("_r", F.explode(rs)).select(*right.columns, F.col("_r.role").alias("_rrole"),
+                                                      F.col("_r.level").alias("_rlevel"), F.col("_r.bucket").alias("_rb"))
+    same = [F.col("_lb") == F.col("_rb"), F.col("_llevel") == F.col("_rlevel"), F.col("_lrole") == F.col("_rrole"),
+            *[F.col(lk) == F.col(rk) for lk, rk in keys]]
+    overlap = (F.col(left_start) < F.col(right_end)) & (F.col(right_start) < F.col(left_end))
+    size = F.element_at(F.array(*[F.lit(b * STEP ** i) for i in range(LEVELS)]), F.col("_llevel") + 1)
+    owner = F.floor(_epoch_s(F.greatest(F.col(left_start), F.col(right_start))) / size) == F.col("_lb")
+    return lb.join(rb, reduce(lambda x, y: x & y, same) & overlap & owner).select(*left.columns, *right.columns)

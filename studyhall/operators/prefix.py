@@ -2,22 +2,22 @@
 
 A plain ``sum(...).over(Window.partitionBy(key).orderBy(...))`` sends every row of a key to
 one task; when one user owns a third of the ledger that task holds a third of the data.
-Here the rows are range-partitioned on ``(key, order...)`` so a hot key is split over many
+Here the rows are always range-partitioned on ``(key, order...)`` so a hot key is split over many
 partitions (Spark samples the key distribution to pick the bounds). Then:
 
 1. running value inside each (key, chunk) piece — a window over a bounded piece;
 2. one total per (key, chunk) — at most ``#keys + #partitions`` rows;
 3. prefix over those totals per key — a hot key has at most ``#partitions`` chunks;
-4. add the offset of the preceding chunks back by an equi-join on (key, chunk).
+4. add the offset of the preceding chunks back by a null-safe equi-join on (key, chunk).
 
 The chunk id comes from the range exchange, so the tagged rows are checkpointed once; the
 pieces (1) and totals (2) then read the same copy and always agree, also after a lost executor.
-
-The result equals the single-window form exactly (tested), with no task holding a whole key.
+There is one path for every size. Rows with a NULL key are one group like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,65 +29,17 @@ from studyhall.session import cut_lineage
 CHUNK = "_chunk"
 
 
-# Largest group a single task may window over; above it the chunked path is taken.
-MAX_GROUP_ROWS_CONF = "studyhall.prefix.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the biggest key group, total rows): a partial aggregate, two numbers to the driver."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.max("_n").alias("m"), F.sum("_n").alias("s")).first()
-    return int(row.m or 0), int(row.s or 0)
-
-
-def group_sizes_many(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> list[tuple[int, int]]:
-    """``group_sizes`` for several key sets in one job: each row is listed once per key set
-    (tagged with the set's index), one aggregation counts the groups, one row per set returns."""
-    tagged = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.concat_ws("|", *[F.col(k).cast("string") for k in ks]).alias("k"))
-        for i, ks in enumerate(key_sets)]))
-    rows = (df.select(tagged.alias("_g")).groupBy("_g.i", "_g.k").agg(F.count(F.lit(1)).alias("_n"))
-            .groupBy("i").agg(F.max("_n").alias("m"), F.sum("_n").alias("s")).collect())
-    got = {r.i: (int(r.m or 0), int(r.s or 0)) for r in rows}
-    return [got.get(i, (0, 0)) for i in range(len(key_sets))]
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest key group."""
-    return group_sizes(df, keys)[0]
-
-
 def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], value: Column | str,
-                out: str, n_chunks: int | None = None, exclusive: bool = False,
-                max_group_rows: int | None = None, size_source: DataFrame | None = None,
-                sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Add column ``out`` = running sum of ``value`` within ``key`` in ``order`` (ties: keep order unique).
+                out: str, n_chunks: int | None = None, exclusive: bool = False) -> DataFrame:
+    """Add column ``out`` = running sum of ``value`` within ``key`` in ``order`` (keep order unique).
 
-    ``exclusive=True`` gives the sum of the rows strictly before (``rowsBetween(-inf, -1)``,
-    0 for the first row). When the largest group is at most ``max_group_rows`` (session conf
-    ``studyhall.prefix.maxGroupRows``, default 2M) one window per key is used; otherwise the
-    hot groups are split into range chunks as described above. ``size_source`` is a cheaper
-    frame whose groups bound these ones from above (e.g. the raw requests before their joins);
-    the size probe runs on it instead of recomputing ``df``; ``sizes`` = (largest group, total
-    rows) when the caller already measured them.
+    ``exclusive=True`` gives the sum of the rows strictly before (0 for the first row).
+    ``n_chunks`` defaults to the session's shuffle partitions.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = list(order)
     val = F.col(value) if isinstance(value, str) else value
-    limit = max_group_rows if max_group_rows is not None else int(
-        df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    if sizes is None:
-        probe = size_source if size_source is not None else df
-        sizes = group_sizes(probe, [k for k in keys if k in probe.columns])
-    biggest, total = sizes
-    if biggest <= limit:
-        frame_end = -1 if exclusive else Window.currentRow
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
-    # enough range chunks that one chunk holds at most ``limit`` rows, whatever a hot key's size
-    n = n_chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // max(limit, 1)))
-
+    n = n_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The chunk id depends on where the range exchange put a row, so it is materialised once
     # (reliable checkpoint in the shared checkpoint folder) and both branches read that copy.
     tagged = cut_lineage(df.withColumn("_v", val)
@@ -100,16 +52,14 @@ def running_sum(df: DataFrame, key: str | Sequence[str], order: Sequence[str], v
 
     totals = tagged.groupBy(*keys, CHUNK).agg(F.sum("_v").alias("_ct"))
     w_off = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, CHUNK, F.coalesce(F.sum("_ct").over(w_off), F.lit(0)).alias("_off"))
-
-    return (inside.join(offsets, keys + [CHUNK])
-            .withColumn(out, F.col("_in") + F.col("_off"))
-            .drop("_v", "_in", "_off", CHUNK))
+    offsets = totals.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(CHUNK).alias(f"_o_{CHUNK}"),
+                            F.coalesce(F.sum("_ct").over(w_off), F.lit(0)).alias("_off"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys + [CHUNK]])
+    return (inside.join(offsets, same).withColumn(out, F.col("_in") + F.col("_off"))
+            .drop("_v", "_in", "_off", CHUNK, f"_o_{CHUNK}", *[f"_o_{k}" for k in keys]))
 
 
 def running_count(df: DataFrame, key: str | Sequence[str], order: Sequence[str], out: str,
-                  n_chunks: int | None = None, max_group_rows: int | None = None,
-                  size_source: DataFrame | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+                  n_chunks: int | None = None) -> DataFrame:
     """``row_number()`` within ``key`` in ``order`` without funnelling a hot key into one task."""
-    return running_sum(df, key, order, F.lit(1).cast("bigint"), out, n_chunks, max_group_rows=max_group_rows,
-                       size_source=size_source, sizes=sizes)
+    return running_sum(df, key, order, F.lit(1).cast("bigint"), out, n_chunks)

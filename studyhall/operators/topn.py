@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,29 +31,30 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: list, k: int, ran
 
 
 def is_first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_is_first",
-                      size_source: DataFrame | None = None, size_keys: Sequence[str] | None = None,
-                      max_group_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Flag the first row (by ``order``) of each ``keys`` group.
+                      where: Column | None = None) -> DataFrame:
+    """Flag the first row (by ``order``, which must tell rows apart) of each ``keys`` group.
 
-    Small groups (checked on ``size_source`` grouped by ``size_keys``, a cheap frame whose groups
-    bound these from above): one ``row_number()`` window in the same pipeline. A hot group:
-    ``min(struct)`` aggregate (combined map-side) joined back, so no task holds the group.
+    A ``min(struct)`` aggregate (combined map-side) joined back null-safe, whatever the sizes, so no
+    task holds a group. With ``where`` only its rows take part; the others are flagged False and are
+    spread over the join's partitions instead of meeting under one (often NULL) key.
     """
-    from studyhall.operators.prefix import DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS_CONF, group_sizes
-
-    limit = max_group_rows if max_group_rows is not None else int(
-        df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    if sizes is None:
-        probe = size_source if size_source is not None else df
-        sizes = group_sizes(probe, list(size_keys or keys))
-    biggest = sizes[0]
-    if biggest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w) == 1)
-    first = first_per_group(df, keys, order, [], prefix="_f_")
-    same = None
-    for c in order:
-        cond = F.col(c) == F.col(f"_f_{c}")
-        same = cond if same is None else same & cond
-    return (df.join(first, list(keys), "left").withColumn(out, F.coalesce(same, F.lit(False)))
-            .drop(*[f"_f_{c}" for c in order]))
+    part = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    df = df.withColumn("_part", part)
+    first = df.filter("_part").groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.min(F.struct(*[F.col(c) for c in order])).alias("_first")).withColumn("_at", F.lit(0).cast("bigint"))
+    df = df.withColumn("_to", F.when(F.col("_part"), F.lit(0)).otherwise(
+        F.xxhash64(*order).bitwiseOR(F.lit(1))).cast("bigint"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_to") == F.col("_at"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_first.{c}")) for c in order])
+    return (df.join(first, on, "left").withColumn(out, F.col("_part") & F.col("_first").isNotNull() & same)
+            .drop("_first", "_at", "_to", "_part", *[f"_k_{k}" for k in keys]))
+
+
+def earliest_ok(d: DataFrame, keys: Sequence[str], dup_code: str, order: Sequence[str] = ("requested_at", "request_id"),
+                ) -> DataFrame:
+    """Settle a batch of decisions: among OK rows only the earliest request per key stays OK; the later
+    ones, which would have found its row, get ``dup_code``."""
+    ok = F.col("decision") == "OK"
+    d = is_first_in_group(d, keys, order, where=ok)
+    return d.withColumn("decision", F.when(ok & ~F.col("_is_first"), F.lit(dup_code))
+                        .otherwise(F.col("decision"))).drop("_is_first")

@@ -323,45 +323,66 @@ FIXTURE_CTES.update({
 FIXTURE_CTES.update({
     "room_patches": f"""
         SELECT id, CASE WHEN id % 2 = 0 THEN 'Renamed ' || CAST(id AS VARCHAR) END AS name,
-               CASE WHEN id % 3 = 0 THEN FALSE END AS is_active, {_AT} AS patched_at FROM rooms
+               CASE WHEN id % 3 = 0 THEN FALSE END AS is_active, {_AT} AS patched_at, id AS request_id FROM rooms
         UNION ALL
-        SELECT id, CAST(NULL AS VARCHAR), TRUE, {_AT} + INTERVAL 5 MINUTE FROM rooms WHERE id % 5 = 0""",
+        SELECT id, CAST(NULL AS VARCHAR), TRUE, {_AT} + INTERVAL 5 MINUTE, id + 1000000000 FROM rooms WHERE id % 5 = 0
+        UNION ALL
+        SELECT id, 'Again ' || CAST(id AS VARCHAR), FALSE, {_AT} + INTERVAL 5 MINUTE, id + 2000000000 FROM rooms
+        WHERE id % 15 = 0""",
     "retire_requests": """SELECT id AS request_id,
             CASE WHEN id % 7 = 0 THEN id + 1000000000000 ELSE id END AS content_id,
             CASE WHEN id % 5 = 0 THEN teacher_id + 1 ELSE teacher_id END AS teacher_id FROM teacher_content""",
-    "link_requests": """SELECT id AS request_id, id * 3 % (SELECT ns FROM _n) AS center_id,
-            CASE WHEN id % 13 = 0 THEN id + 1000000000000 ELSE id END AS teacher_id FROM teachers""",
-    "unlink_requests": """SELECT id AS request_id, id * 5 % (SELECT ns FROM _n) AS center_id, id AS teacher_id
-        FROM teachers""",
+    "link_requests": """WITH o AS (SELECT id AS request_id,
+            CASE WHEN id % 17 = 0 THEN id + 1000000000000 ELSE id * 3 % (SELECT ns FROM _n) END AS center_id,
+            CASE WHEN id % 13 = 0 THEN id + 1000000000000 ELSE id END AS teacher_id FROM teachers)
+        SELECT request_id, center_id, teacher_id FROM o UNION ALL SELECT request_id + 100000000000000, center_id, teacher_id FROM o WHERE request_id % 4 = 0""",
+    "unlink_requests": """WITH o AS (SELECT id AS request_id,
+            CASE WHEN id % 17 = 0 THEN id + 1000000000000 WHEN id % 2 = 0 THEN id % (SELECT ns FROM _n)
+                 ELSE id * 5 % (SELECT ns FROM _n) END AS center_id,
+            CASE WHEN id % 13 = 0 THEN id + 1000000000000 ELSE id END AS teacher_id FROM teachers)
+        SELECT request_id, center_id, teacher_id FROM o UNION ALL SELECT request_id + 100000000000000, center_id, teacher_id FROM o WHERE request_id % 4 = 0""",
     "publish_requests": """SELECT id AS request_id, teacher_id,
             CASE WHEN id % 6 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
             CASE WHEN id % 11 = 0 THEN 'audio' ELSE type END AS type,
             CASE WHEN id % 13 = 0 THEN repeat('t', 300) ELSE title END AS title, url FROM teacher_content""",
-    "room_candidates": """SELECT id AS candidate_id, center_id, teacher_id,
-            CASE WHEN id % 4 = 0 THEN name ELSE 'New ' || name END AS name,
-            CASE WHEN id % 3 = 0 THEN 'Art' ELSE subject END AS subject, grade_level FROM rooms""",
-    "attach_requests": """SELECT id AS request_id,
+    "room_candidates": """WITH o AS (SELECT id AS candidate_id, center_id,
+            CASE WHEN id % 23 = 0 THEN id + 1000000000000 ELSE teacher_id END AS teacher_id,
+            CASE WHEN id % 19 = 0 THEN '' WHEN id % 4 = 0 THEN name ELSE 'New ' || name END AS name,
+            CASE WHEN id % 3 = 0 THEN 'Art' ELSE subject END AS subject, grade_level FROM rooms)
+        SELECT candidate_id, center_id, teacher_id, name, subject, grade_level FROM o UNION ALL SELECT candidate_id + 100000000000000, center_id, teacher_id, name, subject, grade_level FROM o WHERE candidate_id % 5 = 0""",
+    "attach_requests": """WITH o AS (SELECT id AS request_id,
             CASE WHEN id % 9 = 0 THEN (center_id + 1) % (SELECT ns FROM _n) ELSE center_id END AS center_id,
-            teacher_id AS room_id, id AS content_id,
+            CASE WHEN id % 2 = 0 THEN teacher_id WHEN teacher_id >= (SELECT ns FROM _n)
+                 THEN teacher_id - (SELECT ns FROM _n) ELSE teacher_id + (SELECT ns FROM _n) END AS room_id,
+            CASE WHEN id % 31 <> 0 THEN id END AS content_id,
             CASE WHEN id % 2 = 0 THEN TRUE END AS is_free,
-            CASE WHEN id % 3 = 0 THEN CAST(id % 10 AS INTEGER) END AS sort_order FROM teacher_content""",
-    "status_change_requests": """SELECT id AS request_id, 3000000000 AS admin_id, id AS user_id,
-            NOT is_active AS is_active, CASE WHEN is_active THEN 'policy' END AS reason FROM users""",
+            CASE WHEN id % 3 = 0 THEN CAST(id % 10 AS INTEGER) END AS sort_order FROM teacher_content)
+        SELECT request_id, center_id, room_id, content_id, is_free, sort_order FROM o UNION ALL SELECT request_id + 100000000000000, center_id, room_id, content_id, is_free, sort_order FROM o WHERE request_id % 3 = 0""",
+    "status_change_requests": """WITH o AS (SELECT id AS request_id, 3000000000 AS admin_id,
+            CASE WHEN id % 29 = 0 THEN id + 1000000000000 ELSE id END AS user_id,
+            CASE WHEN id % 37 <> 0 THEN NOT is_active END AS is_active,
+            CASE WHEN is_active THEN 'policy' END AS reason FROM users)
+        SELECT request_id, admin_id, user_id, is_active, reason FROM o
+        UNION ALL SELECT request_id + 100000000000000, admin_id, user_id, NOT is_active, reason FROM o
+        WHERE request_id % 8 = 0""",
 })
 
 
 FIXTURE_CTES.update({
-    "registration_candidates": """SELECT c_custkey + 5000000000 AS candidate_id, c_name AS name,
+    "registration_candidates": """WITH o AS (SELECT c_custkey + 5000000000 AS candidate_id, c_name AS name,
             CASE WHEN c_custkey % 7 = 0 THEN 'student.' || CAST(c_custkey AS VARCHAR) || '@mail.example'
                  ELSE 'new.' || CAST(c_custkey AS VARCHAR) || '@mail.example' END AS email,
-            CASE WHEN c_custkey % 11 = 0 THEN '+20' || CAST(c_custkey AS VARCHAR) END AS phone,
+            CASE WHEN c_custkey % 11 = 0 THEN '+20' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 13 = 0 THEN ''
+                 ELSE '+49' || CAST(c_custkey AS VARCHAR) END AS phone,
             CASE WHEN c_custkey % 3 = 0 THEN 'teacher' WHEN c_custkey % 3 = 1 THEN 'center_admin' ELSE 'student' END
                 AS role,
             CASE WHEN c_custkey % 2 = 0 THEN 'Centre of ' || c_name END AS center_name,
             CASE WHEN c_custkey % 4 < 2 THEN 'Main street' END AS center_address,
             CASE WHEN c_custkey % 8 < 6 THEN 22.0 + (c_custkey * 37 % 1000) / 100.0 END AS center_lat,
             CASE WHEN c_custkey % 8 < 6 THEN 25.0 + (c_custkey * 91 % 1000) / 100.0 END AS center_lng
-        FROM customer""",
+        FROM customer)
+        SELECT * FROM o UNION ALL SELECT * REPLACE (candidate_id + 100000000000000 AS candidate_id) FROM o
+        WHERE candidate_id % 6 = 0""",
 })
 
 

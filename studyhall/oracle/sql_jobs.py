@@ -365,13 +365,17 @@ SQL["stream_scans"] = SQL["validate_scans"]
 
 
 SQL.update({
-    "apply_room_patches": """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
-                                                       ORDER BY patched_at DESC) AS rn FROM room_patches) WHERE rn = 1)
-        SELECT r.id, r.center_id, r.teacher_id, COALESCE(p.name, r.name) AS name, r.description, r.access_code,
-               r.subject, r.grade_level, r.paid_price, COALESCE(p.is_active, r.is_active) AS is_active,
-               r.member_count, r.content_count, r.created_at,
-               CASE WHEN p.id IS NOT NULL THEN p.patched_at ELSE r.updated_at END AS updated_at
-        FROM rooms r LEFT JOIN p ON p.id = r.id""",
+    # Patches applied one after the other: a recursive fold over each room's patches in order.
+    "apply_room_patches": """SELECT * FROM (WITH RECURSIVE q AS (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY patched_at, request_id) AS step FROM room_patches),
+          f AS (SELECT id, name, is_active, updated_at, CAST(0 AS BIGINT) AS step FROM rooms
+                UNION ALL
+                SELECT f.id, COALESCE(q.name, f.name), COALESCE(q.is_active, f.is_active), q.patched_at, q.step
+                FROM f JOIN q ON q.id = f.id AND q.step = f.step + 1),
+          l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step DESC) AS rn FROM f) WHERE rn = 1)
+        SELECT r.id, r.center_id, r.teacher_id, l.name, r.description, r.access_code, r.subject, r.grade_level,
+               r.paid_price, l.is_active, r.member_count, r.content_count, r.created_at, l.updated_at
+        FROM rooms r JOIN l ON l.id = r.id)""",
     "propagate_content_updates": """SELECT ci.id, ci.room_id, ci.teacher_content_id,
             CASE WHEN tc.id IS NOT NULL THEN 'Updated ' || tc.title ELSE ci.title END AS title,
             CASE WHEN tc.id IS NOT NULL THEN tc.description ELSE ci.description END AS description,
@@ -386,16 +390,26 @@ SQL.update({
         LEFT JOIN (SELECT teacher_content_id, count(*) AS uses FROM content_items
                    WHERE teacher_content_id IS NOT NULL GROUP BY teacher_content_id) u
              ON u.teacher_content_id = q.content_id""",
-    "link_teachers": """SELECT q.request_id, q.center_id, q.teacher_id,
+    "link_teachers": """WITH d AS (SELECT q.request_id, q.center_id, q.teacher_id,
             CASE WHEN c.id IS NULL THEN 'CENTER_NOT_FOUND' WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
                  WHEN EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.center_id = q.center_id
                               AND ct.teacher_id = q.teacher_id) THEN 'ALREADY_LINKED' ELSE 'OK' END AS decision
-        FROM link_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id""",
-    "unlink_teachers": """SELECT q.request_id, q.center_id, q.teacher_id,
+            FROM link_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id)
+        SELECT request_id, center_id, teacher_id,
+               CASE WHEN decision = 'OK' AND EXISTS (SELECT 1 FROM d e WHERE e.decision = 'OK' AND e.center_id = d.center_id
+                         AND e.teacher_id = d.teacher_id AND e.request_id < d.request_id) THEN 'ALREADY_LINKED'
+                    ELSE decision END AS decision FROM d""",
+
+    "unlink_teachers": """WITH d AS (SELECT q.request_id, q.center_id, q.teacher_id,
             CASE WHEN c.id IS NULL THEN 'CENTER_NOT_FOUND' WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
                  WHEN NOT EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.center_id = q.center_id
                                   AND ct.teacher_id = q.teacher_id) THEN 'NOT_LINKED' ELSE 'OK' END AS decision
-        FROM unlink_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id""",
+            FROM unlink_requests q LEFT JOIN centers c ON c.id = q.center_id LEFT JOIN teachers t ON t.id = q.teacher_id)
+        SELECT request_id, center_id, teacher_id,
+               CASE WHEN decision = 'OK' AND EXISTS (SELECT 1 FROM d e WHERE e.decision = 'OK' AND e.center_id = d.center_id
+                         AND e.teacher_id = d.teacher_id AND e.request_id < d.request_id) THEN 'NOT_LINKED'
+                    ELSE decision END AS decision FROM d""",
+
     "publish_teacher_content": """SELECT q.request_id, q.teacher_id, q.center_id,
             CASE WHEN q.center_id IS NULL THEN 'CENTER_REQUIRED'
                  WHEN q.type IS NULL OR q.title IS NULL OR q.url IS NULL OR q.title = '' OR q.url = ''
@@ -408,26 +422,28 @@ SQL.update({
              ON l.center_id = q.center_id AND l.teacher_id = q.teacher_id""",
     "validate_rooms": """WITH d AS (
         SELECT q.candidate_id, q.center_id, q.teacher_id, q.name,
-               CASE WHEN q.name IS NULL OR q.teacher_id IS NULL OR q.subject IS NULL OR q.grade_level IS NULL
-                        THEN 'MISSING_FIELDS'
+               CASE WHEN COALESCE(q.name, '') = '' OR q.teacher_id IS NULL OR COALESCE(q.subject, '') = ''
+                         OR COALESCE(q.grade_level, '') = '' THEN 'MISSING_FIELDS'
                     WHEN EXISTS (SELECT 1 FROM rooms r WHERE r.center_id = q.center_id AND r.name = q.name)
                         THEN 'NAME_TAKEN'
                     WHEN NOT EXISTS (SELECT 1 FROM center_teachers ct WHERE ct.center_id = q.center_id
                                      AND ct.teacher_id = q.teacher_id) THEN 'NOT_LINKED'
                     WHEN NOT list_contains(t.grade_levels, q.grade_level) OR NOT list_contains(t.subjects, q.subject)
                         THEN 'NOT_TAUGHT'
-                    ELSE 'OK' END AS decision,
-               upper(substr(sha256(CAST(q.candidate_id AS VARCHAR)), 1, 8)) AS code0,
-               upper(substr(sha256(CAST(q.candidate_id AS VARCHAR) || '#1'), 1, 8)) AS code1
+                    ELSE 'OK' END AS decision
         FROM room_candidates q LEFT JOIN teachers t ON t.id = q.teacher_id),
-      o AS (SELECT *, count(*) OVER (PARTITION BY code0) AS twins FROM d WHERE decision = 'OK')
-    SELECT candidate_id, center_id, teacher_id, name, decision, CAST(NULL AS VARCHAR) AS access_code
-    FROM d WHERE decision <> 'OK'
-    UNION ALL
-    SELECT candidate_id, center_id, teacher_id, name, decision,
-           CASE WHEN twins > 1 OR code0 IN (SELECT access_code FROM rooms) THEN code1 ELSE code0 END
-    FROM o""",
-    "attach_content": """SELECT q.request_id, q.room_id, q.content_id,
+      e AS (SELECT d.* REPLACE (CASE WHEN decision <> 'MISSING_FIELDS' AND EXISTS (
+                SELECT 1 FROM d o WHERE o.decision = 'OK' AND o.center_id = d.center_id AND o.name = d.name
+                  AND o.candidate_id < d.candidate_id) THEN 'NAME_TAKEN' ELSE decision END AS decision) FROM d),
+      c0 AS (SELECT candidate_id, upper(substr(sha256(CAST(candidate_id AS VARCHAR)), 1, 8)) AS code FROM e
+             WHERE decision = 'OK'),
+      w0 AS (SELECT min(candidate_id) AS candidate_id, code FROM c0 WHERE code NOT IN (SELECT access_code FROM rooms)
+             GROUP BY code),
+      c1 AS (SELECT candidate_id, upper(substr(sha256(CAST(candidate_id AS VARCHAR) || '#1'), 1, 8)) AS code FROM c0
+             WHERE candidate_id NOT IN (SELECT candidate_id FROM w0))
+    SELECT e.candidate_id, e.center_id, e.teacher_id, e.name, e.decision, COALESCE(w0.code, c1.code) AS access_code
+    FROM e LEFT JOIN w0 USING (candidate_id) LEFT JOIN c1 USING (candidate_id)""",
+    "attach_content": """WITH d AS (SELECT q.request_id, q.room_id, q.content_id,
             CASE WHEN q.content_id IS NULL THEN 'CONTENT_REQUIRED' WHEN r.id IS NULL THEN 'ROOM_NOT_FOUND'
                  WHEN tc.id IS NULL THEN 'CONTENT_NOT_AVAILABLE' WHEN h.room_id IS NOT NULL THEN 'ALREADY_IN_ROOM'
                  ELSE 'OK' END AS decision,
@@ -440,7 +456,10 @@ SQL.update({
                                                   AND ct.teacher_id = tc.teacher_id AND ct.center_id = tc.center_id)) tc
              ON tc.id = q.content_id AND tc.center_id = q.center_id
         LEFT JOIN (SELECT DISTINCT room_id, teacher_content_id FROM content_items WHERE teacher_content_id IS NOT NULL) h
-             ON h.room_id = q.room_id AND h.teacher_content_id = q.content_id""",
+             ON h.room_id = q.room_id AND h.teacher_content_id = q.content_id)
+        SELECT d.* REPLACE (CASE WHEN decision = 'OK' AND EXISTS (
+            SELECT 1 FROM d o WHERE o.decision = 'OK' AND o.room_id = d.room_id AND o.content_id = d.content_id
+              AND o.request_id < d.request_id) THEN 'ALREADY_IN_ROOM' ELSE decision END AS decision) FROM d""",
     "reorder_content": """SELECT ci.id, ci.room_id, COALESCE(CAST(r.rank AS INTEGER), ci.sort_order) AS sort_order
         FROM content_items ci LEFT JOIN (SELECT room_id, id, 100 - sort_order AS rank FROM content_items) r
              ON r.id = ci.id AND r.room_id = ci.room_id""",
@@ -460,14 +479,21 @@ SQL.update({
 })
 
 
-SQL["validate_registrations"] = """SELECT q.candidate_id, q.email,
+# The repeats of the batch share e-mail and phone with one earlier candidate, so "an earlier OK one with
+# the same e-mail or phone" is the whole rule here; chains through refused ones are unit-tested.
+SQL["validate_registrations"] = """WITH d AS (SELECT q.candidate_id, q.email, q.phone,
         CASE WHEN q.email IN (SELECT email FROM users WHERE email IS NOT NULL)
                   OR q.phone IN (SELECT phone FROM users WHERE phone IS NOT NULL) THEN 'USER_EXISTS'
-             WHEN q.name IS NULL OR q.email IS NULL OR q.role IS NULL THEN 'MISSING_FIELDS'
-             WHEN q.role = 'center_admin' AND (q.center_name IS NULL OR q.center_address IS NULL
+             WHEN COALESCE(q.name, '') = '' OR COALESCE(q.email, '') = '' OR COALESCE(q.phone, '') = ''
+                  OR COALESCE(q.role, '') = '' THEN 'MISSING_FIELDS'
+             WHEN q.role = 'center_admin' AND (COALESCE(q.center_name, '') = '' OR COALESCE(q.center_address, '') = ''
                   OR q.center_lat IS NULL OR q.center_lng IS NULL) THEN 'MISSING_CENTER_FIELDS'
              ELSE 'OK' END AS decision
-    FROM registration_candidates q"""
+    FROM registration_candidates q)
+    SELECT candidate_id, email, CASE WHEN EXISTS (
+            SELECT 1 FROM d o WHERE o.decision = 'OK' AND o.candidate_id < d.candidate_id AND o.email = d.email)
+        OR EXISTS (SELECT 1 FROM d o WHERE o.decision = 'OK' AND o.candidate_id < d.candidate_id AND o.phone = d.phone)
+        THEN 'USER_EXISTS' ELSE decision END AS decision FROM d"""
 
 
 SQL.update({
