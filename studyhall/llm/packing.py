@@ -25,6 +25,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +40,8 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 4
 FILLED = 0.98
-WORDS_KEPT = 700_000
+WORDS_KEPT = 1_100_000
+RUN_CHARS = 1 << 20
 
 # Printable ASCII and Latin letters: stable under NFC, lower-cased alike everywhere (but for U+0130).
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
@@ -76,16 +78,28 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         self.kept = kept
 
+    def _cut(self, word: str) -> list[str]:
+        """Pieces of a plain word; letters with at most one closing sign need no pattern."""
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+        return self.pieces_of(word.lower())
+
     def _learn(self, new: list[str]) -> None:
         cut = {}
         for w in new:
             if _PLAIN(w) and "<|" not in w:
-                cut[w] = self.pieces_of(w.lower())
+                cut[w] = self._cut(w)
             else:
                 ids = self.whole.encode(w, add_special_tokens=False).ids
                 self.words[w] = b"".join([i.to_bytes(4, "little") for i in ids])
-        unknown = list({p for parts in cut.values() for p in parts if p not in self.pieces})
+        of = self.pieces
+        unknown = list({p for parts in cut.values() for p in parts if p not in of})
         if unknown:
+            if len(of) + len(unknown) > self.kept:
+                of.clear()
+                unknown = list({p for parts in cut.values() for p in parts})
             ids = self.merges.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
             raw, last, run, done = self.raw, self.last, b"", []
             for i in ids:
@@ -93,23 +107,28 @@ class WordEncoder:
                 if last[i]:
                     done.append(run)
                     run = b""
-            self.pieces.update(zip(unknown, done))
-        of = self.pieces
+            of.update(zip(unknown, done))
         for w, parts in cut.items():
             self.words[w] = of[parts[0]] if len(parts) == 1 else b"".join([of[p] for p in parts])
 
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts, their new words learned together."""
         known = self.words
-        new = [w for w in set(parts) if w not in known]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new: set[str] = set()
+        for parts in split:
+            new.update(filterfalse(known.__contains__, parts))
         if new:
             if len(known) + len(new) > self.kept:
                 known.clear()
-                self.pieces.clear()
                 known[""] = b""
-                new = list(set(parts) - {""})
-            self._learn(new)
-        return b"".join([known[w] for w in parts])
+                new = {w for parts in split for w in parts if w}
+            self._learn(list(new))
+        of = known.__getitem__
+        return [b"".join(map(of, parts)) for parts in split]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 def _encoder(path: str, kept: int) -> WordEncoder:
@@ -118,6 +137,19 @@ def _encoder(path: str, kept: int) -> WordEncoder:
     return _state[path]
 
 
+def _runs(ids, texts) -> Iterator[list[tuple]]:
+    """Rows in runs of about RUN_CHARS characters of text."""
+    run, size = [], 0
+    for row in zip(ids, texts):
+        run.append((row[0], row[1] or ""))
+        size += len(run[-1][1])
+        if size >= RUN_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def tokenize(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32) per piece of ``docs`` (id, text)."""
     end = end_id.to_bytes(4, "little")
@@ -126,11 +158,12 @@ def tokenize(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: in
         encode = _encoder(path, WORDS_KEPT)
         for f in frames:
             out = []
-            for id_, text in zip(f["id"], f["text"]):
-                ids = encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    out.append((id_, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for rows in _runs(f["id"], f["text"]):
+                for (id_, _), ids in zip(rows, encode.many([t for _, t in rows])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        out.append((id_, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
     return docs.select("id", "text").mapInPandas(
         run, "id long, piece int, start long, length long, ids_crc32 long")
