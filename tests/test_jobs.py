@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from studyhall.jobs import attendance, bookings, ledger, maintenance, rooms, schedule
 
 AS_OF = "2024-01-01 08:00:00"
@@ -126,7 +128,8 @@ def test_apply_patches_latest_wins_and_null_keeps(spark):
     patches = spark.createDataFrame([(1, "x", None, at(5)), (1, None, False, at(9)), (3, "z", None, at(1))],
                                     "id long, name string, is_active boolean, patched_at timestamp_ntz")
     got = {r.id: (r.name, r.is_active, r.updated_at) for r in maintenance.apply_patches(table, patches).collect()}
-    assert got == {1: ("a", False, at(9)), 2: ("b", True, at(0))}
+    # each column takes its own latest non-NULL value, as when the patches are applied one by one
+    assert got == {1: ("x", False, at(9)), 2: ("b", True, at(0))}
     over = {r.id: r.name for r in maintenance.apply_patches(table, patches, mode="overwrite").collect()}
     assert over == {1: None, 2: "b"}
 
@@ -362,20 +365,85 @@ def test_running_balances_stream_over_several_batches_equals_batch(spark, tmp_pa
     assert got == want == {1: Decimal("6.00"), 2: Decimal("5.00"), 3: Decimal("2.00")}
 
 
-def test_hot_group_paths_give_the_same_results(spark):
-    """Every registered job with a per-key rank / running sum / first-per-key, run once with the
-    default limit (small groups: windows) and once with a limit of 1 row (every group 'hot':
-    range-chunked running sums and min(struct) joins) must agree row for row."""
-    import __spark_entry__ as E
-    from conftest import SF_SMALL
-    keys = ["admit_bookings", "wallet_statement", "validate_scans", "walk_in_attendance", "cancel_bookings",
-            "cancel_sessions", "deposits_to_ledger", "upgrade_room_access", "review_eligibility", "join_rooms"]
-    q = E.queries()
-    base = {k: sorted(map(tuple, q[k](spark, SF_SMALL).collect())) for k in keys}
-    spark.conf.set("studyhall.prefix.maxGroupRows", "1")
-    try:
-        hot = {k: sorted(map(tuple, q[k](spark, SF_SMALL).collect())) for k in keys}
-    finally:
-        spark.conf.unset("studyhall.prefix.maxGroupRows")
-    for k in keys:
-        assert hot[k] == base[k], k
+def test_patches_of_one_time_follow_the_request_id(spark):
+    table = spark.createDataFrame([(1, "a", True, at(0))], "id long, name string, is_active boolean, updated_at timestamp_ntz")
+    patches = spark.createDataFrame([(1, None, True, at(5), 1), (1, "z", False, at(5), 2), (1, "b", None, at(5), 3)],
+                                    "id long, name string, is_active boolean, patched_at timestamp_ntz, request_id long")
+    assert maintenance.apply_patches(table, patches).first()[1:3] == ("b", False)
+
+
+def test_opposite_status_changes_of_one_user(spark, frames):
+    t = frames()
+    t["users"] = spark.createDataFrame([(1, "student", True, at(0)), (2, "student", False, at(0))],
+                                       "id long, role string, is_active boolean, updated_at timestamp_ntz")
+    req = spark.createDataFrame([(1, 9, 1, True, None), (2, 9, 1, False, None), (3, 9, 2, False, None), (4, 9, 2, True, None)],
+                                "request_id long, admin_id long, user_id long, is_active boolean, reason string")
+    out = ledger.user_status_changes(t, req)
+    assert {r.id: r.is_active for r in out["users"].collect()} == {1: False, 2: True}
+
+
+def test_registrations_settle_chains_within_the_batch(spark, frames):
+    t = frames()
+    t["users"] = spark.createDataFrame([], "id long, email string, phone string")
+    rows = [(1, "e1", "p1"), (2, "e1", "p2"), (3, "e2", "p2"), (4, "e2", "p1"), (5, "e3", ""), (6, "e3", "p6"), (7, "e3", None),
+            (8, "e6", "p6")]
+    cands = spark.createDataFrame([(i, "n", e, p, "student") + (None,) * 8 for i, e, p in rows],
+        "candidate_id long, name string, email string, phone string, role string, subjects string, "
+        "grade_levels string, center_name string, center_address string, lat double, lng double, "
+        "center_lat double, center_lng double")
+    got = decide(rooms.validate_registrations(t, cands)["decisions"], "candidate_id")
+    # 2 is refused for 1's e-mail, so 3 may have its phone; 4 meets 1 and 3; 5 lacks a phone
+    assert got == {1: "OK", 2: "USER_EXISTS", 3: "OK", 4: "USER_EXISTS", 5: "MISSING_FIELDS", 6: "OK",
+                   7: "USER_EXISTS", 8: "USER_EXISTS"}
+
+
+def test_a_request_with_null_keys_keeps_its_decision(spark, tables):
+    from studyhall.jobs import bookings, requests
+    req = requests.booking_requests(tables)
+    nulls = req.limit(3).withColumn("session_id", F.lit(None).cast("bigint")).withColumn(
+        "request_id", F.col("request_id") + 10**15)
+    all_ = req.unionByName(nulls)
+    assert bookings.admit_bookings(tables, all_).count() == all_.count()
+
+
+def test_every_code_occurs_in_the_registered_batches(spark, tables):
+    """The request fixtures reach each decision of the settled jobs, OK included."""
+    from studyhall.jobs import requests as q
+    jobs = {
+        "link": (maintenance.link_teachers(tables, q.link_requests(tables)),
+                 {"OK", "CENTER_NOT_FOUND", "TEACHER_NOT_FOUND", "ALREADY_LINKED"}),
+        "unlink": (maintenance.unlink_teachers(tables, q.unlink_requests(tables)),
+                   {"OK", "CENTER_NOT_FOUND", "TEACHER_NOT_FOUND", "NOT_LINKED"}),
+        "rooms": (rooms.validate_rooms(tables, q.room_candidates(tables)),
+                  {"OK", "MISSING_FIELDS", "NAME_TAKEN", "NOT_LINKED", "NOT_TAUGHT"}),
+        "attach": (rooms.attach_content(tables, q.attach_requests(tables)),
+                   {"OK", "CONTENT_REQUIRED", "ROOM_NOT_FOUND", "CONTENT_NOT_AVAILABLE", "ALREADY_IN_ROOM"}),
+        "registrations": (rooms.validate_registrations(tables, q.registration_candidates(tables))["decisions"],
+                          {"OK", "USER_EXISTS", "MISSING_FIELDS", "MISSING_CENTER_FIELDS"}),
+        "status": (ledger.user_status_changes(tables, q.status_change_requests(tables))["decisions"],
+                   {"OK", "FIELD_REQUIRED", "NOT_FOUND", "FORBIDDEN"}),
+    }
+    for name, (decisions, codes) in jobs.items():
+        assert {r[0] for r in decisions.select("decision").distinct().collect()} == codes, name
+
+
+def test_no_settled_batch_accepts_one_key_twice(spark, tables):
+    from studyhall.jobs import requests as q
+    for d, keys in ((maintenance.link_teachers(tables, q.link_requests(tables)), ["center_id", "teacher_id"]),
+                    (maintenance.unlink_teachers(tables, q.unlink_requests(tables)), ["center_id", "teacher_id"]),
+                    (rooms.attach_content(tables, q.attach_requests(tables)), ["room_id", "content_id"]),
+                    (rooms.validate_rooms(tables, q.room_candidates(tables)), ["center_id", "name"])):
+        ok = d.filter("decision = 'OK'")
+        assert ok.count() == ok.select(*keys).distinct().count()
+
+
+def test_access_codes_skip_used_ones(spark):
+    from studyhall.functions.tokens import access_code
+    ids = spark.range(5).select(F.col("id").alias("k_id"))
+    used = ids.select(access_code("k_id").alias("access_code")).unionByName(
+        ids.filter("k_id = 2").select(access_code("k_id", 1).alias("access_code")))
+    got = rooms._free_codes(ids, used)
+    assert got.count() == 5 == got.select("access_code").distinct().count()
+    assert got.join(used, "access_code").count() == 0
+    two = ids.filter("k_id = 2").select(access_code("k_id", 2).alias("access_code")).first()[0]
+    assert got.filter("k_id = 2").first().access_code == two

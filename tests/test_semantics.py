@@ -114,20 +114,24 @@ def test_overlap_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def by_order(df, col):
+    return {r.o: (r.k, r[col]) for r in df.collect()}
+
+
 def test_running_sum_equals_single_window_with_a_hot_key(spark):
     rnd = random.Random(7)
-    rows = [(0 if i % 3 == 0 else rnd.randint(1, 20), i, rnd.randint(-50, 50)) for i in range(3000)]
+    rows = [(0 if i % 3 == 0 else None if i % 7 == 0 else rnd.randint(1, 20), i, rnd.randint(-50, 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, o long, v long")
-    got = running_sum(df, "k", ["o"], "v", "run", n_chunks=7, max_group_rows=100)  # force the chunked path
+    got = running_sum(df, "k", ["o"], "v", "run", n_chunks=7)
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("run", F.sum("v").over(w))
-    assert sorted(got.select("k", "o", "run").collect()) == sorted(want.select("k", "o", "run").collect())
-    cnt = running_count(df, "k", ["o"], "rn", n_chunks=5, max_group_rows=100)
-    plain = running_sum(df, "k", ["o"], "v", "run")  # small groups: single window
-    assert sorted(plain.select("k", "o", "run").collect()) == sorted(want.select("k", "o", "run").collect())
+    assert by_order(got, "run") == by_order(want, "run") and got.count() == 3000
+    cnt = running_count(df, "k", ["o"], "rn", n_chunks=5)
+    plain = running_sum(df, "k", ["o"], "v", "run")
+    assert by_order(plain, "run") == by_order(want, "run")
     w2 = Window.partitionBy("k").orderBy("o")
     want2 = df.withColumn("rn", F.row_number().over(w2))
-    assert sorted(cnt.select("k", "o", "rn").collect()) == sorted(want2.select("k", "o", "rn").collect())
+    assert by_order(cnt, "rn") == by_order(want2, "rn")
 
 
 def test_radius_join_equals_brute_force(spark):
@@ -186,20 +190,52 @@ def test_uuid_rule_only_for_text_keys(spark, frames):
     assert [r.u for r in df.select(is_uuid("x").alias("u")).collect()] == [True, False, False]
 
 
-def test_group_sizes_many_in_one_job(spark):
-    from studyhall.operators.prefix import group_sizes, group_sizes_many
-    df = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 3)], "a long, b long")
-    assert group_sizes_many(df, [["a"], ["b"], ["a", "b"]]) == [group_sizes(df, ["a"]), group_sizes(df, ["b"]),
-                                                              group_sizes(df, ["a", "b"])] == [(3, 4), (2, 4), (2, 4)]
-
-
-def test_is_first_in_group_both_paths(spark):
+def test_is_first_in_group_with_null_keys_and_a_condition(spark):
     from studyhall.operators.topn import is_first_in_group
-    df = spark.createDataFrame([(1, 3, 30), (1, 1, 10), (1, 1, 5), (2, 7, 1)], "k long, o1 long, o2 long")
-    for limit in (1, 10**6):   # hot-group path and window path
-        got = sorted((r.k, r.o1, r.o2) for r in is_first_in_group(df, ["k"], ["o1", "o2"], max_group_rows=limit)
-                     .filter("_is_first").collect())
-        assert got == [(1, 1, 5), (2, 7, 1)]
+    df = spark.createDataFrame([(1, 3, 30), (1, 1, 10), (1, 1, 5), (2, 7, 1), (None, 2, 2), (None, 1, 9), (3, None, 1), (3, 1, 1)],
+                               "k long, o1 long, o2 long")
+    got = {(r.k, r.o1, r.o2) for r in is_first_in_group(df, ["k"], ["o1", "o2"]).filter("_is_first").collect()}
+    assert got == {(1, 1, 5), (2, 7, 1), (None, 1, 9), (3, None, 1)}
+    some = is_first_in_group(df, ["k"], ["o1", "o2"], where=F.col("o2") > 5)
+    assert some.count() == 8 and some.columns == ["k", "o1", "o2", "_is_first"]
+    assert {(r.k, r.o1, r.o2) for r in some.filter("_is_first").collect()} == {(1, 1, 10), (None, 1, 9)}
+
+
+def test_overlap_of_all_lengths_equals_brute_force(spark):
+    rnd = random.Random(5)
+
+    def rows(n, base):
+        out = []
+        for i in range(n):
+            start = rnd.randint(-10**6, 10**6)
+            out.append((base + i, rnd.choice([7, 8, None]), ts(start), ts(start + rnd.choice(
+                [0, 1, 30, 90, 240, 241, 5000, 15360, 15361, 10**6, 10**7]))))
+        return out
+    a, b = rows(160, 0), rows(160, 1000) + [(2000, 7, ts(0), None)]
+    left = spark.createDataFrame(a, "lid long, lk long, ls timestamp_ntz, le timestamp_ntz")
+    right = spark.createDataFrame(b, "rid long, rk long, rs timestamp_ntz, re timestamp_ntz")
+    got = [(r.lid, r.rid) for r in overlap_join(left, right, [("lk", "rk")], left_start="ls", left_end="le",
+                                                right_start="rs", right_end="re").collect()]
+    want = {(x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and y[3] is not None
+            and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_radius_join_near_poles_and_antimeridian_equals_brute_force(spark):
+    rnd = random.Random(11)
+
+    def place():
+        lat = rnd.choice([rnd.uniform(-90, 90), rnd.uniform(88, 90), rnd.uniform(-90, -89), rnd.uniform(69.5, 70.1), 90.0, -90.0])
+        lng = rnd.choice([rnd.uniform(-180, 180), rnd.uniform(179, 180), rnd.uniform(-180, -179), 180.0, -180.0])
+        return lat, lng
+    p = spark.createDataFrame([(i, *place()) for i in range(250)] + [(9000, 69.8, -179.9999)], "pid long, lat double, lng double")
+    q = spark.createDataFrame([(i, *place()) for i in range(250)] + [(9001, 69.8, 179.4)], "qid long, lat double, lng double")
+    for km in (0.5, 25.0, 300.0, 2500.0):
+        got = [(r.pid, r.qid) for r in within_radius_join(p, q, km).collect()]
+        brute = {(r.pid, r.qid) for r in p.withColumnRenamed("lat", "a").withColumnRenamed("lng", "b").crossJoin(q)
+                 .filter(haversine_km("a", "b", "lat", "lng") <= km).collect()}
+        assert len(got) == len(set(got)) and set(got) == brute, km
+        assert km != 25.0 or (9000, 9001) in brute
 
 
 def test_dashboards_on_empty_tables_give_one_row_of_zeros(spark, frames):
