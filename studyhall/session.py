@@ -64,14 +64,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; create a scratch one only when unset.
+    """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...); it is read and
-    never replaced. Only local runs (tests, bench) get a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...); it is read and never
+    replaced, and its absence is an error, since a folder of one machine would be another one on
+    each executor. Only a ``local`` master (tests, bench) gets a fresh scratch folder when it is unset.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="studyhall-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:

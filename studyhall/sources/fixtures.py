@@ -20,6 +20,7 @@ from studyhall.constants import (
     ADMIN_USER_OFFSET, OWNER_USER_OFFSET, SESSION_AS_OF, TEACHER_USER_OFFSET,
 )
 from studyhall.sources.driver import read_driver_table
+from studyhall.sources.tables import read_snapshot, write_snapshot
 
 DOMAIN_TABLES = (
     "users", "teachers", "centers", "center_teachers", "sessions", "bookings", "attendances",
@@ -457,9 +458,10 @@ class StoredFixtures(Fixtures):
         if name not in DOMAIN_TABLES:
             raise KeyError(name)
         if name not in self._stored:
-            path = f"{self.root}/{name}"
-            super().__getitem__(name).write.mode("overwrite").parquet(path)
-            self._stored[name] = self.spark.read.parquet(path)
+            # facts by month, as in a deployment: month predicates prune whole folders
+            derived = super().__getitem__(name)
+            path = write_snapshot(derived, f"{self.root}/{name}", name)
+            self._stored[name] = read_snapshot(self.spark, path, name, derived.schema)
         return self._stored[name]
 
     def materialize(self) -> None:

@@ -103,6 +103,13 @@ def month_of(c: Column | str) -> Column:
     return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM")
 
 
+def read_snapshot(spark: SparkSession, path: str, table: str, schema: T.StructType) -> DataFrame:
+    """A table of ``schema`` written by ``write_snapshot``; the month of a fact is text (``yyyy-MM``)."""
+    if table in MONTH_PARTITIONED:
+        schema = T.StructType(schema.fields + [T.StructField(month_column(table), T.StringType(), True)])
+    return spark.read.schema(schema).parquet(path)
+
+
 # ------------------------------------------------------------------ SNK-01 / SNK-02
 def append(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     """SNK-01: append rows (``INSERT ... RETURNING``): month-partitioned when the table is a fact
@@ -123,7 +130,7 @@ def write_snapshot(df: DataFrame, path: str, table: str | None = None) -> str:
     """
     if table in MONTH_PARTITIONED:
         mc = month_column(table)
-        df.withColumn(mc, month_of(MONTH_PARTITIONED[table])).write.mode("overwrite").partitionBy(mc).parquet(path)
+        df.withColumn(mc, month_of(MONTH_PARTITIONED[table])).repartition(mc).write.mode("overwrite").partitionBy(mc).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path
