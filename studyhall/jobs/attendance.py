@@ -67,20 +67,28 @@ def validate_scans(t, scans: DataFrame) -> DataFrame:
                     .otherwise(F.col("decision")).alias("decision"))
 
 
-def scan_outputs(decisions: DataFrame) -> dict[str, DataFrame]:
+def _notifications(decided: DataFrame, at: str) -> DataFrame:
+    """One message per recorded attendance and per check-in after the session's end."""
+    def told(text):
+        return F.concat(F.lit(text[0]), us_datetime("scheduled_at"), F.lit(text[1]))
+    ok = F.col("decision") == "OK"
+    return decided.filter(F.col("decision").isin("OK", "OUTSIDE_TIME_WINDOW")).select(
+        F.col("student_id").alias("user_id"), F.when(ok, "attendance_recorded").otherwise("session_missed").alias("type"),
+        F.when(ok, told(RECORDED_TEXT)).otherwise(told(MISSED_TEXT)).alias("message"), F.col(at).alias("created_at"))
+
+
+def _scanned_by(t, rows: DataFrame) -> DataFrame:
+    """``rows`` plus scanned_by: the account of the centre that checked the student in (its owner)."""
+    owner = t["centers"].select(F.col("id").alias("o_cid"), F.col("owner_id").alias("scanned_by"))
+    return rows.join(owner, F.col("center_id") == F.col("o_cid"), "left").drop("o_cid")
+
+
+def scan_outputs(t, decisions: DataFrame) -> dict[str, DataFrame]:
     """Rows produced by a scan batch: attendances, booking status patches, notifications."""
     ok = decisions.filter(F.col("decision") == "OK")
-    missed = decisions.filter(F.col("decision") == "OUTSIDE_TIME_WINDOW")
-    notes = (missed.select(F.col("student_id").alias("user_id"), F.lit("session_missed").alias("type"),
-                           F.concat(F.lit(MISSED_TEXT[0]), us_datetime("scheduled_at"), F.lit(MISSED_TEXT[1]))
-                           .alias("message"), F.col("scanned_at").alias("created_at"))
-             .unionByName(ok.select(F.col("student_id").alias("user_id"), F.lit("attendance_recorded").alias("type"),
-                                    F.concat(F.lit(RECORDED_TEXT[0]), us_datetime("scheduled_at"),
-                                             F.lit(RECORDED_TEXT[1])).alias("message"),
-                                    F.col("scanned_at").alias("created_at"))))
+    notes = _notifications(decisions, "scanned_at")
     return {
-        "attendances": ok.select(F.col("booking_id").alias("id"), "booking_id", "scanned_at",
-                                 F.col("center_id").alias("scanned_center")),
+        "attendances": _scanned_by(t, ok).select(F.col("booking_id").alias("id"), "booking_id", "scanned_at", "scanned_by"),
         "booking_patches": ok.select(F.col("booking_id").alias("id"), F.lit("attended").alias("status")),
         "notifications": notes,
     }
@@ -125,7 +133,9 @@ def walk_in_attendance(t, requests: DataFrame) -> DataFrame:
 
 def walk_in_outputs(t, decisions: DataFrame) -> dict[str, DataFrame]:
     """Rows of a walk-in batch: booking (attended) + attendance; cash > 0 posts a student deposit
-    and an owner transfer (C15: no matching charge)."""
+    and an owner transfer (C15: no matching charge); notifications as for scans."""
+    when = t["sessions"].select(F.col("id").alias("n_sid"), "scheduled_at")
+    notes = _notifications(decisions.join(when, F.col("session_id") == F.col("n_sid")), "requested_at")
     ok = decisions.filter(F.col("decision") == "OK")
     bid = new_key(ok, "request_id", WALKIN_BOOKING_OFFSET, "walk-in")
     owners = t["centers"].select(F.col("id").alias("c_id"), "owner_id")
@@ -140,6 +150,8 @@ def walk_in_outputs(t, decisions: DataFrame) -> dict[str, DataFrame]:
                               qr_code("student_id", "session_id", bid).alias("qr_code"),
                               F.coalesce(F.col("amount_paid"), F.lit(0)).alias("amount_paid"),
                               F.col("requested_at").alias("booked_at")),
-        "attendances": ok.select(bid.alias("id"), bid.alias("booking_id"), F.col("requested_at").alias("scanned_at")),
+        "attendances": _scanned_by(t, ok).select(bid.alias("id"), bid.alias("booking_id"),
+                                                 F.col("requested_at").alias("scanned_at"), "scanned_by"),
+        "notifications": notes,
         "wallet_transactions": ledger.withColumn("status", F.lit("completed")),
     }

@@ -42,7 +42,7 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
     from studyhall.jobs import schedule as jsched
     from studyhall.oracle import sql_admin, sql_dash, sql_discovery, sql_jobs
     from studyhall.streaming import streams
-    from studyhall.plans import admin, center, discovery, rooms, teacher, views, wallet
+    from studyhall.plans import admin, center, discovery, outputs, rooms, teacher, views, wallet
 
     A = sql_admin.SQL
     e = {
@@ -219,6 +219,7 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "stream_no_show": (streams.stream_no_show, J["stream_no_show"]),
         "stream_scans": (streams.stream_scans, J["stream_scans"]),
     })
+    e.update(outputs.ENTRIES)
     return e
 
 

@@ -91,7 +91,7 @@ def test_scan_window_edges_and_second_scan(spark, frames):
     got = decide(attendance.validate_scans(t, scans), "scan_id")
     assert got == {1: "OK", 2: "TOO_EARLY", 3: "OK", 4: "OUTSIDE_TIME_WINDOW", 5: "ALREADY_ATTENDED",
                    6: "BAD_FORMAT", 7: "FORBIDDEN", 8: "ALREADY_ATTENDED"}
-    notes = attendance.scan_outputs(attendance.validate_scans(t, scans))["notifications"].collect()
+    notes = attendance.scan_outputs(t, attendance.validate_scans(t, scans))["notifications"].collect()
     missed = [n.message for n in notes if n.type == "session_missed"]
     assert missed == ["You missed your session on 1/1/2024, 10:00:00 AM. Please contact the center for rescheduling."]
 
