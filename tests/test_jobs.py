@@ -447,3 +447,25 @@ def test_access_codes_skip_used_ones(spark):
     assert got.join(used, "access_code").count() == 0
     two = ids.filter("k_id = 2").select(access_code("k_id", 2).alias("access_code")).first()[0]
     assert got.filter("k_id = 2").first().access_code == two
+
+
+def test_scans_newest_first_all_get_a_decision(spark, frames):
+    """Scans reported late (files newest first, weeks apart) are decided, re-delivered ones once."""
+    from studyhall.streaming import streams as S
+    t = frames()
+    t["sessions"] = spark.createDataFrame([], SESSIONS)
+    t["bookings"] = spark.createDataFrame([], BOOKINGS)
+    t["users"] = spark.createDataFrame([], "id long")
+    schema = "scan_id long, qr_code string, center_id long, scanned_at timestamp_ntz"
+    folder = S.stream_folder(spark, "t-late-scans")
+    for k in range(4):
+        rows = [(k * 10 + i, f"1_2_{k}{i}", 1, at(-k * 50000 + i)) for i in range(10)] + [(0, "1_2_00", 1, at(0))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    got = S.scan_stream_job(t, S.file_stream(spark, folder, spark.createDataFrame([], schema).schema, max_files=1))
+    assert sorted(r.scan_id for r in got.collect()) == list(range(40))
+
+
+def test_registered_streams_take_several_micro_batches(spark, tables):
+    from studyhall.streaming import streams as S
+    cuts = S._time_cuts(tables["bookings"], "booked_at")
+    assert len(cuts) >= 4
