@@ -97,11 +97,11 @@ def scan_requests(t) -> DataFrame:
 
 def session_candidates(t) -> DataFrame:
     """candidate_id, session_id (update form: itself), center_id, teacher_id, subject,
-    grade_level, scheduled_at, duration_min: every session shifted by -30..+30 min; every
+    grade_level, scheduled_at, duration_min, capacity, price (some missing): every session shifted by -30..+30 min; every
     10th touches its own end exactly; every 2nd is an update of its source session; the
     subject is one the teacher teaches unless id % 3 = 0."""
     s = t["sessions"].select("id", "center_id", "teacher_id", "subject", "grade_level", "scheduled_at",
-                             "duration_min")
+                             "duration_min", "capacity", "price")
     tch = t["teachers"].select(F.col("id").alias("tid"), "subjects")
     j = s.join(tch, s.teacher_id == tch.tid, "left")
     k = F.col("id")
@@ -109,7 +109,8 @@ def session_candidates(t) -> DataFrame:
         plus_minutes(F.col("scheduled_at"), (k % 7 - 3) * 10))
     subject = F.when(k % 3 == 0, F.col("subject")).otherwise(F.element_at("subjects", (k % 2 + 1).cast("int")))
     return j.select(k.alias("candidate_id"), F.when(k % 2 == 0, k).alias("session_id"), "center_id", "teacher_id",
-                    subject.alias("subject"), "grade_level", at.alias("scheduled_at"), "duration_min")
+                    subject.alias("subject"), "grade_level", at.alias("scheduled_at"), "duration_min",
+                    F.when(k % 41 != 0, F.col("capacity")).alias("capacity"), F.when(k % 43 != 0, F.col("price")).alias("price"))
 
 
 def walkin_requests(t) -> DataFrame:

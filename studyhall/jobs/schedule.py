@@ -64,7 +64,7 @@ def session_conflicts(t, candidates: DataFrame, bucket_minutes: int = 240) -> Da
 
 def validate_sessions(t, candidates: DataFrame, *, require_link: bool = False, require_future: bool = False,
                       as_of=SESSION_AS_OF) -> DataFrame:
-    """JOB-07: MISSING_FIELDS, TEACHER_NOT_FOUND, GRADE_NOT_TAUGHT, SUBJECT_NOT_TAUGHT, then the
+    """JOB-07: MISSING_FIELDS (capacity and price included), TEACHER_NOT_FOUND, GRADE_NOT_TAUGHT, SUBJECT_NOT_TAUGHT, then the
     contract options NOT_LINKED / IN_THE_PAST, then TEACHER_BUSY, GRADE_OVERLAP (JOB-06), else OK."""
     tch = t["teachers"].select(F.col("id").alias("t_id"), "subjects", "grade_levels")
     links = (t["center_teachers"].filter(F.col("is_active"))
@@ -76,7 +76,8 @@ def validate_sessions(t, candidates: DataFrame, *, require_link: bool = False, r
          .join(clash, F.col("candidate_id") == F.col("k_cid"), "left"))
     checks = [
         ("MISSING_FIELDS", F.col("subject").isNull() | F.col("grade_level").isNull() | F.col("scheduled_at").isNull()
-         | F.col("duration_min").isNull() | (F.col("duration_min") <= 0)),
+         | F.col("duration_min").isNull() | (F.col("duration_min") <= 0) | F.col("capacity").isNull()
+         | F.col("price").isNull()),
         ("TEACHER_NOT_FOUND", F.col("t_id").isNull()),
         ("GRADE_NOT_TAUGHT", ~F.array_contains("grade_levels", F.col("grade_level"))),
         ("SUBJECT_NOT_TAUGHT", ~F.array_contains("subjects", F.col("subject"))),

@@ -268,7 +268,8 @@ FIXTURE_CTES.update({
                s.grade_level,
                CASE WHEN s.id % 10 = 5 THEN s.scheduled_at + to_minutes(s.duration_min)
                     ELSE s.scheduled_at + to_minutes(CAST((s.id % 7 - 3) * 10 AS INTEGER)) END AS scheduled_at,
-               s.duration_min
+               s.duration_min, CASE WHEN s.id % 41 <> 0 THEN s.capacity END AS capacity,
+               CASE WHEN s.id % 43 <> 0 THEN s.price END AS price
         FROM sessions s LEFT JOIN teachers t ON s.teacher_id = t.id""",
 })
 

@@ -151,7 +151,8 @@ SQL = {
     "validate_sessions": f"""WITH {CONFLICT_CTES}, k AS ({CONFLICT_SELECT}),
       d AS (SELECT c.candidate_id,
                CASE WHEN c.subject IS NULL OR c.grade_level IS NULL OR c.scheduled_at IS NULL
-                         OR c.duration_min IS NULL OR c.duration_min <= 0 THEN 'MISSING_FIELDS'
+                         OR c.duration_min IS NULL OR c.duration_min <= 0 OR c.capacity IS NULL OR c.price IS NULL
+                        THEN 'MISSING_FIELDS'
                     WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
                     WHEN NOT list_contains(t.grade_levels, c.grade_level) THEN 'GRADE_NOT_TAUGHT'
                     WHEN NOT list_contains(t.subjects, c.subject) THEN 'SUBJECT_NOT_TAUGHT'
@@ -500,7 +501,8 @@ SQL.update({
     "validate_sessions_strict": f"""WITH {CONFLICT_CTES}, k AS ({CONFLICT_SELECT}),
       d AS (SELECT c.candidate_id,
                CASE WHEN c.subject IS NULL OR c.grade_level IS NULL OR c.scheduled_at IS NULL
-                         OR c.duration_min IS NULL OR c.duration_min <= 0 THEN 'MISSING_FIELDS'
+                         OR c.duration_min IS NULL OR c.duration_min <= 0 OR c.capacity IS NULL OR c.price IS NULL
+                        THEN 'MISSING_FIELDS'
                     WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
                     WHEN NOT list_contains(t.grade_levels, c.grade_level) THEN 'GRADE_NOT_TAUGHT'
                     WHEN NOT list_contains(t.subjects, c.subject) THEN 'SUBJECT_NOT_TAUGHT'

@@ -182,15 +182,14 @@ def student_bookings_summary(t, *, student=None) -> DataFrame:
     s = t["sessions"].select(F.col("id").alias("s_id"), "subject", "grade_level", F.col("title").alias("session_title"),
                              "scheduled_at", "duration_min", F.col("status").alias("session_status"),
                              F.col("teacher_id"), F.col("center_id").alias("s_cid"))
-    tb = _teacher_block(t).select("t_id", "teacher_name", F.col("rating").alias("teacher_rating"))
-    ta = t["users"].select(F.col("id").alias("ua_id"), F.col("avatar_url").alias("teacher_avatar"))
-    tu = t["teachers"].select(F.col("id").alias("tu_id"), F.col("user_id").alias("tu_uid"))
+    tu = t["teachers"].select(F.col("id").alias("t_id"), "user_id", F.col("rating").alias("teacher_rating"))
+    tb = tu.join(t["users"].select(F.col("id").alias("u_id"), F.col("name").alias("teacher_name"),
+                                   F.col("avatar_url").alias("teacher_avatar")), F.col("user_id") == F.col("u_id")).drop("user_id")
     c = t["centers"].select(F.col("id").alias("center_id"), F.col("name").alias("center_name"),
                             F.col("address").alias("center_address"), F.col("lat").alias("center_lat"),
                             F.col("lng").alias("center_lng"))
     a = t["attendances"].select(F.col("booking_id").alias("a_bid"), F.col("id").alias("a_id"), "scanned_at")
     j = (b.join(s, b.session_id == s.s_id).join(tb, F.col("teacher_id") == F.col("t_id"))
-         .join(tu, F.col("teacher_id") == F.col("tu_id")).join(ta, F.col("tu_uid") == F.col("ua_id"))
          .join(c, F.col("s_cid") == c.center_id).join(a, b.id == a.a_bid, "left"))
     return j.select(F.col("id").alias("booking_id"), "student_id", F.col("status").alias("booking_status"), "qr_code",
                     "amount_paid", "booked_at", F.col("session_id"), "subject", "grade_level", "session_title",

@@ -99,22 +99,26 @@ def room_info(t, *, room=None) -> DataFrame:
 
 
 def content_access_requests(t) -> DataFrame:
-    """Requests (content_id, student_id) of the registered instance, one per item and asker:
-    the room's first member (any state), its first active paid member, and an outsider.
-    Askers per room come from min() aggregates, so requests grow with the items only."""
+    """Requests (content_id, student_id) of the registered instance: every membership, in any state, asks
+    for one item of its room (chosen by its id; an unknown item if the room has none), and every
+    item is asked for by one other student. Requests grow with the members and the items."""
     nc = t.n_customer
-    rm = t["room_members"]
-    first = rm.groupBy(F.col("room_id").alias("a_room")).agg(F.min("student_id").alias("student_id"))
-    paid = (rm.filter(F.col("is_active") & (F.col("access_tier") == "paid"))
-            .groupBy(F.col("room_id").alias("a_room")).agg(F.min("student_id").alias("student_id")))
     ci = t["content_items"].select(F.col("id").alias("content_id"), "room_id")
-    ask = lambda who: ci.join(who, ci.room_id == who.a_room).select("content_id", "student_id")
+    # the items of room r are r, r + nc, r + 2 nc, ... in the derived tables
+    per_room = ci.groupBy(F.col("room_id").alias("a_room")).agg(F.count(F.lit(1)).alias("_n"))
+    rm = t["room_members"].join(per_room, F.col("room_id") == F.col("a_room"), "left")
+    item = F.when(F.col("_n").isNull(), F.col("room_id") + UNKNOWN_CONTENT).otherwise(
+        F.col("room_id") + F.col("student_id") % F.col("_n") * nc)
+    members = rm.select(item.alias("content_id"), "student_id")
     outsider = ci.select("content_id", ((F.col("content_id") * 31 + 7) % nc).alias("student_id"))
-    return ask(first).unionByName(ask(paid)).unionByName(outsider)
+    return members.unionByName(outsider)
+
+
+UNKNOWN_CONTENT = 1_000_000_000_000
 
 
 def content_access_decision(t, *, requests: DataFrame | None = None) -> DataFrame:
-    """Q-28: per (content, student) request: NOT_A_MEMBER -> UPGRADE_REQUIRED -> NO_URL -> OK.
+    """Q-28: per (content, student) request: NOT_FOUND -> NOT_A_MEMBER -> UPGRADE_REQUIRED -> NO_URL -> OK.
 
     The URL is the master copy's when the item has one, else its own; its class follows FN-23.
     """
@@ -125,11 +129,12 @@ def content_access_decision(t, *, requests: DataFrame | None = None) -> DataFram
     rm = t["room_members"].filter(F.col("is_active")).select(F.col("room_id").alias("m_room"),
                                                               F.col("student_id").alias("m_student"),
                                                               "access_tier", F.col("is_active").alias("member_active"))
-    j = (req.join(ci, req.content_id == ci.ci_id)
+    j = (req.join(ci, req.content_id == ci.ci_id, "left")
          .join(tc, F.col("teacher_content_id") == tc.tc_id, "left")
          .join(rm, (F.col("room_id") == rm.m_room) & (F.col("student_id") == rm.m_student), "left"))
     url = F.coalesce(F.col("master_url"), F.col("own_url"))
     decision = first_failure([
+        ("NOT_FOUND", F.col("ci_id").isNull()),
         ("NOT_A_MEMBER", F.col("member_active").isNull() | ~F.col("member_active")),
         ("UPGRADE_REQUIRED", ~F.coalesce(F.col("is_free"), F.lit(False))
          & (F.coalesce(F.col("access_tier"), F.lit("")) != "paid")),

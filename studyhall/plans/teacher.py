@@ -89,15 +89,15 @@ def teacher_sessions(t, *, teacher=None, status=None, center=None, frm=None, to=
     """Q-33: each teacher's page of sessions (newest first) with virtual status and booking counts."""
     s = _teacher_session_rows(t, teacher, status, center, frm, to, as_of)
     c = t["centers"].select(F.col("id").alias("c_id"), F.col("name").alias("center_name"))
+    # the page first: names and counts are looked up for its rows only
+    page_ = top_k_per_group(s, ["teacher_id"], [F.col("scheduled_at").desc_nulls_first(), F.col("id")], offset + limit)
+    page_ = page_.filter(F.col("position") > offset)
     bc = _session_booking_counts(t)
-    j = s.join(c, s.center_id == c.c_id).join(bc, s.id == bc.bc_sid, "left")
-    rows = j.select("id", "teacher_id", "subject", "grade_level", "title", "scheduled_at", "duration_min", "capacity",
+    j = page_.join(c, page_.center_id == c.c_id).join(bc, page_.id == bc.bc_sid, "left")
+    return j.select("id", "teacher_id", "subject", "grade_level", "title", "scheduled_at", "duration_min", "capacity",
                     "seats_booked", "price", teacher_list_status(as_of).alias("status"), "center_id", "center_name",
                     *[F.coalesce(F.col(k), F.lit(0)).alias(k) for k in
-                      ("total_bookings", "confirmed_bookings", "total_attended")])
-    ranked = top_k_per_group(rows, ["teacher_id"], [F.col("scheduled_at").desc_nulls_first(), F.col("id")],
-                             offset + limit)
-    return ranked.filter(F.col("position") > offset)
+                      ("total_bookings", "confirmed_bookings", "total_attended")], "position")
 
 
 def teacher_sessions_count(t, *, teacher=None, status=None, center=None, frm=None, to=None,
@@ -110,6 +110,9 @@ def teacher_sessions_count(t, *, teacher=None, status=None, center=None, frm=Non
 def teacher_reviews(t, *, teacher=None, limit=PAGE_DISCOVERY, offset=0) -> DataFrame:
     """Q-34: visible reviews with student, session subject and centre; a page per teacher, newest first."""
     r = optional_filters(t["reviews"], {"teacher_id": teacher}, [F.col("is_visible")])
+    # the page first: its rows alone are joined
+    r = top_k_per_group(r, ["teacher_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], offset + limit)
+    r = r.filter(F.col("position") > offset)
     u = t["users"].select(F.col("id").alias("u_id"), F.col("name").alias("student_name"),
                           F.col("avatar_url").alias("student_avatar"))
     b = t["bookings"].select(F.col("id").alias("b_id"), F.col("session_id").alias("b_sid"))
@@ -117,11 +120,8 @@ def teacher_reviews(t, *, teacher=None, limit=PAGE_DISCOVERY, offset=0) -> DataF
     c = t["centers"].select(F.col("id").alias("c_id"), F.col("name").alias("center_name"))
     j = (r.join(u, r.student_id == u.u_id).join(b, r.booking_id == b.b_id).join(s, F.col("b_sid") == s.s_id)
          .join(c, F.col("s_cid") == c.c_id))
-    rows = j.select("teacher_id", "id", "rating", "comment", "created_at", "student_name", "student_avatar", "subject",
-                    "grade_level", "center_name")
-    ranked = top_k_per_group(rows, ["teacher_id"], [F.col("created_at").desc_nulls_first(), F.col("id")],
-                             offset + limit)
-    return ranked.filter(F.col("position") > offset)
+    return j.select("teacher_id", "id", "rating", "comment", "created_at", "student_name", "student_avatar", "subject",
+                    "grade_level", "center_name", "position")
 
 
 def teacher_reviews_count(t, *, teacher=None) -> DataFrame:
