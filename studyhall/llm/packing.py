@@ -25,7 +25,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +40,8 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 4
 FILLED = 0.98
-WORDS_KEPT = 1_100_000
+WORDS_KEPT = 700_000      # entries of the word table inside a task
+WORDS_HANDED_ON = 250_000  # of them, what a worker keeps for its next task
 RUN_CHARS = 1 << 20
 
 # Printable ASCII and Latin letters: stable under NFC, lower-cased alike everywhere (but for U+0130).
@@ -98,8 +99,8 @@ class WordEncoder:
         unknown = list({p for parts in cut.values() for p in parts if p not in of})
         if unknown:
             if len(of) + len(unknown) > self.kept:
-                of.clear()
-                unknown = list({p for parts in cut.values() for p in parts})
+                of = self.pieces = dict(islice(of.items(), self.kept // 2))
+                unknown = list({p for parts in cut.values() for p in parts if p not in of})
             ids = self.merges.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
             raw, last, run, done = self.raw, self.last, b"", []
             for i in ids:
@@ -120,13 +121,18 @@ class WordEncoder:
             new.update(filterfalse(known.__contains__, parts))
         if new:
             if len(known) + len(new) > self.kept:
-                known.clear()
-                known[""] = b""
-                new = {w for parts in split for w in parts if w}
+                # the words met first are mostly the common ones: they stay
+                known = self.words = dict(islice(known.items(), self.kept // 2))
+                new = {w for parts in split for w in parts if w not in known}
             self._learn(list(new))
         of = known.__getitem__
         return [b"".join(map(of, parts)) for parts in split]
 
+    def trim(self, kept: int) -> None:
+        """Free all but the entries learned first, mostly the common words and pieces."""
+        self.words = dict(islice(self.words.items(), kept))
+        self.pieces = dict(islice(self.pieces.items(), kept))
+
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
 
@@ -165,6 +171,7 @@ def tokenize(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: in
                         part = ids[at:at + 4 * capacity]
                         out.append((id_, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
+        encode.trim(WORDS_HANDED_ON)
     return docs.select("id", "text").mapInPandas(
         run, "id long, piece int, start long, length long, ids_crc32 long")
 
