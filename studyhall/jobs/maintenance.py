@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyhall.constants import (
-    ACCESS_TIERS, BOOKING_STATUSES, CONTENT_TYPES, ROLES, SESSION_AS_OF, SESSION_STATUSES, TX_STATUSES, TX_TYPES,
-)
+from studyhall.constants import SESSION_AS_OF
+from studyhall.jobs import rules
 from studyhall.operators.topn import earliest_ok
 from studyhall.functions.exprs import avg_1dp, first_failure, ts_lit
+from studyhall.session import cut_lineage
 
 # Output of the constraint job: one row per violation.
 VIOLATION_COLS = ["table_name", "rule", "row_key", "detail"]
@@ -27,15 +27,15 @@ def _out(df: DataFrame, table, rule, key, detail) -> DataFrame:
                      rule.alias("rule"), key.cast("string").alias("row_key"), detail.cast("string").alias("detail"))
 
 
-def _row_rules(t, table: str, rules: list[tuple[str, object, object]], key: str = "id") -> DataFrame:
+def _row_rules(t, table: str, checks: list[tuple[str, object, object]]) -> DataFrame:
     """All row-level rules of one table in one scan: rows that break any rule are exploded into
     one violation per broken rule (CHECK, enum, NOT NULL)."""
     df = t[table]
-    conds = [F.coalesce(c, F.lit(False)) for _, c, _ in rules]
+    conds = [F.coalesce(c, F.lit(False)) for _, c, _ in checks]
     hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"),
                                                   (F.lit(None) if d is None else F.col(d)).cast("string").alias("d")))
-                              for (r, _, d), c in zip(rules, conds)]), lambda x: x.isNotNull())
-    bad = df.filter(reduce(lambda a, b: a | b, conds)).select(F.col(key).alias("_k"), F.explode(hits).alias("_v"))
+                              for (r, _, d), c in zip(checks, conds)]), lambda x: x.isNotNull())
+    bad = df.filter(reduce(lambda a, b: a | b, conds)).select(_row_key(table).alias("_k"), F.explode(hits).alias("_v"))
     return _out(bad, table, F.col("_v.rule"), F.col("_k"), F.col("_v.d"))
 
 
@@ -48,15 +48,15 @@ def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
        exact key text and are counted again, so a hash collision between different keys never
        reports a duplicate.
     """
-    rules = [(table, cols) for table, keys in spec.items() for cols in keys]
+    pairs = [(table, cols) for table, keys in spec.items() for cols in keys if set(cols) <= set(t[table].columns)]
     hashed, exact = [], []
-    for i, (table, cols) in enumerate(rules):
+    for i, (table, cols) in enumerate(pairs):
         nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
         rows = t[table].filter(nn)
         hashed.append(rows.select(F.lit(i).alias("_r"), F.xxhash64(*[F.col(c) for c in cols]).alias("_h")))
         exact.append((i, table, cols, rows))
-    cand = (reduce(lambda a, b: a.unionByName(b), hashed).groupBy("_r", "_h").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1).select("_r", "_h")).cache()
+    cand = cut_lineage(reduce(lambda a, b: a.unionByName(b), hashed).groupBy("_r", "_h").agg(F.count(F.lit(1)).alias("_n"))
+                       .filter(F.col("_n") > 1).select("_r", "_h"))
     # which rules have candidates at all (at most one small int per rule reaches the driver):
     # tables without any are not read a second time
     with_cand = {r._r for r in cand.select("_r").distinct().collect()}
@@ -75,18 +75,34 @@ def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
     return _out(dup, F.col("_table"), F.col("rule"), F.col("k"), F.col("n"))
 
 
-def _foreign_keys(t, spec: dict[str, list[tuple[str, str]]], key: str = "id") -> DataFrame:
-    """All foreign keys in one anti join: every reference (child table, rule, row key, parent
-    table, value) against the union of the parents' ids tagged with the parent's name."""
+def _row_key(table: str):
+    cols = rules.ROW_KEYS.get(table)
+    return F.col("id").cast("string") if cols is None else F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+
+
+def _foreign_keys(t, spec: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """All foreign keys: the distinct references of each (child, column) first, one anti join of those
+    against the parents' ids, and only the few missing values are looked up in the child rows again."""
+    pairs = [(parent, child, col) for parent, children in spec.items() for child, col in children
+             if col in t[child].columns]
     refs = reduce(lambda a, b: a.unionByName(b), [
         t[child].filter(F.col(col).isNotNull()).select(
             F.lit(child).alias("_table"), F.lit(f"fk({col}->{parent}.id)").alias("_rule"),
-            F.col(key).cast("string").alias("_k"), F.lit(parent).alias("_parent"), F.col(col).alias("_ref"))
-        for parent, children in spec.items() for child, col in children])
+            F.lit(parent).alias("_parent"), F.col(col).alias("_ref")) for parent, child, col in pairs]).distinct()
     ids = reduce(lambda a, b: a.unionByName(b), [
         t[parent].select(F.lit(parent).alias("_p"), F.col("id").alias("_pk")) for parent in spec])
-    miss = refs.join(ids, (refs._parent == ids._p) & (refs._ref == ids._pk), "left_anti")
-    return _out(miss, F.col("_table"), F.col("_rule"), F.col("_k"), F.col("_ref"))
+    miss = cut_lineage(refs.join(ids, (refs._parent == ids._p) & (refs._ref == ids._pk), "left_anti"))
+    # which rules have misses at all (one short row per rule reaches the driver): the others read nothing more
+    broken = {(r._table, r._rule) for r in miss.select("_table", "_rule").distinct().collect()}
+    out = _out(miss.limit(0), F.col("_table"), F.col("_rule"), F.col("_ref"), F.col("_ref"))
+    for parent, child, col in pairs:
+        rule = f"fk({col}->{parent}.id)"
+        if (child, rule) not in broken:
+            continue
+        bad = miss.filter((F.col("_table") == child) & (F.col("_rule") == rule)).select(F.col("_ref"))
+        rows = t[child].withColumn("_k", _row_key(child)).join(bad, F.col(col) == F.col("_ref"))
+        out = out.unionByName(_out(rows, child, F.lit(rule), F.col("_k"), F.col("_ref")))
+    return out
 
 
 def _uuid_rules(t) -> list[DataFrame]:
@@ -103,50 +119,30 @@ def _uuid_rules(t) -> list[DataFrame]:
 
 
 def check_constraints(t) -> DataFrame:
-    """JOB-17: one row per violated declared rule (CHECK, enum, NOT NULL, UNIQUE, FK).
-
-    Row rules: one scan per table; all UNIQUE rules: one aggregation; all foreign keys: one
-    anti join. The shuffled volume is what separate checks would move, in two exchanges.
+    """JOB-17: one row per violated declared rule (CHECK, enum, NOT NULL, length, UNIQUE, FK) of
+    ``jobs.rules``. Row rules: one scan per table; all UNIQUE rules: one aggregation; all foreign keys:
+    one anti join of distinct references.
     """
     c = F.col
-
-    def enum(col, allowed):
-        return (f"enum({col})", c(col).isNotNull() & ~c(col).isin(*allowed), col)
-
-    def nn(col):
-        return (f"not_null({col})", c(col).isNull(), None)
-
-    parts = [
-        *_uuid_rules(t),
-        _row_rules(t, "sessions", [
-            ("check(seats_booked<=capacity)", c("seats_booked") > c("capacity"), None),
-            ("check(capacity>0)", c("capacity") <= 0, None),
-            ("check(duration_min>0)", c("duration_min") <= 0, None),
-            ("check(price>=0)", c("price") < 0, None),
-            enum("status", SESSION_STATUSES), nn("scheduled_at")]),
-        _row_rules(t, "reviews", [("check(rating between 1 and 5)", ~c("rating").between(1, 5), None)]),
-        _row_rules(t, "wallet_transactions", [("check(amount>0)", c("amount") <= 0, None), enum("type", TX_TYPES),
-                                              enum("status", TX_STATUSES)]),
-        _row_rules(t, "teacher_content", [("check(length(title)<=255)", F.length("title") > 255, None),
-                                          enum("type", CONTENT_TYPES)]),
-        _row_rules(t, "users", [enum("role", ROLES), nn("name"), nn("email")]),
-        _row_rules(t, "bookings", [enum("status", BOOKING_STATUSES), nn("qr_code")]),
-        _row_rules(t, "room_members", [enum("access_tier", ACCESS_TIERS)]),
-        _row_rules(t, "content_items", [enum("type", CONTENT_TYPES)]),
-        _unique_rules(t, {
-            "users": [["email"], ["phone"]], "teachers": [["user_id"]],
-            "center_teachers": [["center_id", "teacher_id"]], "bookings": [["qr_code"], ["session_id", "student_id"]],
-            "attendances": [["booking_id"]], "rooms": [["access_code"]], "room_members": [["room_id", "student_id"]],
-            "reviews": [["booking_id"]]}),
-        _foreign_keys(t, {
-            "users": [("centers", "owner_id"), ("teachers", "user_id"), ("bookings", "student_id"),
-                      ("room_members", "student_id"), ("wallet_transactions", "user_id")],
-            "centers": [("sessions", "center_id"), ("rooms", "center_id")],
-            "teachers": [("sessions", "teacher_id"), ("rooms", "teacher_id")],
-            "sessions": [("bookings", "session_id")],
-            "bookings": [("attendances", "booking_id"), ("reviews", "booking_id")],
-            "rooms": [("room_members", "room_id"), ("content_items", "room_id")]}),
-    ]
+    checks = {
+        "sessions": [("check(seats_booked<=capacity)", c("seats_booked") > c("capacity"), None),
+                     ("check(capacity>0)", c("capacity") <= 0, None), ("check(duration_min>0)", c("duration_min") <= 0, None),
+                     ("check(price>=0)", c("price") < 0, None)],
+        "reviews": [("check(rating between 1 and 5)", ~c("rating").between(1, 5), None)],
+        "wallet_transactions": [("check(amount>0)", c("amount") <= 0, None)],
+    }
+    parts = [*_uuid_rules(t)]
+    for table in sorted({*checks, *rules.NOT_NULL, *rules.MAX_LENGTH, *rules.ENUMS}):
+        has = set(t[table].columns)
+        own = checks.get(table, [])
+        own += [(f"enum({col})", c(col).isNotNull() & ~c(col).isin(*allowed), col)
+                for col, allowed in rules.ENUMS.get(table, {}).items() if col in has]
+        own += [(f"not_null({col})", c(col).isNull(), None) for col in rules.NOT_NULL.get(table, []) if col in has]
+        own += [(f"check(length({col})<={n})", F.length(col) > n, None)
+                for col, n in rules.MAX_LENGTH.get(table, {}).items() if col in has]
+        parts.append(_row_rules(t, table, own))
+    parts.append(_unique_rules(t, rules.UNIQUE))
+    parts.append(_foreign_keys(t, rules.FOREIGN_KEYS))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from studyhall.constants import SESSION_AS_OF
+from studyhall.jobs import rules
 from studyhall.oracle.sql_admin import signed_sql
 
 AS_OF = f"TIMESTAMP '{SESSION_AS_OF}'"
@@ -280,10 +281,6 @@ SQL.update({
 
 
 def _check_constraints_sql() -> str:
-    from studyhall.constants import (
-        ACCESS_TIERS, BOOKING_STATUSES, CONTENT_TYPES, ROLES, SESSION_STATUSES, TX_STATUSES, TX_TYPES,
-    )
-
     def q(vals):
         return ", ".join(f"'{v}'" for v in vals)
 
@@ -298,35 +295,31 @@ def _check_constraints_sql() -> str:
         row("sessions", "check(price>=0)", "id", "NULL", "sessions", "price < 0"),
         row("reviews", "check(rating between 1 and 5)", "id", "NULL", "reviews", "NOT (rating BETWEEN 1 AND 5)"),
         row("wallet_transactions", "check(amount>0)", "id", "NULL", "wallet_transactions", "amount <= 0"),
-        row("teacher_content", "check(length(title)<=255)", "id", "NULL", "teacher_content", "length(title) > 255"),
     ]
-    for table, col, vals in [("users", "role", ROLES), ("sessions", "status", SESSION_STATUSES),
-                             ("bookings", "status", BOOKING_STATUSES), ("wallet_transactions", "type", TX_TYPES),
-                             ("wallet_transactions", "status", TX_STATUSES), ("room_members", "access_tier", ACCESS_TIERS),
-                             ("content_items", "type", CONTENT_TYPES), ("teacher_content", "type", CONTENT_TYPES)]:
-        p.append(row(table, f"enum({col})", "id", col, table, f"{col} IS NOT NULL AND {col} NOT IN ({q(vals)})"))
-    for table, col in [("users", "name"), ("users", "email"), ("sessions", "scheduled_at"), ("bookings", "qr_code")]:
-        p.append(row(table, f"not_null({col})", "id", "NULL", table, f"{col} IS NULL"))
-    for table, cols in [("users", ["email"]), ("users", ["phone"]), ("teachers", ["user_id"]),
-                        ("center_teachers", ["center_id", "teacher_id"]), ("bookings", ["qr_code"]),
-                        ("bookings", ["session_id", "student_id"]), ("attendances", ["booking_id"]),
-                        ("rooms", ["access_code"]), ("room_members", ["room_id", "student_id"]),
-                        ("reviews", ["booking_id"])]:
-        cl = ", ".join(cols)
-        key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
-        nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
-        frm = f"(SELECT {cl}, count(*) AS n FROM {table} WHERE {nn} GROUP BY {cl} HAVING count(*) > 1) d"
-        p.append(row(table, f"unique({','.join(cols)})", key, "n", frm, "TRUE"))
-    for table, col, parent in [("centers", "owner_id", "users"), ("teachers", "user_id", "users"),
-                               ("sessions", "center_id", "centers"), ("sessions", "teacher_id", "teachers"),
-                               ("bookings", "session_id", "sessions"), ("bookings", "student_id", "users"),
-                               ("attendances", "booking_id", "bookings"), ("rooms", "center_id", "centers"),
-                               ("rooms", "teacher_id", "teachers"), ("room_members", "room_id", "rooms"),
-                               ("room_members", "student_id", "users"), ("content_items", "room_id", "rooms"),
-                               ("reviews", "booking_id", "bookings"), ("wallet_transactions", "user_id", "users")]:
-        p.append(row(table, f"fk({col}->{parent}.id)", "c.id", f"c.{col}", f"{table} c",
-                     f"c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} x WHERE x.id = c.{col})"))
-    return "\nUNION ALL\n".join(p)
+    def named(table, prefix=""):
+        cols = rules.ROW_KEYS.get(table)
+        return f"{prefix}id" if cols is None else "concat_ws('|', " + ", ".join(f"{prefix}{c}" for c in cols) + ")"
+
+    for table, enums in rules.ENUMS.items():
+        p += [row(table, f"enum({col})", named(table), col, table, f"{col} NOT IN ({q(vals)})") for col, vals in enums.items()]
+    for table, cols in rules.NOT_NULL.items():
+        p += [row(table, f"not_null({col})", named(table), "NULL", table, f"{col} IS NULL") for col in cols]
+    for table, lengths in rules.MAX_LENGTH.items():
+        p += [row(table, f"check(length({col})<={n})", named(table), "NULL", table, f"length({col}) > {n}")
+              for col, n in lengths.items()]
+    for table, keys in rules.UNIQUE.items():
+        for cols in keys:
+            cl = ", ".join(cols)
+            key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+            nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            frm = f"(SELECT {cl}, count(*) AS n FROM {table} WHERE {nn} GROUP BY {cl} HAVING count(*) > 1) d"
+            p.append(row(table, f"unique({','.join(cols)})", key, "n", frm, "TRUE"))
+    for parent, children in rules.FOREIGN_KEYS.items():
+        p += [row(table, f"fk({col}->{parent}.id)", named(table, "c."), f"c.{col}", f"{table} c",
+                  f"c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} x WHERE x.id = c.{col})")
+              for table, col in children]
+    # notifications is empty in the derived tables and has no SQL form
+    return "\nUNION ALL\n".join(x for x in p if not x.startswith("SELECT 'notifications'"))
 
 
 SQL["check_constraints"] = _check_constraints_sql()

@@ -327,8 +327,13 @@ def test_check_constraints_finds_every_kind(spark, frames):
     t["reviews"] = mk([(100, 9, 40), (101, 3, 40)], "id long, rating int, booking_id long")
     t["wallet_transactions"] = mk([(110, 1, Decimal("0"), "deposit", "completed"), (111, 5, Decimal("3"), "gift", "done")],
                                   "id long, user_id long, amount decimal(10,2), type string, status string")
+    t["notifications"] = mk([(120, 99, "poke", None, "m")], "id long, user_id long, type string, title string, message string")
+    t["audit_logs"] = mk([(130, 98, "x" * 101, None)], "id long, admin_id long, action string, entity_type string")
     got = {(r.table_name, r.rule, r.row_key) for r in maintenance.check_constraints(t).collect()}
     want = {
+        ("notifications", "enum(type)", "120"), ("notifications", "not_null(title)", "120"),
+        ("notifications", "fk(user_id->users.id)", "120"), ("audit_logs", "check(length(action)<=100)", "130"),
+        ("audit_logs", "not_null(entity_type)", "130"), ("audit_logs", "fk(admin_id->users.id)", "130"),
         ("sessions", "check(seats_booked<=capacity)", "30"), ("sessions", "check(capacity>0)", "31"),
         ("sessions", "check(duration_min>0)", "31"), ("sessions", "check(price>=0)", "31"),
         ("sessions", "enum(status)", "31"), ("sessions", "not_null(scheduled_at)", "31"),
