@@ -22,6 +22,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps between tasks of the operator ``owner``; a task of another operator in the
+    same worker frees it, so that the stages of a pipeline do not add up in a worker's memory."""
+    if _kept.get("owner") != owner:
+        _kept.clear()
+        _kept.update(owner=owner, state={})
+    return _kept["state"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyhall.llm.common import written
+from studyhall.llm.common import worker_state, written
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -46,7 +46,6 @@ RUN_CHARS = 1 << 20
 
 # Printable ASCII and Latin letters: stable under NFC, lower-cased alike everywhere (but for U+0130).
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch
-_state: dict = {}
 
 
 class WordEncoder:
@@ -138,9 +137,10 @@ class WordEncoder:
 
 
 def _encoder(path: str, kept: int) -> WordEncoder:
-    if path not in _state:
-        _state[path] = WordEncoder(path, kept)
-    return _state[path]
+    state = worker_state("packing")
+    if path not in state:
+        state[path] = WordEncoder(path, kept)
+    return state[path]
 
 
 def _runs(ids, texts) -> Iterator[list[tuple]]:

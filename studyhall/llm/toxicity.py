@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyhall.llm.common import worker_state
 from studyhall.llm.hashing import U64, batches, combine, mix, word_hashes
 
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -135,6 +136,7 @@ def score(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_state("toxicity")
         w = sent.value
         for f in frames:
             texts = (t.encode() if t else b"" for t in f["text"])
@@ -150,6 +152,7 @@ def clean_rows(docs: DataFrame, text_col: str, weights: np.ndarray, p: Params =
     at = docs.columns.index(text_col)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         w = sent.value
         for b in tables:
             texts = (t.encode() if t else b"" for t in b.column(at).to_pylist())
