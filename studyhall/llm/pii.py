@@ -346,9 +346,9 @@ def labelled_regions(docs: DataFrame, bound: int = SAMPLE) -> list[tuple[str, li
 
 
 def all_spans(text: str, model: SemiCrf) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, spans the model adds)."""
-    if not text or not _TRIGGER.search(text):
-        return base_spans(text) if text and "@" in text else [], []
+    """(base spans, spans the model adds). The patterns read every text; only decoding needs a trigger."""
+    if not text:
+        return [], []
     base = base_spans(text)
     blocked = sorted((a, b) for _, a, b in base)
     added = []

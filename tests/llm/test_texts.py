@@ -191,6 +191,20 @@ def test_pii_model_adds_and_redacts(spark):
     assert pii.find(docs.limit(0), model).count() == 0
 
 
+def test_pii_patterns_read_texts_without_a_trigger(spark):
+    card, phone = " ".join("4111111111111111"), "+1 2 3 4 5 6 7 8"
+    texts = {1: "8.8.8.8", 2: "dns 1.1.1.1 or 8.8.8.8", 3: phone, 4: f"card {card}.", 5: "1 2 3", 6: "no digits", 7: None}
+    want = {1: [("ip", 0, 7)], 2: [("ip", 4, 11), ("ip", 15, 22)], 3: [("phone", 0, 16)], 4: [("card", 5, 36)],
+            5: [], 6: [], 7: []}
+    docs = frame(spark, list(texts.items()), "id long, text string")
+    for model in (pii.SemiCrf(), pii.fit(pii.examples())):
+        got = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]]
+               for r in pii.find(docs, model).collect()}
+        assert got == want
+        out = {r["id"]: r["text"] for r in pii.redact_column(docs, "text", None, model).collect()}
+        assert out == {1: "[IP]", 2: "dns [IP] or [IP]", 3: "[PHONE]", 4: "card [CARD].", 5: "1 2 3", 6: "no digits", 7: None}
+
+
 def brute_sketch(spark, text, width, scale):
     words = [w for w in re.split("[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
     grams = [words[i:i + width] for i in range(len(words) - width + 1)] or ([words] if words else [])
