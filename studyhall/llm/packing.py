@@ -6,8 +6,9 @@ their row and lets several islands evolve a packing of each shard in tasks of th
 chromosome is a list of bins (groups of pieces). Crossover injects the best-filled bins of one
 parent into the other, removes the bins there that now hold duplicates and best-fits the displaced
 pieces by length; mutation dissolves the emptiest bins. Between epochs each island's elite migrates
-to the next island of the ring. Bins of the winning elite that are filled well are final; the
-pieces of the others go on to the next level, dealt over fewer shards, until one shard is left.
+to the next island of the ring. Bins of the winning elite that are filled well are final, and where
+those hold less than half of a level's pieces, the next best filled ones up to half; the pieces of
+the others go on to the next level. So each level deals over fewer shards, until one shard is left.
 No task ever holds more than about ``shard_rows`` pieces per island, whatever the table's size.
 
 Tokenizing a word depends on the word alone (the pre-tokenizer never joins across white space), so a
@@ -325,6 +326,17 @@ def _level(items: DataFrame, shards: int, capacity: int, islands: int, epochs: i
     return found.join(best, ["shard", "island"]).select("rid", "length", "shard", "bin")
 
 
+def _least_fill(fill: DataFrame, pieces: int, capacity: int) -> float:
+    """The filling from which bins of a level are final: ``FILLED``, or less if those bins hold less than half
+    of the level's pieces. Without it a table of texts that fill no sequence together would never end."""
+    held = 0
+    for row in sorted(fill.groupBy("fill").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        held += row["n"]
+        if 2 * held >= pieces:
+            return min(FILLED * capacity, row["fill"])
+    return 0
+
+
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, islands: int = ISLANDS,
          epochs: int = EPOCHS) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to capacity) plus sequence_id and offset (gapless from 0).
@@ -343,11 +355,11 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_rows: int = SHARD
         shards = -(-n // shard_rows)
         level += 1
         found = written(_level(left, shards, capacity, islands, epochs, level), "packed")
-        fill = found.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
+        fill = found.groupBy("shard", "bin").agg(F.sum("length").alias("fill"), F.count("*").alias("n"))
         if shards == 1:
             done = found
         else:
-            good = fill.filter(F.col("fill") >= FILLED * capacity).select("shard", "bin")
+            good = fill.filter(F.col("fill") >= _least_fill(fill, n, capacity)).select("shard", "bin")
             done = found.join(good, ["shard", "bin"], "left_semi")
             left = written(found.join(good, ["shard", "bin"], "left_anti").select("rid", "length"), "left")
         number = (F.lit(level) * (1 << 52)) + F.col("shard") * (1 << 20) + F.col("bin")

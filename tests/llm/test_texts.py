@@ -316,6 +316,25 @@ def test_packing_is_whole_gapless_and_near_the_bound(spark):
     assert packing.pack(packing.tokenize(docs.limit(0), path)).count() == 0
 
 
+def test_packing_ends_on_equal_pieces_that_fill_no_sequence(spark, monkeypatch):
+    level, shards_of = packing._level, []
+
+    def watched(items, shards, *rest):
+        shards_of.append(shards)
+        assert len(shards_of) < 2 or shards < shards_of[-2], shards_of
+        return level(items, shards, *rest)
+    monkeypatch.setattr(packing, "_level", watched)
+    equal = F.when(F.col("id") < 40, 900).otherwise(1100)
+    for length, sequences in ((equal, 2960), (1100 + F.col("id") % 700, 3000)):
+        shards_of.clear()
+        pieces = spark.range(3000).select("id", length.cast("long").alias("length"))
+        out = packing.pack(pieces, shard_rows=400).toPandas()
+        assert shards_of[0] == 8 and sorted(out["id"]) == list(range(3000))
+        fill = out.groupby("sequence_id")["length"].sum()
+        assert fill.max() <= 2048 and len(fill) == sequences
+    assert shards_of == [8, 4, 2, 1]
+
+
 def test_genetic_operators_keep_every_piece():
     rng = random.Random(12)
     sizes = [rng.randint(1, 100) for _ in range(300)]
