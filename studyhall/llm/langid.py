@@ -36,7 +36,6 @@ from studyhall.llm.hashing import U64, batches, mix
 BITS = 14
 TEMPER = 8.0
 STRENGTH = 5.0
-LANGUAGES = 256  # bound of the language table; the world's written ones with much text are fewer
 
 _HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 _TAG = re.compile(r"<[^<>]*>")
@@ -66,8 +65,8 @@ def _ranges(at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def trigram_counts(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from all rows of (text, lang); bounded by the number of
-    languages times 2**BITS."""
+    """(languages, log P(trigram | language)) from all rows of (text, lang): every label value has a row of
+    2**BITS numbers, so the table grows with the number of label values."""
     known = labelled.filter("lang is not null and lang <> ''").select(F.lower("lang").alias("lang"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,12 +85,11 @@ def trigram_counts(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     rows = (known.mapInPandas(run, "lang string, slot int, n long").groupBy("lang", "slot")
             .agg(F.sum("n").alias("n")).toPandas())
-    langs = sorted(set(rows["lang"]))[:LANGUAGES]
+    code, langs = pd.factorize(rows["lang"], sort=True)
+    langs = langs.tolist()
     table = np.zeros((len(langs), 1 << BITS))
-    for i, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        table[i, own["slot"].to_numpy(dtype=np.int64)] = own["n"].to_numpy()
-    table = table + 0.5
+    table[code, rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+    table += 0.5
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if len(langs) else table
 
 

@@ -130,6 +130,22 @@ def test_language_evidence(spark):
     assert {r["lang"] for r in langid.identify(pages, labelled.limit(0)).collect()} == {None}
 
 
+def test_every_label_value_can_be_predicted(spark):
+    rng = random.Random(9)
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    labelled = [(words("abcdefgh", 3), f"a{i:03d}") for i in range(300)]
+    labelled += [(words("xyzwv", 60), "vi") for _ in range(5)] + [(words("klmno", 60), "zh") for _ in range(5)]
+    langs, table = langid.trigram_counts(spark.createDataFrame(labelled, "text string, lang string"))
+    assert langs == sorted({x for _, x in labelled}) and table.shape == (302, 1 << langid.BITS)
+    rows = [(i, f"http://h{i % 2}.example.com/", page(words("xyzwv" if i % 2 else "klmno", 40))) for i in range(20)]
+    found = langid.identify(spark.createDataFrame(rows, "id long, url string, html string"),
+                            spark.createDataFrame(labelled, "text string, lang string")).collect()
+    assert len(found) == 20
+    assert all(r["lang"] == r["text_lang"] == ("vi" if r["id"] % 2 else "zh") for r in found)
+
+
 def test_trigram_model_equals_a_loop():
     texts = ["Ab, cd", "", "x", "éa b1b"]
     slots, at = langid._trigrams([t.encode() for t in texts])
