@@ -11,7 +11,9 @@ written as Parquet and read back. All but the last return the columns of documen
 
 Defined results: empty tables pass through all stages; null texts are empty texts (toxicity keeps
 them, all of them are one exact-copy class only if they have words, which they have not, so all stay);
-rows with a null id cannot be told apart by the near-dedup and stay; further columns of documents stay
+the near-dedup compares rows, not ids: of rows repeated under one id, or without id, one of each class
+stays (the smallest id, one with an id before one without), and rows of one id with different texts are
+different documents; further columns of documents stay
 with their rows, whatever their names.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyhall.llm import mixing, neardup, packing, pii, toxicity
-from studyhall.llm.common import id_text, table
+from studyhall.llm.common import id_text, table, written
 from studyhall.llm.queries import MIX_POWERS, tokenizer_path
 from studyhall.session import ensure_checkpoint_dir
 
@@ -39,13 +41,6 @@ def _unboxed(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (id, unique), and rows without id."""
-    ids = ids.select("id", F.lit(True).alias("kept"))
-    rows = _boxed(docs).join(ids, F.col("row.doc_id").cast("long") == F.col("id"), "left")
-    return _unboxed(rows.filter("kept or row.doc_id is null"), docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic; labels of held-out rows are not learned from."""
     texts = id_text(docs)
@@ -56,9 +51,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: shingles of five words, similarity of at least 0.8."""
-    found = neardup.near_duplicates(id_text(docs), width=5, similarity=0.8)
-    first = found.filter("id = component").select("id").distinct()
-    return _kept(docs, first)
+    keyed = written(_boxed(docs).withColumn("key", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(keyed.select(F.col("key").alias("id"), F.col("row.text").cast("string").alias("text")),
+                                    width=5, similarity=0.8)
+    named = found.select(F.col("id").alias("key"), "component").join(keyed.select("key", "row.doc_id"), "key")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    rows = keyed.join(first.select(F.col("first.key").alias("key")), "key", "left_semi")
+    return _unboxed(rows, docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

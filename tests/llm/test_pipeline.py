@@ -51,6 +51,14 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, empty, SF).count() == 0, name
 
 
+def test_near_dedup_keeps_one_row_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (3, b), (None, c), (None, c), (None, a), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(5, a), (3, b), (0, c), (8, ""), (8, "")])
+
+
 def test_pipeline_on_the_small_table(spark):
     out = corpus_pipeline.run(spark, SF)
     total = out.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
