@@ -59,6 +59,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, begin)
 
 
+def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes (A-Z lower-cased) of each run buf[start:end], independent of where the run stands."""
+    up, down = _power_tables(len(buf) + 1)
+    total = np.empty(len(buf) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(_VALUE[_LOWER[buf]] * up[:len(buf)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 def batches(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """Cut a sequence of texts into runs of about BATCH_BYTES (one longer text is a run alone)."""
     run, size = [], 0

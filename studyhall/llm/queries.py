@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyhall.llm import chat, fingerprint, langid, lm, mixing, neardup, packing, pii, toxicity, vectors
+from studyhall.llm import (audit, chat, fingerprint, langid, lm, mixing, neardup, packing, phrases, pii, quality, toxicity,
+                           vectors)
 from studyhall.llm.common import id_text, table
 
 
@@ -124,6 +125,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = id_text(table(spark, sf_dir, "documents"))
+    model = quality.train(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["lang"], F.lit("")).alias("part"),
+                       F.coalesce(docs["text"], F.lit("")).alias("text"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic")
+    return audit.audit(docs, labels)
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -135,6 +156,9 @@ QUERIES = {
     "op8_pii": (op8_pii, None),
     "op9_document_fingerprints": (op9_document_fingerprints, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_quality_classifier": (op11_quality_classifier, None),
+    "op12_filter_audit": (op12_filter_audit, audit.ORACLE_SQL),
+    "op13_phrase_mining": (op13_phrase_mining, phrases.ORACLE_SQL),
 }
 
 
