@@ -2,20 +2,21 @@
 
 Each job left-joins the facts every check needs onto the requests, then labels each request
 with the first failing check in the reference's order (``first_failure``). Competition inside
-one batch (two requests for the last seat, two bookings on one purse) is settled by fixed
-rules in request order ``(requested_at, request_id)``; the rank/running-sum windows are the
-skew-safe ones from ``operators.prefix``.
+one batch (two requests for the last seat, two bookings on one purse) is settled as if the requests came
+one by one in the order ``(requested_at, request_id)`` (``operators.settle``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, money, new_key, ts_lit
 from studyhall.functions.tokens import qr_code
-from studyhall.operators.prefix import running_count, running_sum
+from studyhall.operators.settle import Resource, settle_in_order
 from studyhall.operators.topn import is_first_in_group
 from studyhall.plans.wallet import balances_by_user
 
@@ -28,23 +29,35 @@ def derived_seats(t) -> DataFrame:
             .groupBy(F.col("session_id").alias("seat_sid")).agg(F.count(F.lit(1)).alias("seats_taken")))
 
 
+def _in_batch(facts: DataFrame, requests: DataFrame, **columns: str) -> DataFrame:
+    """The facts about the batch: rows whose columns (fact column=request column) occur together in ``requests``."""
+    keys = requests.select(*[F.col(c).alias(f"_b_{c}") for c in columns.values()]).distinct()
+    same = [F.col(f) == F.col(f"_b_{c}") for f, c in columns.items()]
+    return facts.join(keys, reduce(lambda a, b: a & b, same), "left_semi")
+
+
 def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
-    """JOB-01 decisions: request_id, session_id, student_id, price, decision.
+    """JOB-01 decisions: request_id, session_id, student_id, price, decision, as if the requests of the batch came
+    one by one in the order (requested_at, request_id).
 
-    Order: NOT_FOUND, NOT_AVAILABLE (not scheduled), SESSION_FULL, ALREADY_STARTED,
-    ALREADY_BOOKED (any status, or an earlier request in the batch), INSUFFICIENT_BALANCE
-    (spendable balance). In a batch the requests that pass the first five checks take seats
-    in request order, and each student's running total of prices must stay within the
-    balance; a request refused for seats still holds its price (documented batch rule).
+    Order of the checks: NOT_FOUND, NOT_AVAILABLE (not scheduled), SESSION_FULL, ALREADY_STARTED, ALREADY_BOOKED (any
+    status, or granted earlier in the batch), INSUFFICIENT_BALANCE (spendable balance less what earlier requests were
+    charged). A refused request takes neither seat nor money. Prices are not negative (CHECK); a
+    missing price costs nothing and a missing capacity is no limit, as in the reference's comparisons.
     """
     now = ts_lit(as_of)
     s = t["sessions"].select(F.col("id").alias("s_id"), "center_id", "price", "capacity",
                              F.col("status").alias("s_status"), "scheduled_at")
-    booked = t["bookings"].select(F.col("session_id").alias("e_sid"), F.col("student_id").alias("e_stu")) \
-        .distinct().withColumn("exists", F.lit(True))
-    bal = balances_by_user(t["wallet_transactions"], "spendable").withColumnRenamed("user_id", "bal_uid")
+    facts = t["bookings"].select("session_id", "student_id", "status")
+    taken = (_in_batch(facts.filter(F.col("status") != "cancelled"), requests, session_id="session_id")
+             .groupBy(F.col("session_id").alias("seat_sid")).agg(F.count(F.lit(1)).alias("seats_taken")))
+    booked = (_in_batch(facts, requests, session_id="session_id", student_id="student_id")
+              .select(F.col("session_id").alias("e_sid"), F.col("student_id").alias("e_stu")).distinct()
+              .withColumn("exists", F.lit(True)))
+    ledger = _in_batch(t["wallet_transactions"], requests, user_id="student_id")
+    bal = balances_by_user(ledger, "spendable").withColumnRenamed("user_id", "bal_uid")
     r = (requests.join(s, requests.session_id == s.s_id, "left")
-         .join(derived_seats(t), F.col("session_id") == F.col("seat_sid"), "left")
+         .join(taken, F.col("session_id") == F.col("seat_sid"), "left")
          .join(booked, (F.col("session_id") == F.col("e_sid")) & (F.col("student_id") == F.col("e_stu")), "left")
          .join(bal, F.col("student_id") == F.col("bal_uid"), "left"))
     seats = F.coalesce(F.col("seats_taken"), F.lit(0))
@@ -55,20 +68,16 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
         ("ALREADY_STARTED", F.col("scheduled_at") <= now),
         ("ALREADY_BOOKED", F.col("exists")),
     ])
-    r = r.select("request_id", "session_id", "student_id", "requested_at", "price", "capacity",
-                 seats.alias("seats"), F.coalesce(F.col("balance"), F.lit(0)).alias("balance"),
-                 static.alias("static"))
-    # One pipeline, no filter/union branches: the in-batch rules only look at eligible rows,
-    # so the eligibility flag is part of each window's key.
-    order = ["requested_at", "request_id"]
-    r = is_first_in_group(r, ["session_id", "student_id"], order, "_live", where=F.col("static") == "OK")
-    r = running_count(r, ["session_id", "_live"], order, "seat_rank")
-    r = running_sum(r, ["student_id", "_live"], order, "price", "spent")
-    decision = (F.when(F.col("static") != "OK", F.col("static"))
-                .when(~F.col("_live"), F.lit("ALREADY_BOOKED"))
-                .otherwise(first_failure([
-                    ("SESSION_FULL", F.col("seat_rank") > F.col("capacity") - F.col("seats")),
-                    ("INSUFFICIENT_BALANCE", F.col("spent") > F.col("balance"))])))
+    r = r.select("request_id", "session_id", "student_id", "requested_at", "price",
+                 (F.col("capacity") - seats).alias("seats_left"),
+                 F.coalesce(F.col("balance"), F.lit(0)).alias("balance"), static.alias("static"))
+    r = settle_in_order(r, ["requested_at", "request_id"], [
+        Resource("seats", ["session_id"], F.lit(1), F.col("seats_left")),
+        Resource("once", ["session_id", "student_id"], F.lit(1), F.lit(1)),
+        Resource("purse", ["student_id"], F.col("price"), F.col("balance"))], where=F.col("static") == "OK")
+    decision = (F.when(F.col("static") != "OK", F.col("static")).when(F.col("accepted"), F.lit("OK"))
+                .when(F.col("short_seats"), F.lit("SESSION_FULL")).when(F.col("short_once"), F.lit("ALREADY_BOOKED"))
+                .otherwise(F.lit("INSUFFICIENT_BALANCE")))
     return r.select("request_id", "session_id", "student_id", "price", decision.alias("decision"))
 
 

@@ -99,7 +99,7 @@ def session_candidates(t) -> DataFrame:
     """candidate_id, session_id (update form: itself), center_id, teacher_id, subject,
     grade_level, scheduled_at, duration_min, capacity, price (some missing): every session shifted by -30..+30 min; every
     10th touches its own end exactly; every 2nd is an update of its source session; the
-    subject is one the teacher teaches unless id % 3 = 0."""
+    subject is one the teacher teaches unless id % 3 = 0. Every 3rd has a rival later in the batch, 0..60 min after it."""
     s = t["sessions"].select("id", "center_id", "teacher_id", "subject", "grade_level", "scheduled_at",
                              "duration_min", "capacity", "price")
     tch = t["teachers"].select(F.col("id").alias("tid"), "subjects")
@@ -108,9 +108,14 @@ def session_candidates(t) -> DataFrame:
     at = F.when(k % 10 == 5, plus_minutes(F.col("scheduled_at"), F.col("duration_min"))).otherwise(
         plus_minutes(F.col("scheduled_at"), (k % 7 - 3) * 10))
     subject = F.when(k % 3 == 0, F.col("subject")).otherwise(F.element_at("subjects", (k % 2 + 1).cast("int")))
-    return j.select(k.alias("candidate_id"), F.when(k % 2 == 0, k).alias("session_id"), "center_id", "teacher_id",
+    base = j.select(k.alias("candidate_id"), F.when(k % 2 == 0, k).alias("session_id"), "center_id", "teacher_id",
                     subject.alias("subject"), "grade_level", at.alias("scheduled_at"), "duration_min",
                     F.when(k % 41 != 0, F.col("capacity")).alias("capacity"), F.when(k % 43 != 0, F.col("price")).alias("price"))
+    rival = base.filter(F.col("candidate_id") % 3 == 1).select(
+        (F.col("candidate_id") + REPEAT_OFFSET).alias("candidate_id"), F.lit(None).cast("bigint").alias("session_id"), "center_id",
+        "teacher_id", "subject", "grade_level", plus_minutes(F.col("scheduled_at"), (F.col("candidate_id") % 5) * 15)
+        .alias("scheduled_at"), "duration_min", "capacity", "price")
+    return base.unionByName(rival)
 
 
 def walkin_requests(t) -> DataFrame:

@@ -12,7 +12,7 @@ from studyhall.constants import CONTENT_TYPES, SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, money, non_empty_array, ts_lit
 from studyhall.functions.links import is_valid_url
 from studyhall.functions.tokens import access_code
-from studyhall.operators.prefix import running_sum
+from studyhall.operators.settle import Resource, settle_in_order
 from studyhall.operators.topn import earliest_ok, first_per_group
 from studyhall.plans.wallet import balances_by_user
 from studyhall.session import cut_lineage
@@ -86,9 +86,10 @@ def upgrade_requests(t) -> DataFrame:
 
 
 def upgrade_room_access(t, requests: DataFrame) -> DataFrame:
-    """JOB-09: NOT_A_MEMBER (no active membership), ALREADY_PAID (or upgraded earlier in the
-    batch), INVALID_PRICE (missing or <= 0), INSUFFICIENT_BALANCE (spendable balance against the
-    running total of the student's upgrades in request order), else OK (charge = room price)."""
+    """JOB-09, as if the requests came one by one in the order (requested_at, request_id): NOT_A_MEMBER (no active
+    membership), ALREADY_PAID (or upgraded earlier in the batch), INVALID_PRICE (missing or <= 0),
+    INSUFFICIENT_BALANCE (spendable balance less the upgrades granted before), else OK (charge = room price).
+    A refused request takes nothing."""
     rm = t["room_members"].filter(F.col("is_active")).select(F.col("room_id").alias("m_room"),
                                                               F.col("student_id").alias("m_stu"), "access_tier")
     rooms = t["rooms"].select(F.col("id").alias("r_id"), "paid_price")
@@ -103,11 +104,11 @@ def upgrade_room_access(t, requests: DataFrame) -> DataFrame:
     ])
     d = j.select("request_id", "student_id", "room_id", "requested_at", "paid_price",
                  F.coalesce(F.col("balance"), F.lit(0)).alias("balance"), static.alias("decision"))
-    d = earliest_ok(d, ["room_id", "student_id"], "ALREADY_PAID")
-    d = d.withColumn("_live", F.col("decision") == "OK")
-    d = running_sum(d, ["student_id", "_live"], ["requested_at", "request_id"], "paid_price", "_spent")
-    out = d.withColumn("decision", F.when(F.col("_live") & (F.col("_spent") > F.col("balance")), "INSUFFICIENT_BALANCE")
-                       .otherwise(F.col("decision")))
+    d = settle_in_order(d, ["requested_at", "request_id"], [
+        Resource("once", ["room_id", "student_id"], F.lit(1), F.lit(1)),
+        Resource("purse", ["student_id"], F.col("paid_price"), F.col("balance"))], where=F.col("decision") == "OK")
+    out = d.withColumn("decision", F.when((F.col("decision") != "OK") | F.col("accepted"), F.col("decision"))
+                       .when(F.col("short_once"), F.lit("ALREADY_PAID")).otherwise(F.lit("INSUFFICIENT_BALANCE")))
     return out.select("request_id", "student_id", "room_id", "decision",
                       F.when(F.col("decision") == "OK", money(F.col("paid_price"))).alias("charged"))
 

@@ -27,7 +27,7 @@ def _epoch_s(c: Column) -> Column:
     return F.unix_seconds(c.cast("timestamp"))
 
 
-def _lists(start: str, end: str, bucket_s: int, *, own: str, above: str) -> Column:
+def bucket_lists(start: str, end: str, bucket_s: int, *, own: str, above: str) -> Column:
     """Array of (role, level, bucket): role ``own`` at the interval's level, ``above`` at higher ones
     (both at the own level if the roles are the same)."""
     s, e = _epoch_s(F.col(start)), _epoch_s(F.col(end))
@@ -58,9 +58,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     left = left.filter(F.col(left_start) < F.col(left_end))
     right = right.filter(F.col(right_start) < F.col(right_end))
     # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower.
-    ls = F.concat(_lists(left_start, left_end, b, own="l", above="l"),
-                  F.filter(_lists(left_start, left_end, b, own="r", above="-"), lambda x: x["role"] == "r"))
-    rs = _lists(right_start, right_end, b, own="l", above="r")
+    ls = F.concat(bucket_lists(left_start, left_end, b, own="l", above="l"),
+                  F.filter(bucket_lists(left_start, left_end, b, own="r", above="-"), lambda x: x["role"] == "r"))
+    rs = bucket_lists(right_start, right_end, b, own="l", above="r")
     lb = left.withColumn("_l", F.explode(ls)).select(*left.columns, F.col("_l.role").alias("_lrole"),
                                                      F.col("_l.level").alias("_llevel"), F.col("_l.bucket").alias("_lb"))
     rb = right.withColumn("_r", F.explode(rs)).select(*right.columns, F.col("_r.role").alias("_rrole"),

@@ -263,6 +263,7 @@ FIXTURE_CTES.update({
                    + INTERVAL 1 MINUTE
         FROM sessions WHERE id % 6 = 0""",
     "session_candidates": """
+        WITH base AS (
         SELECT s.id AS candidate_id, CASE WHEN s.id % 2 = 0 THEN s.id END AS session_id, s.center_id, s.teacher_id,
                CASE WHEN s.id % 3 = 0 THEN s.subject ELSE t.subjects[CAST(s.id % 2 + 1 AS INTEGER)] END AS subject,
                s.grade_level,
@@ -270,7 +271,12 @@ FIXTURE_CTES.update({
                     ELSE s.scheduled_at + to_minutes(CAST((s.id % 7 - 3) * 10 AS INTEGER)) END AS scheduled_at,
                s.duration_min, CASE WHEN s.id % 41 <> 0 THEN s.capacity END AS capacity,
                CASE WHEN s.id % 43 <> 0 THEN s.price END AS price
-        FROM sessions s LEFT JOIN teachers t ON s.teacher_id = t.id""",
+        FROM sessions s LEFT JOIN teachers t ON s.teacher_id = t.id)
+        SELECT * FROM base
+        UNION ALL
+        SELECT candidate_id + 100000000000000, NULL, center_id, teacher_id, subject, grade_level,
+               scheduled_at + to_minutes(CAST(candidate_id % 5 * 15 AS INTEGER)), duration_min, capacity, price
+        FROM base WHERE candidate_id % 3 = 1""",
 })
 
 
@@ -279,6 +285,8 @@ def with_fixtures(body: str) -> str:
     the body uses. A body that starts with ``WITH`` has its CTEs appended after the fixtures."""
     ctes = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in FIXTURE_CTES.items())
     b = body.lstrip()
+    if b[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{b[15:]}"
     if b[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{b[5:]}"
     return f"WITH {ctes}\n{body}"

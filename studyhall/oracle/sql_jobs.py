@@ -39,10 +39,56 @@ CONFLICT_SELECT = """SELECT c.candidate_id,
 
 CONFLICTS = f"WITH {CONFLICT_CTES}\n{CONFLICT_SELECT}"
 
+
+def _validate_sessions_sql(options: str = "") -> str:
+    """Candidates one after the other: those that passed all checks so far are refused if an accepted one before them is in
+    the way, which is whoever of their earlier clashes is not on the list of the refused."""
+    return f"""WITH RECURSIVE {CONFLICT_CTES}, k AS ({CONFLICT_SELECT}),
+      d AS MATERIALIZED (SELECT c.*,
+               CASE WHEN COALESCE(c.subject, '') = '' OR COALESCE(c.grade_level, '') = '' OR c.scheduled_at IS NULL
+                         OR COALESCE(c.duration_min, 0) <= 0 OR COALESCE(c.capacity, 0) <= 0 OR COALESCE(c.price, 0) <= 0
+                        THEN 'MISSING_FIELDS'
+                    WHEN ce.id IS NULL THEN 'CENTER_NOT_FOUND'
+                    WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
+                    WHEN NOT list_contains(t.grade_levels, c.grade_level) THEN 'GRADE_NOT_TAUGHT'
+                    WHEN NOT list_contains(t.subjects, c.subject) THEN 'SUBJECT_NOT_TAUGHT'
+                    {options}
+                    ELSE k.decision END AS decision, k.conflict_session_id
+            FROM session_candidates c LEFT JOIN teachers t ON t.id = c.teacher_id
+            LEFT JOIN centers ce ON ce.id = c.center_id
+            LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
+                 ON l.center_id = c.center_id AND l.teacher_id = c.teacher_id
+            LEFT JOIN k ON k.candidate_id = c.candidate_id),
+      live AS MATERIALIZED (SELECT *, scheduled_at + to_minutes(duration_min) AS ends_at FROM d WHERE decision = 'OK'),
+      pr AS MATERIALIZED (
+        SELECT y.candidate_id AS j, x.candidate_id AS i, x.scheduled_at, 'TEACHER_BUSY' AS kind FROM live x
+        JOIN live y ON x.teacher_id = y.teacher_id AND x.candidate_id < y.candidate_id
+         AND x.scheduled_at < y.ends_at AND y.scheduled_at < x.ends_at AND NOT COALESCE(x.session_id = y.session_id, FALSE)
+        UNION ALL
+        SELECT y.candidate_id, x.candidate_id, x.scheduled_at, 'GRADE_OVERLAP' FROM live x
+        JOIN live y ON x.center_id = y.center_id AND x.grade_level = y.grade_level AND x.candidate_id < y.candidate_id
+         AND x.scheduled_at < y.ends_at AND y.scheduled_at < x.ends_at AND NOT COALESCE(x.session_id = y.session_id, FALSE)),
+      turn AS MATERIALIZED (SELECT j, list(i) AS before, row_number() OVER (ORDER BY j) AS rn FROM pr GROUP BY j),
+      one_by_one AS (
+        SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS refused
+        UNION ALL
+        SELECT q.rn, CASE WHEN len(list_filter(q.before, lambda x: NOT list_contains(o.refused, x))) > 0
+                          THEN list_append(o.refused, q.j) ELSE o.refused END
+        FROM one_by_one o JOIN turn q ON q.rn = o.rn + 1),
+      refused AS (SELECT unnest(refused) AS j FROM (SELECT refused FROM one_by_one ORDER BY rn DESC LIMIT 1)),
+      why AS (SELECT pr.j, pr.kind, pr.i FROM pr JOIN refused r ON r.j = pr.j
+              WHERE pr.i NOT IN (SELECT j FROM refused)
+              QUALIFY row_number() OVER (PARTITION BY pr.j ORDER BY pr.kind DESC, pr.scheduled_at, pr.i) = 1)
+    SELECT d.candidate_id, COALESCE(w.kind, d.decision) AS decision,
+           CASE WHEN d.decision IN ('TEACHER_BUSY', 'GRADE_OVERLAP') THEN conflict_session_id END AS conflict_session_id,
+           w.i AS conflict_candidate_id
+    FROM d LEFT JOIN why w ON w.j = d.candidate_id"""
+
 SQL = {
-    "admit_bookings": f"""WITH r AS (
-        SELECT q.request_id, q.session_id, q.student_id, q.requested_at, s.price, s.capacity,
-               COALESCE(st.seats_taken, 0) AS seats, COALESCE(bal.balance, 0) AS balance,
+    # One request after the other: each step sees the list of the bookings granted so far.
+    "admit_bookings": f"""WITH RECURSIVE r AS (
+        SELECT q.request_id, q.session_id, q.student_id, q.requested_at, s.price,
+               s.capacity - COALESCE(st.seats_taken, 0) AS seats_left, COALESCE(bal.balance, 0) AS balance,
                CASE WHEN s.id IS NULL THEN 'NOT_FOUND' WHEN s.status <> 'scheduled' THEN 'NOT_AVAILABLE'
                     WHEN COALESCE(st.seats_taken, 0) >= s.capacity THEN 'SESSION_FULL'
                     WHEN s.scheduled_at <= {AS_OF} THEN 'ALREADY_STARTED'
@@ -52,17 +98,24 @@ SQL = {
         LEFT JOIN {BOOKED} ex ON ex.session_id = q.session_id AND ex.student_id = q.student_id
         LEFT JOIN (SELECT user_id, SUM({signed_sql()}) AS balance FROM wallet_transactions GROUP BY user_id) bal
                ON bal.user_id = q.student_id),
-      live AS (SELECT *, row_number() OVER (PARTITION BY session_id, student_id ORDER BY requested_at, request_id)
-                   AS dup_rn FROM r WHERE static = 'OK'),
-      comp AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY requested_at, request_id) AS seat_rank,
-                   SUM(price) OVER (PARTITION BY student_id ORDER BY requested_at, request_id
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent
-               FROM live WHERE dup_rn = 1)
+      live AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY requested_at, request_id) AS i FROM r WHERE static = 'OK'),
+      one_by_one AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s BIGINT, u BIGINT, p DECIMAL(18,2))[]) AS granted,
+               CAST('' AS VARCHAR) AS decision
+        UNION ALL
+        SELECT i, CASE WHEN d = 'OK' THEN list_append(granted, {{'s': session_id, 'u': student_id,
+                                                                'p': CAST(price AS DECIMAL(18,2))}}) ELSE granted END, d
+        FROM (SELECT l.i, l.session_id, l.student_id, l.price, o.granted,
+                     CASE WHEN len(list_filter(o.granted, lambda x: x.s = l.session_id)) >= l.seats_left THEN 'SESSION_FULL'
+                          WHEN len(list_filter(o.granted, lambda x: x.s = l.session_id AND x.u = l.student_id)) > 0
+                               THEN 'ALREADY_BOOKED'
+                          WHEN l.balance - COALESCE(list_sum(list_transform(list_filter(o.granted,
+                               lambda x: x.u = l.student_id), lambda x: x.p)), 0) < l.price THEN 'INSUFFICIENT_BALANCE'
+                          ELSE 'OK' END AS d
+              FROM one_by_one o JOIN live l ON l.i = o.i + 1))
     SELECT request_id, session_id, student_id, price, static AS decision FROM r WHERE static <> 'OK'
-    UNION ALL SELECT request_id, session_id, student_id, price, 'ALREADY_BOOKED' FROM live WHERE dup_rn > 1
-    UNION ALL SELECT request_id, session_id, student_id, price,
-        CASE WHEN seat_rank > capacity - seats THEN 'SESSION_FULL' WHEN spent > balance THEN 'INSUFFICIENT_BALANCE'
-             ELSE 'OK' END FROM comp""",
+    UNION ALL
+    SELECT l.request_id, l.session_id, l.student_id, l.price, o.decision FROM live l JOIN one_by_one o ON o.i = l.i""",
     "cancel_bookings": f"""WITH r AS (
         SELECT q.request_id, q.booking_id, q.student_id, q.requested_at,
                CASE WHEN bs.id IS NULL THEN 'NOT_FOUND' WHEN bs.owner <> q.student_id THEN 'FORBIDDEN'
@@ -149,22 +202,9 @@ SQL = {
         CASE WHEN seat_rank > capacity - seats THEN 'FULL_OR_UNAVAILABLE' ELSE 'OK' END FROM comp""",
     "session_overlap_pairs": PAIRS,
     "session_conflicts": CONFLICTS,
-    "validate_sessions": f"""WITH {CONFLICT_CTES}, k AS ({CONFLICT_SELECT}),
-      d AS (SELECT c.candidate_id,
-               CASE WHEN c.subject IS NULL OR c.grade_level IS NULL OR c.scheduled_at IS NULL
-                         OR c.duration_min IS NULL OR c.duration_min <= 0 OR c.capacity IS NULL OR c.price IS NULL
-                        THEN 'MISSING_FIELDS'
-                    WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
-                    WHEN NOT list_contains(t.grade_levels, c.grade_level) THEN 'GRADE_NOT_TAUGHT'
-                    WHEN NOT list_contains(t.subjects, c.subject) THEN 'SUBJECT_NOT_TAUGHT'
-                    WHEN k.decision = 'TEACHER_BUSY' THEN 'TEACHER_BUSY'
-                    WHEN k.decision = 'GRADE_OVERLAP' THEN 'GRADE_OVERLAP' ELSE 'OK' END AS decision,
-               k.conflict_session_id
-            FROM session_candidates c LEFT JOIN teachers t ON t.id = c.teacher_id
-            LEFT JOIN k ON k.candidate_id = c.candidate_id)
-    SELECT candidate_id, decision,
-           CASE WHEN decision IN ('TEACHER_BUSY', 'GRADE_OVERLAP') THEN conflict_session_id END AS conflict_session_id
-    FROM d""",
+    "validate_sessions": _validate_sessions_sql(),
+    "validate_sessions_strict": _validate_sessions_sql(f"""WHEN l.center_id IS NULL THEN 'NOT_LINKED'
+                    WHEN c.scheduled_at <= {AS_OF} THEN 'IN_THE_PAST'"""),
 }
 
 
@@ -189,7 +229,8 @@ SQL.update({
            CASE WHEN decision = 'OK' AND m_room IS NOT NULL THEN access_tier WHEN decision = 'OK' THEN 'free' END
                AS access_tier
     FROM d""",
-    "upgrade_room_access": f"""WITH j AS (
+    # Upgrades compete for their student's money only: all students' next requests are decided in one step.
+    "upgrade_room_access": f"""WITH RECURSIVE j AS (
         SELECT q.request_id, q.student_id, q.room_id, q.requested_at, r.paid_price, COALESCE(bal.balance, 0) AS balance,
                CASE WHEN m.room_id IS NULL THEN 'NOT_A_MEMBER' WHEN m.access_tier = 'paid' THEN 'ALREADY_PAID'
                     WHEN r.paid_price IS NULL OR r.paid_price <= 0 THEN 'INVALID_PRICE' ELSE 'OK' END AS decision
@@ -197,18 +238,23 @@ SQL.update({
         LEFT JOIN (SELECT * FROM room_members WHERE is_active) m ON m.room_id = q.room_id AND m.student_id = q.student_id
         LEFT JOIN rooms r ON r.id = q.room_id
         LEFT JOIN {BALANCES} bal ON bal.user_id = q.student_id),
-      live AS (SELECT *, row_number() OVER (PARTITION BY room_id, student_id ORDER BY requested_at, request_id) AS rn
-               FROM j WHERE decision = 'OK'),
-      comp AS (SELECT *, SUM(paid_price) OVER (PARTITION BY student_id ORDER BY requested_at, request_id
-                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent
-               FROM live WHERE rn = 1)
+      live AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY requested_at, request_id) AS i
+                            FROM j WHERE decision = 'OK'),
+      one_by_one AS (
+        SELECT DISTINCT student_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS paid, CAST(0 AS DECIMAL(18,2)) AS spent,
+               CAST('' AS VARCHAR) AS code FROM live
+        UNION ALL
+        SELECT student_id, i, CASE WHEN c = 'OK' THEN list_append(paid, room_id) ELSE paid END,
+               CAST(CASE WHEN c = 'OK' THEN spent + paid_price ELSE spent END AS DECIMAL(18,2)), c
+        FROM (SELECT l.student_id, l.i, l.room_id, l.paid_price, o.paid, o.spent,
+                     CASE WHEN list_contains(o.paid, l.room_id) THEN 'ALREADY_PAID'
+                          WHEN l.balance - o.spent < l.paid_price THEN 'INSUFFICIENT_BALANCE' ELSE 'OK' END AS c
+              FROM one_by_one o JOIN live l ON l.student_id = o.student_id AND l.i = o.i + 1))
     SELECT request_id, student_id, room_id, decision, CAST(NULL AS DECIMAL(18,2)) AS charged FROM j
     WHERE decision <> 'OK'
-    UNION ALL SELECT request_id, student_id, room_id, 'ALREADY_PAID', CAST(NULL AS DECIMAL(18,2)) FROM live
-    WHERE rn > 1
-    UNION ALL SELECT request_id, student_id, room_id,
-        CASE WHEN spent > balance THEN 'INSUFFICIENT_BALANCE' ELSE 'OK' END,
-        CASE WHEN spent <= balance THEN CAST(paid_price AS DECIMAL(18,2)) END FROM comp""",
+    UNION ALL
+    SELECT l.request_id, l.student_id, l.room_id, o.code, CASE WHEN o.code = 'OK' THEN CAST(l.paid_price AS DECIMAL(18,2)) END
+    FROM live l JOIN one_by_one o ON o.student_id = l.student_id AND o.i = l.i""",
     "review_eligibility": """WITH att AS (
         SELECT b.id, b.student_id, s.teacher_id, b.booked_at FROM bookings b JOIN sessions s ON s.id = b.session_id
         WHERE b.status = 'attended'),
@@ -491,26 +537,6 @@ SQL["validate_registrations"] = """WITH d AS (SELECT q.candidate_id, q.email, q.
 
 
 SQL.update({
-    "validate_sessions_strict": f"""WITH {CONFLICT_CTES}, k AS ({CONFLICT_SELECT}),
-      d AS (SELECT c.candidate_id,
-               CASE WHEN c.subject IS NULL OR c.grade_level IS NULL OR c.scheduled_at IS NULL
-                         OR c.duration_min IS NULL OR c.duration_min <= 0 OR c.capacity IS NULL OR c.price IS NULL
-                        THEN 'MISSING_FIELDS'
-                    WHEN t.id IS NULL THEN 'TEACHER_NOT_FOUND'
-                    WHEN NOT list_contains(t.grade_levels, c.grade_level) THEN 'GRADE_NOT_TAUGHT'
-                    WHEN NOT list_contains(t.subjects, c.subject) THEN 'SUBJECT_NOT_TAUGHT'
-                    WHEN l.center_id IS NULL THEN 'NOT_LINKED'
-                    WHEN c.scheduled_at <= {AS_OF} THEN 'IN_THE_PAST'
-                    WHEN k.decision = 'TEACHER_BUSY' THEN 'TEACHER_BUSY'
-                    WHEN k.decision = 'GRADE_OVERLAP' THEN 'GRADE_OVERLAP' ELSE 'OK' END AS decision,
-               k.conflict_session_id
-            FROM session_candidates c LEFT JOIN teachers t ON t.id = c.teacher_id
-            LEFT JOIN (SELECT * FROM center_teachers WHERE is_active) l
-                 ON l.center_id = c.center_id AND l.teacher_id = c.teacher_id
-            LEFT JOIN k ON k.candidate_id = c.candidate_id)
-    SELECT candidate_id, decision,
-           CASE WHEN decision IN ('TEACHER_BUSY', 'GRADE_OVERLAP') THEN conflict_session_id END AS conflict_session_id
-    FROM d""",
     "review_eligibility_per_booking": """WITH att AS (
         SELECT b.id, b.student_id, s.teacher_id, b.booked_at FROM bookings b JOIN sessions s ON s.id = b.session_id
         WHERE b.status = 'attended'),

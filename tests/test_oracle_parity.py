@@ -9,11 +9,12 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from studyhall.plans import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-KEYS = sorted(E.queries())
-SQL = E.oracle_sql()
+KEYS = sorted(registry.queries())
+SQL = registry.oracle_sql()
 TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
               "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 

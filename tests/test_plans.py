@@ -5,8 +5,9 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from studyhall.plans import registry
 
-BATCH_KEYS = sorted(k for k in E.queries() if not k.startswith("stream_"))
+BATCH_KEYS = sorted(k for k in registry.queries() if not k.startswith("stream_"))
 
 
 def plan_of(df) -> str:
