@@ -11,6 +11,7 @@ from studyhall.functions.exprs import (
 )
 from studyhall.functions.geo import haversine_km, within_km
 from studyhall.operators.geojoin import within_radius_join
+from studyhall.operators.nearest import nearest_places
 from studyhall.operators.pages import page, page_of, pg_asc
 from studyhall.operators.topn import first_per_group
 
@@ -56,6 +57,17 @@ def student_nearby_centers(t, *, km: float = NEARBY_KM) -> DataFrame:
                         F.round("distance_km", 6).alias("distance_km"))
 
 
+def student_center_pages(t, *, km: float = NEARBY_KM, limit: int = 20) -> DataFrame:
+    """Q-13 for every student: the first page of active centres in range, nearest first."""
+    students = t["users"].filter((F.col("role") == "student") & F.col("is_active")).select(
+        F.col("id").alias("point_id"), "lat", "lng")
+    centers = t["centers"].filter(F.col("is_active"))
+    near = nearest_places(students, centers.select(F.col("id").alias("place_id"), "lat", "lng"), limit, km)
+    names = centers.select(F.col("id").alias("center_id"), F.col("name").alias("center_name"))
+    return near.select(F.col("point_id").alias("student_id"), "position", F.col("place_id").alias("center_id"), "distance_km").join(
+        names, "center_id").select("student_id", "position", "center_id", "center_name", "distance_km")
+
+
 def _teacher_center_rows(t) -> DataFrame:
     """teacher x active link x active centre (JOIN-01), shared by Q-14, Q-15, Q-46."""
     tch = t["teachers"]

@@ -84,6 +84,7 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
                                  D["nearby_centers_count"]),
         "student_nearby_centers": (lambda t: discovery.student_nearby_centers(t, km=25.0),
                                    D["student_nearby_centers"]),
+        "student_center_pages": (lambda t: discovery.student_center_pages(t, km=250.0), D["student_center_pages"]),
         "nearby_teachers": (lambda t: discovery.nearby_teachers(t, lat=plat, lng=plng, km=100.0),
                             D["nearby_teachers"]),
         "search_centers": (lambda t: discovery.search_centers(t, lat=clat, lng=clng, grade="Grade 1"),
