@@ -15,7 +15,7 @@ from studyhall.constants import SESSION_AS_OF
 from studyhall.jobs import rules
 from studyhall.operators.topn import earliest_ok
 from studyhall.functions.exprs import avg_1dp, first_failure, ts_lit
-from studyhall.session import cut_lineage
+from studyhall.session import cut_lineage, stored
 
 # Output of the constraint job: one row per violation.
 VIOLATION_COLS = ["table_name", "rule", "row_key", "detail"]
@@ -384,76 +384,118 @@ FK_RULES: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
-def delete_rows(t, table: str, requests: DataFrame, *, owner_col: str | None = None) -> dict[str, DataFrame]:
-    """JOB-22: owner-scoped deletes decided per request, with the schema's FK rules.
-
-    ``requests``: request_id, id[, owner]. NOT_FOUND when the row does not exist (or belongs to
-    another owner); BLOCKED when any row in the request's cascade tree still has a RESTRICT
-    dependant (the database would reject the whole statement); otherwise OK, and the row, its
-    CASCADE dependants (transitively) are removed and SET NULL references cleared. Returns the
-    decisions and a new snapshot of every table the accepted deletes touch. The cascade runs
-    level by level as joins of (request, key) sets; the FK graph is acyclic.
-    """
-    base = t[table].select(F.col("id").alias("_id"), *([F.col(owner_col).alias("_owner")] if owner_col else []))
-    cond = requests.id == base._id
-    if owner_col:
-        cond = cond & (requests.owner == base._owner)
-    found = requests.join(base, cond, "left").select(
-        "request_id", "id", F.col("_id").isNotNull().alias("_found"))
-
-    roots = found.filter("_found").select(F.col("request_id").alias("_root"), F.col("id").alias("_key"))
-    closure: dict[str, list[DataFrame]] = {table: [roots]}
-    nulls: dict[str, list[tuple[str, DataFrame]]] = {}
-    blocked: list[DataFrame] = []
-    level = [(table, roots)]
+def _cascade(t, roots: list[tuple[str, DataFrame]]) -> tuple[list, list, list]:
+    """What deleting rows takes along, from (table, frame) of the rows asked for: lists of (table, frame) of rows removed,
+    (table, column, frame) of references cleared or rows removed by reference, and (table, frame) of rows that forbid
+    it. Frames: _root (which row was asked for), _key.
+    Level by level along the schema's rules; the FK graph is acyclic; each level is stored once and read by all users."""
+    removed, cleared, forbid, level = list(roots), [], [], list(roots)
     while level:
         nxt = []
         for parent, keys in level:
             for child, col, rule in FK_RULES.get(parent, []):
-                child_key = "id" if "id" in t[child].columns else col
-                refs = t[child].select(F.col(child_key).alias("_ck"), F.col(col).alias("_ref"))
-                hits = refs.join(keys, refs._ref == keys._key).select("_root", F.col("_ck").alias("_key"))
+                by_id = "id" in t[child].columns
+                refs = t[child].select(F.col("id" if by_id else col).alias("_ck"), F.col(col).alias("_ref"))
+                hits = refs.join(keys, refs._ref == keys._key).select("_root", F.col("_ck").alias("_key")).distinct()
                 if rule == "restrict":
-                    blocked.append(hits.select("_root"))
-                elif rule == "cascade":
-                    if child_key == "id":
-                        closure.setdefault(child, []).append(hits)
-                        nxt.append((child, hits))
-                    else:  # leaf without an id: delete by the reference itself
-                        nulls.setdefault(child, []).append(("_delete_by:" + col, hits.select(
-                            "_root", F.col("_key").alias("_key"))))
-                else:
-                    nulls.setdefault(child, []).append((col, hits))
+                    forbid.append((child, hits))
+                elif rule == "set_null":
+                    cleared.append((child, col, hits))
+                elif by_id:
+                    hits = stored(hits)
+                    removed.append((child, hits))
+                    nxt.append((child, hits))
+                else:  # a leaf without an id: its rows go by the reference itself
+                    cleared.append((child, f"_delete_by:{col}", hits))
         level = nxt
+    return removed, cleared, forbid
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
 
-    spark = requests.sparkSession
-    blocked_roots = (reduce(lambda a, b: a.unionByName(b), blocked).distinct() if blocked
-                     else spark.createDataFrame([], roots.select("_root").schema))
-    decisions = (found.join(blocked_roots.withColumn("_blocked", F.lit(True)),
-                            found.request_id == blocked_roots._root, "left")
-                 .select("request_id", "id", F.when(~F.col("_found"), "NOT_FOUND")
-                         .when(F.col("_blocked"), "BLOCKED").otherwise("OK").alias("decision")))
-    ok_roots = decisions.filter(F.col("decision") == "OK").select(F.col("request_id").alias("_ok"))
+def delete_rows(t, table: str | list[str], requests: DataFrame, *, owner_col: str | None = None) -> dict[str, DataFrame]:
+    """JOB-22: owner-scoped deletes, as if the requests came one by one in the order of request_id.
+
+    ``requests``: request_id, id[, owner] of one ``table``, or of several with the column ``table_name``. NOT_FOUND when the row does not
+    exist, belongs to another owner or was removed by an earlier accepted request; BLOCKED when a row in the request's
+    cascade tree still has a RESTRICT dependant (the database would reject the whole statement); otherwise OK, and the row,
+    its CASCADE dependants (transitively) are removed and SET NULL references cleared. Returns the decisions and a new
+    snapshot of every table the accepted deletes touch.
+
+    The trees are found once. A dependant that an earlier accepted request removes blocks no more: requests that depend on
+    others are settled in rounds, each deciding those whose earlier removers are all decided (at least the first one
+    left); requests without such dependants, the usual case, are all decided in the first round.
+    """
+    tables = [table] if isinstance(table, str) else list(table)
+    if isinstance(table, str):
+        requests = requests.withColumn("table_name", F.lit(table))
+    parts = []
+    for name in tables:
+        base = t[name].select(F.col("id").alias("_id"), *([F.col(owner_col).alias("_owner")] if owner_col else []))
+        mine = requests.filter(F.col("table_name") == name)
+        cond = mine.id == base._id
+        if owner_col:
+            cond = cond & (mine.owner == base._owner)
+        parts.append(mine.join(base, cond, "left").select("request_id", "table_name", "id", F.col("_id").isNotNull().alias("_found")))
+    found = stored(_union(parts).withColumn("_root", F.concat_ws(":", "table_name", F.col("id").cast("string"))))
+
+    roots = [(name, stored(found.filter(F.col("_found") & (F.col("table_name") == name)).select(
+        "_root", F.col("id").alias("_key")).distinct())) for name in tables]
+    removed, cleared, forbid = _cascade(t, roots)
+    asked = found.filter("_found").select("request_id", "_root")
+    # What must be gone before a request passes, and who (of the same batch, earlier) removes it; likewise its own row.
+    tagged = [f.select("_root", F.lit(name).alias("_table"), F.col("_key").cast("string").alias("_row")) for name, f in removed]
+    gone_by = stored(_union(tagged)).join(asked.select("_root", F.col("request_id").alias("by")), "_root").drop("_root")
+    in_way = [f.select("_root", F.lit(name).alias("_table"), F.col("_key").cast("string").alias("_row"),
+                       F.lit(False).alias("own")) for name, f in forbid]
+    in_way += [f.select("_root", F.lit(name).alias("_table"), F.col("_key").cast("string").alias("_row"),
+                        F.lit(True).alias("own")) for name, f in roots]
+    needs = asked.join(_union(in_way), "_root").join(gone_by, ["_table", "_row"], "left").select(
+        "request_id", "_table", "_row", "own", F.when(F.col("by") < F.col("request_id"), F.col("by")).alias("by"))
+    # A row nobody earlier removes is one entry with ``by`` NULL.
+    needs = stored(needs.distinct())
+    state = stored(asked.select("request_id", F.lit("WAITS").alias("decision")))
+    while True:
+        by = state.select(F.col("request_id").alias("by"), F.col("decision").alias("_by"))
+        left = needs.join(state.filter("decision = 'WAITS'").select("request_id"), "request_id", "left_semi")
+        rows = left.join(by, "by", "left").groupBy("request_id", "_table", "_row", "own").agg(
+            F.max(F.coalesce(F.col("_by") == "OK", F.lit(False))).alias("gone"),
+            F.max(F.coalesce(F.col("_by") == "WAITS", F.lit(False))).alias("open"))
+        own, dep = F.col("own"), ~F.col("own")
+        told = rows.groupBy("request_id").agg(
+            F.max(own & F.col("gone")).alias("lost"), F.max(F.col("open") & ~F.col("gone")).alias("open"),
+            F.max(own & F.col("open") & ~F.col("gone")).alias("own_open"),
+            F.max(dep & ~F.col("gone") & ~F.col("open")).alias("blocked"))
+        now = (F.when(F.col("lost"), "NOT_FOUND").when(F.col("own_open"), "WAITS").when(F.col("blocked"), "BLOCKED")
+               .when(F.col("open"), "WAITS").otherwise("OK"))
+        told = told.select("request_id", now.alias("_now"))
+        state = stored(state.join(told, "request_id", "left").select(
+            "request_id", F.coalesce("_now", "decision").alias("decision")))
+        if state.filter("decision = 'WAITS'").isEmpty():
+            break
+    decisions = found.join(state, "request_id", "left").select(
+        "request_id", "id", F.coalesce("decision", F.lit("NOT_FOUND")).alias("decision"))
+    ok_roots = stored(found.join(state.filter("decision = 'OK'"), "request_id", "left_semi").select(
+        F.col("_root").alias("_ok")).distinct())
 
     def accepted(frames: list[DataFrame]) -> DataFrame:
-        u = reduce(lambda a, b: a.unionByName(b), frames)
-        return u.join(ok_roots, u._root == ok_roots._ok, "left_semi").select("_key").distinct()
+        return _union(frames).join(ok_roots, F.col("_root") == F.col("_ok"), "left_semi").select("_key").distinct()
 
     out = {"decisions": decisions}
-    for name, frames in closure.items():
-        gone = accepted(frames)
+    for name in dict.fromkeys(n for n, _ in removed):
+        gone = accepted([f for n, f in removed if n == name])
         out[name] = t[name].join(gone, t[name].id == gone._key, "left_anti")
-    for name, items in nulls.items():
+    for name, col, frame in cleared:
         snap = out.get(name, t[name])
-        for col, frames in items:
-            gone = accepted([frames])
-            if col.startswith("_delete_by:"):
-                ref = col.split(":", 1)[1]
-                snap = snap.join(gone, snap[ref] == gone._key, "left_anti")
-            else:
-                hit = gone.withColumn("_hit", F.lit(True))
-                j = snap.join(hit, snap["id"] == hit._key, "left")
-                snap = j.select(*[F.when(F.col("_hit"), F.lit(None)).otherwise(F.col(c)).cast(
-                    snap.schema[c].dataType).alias(c) if c == col else F.col(c) for c in snap.columns])
+        gone = accepted([frame])
+        if col.startswith("_delete_by:"):
+            snap = snap.join(gone, snap[col.split(":", 1)[1]] == gone._key, "left_anti")
+        else:
+            hit = gone.withColumn("_hit", F.lit(True))
+            j = snap.join(hit, snap["id"] == hit._key, "left")
+            snap = j.select(*[F.when(F.col("_hit"), F.lit(None)).otherwise(F.col(c)).cast(
+                snap.schema[c].dataType).alias(c) if c == col else F.col(c) for c in snap.columns])
         out[name] = snap
     return out

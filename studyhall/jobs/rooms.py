@@ -15,7 +15,7 @@ from studyhall.functions.tokens import access_code
 from studyhall.operators.settle import Resource, settle_in_order
 from studyhall.operators.topn import earliest_ok, first_per_group
 from studyhall.plans.wallet import balances_by_user
-from studyhall.session import cut_lineage
+from studyhall.session import cut_lineage, stored
 
 UNKNOWN_OFFSET = 1_000_000_000_000
 
@@ -262,20 +262,49 @@ def _array_input(df: DataFrame, col: str):
     return non_empty_array(F.array(F.col(col)))
 
 
+def _waits_for(live: DataFrame, col: str) -> DataFrame:
+    """``live`` with ``_<col>``: the one earlier candidate with the same ``col``, NULL for the first; ``_<col>_more``: there are
+    several. Two minimums per value, whatever the number of candidates that share it."""
+    first = live.groupBy(F.col(col).alias("_v")).agg(F.min("candidate_id").alias("_first"))
+    j = live.join(first, F.col(col) == F.col("_v")).drop("_v")
+    second = j.filter(F.col("candidate_id") > F.col("_first")).groupBy(F.col(col).alias("_v")).agg(
+        F.min("candidate_id").alias("_second"))
+    j = j.join(second, F.col(col) == F.col("_v"), "left")
+    return j.select(*live.columns, F.when(F.col("candidate_id") > F.col("_first"), F.col("_first")).alias(f"_{col}"),
+                    F.coalesce(F.col("candidate_id") > F.col("_second"), F.lit(False)).alias(f"_{col}_more"))
+
+
+def _by_parity(nodes: DataFrame) -> DataFrame:
+    """(candidate_id, end, odd) for nodes (candidate_id, to): the end of each one's chain of ``to`` and whether the chain is of
+    odd length, by pointer jumping: every round doubles the steps, so a chain of n takes log2(n) rounds."""
+    hops = stored(nodes.select("candidate_id", F.col("to").alias("end"), F.lit(True).alias("odd")))
+    while True:
+        on = hops.select(F.col("candidate_id").alias("_at"), F.col("end").alias("_end"), F.col("odd").alias("_odd"))
+        j = hops.join(on, F.col("end") == F.col("_at"), "left")
+        if j.filter("_at is not null").isEmpty():
+            return hops
+        hops = stored(j.select("candidate_id", F.coalesce("_end", "end").alias("end"),
+                               (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd")))
+
+
 def _first_accepted(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The candidates a one-by-one run accepts, as (a_email, m_id) and (a_phone, p_id).
 
-    Each round accepts those who are the first left with their e-mail and with their phone, and refuses
-    those who share either with them; a round settles every chain by two, so few rounds are needed.
+    Who shares neither e-mail nor phone with an earlier one is accepted. Who has exactly one such earlier candidate is
+    accepted if that one is not: such chains are followed by pointer jumping and settled at once by their parity. The others
+    wait for the next round, in which all who share something with an accepted one are gone.
     """
-    live, accepted = cut_lineage(live), None
+    live, accepted = stored(live), None
     while True:
-        mail = live.groupBy(F.col("email").alias("a_email")).agg(F.min("candidate_id").alias("m_id"))
-        tel = live.groupBy(F.col("phone").alias("a_phone")).agg(F.min("candidate_id").alias("p_id"))
-        won = cut_lineage(live.join(mail, F.col("email") == F.col("a_email")).join(tel, F.col("phone") == F.col("a_phone"))
-                          .filter("candidate_id = m_id and candidate_id = p_id").select("candidate_id", "email", "phone"))
+        j = stored(_waits_for(_waits_for(live, "email"), "phone"))
+        to = F.coalesce("_email", "_phone")
+        several = (F.col("_email_more") | F.col("_phone_more") | F.coalesce(F.col("_email") != F.col("_phone"), F.lit(False)))
+        free = j.filter("_email is null and _phone is null").select(F.col("candidate_id").alias("f_id"))
+        ends = _by_parity(j.filter(~several & to.isNotNull()).select("candidate_id", to.alias("to")))
+        even = ends.filter(~F.col("odd")).join(free, F.col("end") == F.col("f_id"), "left_semi").select(F.col("candidate_id").alias("f_id"))
+        won = stored(live.join(free.unionByName(even), F.col("candidate_id") == F.col("f_id"), "left_semi"))
         accepted = won if accepted is None else accepted.unionByName(won)
-        live = cut_lineage(live.join(won.select("email"), "email", "left_anti").join(won.select("phone"), "phone", "left_anti"))
+        live = stored(live.join(won.select("email"), "email", "left_anti").join(won.select("phone"), "phone", "left_anti"))
         if live.isEmpty():
             return (accepted.select(F.col("email").alias("a_email"), F.col("candidate_id").alias("m_id")),
                     accepted.select(F.col("phone").alias("a_phone"), F.col("candidate_id").alias("p_id")))

@@ -126,11 +126,13 @@ def write_snapshot(df: DataFrame, path: str, table: str | None = None) -> str:
     """SNK-02: write a new snapshot of a table (the result of a merge by join) to a fresh folder.
 
     Readers switch to the new folder after the write succeeded; the old snapshot stays intact
-    until then, so a failed job never leaves a half-updated table.
+    until then, so a failed job never leaves a half-updated table. Rows are rebalanced by month: small months are
+    written by one task together, a large one is split over many tasks and files by its measured size.
     """
     if table in MONTH_PARTITIONED:
         mc = month_column(table)
-        df.withColumn(mc, month_of(MONTH_PARTITIONED[table])).repartition(mc).write.mode("overwrite").partitionBy(mc).parquet(path)
+        rows = df.withColumn(mc, month_of(MONTH_PARTITIONED[table]))
+        rows.hint("rebalance", F.col(mc)).write.mode("overwrite").partitionBy(mc).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path

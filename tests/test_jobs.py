@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from studyhall.jobs import attendance, bookings, ledger, maintenance, rooms, schedule
@@ -474,3 +475,93 @@ def test_registered_streams_take_several_micro_batches(spark, tables):
     from studyhall.streaming import streams as S
     cuts = S._time_cuts(tables["bookings"], "booked_at")
     assert len(cuts) >= 4
+
+
+def _delete_one_by_one(tables, rules, requests):
+    """Row-by-row deletes over {table: [dict]} with the schema's rules; requests (request_id, table, id)."""
+    out = {}
+
+    def tree(name, keys):
+        gone, blocked = {(name, k) for k in keys}, False
+        for child, col, rule in rules.get(name, []):
+            hits = [r for r in tables.get(child, []) if r[col] in keys]
+            if rule == "restrict" and hits:
+                blocked = True
+            elif rule == "cascade" and hits:
+                if "id" in hits[0]:
+                    more, b = tree(child, {r["id"] for r in hits})
+                    gone, blocked = gone | more, blocked or b
+                else:
+                    gone |= {(child, col, r[col]) for r in hits}
+        return gone, blocked
+    for rid, table, key in sorted(requests):
+        if not any(r["id"] == key for r in tables[table]):
+            out[rid] = "NOT_FOUND"
+            continue
+        gone, blocked = tree(table, {key})
+        out[rid] = "BLOCKED" if blocked else "OK"
+        if not blocked:
+            for name in tables:
+                tables[name] = [r for r in tables[name] if not ("id" in r and (name, r["id"]) in gone)
+                                and not any((name, c, v) in gone for c, v in r.items())]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deletes_that_depend_on_earlier_ones(spark, frames, seed):
+    import random
+    rng = random.Random(seed)
+    ids = lambda n: range(1, n + 1)
+    schema = {
+        "users": (["id"], [{"id": i} for i in ids(14)]),
+        "teachers": (["id", "user_id"], [{"id": i, "user_id": rng.randint(1, 14)} for i in ids(8)]),
+        "centers": (["id", "owner_id"], [{"id": i, "owner_id": rng.randint(1, 14)} for i in ids(7)]),
+        "sessions": (["id", "center_id", "teacher_id"], [{"id": i, "center_id": rng.randint(1, 7), "teacher_id": rng.randint(1, 8)}
+                                                        for i in ids(9)]),
+        "bookings": (["id", "session_id", "student_id"], [{"id": 1, "session_id": 3, "student_id": 2}]),
+    }
+    for name, rules in maintenance.FK_RULES.items():
+        for child, col, _ in rules:
+            cols = schema.setdefault(child, (["id"] if child not in ("center_teachers",) else [], []))[0]
+            if col not in cols:
+                cols.append(col)
+                for r in schema[child][1]:
+                    r[col] = None
+    t = frames()
+    for name, (cols, rows) in schema.items():
+        t[name] = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} long" for c in cols))
+    req = [(i, rng.choice(["users", "teachers", "centers", "sessions"]), rng.randint(1, 15)) for i in range(60)]
+    plain = {name: [dict(r) for r in rows] for name, (_, rows) in schema.items()}
+    want = _delete_one_by_one(plain, maintenance.FK_RULES, req)
+    out = maintenance.delete_rows(t, ["users", "teachers", "centers", "sessions"], spark.createDataFrame(
+        req, "request_id long, table_name string, id long"))
+    assert {"OK", "BLOCKED", "NOT_FOUND"} == set(want.values())
+    assert decide(out["decisions"]) == want
+    for name in ("users", "teachers", "centers", "sessions"):
+        assert sorted(r.id for r in out[name].collect()) == sorted(r["id"] for r in plain[name]), name
+
+
+def test_a_long_chain_of_registrations_takes_few_rounds(spark, monkeypatch):
+    stores, real = [], rooms.stored
+    monkeypatch.setattr(rooms, "stored", lambda df: stores.append(1) or real(df))
+    n = 2000
+    rows = [(i, f"e{i // 2}", f"p{(i + 1) // 2}") for i in range(n)]
+    mail, tel = rooms._first_accepted(spark.createDataFrame(rows, "candidate_id long, email string, phone string"))
+    assert sorted(r.m_id for r in mail.collect()) == list(range(0, n, 2))
+    assert len(stores) < 25
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_registrations_equal_one_by_one(spark, seed):
+    import random
+    rng = random.Random(seed)
+    rows = [(i, f"e{rng.randrange(40)}", f"p{rng.randrange(40)}") for i in range(120)]
+    rng.shuffle(rows)
+    emails, phones, want = set(), set(), []
+    for i, e, p in sorted(rows):
+        if e not in emails and p not in phones:
+            want.append(i)
+            emails.add(e)
+            phones.add(p)
+    mail, _ = rooms._first_accepted(spark.createDataFrame(rows, "candidate_id long, email string, phone string"))
+    assert sorted(r.m_id for r in mail.collect()) == want
