@@ -165,3 +165,16 @@ SQL["platform_analytics_json"] = f"""SELECT CAST(to_json({{
 
 SQL["wallet_balance_function"] = f"""SELECT user_id, CAST(COALESCE(SUM({signed_sql()}), 0) AS DECIMAL(20,2)) AS balance
     FROM wallet_transactions GROUP BY user_id"""
+
+
+SQL["payload_summary"] = """WITH p AS (
+        SELECT 'wallet_transactions' AS source,
+               CASE WHEN id % 97 = 0 THEN left(metadata, length(metadata) - 1) ELSE metadata END AS payload FROM wallet_transactions
+        UNION ALL SELECT 'audit_logs', details FROM audit_logs),
+      v AS (SELECT source, payload, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM p),
+      k AS (SELECT *, CASE WHEN json_type(j, '$.k') IN ('BIGINT', 'UBIGINT') THEN CAST(json_extract(j, '$.k') AS BIGINT) END AS value
+            FROM v)
+    SELECT source, count(*) AS n_rows, count(*) - count(payload) AS missing, count(payload) - count(j) AS malformed,
+           CASE WHEN count(j) > 0 THEN 'OBJECT<k: BIGINT>' ELSE 'VOID' END AS payload_schema, count(value) AS n_values,
+           CAST(sum(value) AS BIGINT) AS sum_value, min(value) AS min_value, max(value) AS max_value
+    FROM k GROUP BY source"""

@@ -230,3 +230,23 @@ def platform_summary(t, *, as_of=SESSION_AS_OF) -> DataFrame:
         active_today=t["users"].agg(F.count_if((F.col("last_login_at") >= day)
                                                & (F.col("last_login_at") <= ts_lit(as_of)))),
     )
+
+
+def cut_payloads(t) -> DataFrame:
+    """Payloads of the registered instance (source, payload): the ledger's metadata, every 97th cut short as by a broken client, and
+    the audit log's details."""
+    ledger = t["wallet_transactions"].select(F.lit("wallet_transactions").alias("source"), F.when(
+        F.col("id") % 97 == 0, F.expr("left(metadata, length(metadata) - 1)")).otherwise(F.col("metadata")).alias("payload"))
+    return ledger.unionByName(t["audit_logs"].select(F.lit("audit_logs").alias("source"), F.col("details").alias("payload")))
+
+
+def payload_summary(payloads: DataFrame, path: str = "$.k") -> DataFrame:
+    """SRC-05: free-form JSON payloads as VARIANT, per source: rows, missing and malformed ones, the schema all the others
+    agree on, and the number, sum and range of the integer at ``path`` (values of other types do not count)."""
+    v = payloads.select("source", "payload", F.try_parse_json("payload").alias("v"))
+    value = F.try_variant_get("v", path, "bigint")
+    return v.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("payload").isNull()).alias("missing"),
+        F.count_if(F.col("payload").isNotNull() & F.col("v").isNull()).alias("malformed"),
+        F.schema_of_variant_agg("v").alias("payload_schema"), F.count(value).alias("n_values"), F.sum(value).alias("sum_value"),
+        F.min(value).alias("min_value"), F.max(value).alias("max_value"))

@@ -12,6 +12,7 @@ from studyhall.functions.exprs import (
 from studyhall.functions.geo import haversine_km, within_km
 from studyhall.operators.geojoin import within_radius_join
 from studyhall.operators.nearest import nearest_places
+from studyhall.operators.prefix import running_count
 from studyhall.operators.pages import page, page_of, pg_asc
 from studyhall.operators.topn import first_per_group
 
@@ -138,12 +139,7 @@ def search_teachers(t, *, name=None, subject=None, grade=None) -> DataFrame:
                        F.array_join("grade_levels", ", ").alias("grade_levels"), "rating", "total_reviews")
 
 
-def center_details(t, *, center=None) -> DataFrame:
-    """Q-17 (flat): each active centre with each of its active teachers, one row per pair.
-
-    A centre without an active teacher keeps one row with NULL teacher columns (the
-    reference's one all-NULL array element). ``as_document`` nests it.
-    """
+def _center_teachers(t, center) -> DataFrame:
     c = optional_filters(t["centers"], {"id": center}, [F.col("is_active")]).select(
         F.col("id").alias("center_id"), F.col("name").alias("center_name"),
         F.col("address").alias("center_address"), F.col("description").alias("center_description"),
@@ -153,13 +149,21 @@ def center_details(t, *, center=None) -> DataFrame:
     tch = t["teachers"].select(F.col("id").alias("teacher_id"), "user_id", "subjects", "grade_levels", "rating",
                                "total_reviews")
     usr = t["users"].select(F.col("id").alias("u_id"), F.col("name").alias("teacher_name"), "avatar_url")
-    rows = (c.join(ct, c.center_id == ct.ct_cid, "left")
+    return (c.join(ct, c.center_id == ct.ct_cid, "left")
             .join(tch, F.col("ct_tid") == tch.teacher_id, "left")
             .join(usr, F.col("user_id") == usr.u_id, "left"))
-    return rows.select("center_id", "center_name", "center_address", "center_description", "center_phone",
-                       "center_logo_url", "teacher_id", "teacher_name", "avatar_url",
-                       F.array_join("subjects", ", ").alias("subjects"),
-                       F.array_join("grade_levels", ", ").alias("grade_levels"), "rating", "total_reviews")
+
+
+def center_details(t, *, center=None) -> DataFrame:
+    """Q-17 (flat): each active centre with each of its active teachers, one row per pair.
+
+    A centre without an active teacher keeps one row with NULL teacher columns (the
+    reference's one all-NULL array element). ``center_detail_pages`` nests it.
+    """
+    return _center_teachers(t, center).select(
+        "center_id", "center_name", "center_address", "center_description", "center_phone",
+        "center_logo_url", "teacher_id", "teacher_name", "avatar_url", F.array_join("subjects", ", ").alias("subjects"),
+        F.array_join("grade_levels", ", ").alias("grade_levels"), "rating", "total_reviews")
 
 
 def teacher_details(t, *, teacher=None) -> DataFrame:
@@ -183,14 +187,33 @@ def teacher_details(t, *, teacher=None) -> DataFrame:
                        "center_logo_url")
 
 
-def as_document(flat: DataFrame, keys: list[str], item_cols: list[str], name: str) -> DataFrame:
-    """Nest a flat one-to-many result as ``array<struct>`` per key (AGG-10, ``json_agg``).
-
-    Meant for one entity's page (the reference's answer for one centre / teacher): a nested
-    document holds a whole group in one row, so on whole tables prefer the flat form.
-    """
-    item = F.struct(*[F.col(c) for c in item_cols])
-    return flat.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias(name))
+def detail_pages(flat: DataFrame, keys: list[str], order: str, items: dict[str, str], name: str,
+                 page_size: int = 20) -> DataFrame:
+    """AGG-10 (``json_agg``) in numbered pages: ``keys``, page (from 0) and ``name``, the JSON array of the page's ``items`` (field:
+    column) in the order of ``order``. A document of a whole group would hold a hot centre in one row; rows are numbered
+    without gathering a group, so a page never has more than ``page_size`` items. An entity without items keeps
+    one page with one element of NULLs, as the left join of the reference gives."""
+    numbered = running_count(flat, [keys[0]], [F.asc_nulls_first(order)], "_at").withColumn(
+        "page", F.floor((F.col("_at") - 1) / page_size))
+    item = F.struct("_at", F.struct(*[F.col(c).alias(f) for f, c in items.items()]).alias("item"))
+    paged = numbered.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return paged.select(*keys, "page", F.to_json(F.transform("_items", lambda x: x["item"]), {"ignoreNullFields": "false"}).alias(name))
+
+
+def center_detail_pages(t, *, center=None) -> DataFrame:
+    """Q-17 as the reference answers it: each active centre with its teachers nested, in pages."""
+    flat = _center_teachers(t, center)
+    keys = ["center_id", "center_name", "center_address", "center_description", "center_phone", "center_logo_url"]
+    fields = ["teacher_id", "teacher_name", "avatar_url", "subjects", "grade_levels", "rating", "total_reviews"]
+    return detail_pages(flat, keys, "teacher_id", {f: f for f in fields}, "teachers")
+
+
+def teacher_detail_pages(t, *, teacher=None) -> DataFrame:
+    """Q-18 as the reference answers it: each teacher with the active centres nested, in pages."""
+    flat = teacher_details(t, teacher=teacher)
+    keys = ["teacher_id", "teacher_name", "avatar_url", "subjects", "grade_levels", "rating", "total_reviews", "bio"]
+    fields = ["center_id", "center_name", "center_address", "center_description", "center_phone", "center_logo_url"]
+    return detail_pages(flat, keys, "center_id", {f: f for f in fields}, "centers")
 
 
 def all_subjects(t) -> DataFrame:

@@ -84,6 +84,9 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
                                  D["nearby_centers_count"]),
         "student_nearby_centers": (lambda t: discovery.student_nearby_centers(t, km=25.0),
                                    D["student_nearby_centers"]),
+        "center_detail_pages": (discovery.center_detail_pages, D["center_detail_pages"]),
+        "teacher_detail_pages": (discovery.teacher_detail_pages, D["teacher_detail_pages"]),
+        "payload_summary": (lambda t: admin.payload_summary(admin.cut_payloads(t)), A["payload_summary"]),
         "student_center_pages": (lambda t: discovery.student_center_pages(t, km=250.0), D["student_center_pages"]),
         "nearby_teachers": (lambda t: discovery.nearby_teachers(t, lat=plat, lng=plng, km=100.0),
                             D["nearby_teachers"]),
@@ -104,6 +107,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
         "booking_history": (rooms.booking_history, S["booking_history"]),
         "room_counters": (rooms.room_counters, S["room_counters"]),
         "student_rooms": (rooms.student_rooms, S["student_rooms"]),
+        "booking_history_documents": (rooms.booking_history_documents, S["booking_history_documents"]),
+        "member_room_content": (views.member_room_content, S["member_room_content"]),
         "room_content_by_tier": (rooms.room_content_by_tier, S["room_content_by_tier"]),
         "room_info": (rooms.room_info, S["room_info"]),
         "content_access_decision": (rooms.content_access_decision, S["content_access_decision"]),

@@ -166,11 +166,24 @@ def test_first_per_group_picks_min_order(spark):
     assert got == [(1, 2), (2, 8)]
 
 
-def test_collect_list_of_unmatched_left_row_is_one_null_struct(spark):
-    from studyhall.plans.discovery import as_document
-    flat = spark.createDataFrame([(1, None, None)], "center_id long, teacher_id long, teacher_name string")
-    doc = as_document(flat, ["center_id"], ["teacher_id", "teacher_name"], "teachers").first()
-    assert len(doc.teachers) == 1 and doc.teachers[0].teacher_id is None
+def test_detail_pages_are_bounded_and_keep_one_element_of_nulls(spark):
+    import json
+    from studyhall.plans.discovery import detail_pages
+    flat = spark.createDataFrame([(1, None, None)] + [(2, i, f"t{i}") for i in range(47)],
+                                 "center_id long, teacher_id long, teacher_name string").repartition(3)
+    rows = detail_pages(flat, ["center_id"], "teacher_id", {"id": "teacher_id", "name": "teacher_name"}, "teachers").collect()
+    got = {(r.center_id, r.page): json.loads(r.teachers) for r in rows}
+    assert got[1, 0] == [{"id": None, "name": None}]
+    assert [len(got[2, p]) for p in range(3)] == [20, 20, 7]
+    assert [x["id"] for p in range(3) for x in got[2, p]] == list(range(47))
+
+
+def test_payloads_of_any_shape(spark):
+    from studyhall.plans.admin import payload_summary
+    rows = [("a", '{"k": 1}'), ("a", '{"k": "x", "z": [1]}'), ("a", '{"k'), ("a", None), ("a", "7"), ("b", None)]
+    got = {r.source: r for r in payload_summary(spark.createDataFrame(rows, "source string, payload string")).collect()}
+    assert (got["a"].n_rows, got["a"].missing, got["a"].malformed, got["a"].n_values, got["a"].sum_value) == (5, 1, 1, 1, 1)
+    assert got["a"].payload_schema == "VARIANT" and got["b"].n_values == 0
 
 
 def test_lambert_distance_close_to_spheroid_and_haversine(spark):
