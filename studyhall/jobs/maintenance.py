@@ -60,18 +60,15 @@ def _unique_rules(t, spec: dict[str, list[list[str]]]) -> DataFrame:
     # which rules have candidates at all (at most one small int per rule reaches the driver):
     # tables without any are not read a second time
     with_cand = {r._r for r in cand.select("_r").distinct().collect()}
-    confirmed = [t["users"].sparkSession.createDataFrame(
-        [], "_table string, rule string, k string, n bigint")]
-    for i, table, cols, rows in exact:
-        if i not in with_cand:
-            continue
-        keyed = rows.select(F.xxhash64(*[F.col(c) for c in cols]).alias("_h"),
-                            F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))
-        mine = cand.filter(F.col("_r") == i).select("_h")
-        hits = keyed.join(mine, "_h", "left_semi")
-        confirmed.append(hits.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
-            F.lit(table).alias("_table"), F.lit(f"unique({','.join(cols)})").alias("rule"), "k", "n"))
-    dup = reduce(lambda a, b: a.unionByName(b), confirmed)
+    again = [rows.select(F.lit(i).alias("_r"), F.lit(table).alias("_table"), F.lit(f"unique({','.join(cols)})").alias("rule"),
+                         F.xxhash64(*[F.col(c) for c in cols]).alias("_h"),
+                         F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("k"))
+             for i, table, cols, rows in exact if i in with_cand]
+    if not again:
+        empty = t["users"].sparkSession.createDataFrame([], "_table string, rule string, k string, n bigint")
+        return _out(empty, F.col("_table"), F.col("rule"), F.col("k"), F.col("n"))
+    hits = reduce(lambda a, b: a.unionByName(b), again).join(cand, ["_r", "_h"], "left_semi")
+    dup = hits.groupBy("_table", "rule", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     return _out(dup, F.col("_table"), F.col("rule"), F.col("k"), F.col("n"))
 
 
@@ -94,15 +91,18 @@ def _foreign_keys(t, spec: dict[str, list[tuple[str, str]]]) -> DataFrame:
     miss = cut_lineage(refs.join(ids, (refs._parent == ids._p) & (refs._ref == ids._pk), "left_anti"))
     # which rules have misses at all (one short row per rule reaches the driver): the others read nothing more
     broken = {(r._table, r._rule) for r in miss.select("_table", "_rule").distinct().collect()}
-    out = _out(miss.limit(0), F.col("_table"), F.col("_rule"), F.col("_ref"), F.col("_ref"))
-    for parent, child, col in pairs:
-        rule = f"fk({col}->{parent}.id)"
-        if (child, rule) not in broken:
-            continue
-        bad = miss.filter((F.col("_table") == child) & (F.col("_rule") == rule)).select(F.col("_ref"))
-        rows = t[child].withColumn("_k", _row_key(child)).join(bad, F.col(col) == F.col("_ref"))
-        out = out.unionByName(_out(rows, child, F.lit(rule), F.col("_k"), F.col("_ref")))
-    return out
+    if not broken:
+        return _out(miss.limit(0), F.col("_table"), F.col("_rule"), F.col("_ref"), F.col("_ref"))
+    # One scan per child that has any, its references to the parents at fault listed with their rules; one join for all.
+    listed = []
+    for child in dict.fromkeys(c for c, _ in broken):
+        mine = [(f"fk({col}->{parent}.id)", col) for parent, c, col in pairs if c == child]
+        held = F.explode(F.array(*[F.struct(F.lit(rule).alias("_rule"), F.col(col).alias("_ref"))
+                                   for rule, col in mine if (child, rule) in broken])).alias("_x")
+        listed.append(t[child].select(F.lit(child).alias("_table"), _row_key(child).alias("_k"), held).select(
+            "_table", "_k", "_x._rule", "_x._ref"))
+    rows = reduce(lambda a, b: a.unionByName(b), listed).join(miss.select("_table", "_rule", "_ref"), ["_table", "_rule", "_ref"])
+    return _out(rows, F.col("_table"), F.col("_rule"), F.col("_k"), F.col("_ref"))
 
 
 def _uuid_rules(t) -> list[DataFrame]:

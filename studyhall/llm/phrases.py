@@ -39,7 +39,8 @@ from studyhall.llm.hashing import U64, batches, combine, mix, run_hashes
 
 LONGEST = 5
 TABLE_BITS = 25
-BUFFER = 1 << 24        # bytes of text that a task holds before it counts their words
+BUFFER = 1 << 22        # bytes of text that a task holds before it counts their words
+SLICE = 1 << 16         # rows that a task hands over at once
 PARTITION = 1 << 20     # suffixes in a partition, on average
 SALTS = 16
 END = -1 << 63          # behind the last word of a shorter suffix
@@ -73,7 +74,8 @@ class Words:
             if len(starts):
                 piece = np.cumsum(kind == 2)[starts] + pieces
                 pieces = int(piece[-1]) + 1
-                self.parts.append((run_hashes(buf, starts, ends), piece, np.full(len(starts), len(self.bufs)), starts, ends))
+                self.parts.append((run_hashes(buf, starts, ends), piece.astype(np.int32),
+                                   np.full(len(starts), len(self.bufs), dtype=np.int32), starts, ends))
                 self.bufs.append(raw)
         return bool(self.parts)
 
@@ -112,19 +114,27 @@ def _pairs(lang: str, hashes: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray
     return combine([seed, hashes[:-1], hashes[1:]]), piece[:-1] == piece[1:]
 
 
+def _slices(n: int) -> Iterator[slice]:
+    return (slice(i, i + SLICE) for i in range(0, n, SLICE))
+
+
 def leading_counts(docs: DataFrame) -> DataFrame:
-    """Counts of the tasks: words (lang, word, key, n), pairs (null, null, key, n), all words (lang, null, 0, n)."""
+    """Counts per buffer of the tasks: words (lang, word, key, n), pairs (null, null, key, n) and numbers of words
+    (lang, null, any key, n). A word or pair has one row a buffer, however often it occurs, so no key is hot."""
     def run(frames):
-        for lang, words in _buffered(frames):
+        for i, (lang, words) in enumerate(_buffered(frames)):
             columns = words.columns()
             hashes, piece = columns[:2]
+            yield pd.DataFrame({"lang": [lang], "word": [None], "key": [i % 256], "n": [len(hashes)]})
             keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pd.DataFrame({"lang": lang, "word": words.text(first, columns), "key": keys.view(np.int64), "n": n})
-            yield pd.DataFrame({"lang": [lang], "word": [None], "key": [0], "n": [len(hashes)]})
+            for at in _slices(len(keys)):
+                yield pd.DataFrame({"lang": lang, "word": words.text(first[at], columns), "key": keys[at].view(np.int64),
+                                    "n": n[at]})
             if len(hashes) > 1:
                 keys, same = _pairs(lang, hashes, piece)
                 keys, n = np.unique(keys[same], return_counts=True)
-                yield pd.DataFrame({"lang": None, "word": None, "key": keys.view(np.int64), "n": n})
+                for at in _slices(len(keys)):
+                    yield pd.DataFrame({"lang": None, "word": None, "key": keys[at].view(np.int64), "n": n[at]})
     return docs.mapInPandas(run, "lang string, word string, key long, n long")
 
 
@@ -172,7 +182,8 @@ def suffixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 goes = goes & (at + i - 1 < len(same)) & same[np.minimum(at + i - 1, len(same) - 1)]
                 rows.append(np.where(goes, hashes[np.minimum(at + i, len(hashes) - 1)].view(np.int64), END))
             _, first, n = np.unique(combine([r.view(np.uint64) for r in rows]), return_index=True, return_counts=True)
-            yield pd.DataFrame({"lang": lang, **{k: r[first] for k, r in zip(names, rows)}, "n": n})
+            for part in _slices(len(first)):
+                yield pd.DataFrame({"lang": lang, **{k: r[first[part]] for k, r in zip(names, rows)}, "n": n[part]})
     return docs.mapInPandas(run, "lang string, " + ", ".join(f"{k} long" for k in names) + ", n long")
 
 
@@ -240,13 +251,15 @@ def collocations(docs: DataFrame, *, minimum: int = 100, inside_percent: int = 1
     ``minimum`` times at least, less those that lie in a longer one that occurs ``inside_percent`` as often at least;
     the first ``top`` of each language (None: all)."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    leads = leading_counts(docs).groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+    # Dealt out by key before the sums: the tasks have counted each buffer, another table of counts there would only take memory.
+    leads = leading_counts(docs).repartition("key").groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
     leads = written(leads.filter((F.col("n") >= minimum) | (F.col("lang").isNotNull() & F.col("word").isNull())), "leads")
     table = bit_table(leads.filter("lang is null"))
     phrases = written(phrase_counts(written(suffixes(docs, table), "suffixes"), minimum), "phrases")
 
     words = leads.filter("word is not null")
-    totals = leads.filter("lang is not null and word is null").select("lang", F.lit(True).alias("key"), "n")
+    totals = leads.filter("lang is not null and word is null").groupBy("lang").agg(F.sum("n").alias("n")).select(
+        "lang", F.lit(True).alias("key"), "n")
     counts = phrases.select("lang", F.col("words").alias("key"), "n").unionByName(
         words.select("lang", F.array("key").alias("key"), "n"))
 
