@@ -5,8 +5,8 @@ with every other one; a teacher with a third of all sessions would make that qua
 Instead intervals are listed in time buckets of a ladder of lengths: an interval belongs to the
 lowest level whose bucket is at least as long as itself, so it touches at most two buckets there. Of a
 pair, the one of the lower level is also listed at the other's level: the left side lists itself at
-its own level and all above it, the right side at its own (and the mirror image, for pairs whose right
-interval is the shorter one). The join key is (key, level, bucket) and the range test its residual. No
+its own level and those above it that occur on the right, the right side at its own (and the mirror image, for
+pairs whose right interval is the shorter one). The join key is (key, level, bucket) and the range test its residual. No
 interval is cut into many buckets, none is compared by key alone, and there is no switch by size.
 A pair that shares two buckets is kept once: in the bucket of ``max(a_start, b_start)``.
 """
@@ -45,6 +45,13 @@ def bucket_lists(start: str, end: str, bucket_s: int, *, own: str, above: str) -
     return F.flatten(F.filter(F.array(*entries), lambda x: x.isNotNull()))
 
 
+def _levels(df: DataFrame, start: str, end: str, bucket_s: int) -> list[int]:
+    """The levels that intervals of ``df`` have (LEVELS at most)."""
+    length = _epoch_s(F.col(end)) - _epoch_s(F.col(start))
+    level = sum((F.when(length > bucket_s * STEP ** i, 1).otherwise(0) for i in range(LEVELS - 1)), F.lit(0))
+    return sorted(r.level for r in df.select(level.alias("level")).distinct().collect() if r.level is not None)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], *,
                  left_start: str, left_end: str, right_start: str, right_end: str,
                  bucket_minutes: int = 240) -> DataFrame:
@@ -57,10 +64,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     b = bucket_minutes * 60
     left = left.filter(F.col(left_start) < F.col(left_end))
     right = right.filter(F.col(right_start) < F.col(right_end))
-    # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower.
-    ls = F.concat(bucket_lists(left_start, left_end, b, own="l", above="l"),
+    # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower. Above its own level an
+    # interval is listed only where the other side has intervals of that level, so a level without any has no rows.
+    on_left, on_right = (_levels(df, s, e, b) for df, s, e in ((left, left_start, left_end), (right, right_start, right_end)))
+    ls = F.concat(F.filter(bucket_lists(left_start, left_end, b, own="l", above="l"), lambda x: x["level"].isin(on_right)),
                   F.filter(bucket_lists(left_start, left_end, b, own="r", above="-"), lambda x: x["role"] == "r"))
-    rs = bucket_lists(right_start, right_end, b, own="l", above="r")
+    rs = F.filter(bucket_lists(right_start, right_end, b, own="l", above="r"),
+                  lambda x: (x["role"] == "l") | x["level"].isin(on_left))
     lb = left.withColumn("_l", F.explode(ls)).select(*left.columns, F.col("_l.role").alias("_lrole"),
                                                      F.col("_l.level").alias("_llevel"), F.col("_l.bucket").alias("_lb"))
     rb = right.withColumn("_r", F.explode(rs)).select(*right.columns, F.col("_r.role").alias("_rrole"),
