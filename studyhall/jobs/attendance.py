@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from studyhall.constants import CHECKIN_EARLY_MIN
 from studyhall.functions.exprs import first_failure, minutes, new_key, session_end, us_datetime
 from studyhall.functions.tokens import qr_code, qr_parts
-from studyhall.jobs.bookings import derived_seats
-from studyhall.operators.prefix import running_count
+from studyhall.jobs.bookings import batch_bookings
+from studyhall.operators.settle import Resource, settle_in_order
 from studyhall.operators.topn import is_first_in_group
 
 WALKIN_BOOKING_OFFSET = 3_000_000_000_000
@@ -97,17 +97,16 @@ def scan_outputs(t, decisions: DataFrame) -> dict[str, DataFrame]:
 def walk_in_attendance(t, requests: DataFrame) -> DataFrame:
     """JOB-05: per walk-in (request_id, student_id, session_id, center_id, amount_paid, requested_at):
     MISSING_FIELDS, SESSION_NOT_FOUND, FORBIDDEN, TOO_EARLY, OUTSIDE_TIME_WINDOW, STUDENT_NOT_FOUND,
-    ALREADY_BOOKED, FULL_OR_UNAVAILABLE (the seat trigger: not scheduled or no free seat). In a
-    batch: first request per (session, student) wins, then seats go in request order."""
+    ALREADY_BOOKED, FULL_OR_UNAVAILABLE (the seat trigger: not scheduled or no free seat), as if the walk-ins of
+    a batch came one by one in the order (requested_at, request_id)."""
     s = t["sessions"].select(F.col("id").alias("s_id"), F.col("center_id").alias("s_cid"), "scheduled_at",
                              "duration_min", "capacity", F.col("status").alias("s_status"))
     users = t["users"].select(F.col("id").alias("u_id"))
-    booked = (t["bookings"].select(F.col("session_id").alias("e_sid"), F.col("student_id").alias("e_stu"))
-              .distinct().withColumn("exists", F.lit(True)))
+    taken, booked = batch_bookings(t, requests)
     j = (requests.join(s, requests.session_id == s.s_id, "left")
          .join(users, requests.student_id == users.u_id, "left")
          .join(booked, (F.col("session_id") == F.col("e_sid")) & (F.col("student_id") == F.col("e_stu")), "left")
-         .join(derived_seats(t), F.col("session_id") == F.col("seat_sid"), "left"))
+         .join(taken, F.col("session_id") == F.col("seat_sid"), "left"))
     seats = F.coalesce(F.col("seats_taken"), F.lit(0))
     decision = first_failure([
         ("MISSING_FIELDS", F.col("student_id").isNull() | F.col("session_id").isNull()),
@@ -119,14 +118,12 @@ def walk_in_attendance(t, requests: DataFrame) -> DataFrame:
         ("FULL_OR_UNAVAILABLE", (F.col("s_status") != "scheduled") | (seats >= F.col("capacity"))),
     ])
     d = j.select("request_id", "student_id", "session_id", "center_id", "amount_paid", "requested_at",
-                 "capacity", seats.alias("seats"), decision.alias("decision"))
-    # in-batch: first request per (session, student); then seats in request order
-    d = is_first_in_group(d, ["session_id", "student_id"], ["requested_at", "request_id"], "_live",
-                          where=F.col("decision") == "OK")
-    d = running_count(d, ["session_id", "_live"], ["requested_at", "request_id"], "seat_rank")
-    d = d.withColumn("decision", F.when(F.col("decision") != "OK", F.col("decision")).when(~F.col("_live"), "ALREADY_BOOKED")
-                     .when(F.col("seat_rank") > F.col("capacity") - F.col("seats"), "FULL_OR_UNAVAILABLE")
-                     .otherwise("OK"))
+                 (F.col("capacity") - seats).alias("seats_left"), decision.alias("decision"))
+    d = settle_in_order(d, ["requested_at", "request_id"], [
+        Resource("once", ["session_id", "student_id"], F.lit(1), F.lit(1)),
+        Resource("seats", ["session_id"], F.lit(1), F.col("seats_left"))], where=F.col("decision") == "OK")
+    d = d.withColumn("decision", F.when((F.col("decision") != "OK") | F.col("accepted"), F.col("decision"))
+                     .when(F.col("short_once"), "ALREADY_BOOKED").otherwise("FULL_OR_UNAVAILABLE"))
     return d.select(
         "request_id", "student_id", "session_id", "center_id", "amount_paid", "requested_at", "decision")
 

@@ -23,12 +23,6 @@ from studyhall.plans.wallet import balances_by_user
 BOOKING_ID_OFFSET = 2_000_000_000_000
 
 
-def derived_seats(t) -> DataFrame:
-    """C2: seats taken = non-cancelled bookings per session (never the stored counter)."""
-    return (t["bookings"].filter(F.col("status") != "cancelled")
-            .groupBy(F.col("session_id").alias("seat_sid")).agg(F.count(F.lit(1)).alias("seats_taken")))
-
-
 def _in_batch(facts: DataFrame, requests: DataFrame, **columns: str) -> DataFrame:
     """The facts about the batch: rows whose columns (fact column=request column) occur together in ``requests``."""
     keys = requests.select(*[F.col(c).alias(f"_b_{c}") for c in columns.values()]).distinct()
@@ -36,6 +30,18 @@ def _in_batch(facts: DataFrame, requests: DataFrame, **columns: str) -> DataFram
     return facts.join(keys, reduce(lambda a, b: a & b, same), "left_semi")
 
 
+def batch_bookings(t, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the bookings say about a batch: seats taken per session asked for (seat_sid, seats_taken: C2, non-cancelled bookings,
+    never the stored counter), and the pairs asked for that are booked already, in any status (e_sid, e_stu, exists)."""
+    facts = t["bookings"].select("session_id", "student_id", "status")
+    taken = (_in_batch(facts.filter(F.col("status") != "cancelled"), requests, session_id="session_id")
+             .groupBy(F.col("session_id").alias("seat_sid")).agg(F.count(F.lit(1)).alias("seats_taken")))
+    booked = (_in_batch(facts, requests, session_id="session_id", student_id="student_id")
+              .select(F.col("session_id").alias("e_sid"), F.col("student_id").alias("e_stu")).distinct()
+              .withColumn("exists", F.lit(True)))
+    return taken, booked
+
+
 def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
     """JOB-01 decisions: request_id, session_id, student_id, price, decision, as if the requests of the batch came
     one by one in the order (requested_at, request_id).
@@ -48,12 +54,7 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
     now = ts_lit(as_of)
     s = t["sessions"].select(F.col("id").alias("s_id"), "center_id", "price", "capacity",
                              F.col("status").alias("s_status"), "scheduled_at")
-    facts = t["bookings"].select("session_id", "student_id", "status")
-    taken = (_in_batch(facts.filter(F.col("status") != "cancelled"), requests, session_id="session_id")
-             .groupBy(F.col("session_id").alias("seat_sid")).agg(F.count(F.lit(1)).alias("seats_taken")))
-    booked = (_in_batch(facts, requests, session_id="session_id", student_id="student_id")
-              .select(F.col("session_id").alias("e_sid"), F.col("student_id").alias("e_stu")).distinct()
-              .withColumn("exists", F.lit(True)))
+    taken, booked = batch_bookings(t, requests)
     ledger = _in_batch(t["wallet_transactions"], requests, user_id="student_id")
     bal = balances_by_user(ledger, "spendable").withColumnRenamed("user_id", "bal_uid")
     r = (requests.join(s, requests.session_id == s.s_id, "left")

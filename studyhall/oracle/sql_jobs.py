@@ -196,10 +196,12 @@ SQL = {
                FROM live WHERE rn = 1)
     SELECT request_id, student_id, session_id, center_id, amount_paid, requested_at, decision FROM r
     WHERE decision <> 'OK'
-    UNION ALL SELECT request_id, student_id, session_id, center_id, amount_paid, requested_at, 'ALREADY_BOOKED'
-    FROM live WHERE rn > 1
     UNION ALL SELECT request_id, student_id, session_id, center_id, amount_paid, requested_at,
-        CASE WHEN seat_rank > capacity - seats THEN 'FULL_OR_UNAVAILABLE' ELSE 'OK' END FROM comp""",
+        CASE WHEN seat_rank <= capacity - seats THEN 'OK' ELSE 'FULL_OR_UNAVAILABLE' END FROM comp
+    -- a repeat finds the first one booked, or the session still full
+    UNION ALL SELECT l.request_id, l.student_id, l.session_id, l.center_id, l.amount_paid, l.requested_at,
+        CASE WHEN c.seat_rank <= c.capacity - c.seats THEN 'ALREADY_BOOKED' ELSE 'FULL_OR_UNAVAILABLE' END
+    FROM live l JOIN comp c ON c.session_id = l.session_id AND c.student_id = l.student_id WHERE l.rn > 1""",
     "session_overlap_pairs": PAIRS,
     "session_conflicts": CONFLICTS,
     "validate_sessions": _validate_sessions_sql(),
