@@ -9,7 +9,7 @@ from studyhall.constants import NEARBY_KM, PAGE_DISCOVERY, SEARCH_CAP, SEARCH_KM
 from studyhall.functions.exprs import (
     array_text_ilike, has_value, ilike_any, optional_filters, prune_months, ts_lit,
 )
-from studyhall.functions.geo import haversine_km, within_km
+from studyhall.functions.geo import geodesic_km, haversine_km, within_km
 from studyhall.operators.geojoin import within_radius_join
 from studyhall.operators.nearest import nearest_places
 from studyhall.operators.prefix import running_count
@@ -42,6 +42,13 @@ def nearby_centers(t, *, lat: float, lng: float, km: float = NEARBY_KM, page_no:
     return page(_nearby(t, lat, lng, km), [pg_asc("distance_km")], limit, page_of(page_no, limit))
 
 
+def nearby_centers_geodesic(t, *, lat: float, lng: float, km: float = NEARBY_KM) -> DataFrame:
+    """Q-13 with the reference's own distance, the geodesic on the ellipsoid: all active centres within ``km``."""
+    _check_point(lat, lng)
+    c = t["centers"].filter(F.col("is_active") & within_km("lat", "lng", lat, lng, km, "geodesic"))
+    return c.select(*CENTER_COLS, F.round(geodesic_km("lat", "lng", lat, lng), 6).alias("distance_km"))
+
+
 def nearby_centers_count(t, *, lat: float, lng: float, km: float = NEARBY_KM) -> DataFrame:
     """Q-13 total."""
     return _nearby(t, lat, lng, km).agg(F.count(F.lit(1)).alias("total"))

@@ -84,6 +84,8 @@ def _entries() -> dict[str, tuple[Callable, str | None]]:
                                  D["nearby_centers_count"]),
         "student_nearby_centers": (lambda t: discovery.student_nearby_centers(t, km=25.0),
                                    D["student_nearby_centers"]),
+        "nearby_centers_geodesic": (lambda t: discovery.nearby_centers_geodesic(t, lat=plat, lng=plng, km=250.0),
+                                    D["nearby_centers_geodesic"]),
         "center_detail_pages": (discovery.center_detail_pages, D["center_detail_pages"]),
         "teacher_detail_pages": (discovery.teacher_detail_pages, D["teacher_detail_pages"]),
         "payload_summary": (lambda t: admin.payload_summary(admin.cut_payloads(t)), A["payload_summary"]),
