@@ -67,14 +67,14 @@ def admit_bookings(t, requests: DataFrame, *, as_of=SESSION_AS_OF) -> DataFrame:
         ("NOT_AVAILABLE", F.col("s_status") != "scheduled"),
         ("SESSION_FULL", seats >= F.col("capacity")),
         ("ALREADY_STARTED", F.col("scheduled_at") <= now),
-        ("ALREADY_BOOKED", F.col("exists")),
     ])
+    # Who has a booking already may have no further one; whether the session is full by their turn is checked first.
     r = r.select("request_id", "session_id", "student_id", "requested_at", "price",
-                 (F.col("capacity") - seats).alias("seats_left"),
+                 (F.col("capacity") - seats).alias("seats_left"), F.when(F.col("exists"), 0).otherwise(1).alias("bookings_left"),
                  F.coalesce(F.col("balance"), F.lit(0)).alias("balance"), static.alias("static"))
     r = settle_in_order(r, ["requested_at", "request_id"], [
         Resource("seats", ["session_id"], F.lit(1), F.col("seats_left")),
-        Resource("once", ["session_id", "student_id"], F.lit(1), F.lit(1)),
+        Resource("once", ["session_id", "student_id"], F.lit(1), F.col("bookings_left")),
         Resource("purse", ["student_id"], F.col("price"), F.col("balance"))], where=F.col("static") == "OK")
     decision = (F.when(F.col("static") != "OK", F.col("static")).when(F.col("accepted"), F.lit("OK"))
                 .when(F.col("short_seats"), F.lit("SESSION_FULL")).when(F.col("short_once"), F.lit("ALREADY_BOOKED"))

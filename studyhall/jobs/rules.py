@@ -34,11 +34,14 @@ MAX_LENGTH: dict[str, dict[str, int]] = {
     "rooms": {"name": 200, "grade_level": 50, "subject": 100, "access_code": 20},
     "teacher_content": {"title": 255},
     "content_items": {"title": 255},
-    "wallet_transactions": {"reference_type": 50, "payment_method": 50},
+    "wallet_transactions": {"reference_type": 50, "payment_method": 50, "external_ref": 255},
     "notifications": {"title": 255},
     "audit_logs": {"action": 100, "entity_type": 50},
 }
 
+# Columns of the schema that the derived tables do not have (a rule holds where its column exists).
+NOT_DERIVED = {("wallet_transactions", "external_ref")}
+
 ENUMS: dict[str, dict[str, tuple]] = {
     "users": {"role": ROLES},
     "sessions": {"status": SESSION_STATUSES},

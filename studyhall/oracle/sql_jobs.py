@@ -91,8 +91,8 @@ SQL = {
                s.capacity - COALESCE(st.seats_taken, 0) AS seats_left, COALESCE(bal.balance, 0) AS balance,
                CASE WHEN s.id IS NULL THEN 'NOT_FOUND' WHEN s.status <> 'scheduled' THEN 'NOT_AVAILABLE'
                     WHEN COALESCE(st.seats_taken, 0) >= s.capacity THEN 'SESSION_FULL'
-                    WHEN s.scheduled_at <= {AS_OF} THEN 'ALREADY_STARTED'
-                    WHEN ex.e IS NOT NULL THEN 'ALREADY_BOOKED' ELSE 'OK' END AS static
+                    WHEN s.scheduled_at <= {AS_OF} THEN 'ALREADY_STARTED' ELSE 'OK' END AS static,
+               ex.e IS NOT NULL AS booked
         FROM booking_requests q LEFT JOIN sessions s ON s.id = q.session_id
         LEFT JOIN {SEATS} st ON st.session_id = q.session_id
         LEFT JOIN {BOOKED} ex ON ex.session_id = q.session_id AND ex.student_id = q.student_id
@@ -107,7 +107,7 @@ SQL = {
                                                                 'p': CAST(price AS DECIMAL(18,2))}}) ELSE granted END, d
         FROM (SELECT l.i, l.session_id, l.student_id, l.price, o.granted,
                      CASE WHEN len(list_filter(o.granted, lambda x: x.s = l.session_id)) >= l.seats_left THEN 'SESSION_FULL'
-                          WHEN len(list_filter(o.granted, lambda x: x.s = l.session_id AND x.u = l.student_id)) > 0
+                          WHEN l.booked OR len(list_filter(o.granted, lambda x: x.s = l.session_id AND x.u = l.student_id)) > 0
                                THEN 'ALREADY_BOOKED'
                           WHEN l.balance - COALESCE(list_sum(list_transform(list_filter(o.granted,
                                lambda x: x.u = l.student_id), lambda x: x.p)), 0) < l.price THEN 'INSUFFICIENT_BALANCE'
@@ -354,7 +354,7 @@ def _check_constraints_sql() -> str:
         p += [row(table, f"not_null({col})", named(table), "NULL", table, f"{col} IS NULL") for col in cols]
     for table, lengths in rules.MAX_LENGTH.items():
         p += [row(table, f"check(length({col})<={n})", named(table), "NULL", table, f"length({col}) > {n}")
-              for col, n in lengths.items()]
+              for col, n in lengths.items() if (table, col) not in rules.NOT_DERIVED]
     for table, keys in rules.UNIQUE.items():
         for cols in keys:
             cl = ", ".join(cols)

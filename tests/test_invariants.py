@@ -39,7 +39,7 @@ def test_every_request_gets_exactly_one_decision(spark, tables):
 def test_seats_never_exceed_capacity_after_admission(spark, tables):
     d = B.admit_bookings(tables, R.booking_requests(tables))
     new = d.filter(F.col("decision") == "OK").groupBy("session_id").agg(F.count(F.lit(1)).alias("new"))
-    seats = B.derived_seats(tables)
+    seats, _ = B.batch_bookings(tables, R.booking_requests(tables))
     s = tables["sessions"].select(F.col("id").alias("session_id"), "capacity")
     j = (new.join(s, "session_id").join(seats, F.col("session_id") == F.col("seat_sid"), "left")
          .select((F.coalesce("seats_taken", F.lit(0)) + F.col("new") - F.col("capacity")).alias("over")))

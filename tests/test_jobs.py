@@ -52,14 +52,16 @@ def test_admit_two_requests_for_the_last_seat_and_one_purse(spark, frames):
     req = spark.createDataFrame([
         (1, 1, 100, at(-300)),   # first for the last free seat (capacity 2, one taken)
         (2, 1, 101, at(-200)),   # too late for a seat
-        (3, 1, 100, at(-100)),   # duplicate of request 1
+        (3, 1, 100, at(-100)),   # duplicate of request 1: it finds the session full, which is checked first
         (4, 2, 101, at(-100)),   # completed session
         (5, 9, 101, at(-100)),   # unknown session
-        (6, 1, 103, at(-100)),   # already booked
+        (6, 1, 103, at(-100)),   # already booked, but full by then
     ], "request_id long, session_id long, student_id long, requested_at timestamp_ntz")
     got = decide(bookings.admit_bookings(t, req, as_of=AS_OF))
-    assert got == {1: "OK", 2: "SESSION_FULL", 3: "ALREADY_BOOKED", 4: "NOT_AVAILABLE", 5: "NOT_FOUND",
-                   6: "ALREADY_BOOKED"}
+    assert got == {1: "OK", 2: "SESSION_FULL", 3: "SESSION_FULL", 4: "NOT_AVAILABLE", 5: "NOT_FOUND",
+                   6: "SESSION_FULL"}
+    spare = spark.createDataFrame([(6, 1, 103, at(-400)), (7, 1, 100, at(-300)), (8, 1, 100, at(-200))], req.schema)
+    assert decide(bookings.admit_bookings(t, spare, as_of=AS_OF)) == {6: "ALREADY_BOOKED", 7: "OK", 8: "SESSION_FULL"}
 
 
 def test_admit_running_balance_excludes_transfer(spark, frames):
@@ -565,3 +567,14 @@ def test_registrations_equal_one_by_one(spark, seed):
             phones.add(p)
     mail, _ = rooms._first_accepted(spark.createDataFrame(rows, "candidate_id long, email string, phone string"))
     assert sorted(r.m_id for r in mail.collect()) == want
+
+
+def test_length_rules_hold_where_the_column_exists(spark, tables):
+    class More:
+        def __getitem__(self, name):
+            df = tables[name]
+            if name != "wallet_transactions":
+                return df
+            return df.withColumn("external_ref", F.when(F.col("id") == 5, F.repeat(F.lit("x"), 256)).otherwise(F.lit("ok")))
+    bad = maintenance.check_constraints(More()).filter("rule like '%external_ref%'").collect()
+    assert [(r.table_name, r.row_key) for r in bad] == [("wallet_transactions", "5")]

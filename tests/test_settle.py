@@ -13,8 +13,8 @@ T0 = dt.datetime(1998, 7, 1, 12, 0)
 SOON = dt.datetime(1998, 7, 9, 12, 0)
 
 
-def one_by_one(requests, seats, purse):
-    seats, purse, have, out = dict(seats), dict(purse), set(), {}
+def one_by_one(requests, seats, purse, booked=()):
+    seats, purse, have, out = dict(seats), dict(purse), set(booked), {}
     for at, rid, s, u, price in sorted(requests):
         if seats[s] < 1:
             out[rid] = "SESSION_FULL"
@@ -30,12 +30,13 @@ def one_by_one(requests, seats, purse):
     return out
 
 
-def marketplace(spark, frames, requests, seats, purse, prices):
+def marketplace(spark, frames, requests, seats, purse, prices, booked=()):
     t = frames()
     t["sessions"] = spark.createDataFrame(
         [(s, 1, prices[s], seats[s], "scheduled", SOON) for s in seats],
         "id long, center_id long, price decimal(10,2), capacity int, status string, scheduled_at timestamp_ntz")
-    t["bookings"] = spark.createDataFrame([], "id long, session_id long, student_id long, status string")
+    t["bookings"] = spark.createDataFrame([(i, s, u, "cancelled") for i, (s, u) in enumerate(booked)],
+                                          "id long, session_id long, student_id long, status string")
     t["wallet_transactions"] = spark.createDataFrame(
         [(u, "deposit", "completed", b) for u, b in purse.items()],
         "user_id long, type string, status string, amount decimal(12,2)")
@@ -72,7 +73,8 @@ def test_admission_equals_one_by_one(spark, frames, seed):
     for i in range(200):
         s, u = min(rng.randrange(n_s), rng.randrange(n_s)), min(rng.randrange(n_u), rng.randrange(n_u))
         req.append((T0 + dt.timedelta(minutes=rng.randrange(40)), i, s, u, prices[s]))
-    assert decided(*marketplace(spark, frames, req, seats, purse, prices)) == one_by_one(req, seats, purse)
+    booked = {(rng.randrange(n_s), rng.randrange(n_u)) for _ in range(60)}
+    assert decided(*marketplace(spark, frames, req, seats, purse, prices, booked)) == one_by_one(req, seats, purse, booked)
 
 
 def test_one_crowded_session_takes_few_rounds(spark, frames, monkeypatch):
