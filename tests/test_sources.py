@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from studyhall.session import configure
 from studyhall.sources import tables as S
 from studyhall.sources.fixtures import DOMAIN_TABLES
 
@@ -72,3 +73,13 @@ def test_operators_on_the_partitioned_deployment_layout(spark, tables):
     for op in ops:
         a, b = op(tables), op(loaded)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect())), op
+
+
+def test_packed_parquet_is_not_taken_for_a_small_table(spark, tmp_path):
+    # Millions of narrow rows in a few MB of files: not broadcast by the guess from the files' bytes.
+    path = str(tmp_path / "facts")
+    spark.range(4_000_000).selectExpr("id", "id % 7 as k", "'completed' as status").write.parquet(path)
+    facts = configure(spark).read.parquet(path)
+    other = facts.select(F.col("id").alias("o_id"), "k")
+    plan = other.join(facts.select("id", F.lit(1).alias("one")), F.col("o_id") == F.col("id"))._jdf.queryExecution()
+    assert "Broadcast" not in plan.sparkPlan().toString()
