@@ -122,17 +122,23 @@ def append(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     return df
 
 
-def write_snapshot(df: DataFrame, path: str, table: str | None = None) -> str:
+def cluster_by_month(df: DataFrame, at: Column | str) -> DataFrame:
+    """``df`` rebalanced by the month of ``at``: small months go to one task together, a large one is split over many by its
+    measured size."""
+    return df.withColumn("_month", month_of(at)).hint("rebalance", F.col("_month")).drop("_month")
+
+
+def write_snapshot(df: DataFrame, path: str, table: str | None = None, *, clustered: bool = False) -> str:
     """SNK-02: write a new snapshot of a table (the result of a merge by join) to a fresh folder.
 
     Readers switch to the new folder after the write succeeded; the old snapshot stays intact
-    until then, so a failed job never leaves a half-updated table. Rows are rebalanced by month: small months are
-    written by one task together, a large one is split over many tasks and files by its measured size.
+    until then, so a failed job never leaves a half-updated table. Rows are rebalanced by month (``cluster_by_month``)
+    unless they are ``clustered`` so already.
     """
     if table in MONTH_PARTITIONED:
         mc = month_column(table)
-        rows = df.withColumn(mc, month_of(MONTH_PARTITIONED[table]))
-        rows.hint("rebalance", F.col(mc)).write.mode("overwrite").partitionBy(mc).parquet(path)
+        rows = df if clustered else cluster_by_month(df, MONTH_PARTITIONED[table])
+        rows.withColumn(mc, month_of(MONTH_PARTITIONED[table])).write.mode("overwrite").partitionBy(mc).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from studyhall.session import configure
 from studyhall.sources import tables as S
-from studyhall.sources.fixtures import DOMAIN_TABLES
+from studyhall.sources.fixtures import DOMAIN_TABLES, Fixtures, StoredFixtures
 
 
 def test_materialize_and_load_with_fixed_schemas(spark, tables):
@@ -83,3 +83,12 @@ def test_packed_parquet_is_not_taken_for_a_small_table(spark, tmp_path):
     other = facts.select(F.col("id").alias("o_id"), "k")
     plan = other.join(facts.select("id", F.lit(1).alias("one")), F.col("o_id") == F.col("id"))._jdf.queryExecution()
     assert "Broadcast" not in plan.sparkPlan().toString()
+
+
+def test_facts_are_clustered_by_month_before_their_texts_are_built(spark, tables, tmp_path):
+    fx = StoredFixtures(spark, tables.sf_dir, str(tmp_path))
+    for name, text in (("bookings", "qr_code"), ("sessions", "grade_level"), ("wallet_transactions", "description")):
+        frame = Fixtures.__getitem__(fx, name)
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan.split("RebalancePartitions")
+        assert text in above and text not in below, name
