@@ -290,3 +290,13 @@ def test_overlap_join_with_long_intervals(spark):
     brute = sorted((r.lid, r.rid) for r in left.crossJoin(right).filter(
         "lk = rk AND ls < re AND rs < le").collect())
     assert got == brute == [(1, 10), (1, 11), (2, 10), (2, 11), (2, 12), (3, 12)]
+
+
+def test_booking_pages_shuffle_the_bookings_before_they_are_wide(tables):
+    # The stored bookings are joined last, to sessions that have their teacher and centre; a teacher or centre is never looked up
+    # for each booking.
+    from studyhall.plans.center import student_bookings_summary
+    from studyhall.plans.rooms import booking_history
+    for frame in (booking_history(tables), student_bookings_summary(tables)):
+        joins = [line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+        assert "session_id" in joins[0], joins
