@@ -92,3 +92,13 @@ def test_facts_are_clustered_by_month_before_their_texts_are_built(spark, tables
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         above, below = plan.split("RebalancePartitions")
         assert text in above and text not in below, name
+
+
+def test_broadcasts_stay_small_as_measured(spark):
+    """A side of 16 MB of rows, known only once it has run, is not collected on the driver."""
+    few = spark.range(1_000_000).groupBy((F.col("id") * 7).alias("k")).agg(F.count("*").alias("n"))
+    many = spark.range(1_500_000).groupBy((F.col("id") * 3).alias("j")).agg(F.count("*").alias("m"))
+    rows = many.join(few, F.col("j") == F.col("k")).agg(F.count("*").alias("rows"))
+    assert rows.collect()[0].rows == 214_286
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
