@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from studyhall.constants import SESSION_AS_OF
 from studyhall.functions.exprs import first_failure, session_end, ts_lit
-from studyhall.operators.overlap import bucket_lists, overlap_join
+from studyhall.operators.overlap import bucket_lists, levels_of, overlap_join
 from studyhall.operators.sweep import earliest_overlap
 from studyhall.session import stored
 
@@ -96,8 +96,10 @@ def first_come(live: DataFrame) -> DataFrame:
     accepted = None
     while True:
         rows = _by_resource(undecided, "teacher_id", "center_id", "grade_level", "").filter(F.col("start") < F.col("end"))
+        # A level that no undecided interval has owns no bucket: nobody visits it.
+        levels = levels_of(undecided.filter(F.col("start") < F.col("end")), "start", "end", BUCKET_MINUTES * 60)
         listed = rows.select("candidate_id", "kind", "a", "b", F.explode(
-            bucket_lists("start", "end", BUCKET_MINUTES * 60, own="own", above="above")).alias("e"))
+            bucket_lists("start", "end", BUCKET_MINUTES * 60, own="own", above="above", above_at=levels)).alias("e"))
         listed = listed.select("candidate_id", "kind", "a", "b", "e.role", "e.level", "e.bucket")
         place = ["kind", "a", "b", "level", "bucket"]
         owners = listed.filter("role = 'own'").groupBy(*place).agg(F.min("candidate_id").alias("first_owner"))

@@ -27,12 +27,13 @@ def _epoch_s(c: Column) -> Column:
     return F.unix_seconds(c.cast("timestamp"))
 
 
-def bucket_lists(start: str, end: str, bucket_s: int, *, own: str, above: str) -> Column:
-    """Array of (role, level, bucket): role ``own`` at the interval's level, ``above`` at higher ones
-    (both at the own level if the roles are the same)."""
+def bucket_lists(start: str, end: str, bucket_s: int, *, own: str | None, above: str | None,
+                 own_at: Sequence[int] = range(LEVELS), above_at: Sequence[int] = range(LEVELS)) -> Column:
+    """Array of (role, level, bucket): role ``own`` at the interval's level, ``above`` at higher ones, each only at the
+    levels of ``own_at`` and ``above_at`` (None: not at all)."""
     s, e = _epoch_s(F.col(start)), _epoch_s(F.col(end))
     last = F.greatest(e, s + 1) - 1
-    entries = []
+    entries = [F.lit(None).cast("array<struct<role:string,level:int,bucket:bigint>>")]
     for level in range(LEVELS):
         size = bucket_s * STEP ** level
         fits = (e - s <= size) if level < LEVELS - 1 else F.lit(True)
@@ -41,11 +42,12 @@ def bucket_lists(start: str, end: str, bucket_s: int, *, own: str, above: str) -
         def at(role: str, when: Column, level=level, buckets=buckets) -> Column:
             return F.when(when, F.transform(buckets, lambda b: F.struct(
                 F.lit(role).alias("role"), F.lit(level).alias("level"), b.alias("bucket"))))
-        entries += [at(own, fits & ~lower), at(above, lower)]
+        entries += [at(own, fits & ~lower)] if own and level in own_at else []
+        entries += [at(above, lower)] if above and level and level in above_at else []
     return F.flatten(F.filter(F.array(*entries), lambda x: x.isNotNull()))
 
 
-def _levels(df: DataFrame, start: str, end: str, bucket_s: int) -> list[int]:
+def levels_of(df: DataFrame, start: str, end: str, bucket_s: int) -> list[int]:
     """The levels that intervals of ``df`` have (LEVELS at most)."""
     length = _epoch_s(F.col(end)) - _epoch_s(F.col(start))
     level = sum((F.when(length > bucket_s * STEP ** i, 1).otherwise(0) for i in range(LEVELS - 1)), F.lit(0))
@@ -64,13 +66,14 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     b = bucket_minutes * 60
     left = left.filter(F.col(left_start) < F.col(left_end))
     right = right.filter(F.col(right_start) < F.col(right_end))
-    # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower. Above its own level an
-    # interval is listed only where the other side has intervals of that level, so a level without any has no rows.
-    on_left, on_right = (_levels(df, s, e, b) for df, s, e in ((left, left_start, left_end), (right, right_start, right_end)))
-    ls = F.concat(F.filter(bucket_lists(left_start, left_end, b, own="l", above="l"), lambda x: x["level"].isin(on_right)),
-                  F.filter(bucket_lists(left_start, left_end, b, own="r", above="-"), lambda x: x["role"] == "r"))
-    rs = F.filter(bucket_lists(right_start, right_end, b, own="l", above="r"),
-                  lambda x: (x["role"] == "l") | x["level"].isin(on_left))
+    # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower. An interval is listed
+    # in a role only at levels where the other side has intervals that it can meet in that role.
+    on_left, on_right = (levels_of(df, s, e, b) for df, s, e in ((left, left_start, left_end), (right, right_start, right_end)))
+    under = [x for x in range(LEVELS) if any(y < x for y in on_right)]
+    ls = F.concat(bucket_lists(left_start, left_end, b, own="l", above="l", own_at=on_right, above_at=on_right),
+                  bucket_lists(left_start, left_end, b, own="r", above=None, own_at=under))
+    met = [x for x in range(LEVELS) if any(y <= x for y in on_left)]
+    rs = bucket_lists(right_start, right_end, b, own="l", above="r", own_at=met, above_at=on_left)
     lb = left.withColumn("_l", F.explode(ls)).select(*left.columns, F.col("_l.role").alias("_lrole"),
                                                      F.col("_l.level").alias("_llevel"), F.col("_l.bucket").alias("_lb"))
     rb = right.withColumn("_r", F.explode(rs)).select(*right.columns, F.col("_r.role").alias("_rrole"),

@@ -300,3 +300,14 @@ def test_booking_pages_shuffle_the_bookings_before_they_are_wide(tables):
     for frame in (booking_history(tables), student_bookings_summary(tables)):
         joins = [line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
         assert "session_id" in joins[0], joins
+
+
+def test_overlap_lists_only_roles_that_the_other_side_can_meet(spark):
+    """Intervals of one level on both sides are listed in one role, not in two."""
+    left = spark.createDataFrame([(1, 7, ts(0), ts(60)), (2, 7, ts(500), ts(530))],
+                                 "lid long, lk long, ls timestamp_ntz, le timestamp_ntz")
+    right = spark.createDataFrame([(10, 7, ts(30), ts(90))], "rid long, rk long, rs timestamp_ntz, re timestamp_ntz")
+    pairs = overlap_join(left, right, [("lk", "rk")], left_start="ls", left_end="le", right_start="rs", right_end="re")
+    assert [(r.lid, r.rid) for r in pairs.collect()] == [(1, 10)]
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    assert "struct(role, l, level" in plan and "struct(role, r, level" not in plan
