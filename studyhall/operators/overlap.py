@@ -69,7 +69,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, st
     # Role "l": the left interval is of the lower or the same level; role "r": the right one is lower. An interval is listed
     # in a role only at levels where the other side has intervals that it can meet in that role.
     on_left, on_right = (levels_of(df, s, e, b) for df, s, e in ((left, left_start, left_end), (right, right_start, right_end)))
-    under = [x for x in range(LEVELS) if any(y < x for y in on_right)]
+    under = [x for x in on_left if any(y < x for y in on_right)]
     ls = F.concat(bucket_lists(left_start, left_end, b, own="l", above="l", own_at=on_right, above_at=on_right),
                   bucket_lists(left_start, left_end, b, own="r", above=None, own_at=under))
     met = [x for x in range(LEVELS) if any(y <= x for y in on_left)]
