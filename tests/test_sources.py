@@ -102,3 +102,13 @@ def test_broadcasts_stay_small_as_measured(spark):
     assert rows.collect()[0].rows == 214_286
     plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_measured_sides_of_megabytes_are_not_broadcast(spark):
+    """6 MB of rows, a dozen of which a job in rounds would hold as hash tables on the driver."""
+    few = spark.range(250_000).groupBy((F.col("id") * 7).alias("k")).agg(F.count("*").alias("n"))
+    many = spark.range(1_500_000).groupBy((F.col("id") * 3).alias("j")).agg(F.count("*").alias("m"))
+    rows = many.join(few, F.col("j") == F.col("k")).agg(F.count("*").alias("rows"))
+    assert rows.collect()[0].rows == 83_334
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
