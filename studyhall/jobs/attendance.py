@@ -13,7 +13,8 @@ from studyhall.functions.exprs import first_failure, minutes, new_key, session_e
 from studyhall.functions.tokens import qr_code, qr_parts
 from studyhall.jobs.bookings import batch_bookings
 from studyhall.operators.settle import Resource, settle_in_order
-from studyhall.operators.topn import is_first_in_group
+from studyhall.operators.topn import earliest_ok
+from studyhall.session import stored
 
 WALKIN_BOOKING_OFFSET = 3_000_000_000_000
 
@@ -30,41 +31,65 @@ def _window_checks(at: str) -> list:
     ]
 
 
-def validate_scans(t, scans: DataFrame) -> DataFrame:
+def scannable_bookings(t) -> DataFrame:
+    """The bookings a scan can hit: of a known student and a known session, with the session's centre and times, and their
+    status as ``b_refused``: 1 attended, 2 not confirmed, else NULL.
+
+    The unknown students are looked up by their distinct ids, so that the bookings themselves, with their codes, are not dealt
+    by student: few unknown ones are broadcast."""
+    refused = F.when(F.col("status") == "attended", 1).when(F.col("status") != "confirmed", 2).cast("tinyint")
+    b = t["bookings"].filter("student_id is not null").select(
+        F.col("id").alias("booking_id"), F.col("qr_code").alias("b_qr"), F.col("student_id"), refused.alias("b_refused"),
+        F.col("session_id").alias("b_sid"))
+    users = t["users"].select(F.col("id").alias("u_id"))
+    unknown = stored(b.select(F.col("student_id").alias("x_id")).distinct().join(users, F.col("x_id") == F.col("u_id"), "left_anti"))
+    return (b.join(unknown, F.col("student_id") == F.col("x_id"), "left_anti")
+            .join(t["sessions"].select(F.col("id").alias("bs_id"), F.col("center_id").alias("b_cid"), "scheduled_at",
+                                       "duration_min"), F.col("b_sid") == F.col("bs_id")).drop("b_sid", "bs_id"))
+
+
+def validate_scans(t, scans: DataFrame, *, bookings: DataFrame | None = None, attended: DataFrame | None = None) -> DataFrame:
     """JOB-04: per scan: QR_REQUIRED, BAD_FORMAT, SESSION_NOT_FOUND, FORBIDDEN (session of another
     centre), BOOKING_NOT_FOUND, FORBIDDEN (booking of another centre), ALREADY_ATTENDED,
     INVALID_STATUS (not confirmed), TOO_EARLY, OUTSIDE_TIME_WINDOW, else OK. A second OK scan of
-    the same booking in the batch is ALREADY_ATTENDED."""
+    the same booking in the batch is ALREADY_ATTENDED.
+
+    A caller with many batches passes ``scannable_bookings(t)`` as ``bookings`` and, as ``attended`` (booking_id), the bookings
+    accepted by earlier batches. The scans are stored after their session is looked up, and the decisions before the batch's second
+    scans are found, in which only accepted scans take part: each step's shuffle files are gone when the next one begins."""
     ok_fmt, _student_txt, session_txt = qr_parts("qr_code")
     sess = t["sessions"].select(F.col("id").alias("q_sid"), F.col("center_id").alias("q_cid"))
     # the key type is whatever the sessions table uses (UUID text or numbers): no key parsing
     sc = scans.withColumn("_fmt", ok_fmt).withColumn("_sid", session_txt.try_cast(sess.schema["q_sid"].dataType))
-    bk = (t["bookings"].select(F.col("id").alias("booking_id"), F.col("qr_code").alias("b_qr"),
-                               F.col("student_id"), F.col("status").alias("b_status"), F.col("session_id").alias("b_sid"))
-          .join(t["users"].select(F.col("id").alias("u_id")), F.col("student_id") == F.col("u_id"), "left_semi")
-          .join(t["sessions"].select(F.col("id").alias("bs_id"), F.col("center_id").alias("b_cid"), "scheduled_at",
-                                     "duration_min"), F.col("b_sid") == F.col("bs_id")))
-    j = (sc.join(sess, sc._sid == sess.q_sid, "left")
-         .join(bk, sc.qr_code == bk.b_qr, "left"))
-    decision = first_failure([
+    bk = scannable_bookings(t) if bookings is None else bookings
+    by_session = first_failure([
         ("QR_REQUIRED", F.col("qr_code").isNull() | (F.col("qr_code") == "")),
         ("BAD_FORMAT", ~F.col("_fmt")),
         ("SESSION_NOT_FOUND", F.col("q_sid").isNull()),
         ("FORBIDDEN", F.col("q_cid") != F.col("center_id")),
+    ])
+    sc = stored(sc.join(sess, sc._sid == sess.q_sid, "left").select(
+        "scan_id", "qr_code", "center_id", "scanned_at", F.nullif(by_session, F.lit("OK")).alias("_refused")))
+    by_booking = first_failure([
         ("BOOKING_NOT_FOUND", F.col("booking_id").isNull()),
         ("FORBIDDEN", F.col("b_cid") != F.col("center_id")),
-        ("ALREADY_ATTENDED", F.col("b_status") == "attended"),
-        ("INVALID_STATUS", F.col("b_status") != "confirmed"),
+        ("ALREADY_ATTENDED", F.col("b_refused") == 1),
+        ("INVALID_STATUS", F.col("b_refused") == 2),
         *_window_checks("scanned_at"),
     ])
-    d = j.select("scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
-                 decision.alias("decision"), (decision == "OK").alias("_ok"))
-    # a second accepted scan of one booking in the batch; refused scans (often without a booking)
-    # take no part
-    d = is_first_in_group(d, ["booking_id"], ["scanned_at", "scan_id"], where=F.col("_ok"))
-    return d.select("scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
-                    F.when(F.col("_ok") & ~F.col("_is_first"), "ALREADY_ATTENDED")
-                    .otherwise(F.col("decision")).alias("decision"))
+    d = stored(sc.join(bk, F.col("qr_code") == F.col("b_qr"), "left").select(
+        "scan_id", "qr_code", "center_id", "scanned_at", "booking_id", "student_id", "scheduled_at",
+        F.coalesce("_refused", by_booking).alias("decision")))
+    # the decisions that depend on the scans before: codes after ALREADY_ATTENDED, all of known bookings
+    open_ = F.col("decision").isin("OK") if attended is None else F.col("decision").isin(
+        "OK", "INVALID_STATUS", "TOO_EARLY", "OUTSIDE_TIME_WINDOW")
+    rest = d.filter(open_)
+    if attended is not None:
+        before = attended.select(F.col("booking_id").alias("_acc")).distinct()
+        rest = rest.join(before, F.col("booking_id") == F.col("_acc"), "left").withColumn(
+            "decision", F.when(F.col("_acc").isNotNull(), "ALREADY_ATTENDED").otherwise(F.col("decision"))).drop("_acc")
+    rest = earliest_ok(rest, ["booking_id"], "ALREADY_ATTENDED", order=["scanned_at", "scan_id"])
+    return d.filter(~open_).unionByName(rest)
 
 
 def _notifications(decided: DataFrame, at: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from studyhall.constants import (
     ADMIN_USER_OFFSET, OWNER_USER_OFFSET, SESSION_AS_OF, TEACHER_USER_OFFSET,
 )
+from studyhall.session import shuffles_removed
 from studyhall.sources.driver import read_driver_table
 from studyhall.sources.tables import cluster_by_month, read_snapshot, write_snapshot
 
@@ -468,7 +469,8 @@ class StoredFixtures(Fixtures):
         if name not in self._stored:
             # facts by month, as in a deployment: month predicates prune whole folders
             derived = super().__getitem__(name)
-            path = write_snapshot(derived, f"{self.root}/{name}", name, clustered=True)
+            with shuffles_removed(self.spark):
+                path = write_snapshot(derived, f"{self.root}/{name}", name, clustered=True)
             self._stored[name] = read_snapshot(self.spark, path, name, derived.schema)
         return self._stored[name]
 

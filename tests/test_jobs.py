@@ -578,3 +578,40 @@ def test_length_rules_hold_where_the_column_exists(spark, tables):
             return df.withColumn("external_ref", F.when(F.col("id") == 5, F.repeat(F.lit("x"), 256)).otherwise(F.lit("ok")))
     bad = maintenance.check_constraints(More()).filter("rule like '%external_ref%'").collect()
     assert [(r.table_name, r.row_key) for r in bad] == [("wallet_transactions", "5")]
+
+
+def scan_step_tables(spark, frames):
+    t, start = frames(), dt.datetime(2024, 1, 1, 10, 0)
+    t["users"] = spark.createDataFrame([(u,) for u in range(6)], "id long")
+    t["sessions"] = spark.createDataFrame([(1, 5, start, 60), (2, 6, start, 60), (2, 6, start, 60)],
+                                          "id long, center_id long, scheduled_at timestamp_ntz, duration_min int")
+    t["bookings"] = spark.createDataFrame(
+        [(0, 1, 0, "confirmed", "0_1_a"), (1, 1, 1, "attended", "1_1_a"), (2, 1, 2, "pending", "2_1_a"), (3, 1, 99, "confirmed", "99_1_a"),
+         (4, 1, None, "confirmed", "x_1_a"), (5, 2, 5, None, "5_2_a"), (6, 7, 3, "confirmed", "3_1_a")],
+        "id long, session_id long, student_id long, status string, qr_code string")
+    scans = spark.createDataFrame(
+        [(1, "0_1_a", 5, start), (2, "0_1_a", 5, start + dt.timedelta(minutes=1)), (3, "1_1_a", 5, start), (4, "2_1_a", 5, start),
+         (5, "99_1_a", 5, start), (6, "x_1_a", 5, start), (7, "5_2_a", 6, start), (8, "3_1_a", 5, start), (9, "0_1_a", 6, start),
+         (10, None, 5, start), (11, "a-b", 5, start), (12, "0_1_a", 5, start + dt.timedelta(hours=2))],
+        "scan_id long, qr_code string, center_id long, scanned_at timestamp_ntz")
+    return t, scans
+
+
+def test_scans_are_validated_in_stored_steps(spark, frames):
+    t, scans = scan_step_tables(spark, frames)
+    out = attendance.validate_scans(t, scans)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 3   # accepted scans only
+    got = sorted((r.scan_id, r.decision) for r in out.collect())
+    # session 2 is there twice: each scan of it stands for each pair of its rows, one of them accepted
+    assert got[:6] == [(1, "OK"), (2, "ALREADY_ATTENDED"), (3, "ALREADY_ATTENDED"), (4, "INVALID_STATUS"), (5, "BOOKING_NOT_FOUND"),
+                       (6, "BOOKING_NOT_FOUND")]
+    assert [x for x in got if x[0] == 7] == [(7, "OK")] * 4
+    assert got[10:] == [(8, "BOOKING_NOT_FOUND"), (9, "FORBIDDEN"), (10, "QR_REQUIRED"), (11, "BAD_FORMAT"), (12, "OUTSIDE_TIME_WINDOW")]
+
+
+def test_scans_of_bookings_attended_in_earlier_batches(spark, frames):
+    t, scans = scan_step_tables(spark, frames)
+    done = spark.createDataFrame([(0,), (0,), (2,)], "booking_id long")
+    got = {r.scan_id: r.decision for r in attendance.validate_scans(t, scans, attended=done).collect()}
+    assert {k: got[k] for k in (1, 2, 4, 9, 12)} == {1: "ALREADY_ATTENDED", 2: "ALREADY_ATTENDED", 4: "ALREADY_ATTENDED", 9: "FORBIDDEN",
+                                                    12: "ALREADY_ATTENDED"}
