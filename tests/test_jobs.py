@@ -615,3 +615,11 @@ def test_scans_of_bookings_attended_in_earlier_batches(spark, frames):
     got = {r.scan_id: r.decision for r in attendance.validate_scans(t, scans, attended=done).collect()}
     assert {k: got[k] for k in (1, 2, 4, 9, 12)} == {1: "ALREADY_ATTENDED", 2: "ALREADY_ATTENDED", 4: "ALREADY_ATTENDED", 9: "FORBIDDEN",
                                                     12: "ALREADY_ATTENDED"}
+
+
+def test_scan_notifications_come_from_stored_decisions(spark, frames):
+    t, scans = scan_step_tables(spark, frames)
+    t["centers"] = spark.createDataFrame([(5, 50), (6, 60)], "id long, owner_id long")
+    notes = attendance.scan_outputs(t, attendance.validate_scans(t, scans))["notifications"]
+    assert notes._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 3
+    assert sorted(r.type for r in notes.collect()) == ["attendance_recorded"] * 5 + ["session_missed"]
