@@ -122,3 +122,31 @@ def test_settling_with_missing_keys_limits_and_weights(spark):
         (1, True, False), (2, True, False), (3, False, True), (4, True, False), (5, True, False), (6, False, True),
         (6, True, False)]
     assert settle_in_order(df.limit(0), ["id"], [Resource("x", ["k"], F.col("w"), F.col("lim"))], where=F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("fold_rows", [100_000, 12])
+def test_groups_that_share_nothing_are_settled_in_one_pass(spark, monkeypatch, fold_rows):
+    from studyhall.operators import settle
+    monkeypatch.setattr(settle, "FOLD_ROWS", fold_rows)
+    rounds = []
+    real = settle.running
+    monkeypatch.setattr(settle, "running", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    rng = random.Random(3)
+    # twelve purses, one without a name, in which prices of all sizes wait for each other; some requests come twice
+    rows = [(i, None if u == 3 else u, rng.randrange(9), rng.choice([1, 2, 3, 5, 8, 13, 21, None]), 40 + (u or 0))
+            for i, u in enumerate(min(rng.randrange(12), rng.randrange(12)) for _ in range(150))]
+    df = spark.createDataFrame(rows, "id int, u int, room int, w int, lim int")
+    got = settle_in_order(df, ["id"], [Resource("once", ["room", "u"], F.lit(1), F.lit(1)), Resource("purse", ["u"], F.col("w"), F.col("lim"))],
+                          where=F.col("id") % 10 != 0)
+    left, have, want = {}, set(), []
+    for i, u, room, w, lim in rows:
+        if i % 10 == 0:
+            want.append((i, False, False, False))
+            continue
+        once, short = (u, room) in have, w is not None and left.get(u, 0) + w > lim
+        if not once and not short:
+            left[u] = left.get(u, 0) + (w or 0)
+            have.add((u, room))
+        want.append((i, not once and not short, once, short))
+    assert sorted((r.id, r.accepted, r.short_once, r.short_purse) for r in got.collect()) == sorted(want)
+    assert bool(rounds) == (fold_rows == 12)
