@@ -150,3 +150,25 @@ def test_groups_that_share_nothing_are_settled_in_one_pass(spark, monkeypatch, f
         want.append((i, not once and not short, once, short))
     assert sorted((r.id, r.accepted, r.short_once, r.short_purse) for r in got.collect()) == sorted(want)
     assert bool(rounds) == (fold_rows == 12)
+
+
+def upgraded(spark, frames, monkeypatch):
+    """Outputs of a batch in which one purse pays two of four rooms; no rounds are allowed."""
+    from studyhall.operators import settle
+    monkeypatch.setattr(settle, "running", lambda *a, **k: pytest.fail("rounds"))
+    t = frames()
+    t["rooms"] = spark.createDataFrame([(1, 60.0), (2, 50.0), (3, 40.0), (4, 5.0)], "id long, p double").select(
+        "id", F.col("p").cast("decimal(10,2)").alias("paid_price"))
+    t["room_members"] = spark.createDataFrame([(r, 7, True, "free") for r in (1, 2, 3, 4)],
+                                              "room_id long, student_id long, is_active boolean, access_tier string")
+    t["wallet_transactions"] = spark.createDataFrame([(7, "deposit", "completed", 100.0)],
+                                                     "user_id long, type string, status string, a double").select(
+        "user_id", "type", "status", F.col("a").cast("decimal(12,2)").alias("amount"))
+    q = spark.createDataFrame([(r, 7, r, T0) for r in (1, 2, 3, 4)],
+                              "request_id long, student_id long, room_id long, requested_at timestamp_ntz")
+    return rooms.upgrade_outputs(t, rooms.upgrade_room_access(t, q))
+
+
+def test_upgraded_members_without_rounds(spark, frames, monkeypatch):
+    got = upgraded(spark, frames, monkeypatch)["room_members_patches"].collect()
+    assert sorted((r.room_id, r.student_id, r.access_tier) for r in got) == [(1, 7, "paid"), (3, 7, "paid")]
