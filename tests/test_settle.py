@@ -172,3 +172,8 @@ def upgraded(spark, frames, monkeypatch):
 def test_upgraded_members_without_rounds(spark, frames, monkeypatch):
     got = upgraded(spark, frames, monkeypatch)["room_members_patches"].collect()
     assert sorted((r.room_id, r.student_id, r.access_tier) for r in got) == [(1, 7, "paid"), (3, 7, "paid")]
+
+
+def test_upgrade_ledger_without_rounds(spark, frames, monkeypatch):
+    got = upgraded(spark, frames, monkeypatch)["wallet_transactions"].collect()
+    assert sorted((r.user_id, int(r.amount), r.reference_id) for r in got) == [(7, 40, 3), (7, 60, 1)]
