@@ -152,3 +152,29 @@ def test_trigram_model_equals_a_loop():
     clean = [" " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " " for t in texts]
     for t, (a, b) in zip(clean, langid._ranges(at)):
         assert b - a == max(0, len(t.encode()) - 2) or not t.strip()
+
+
+@pytest.mark.parametrize("held", [1 << 17, 3, 0])
+def test_language_model_tells_words_of_one_bucket_apart(spark, monkeypatch, held):
+    monkeypatch.setattr(lm, "HELD_WORDS", held)
+    monkeypatch.setattr(lm, "TASK_WORDS", 8)
+    p = lm.Params(bits=2, classes=4, own=2, hidden=3, batch=16)
+    texts = [" ".join(f"w{k}" for k in range(12) for _ in range(1 + k * (i + 1))) for i in range(3)] + ["", None, "w3 w7 w11 w1"]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "id long, text string")
+    count = {}
+    for w in " ".join(t or "" for t in texts).split():
+        count[w] = count.get(w, 0) + 1
+    bucket = {w: lm._words([w.encode()], p)[0][0] for w in count}
+    size = [sum(count[w] for w in count if bucket[w] == b) for b in range(4)]
+    words = lm.word_table(docs)
+    counts, distinct = lm.bucket_counts(words, p)
+    assert counts.tolist() == size == lm.count_words(docs, p).tolist()
+    vocabulary, flat = lm.Vocabulary.from_counts(counts, p), lm.Network(p).flat()
+    shares = lm.Shares.from_words(words, distinct, p)
+    assert (shares.rest is None) == (held > 12)
+    plain = sorted((r.n_words, r.log_prob) for r in lm.score(docs, vocabulary, flat, p).collect())
+    exact = sorted((r.n_words, r.log_prob) for r in lm.score(docs, vocabulary, flat, p, shares).collect())
+    share = {len((t or "").split()): sum(math.log(count[w] / size[bucket[w]]) for w in (t or "").split()) for t in texts}
+    for (n, a), (m, b) in zip(plain, exact, strict=True):
+        assert n == m and b == pytest.approx(a + share[n], abs=1e-6)
+    assert any(share.values())
